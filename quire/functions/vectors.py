@@ -27,10 +27,32 @@ def unit(v: Column) -> Column:
 def ngrams(text: Column) -> Column:
     """Lower-case words of two or more word characters, and pairs of neighbours."""
     words = F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD), F.lit(0))
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    pairs = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def bucket(term: Column, dim: int = fixed.EMBEDDING_DIM) -> Column:
     """Stable bucket of a term: the first 32 bits of its md5, modulo the dimension."""
     return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+
+
+def bucket_counts(text: Column, dim: int = fixed.EMBEDDING_DIM) -> Column:
+    """Dense array<int> of n-gram counts per bucket, without leaving the row.
+
+    Every bucket is added once, the list is sorted, and the run lengths minus one
+    are the counts in bucket order. No explode and no shuffle.
+    """
+    hashed = F.transform(ngrams(text), lambda t: bucket(t, dim))
+    padded = F.array_sort(F.concat(hashed, F.sequence(F.lit(0), F.lit(dim - 1))))
+    return F.transform(
+        F.array(padded),
+        lambda run: F.transform(
+            F.array(F.filter(F.sequence(F.lit(0), F.size(run) - 1), lambda i: (i == 0) | (F.get(run, i) != F.get(run, i - 1)))),
+            lambda starts: F.zip_with(
+                starts,
+                F.concat(F.slice(starts, F.lit(2), F.lit(dim)), F.array(F.size(run))),
+                lambda a, b: b - a - 1,
+            ),
+        )[0],
+    )[0]

@@ -23,6 +23,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "quire") ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
