@@ -44,27 +44,28 @@ def parse_reference(entry: Column, parity_year: bool = False) -> Column:
     """
     numbered = entry.rlike(fixed.NUMBERED_REFERENCE)
     body = F.when(numbered, T.strip(F.regexp_extract(entry, fixed.NUMBERED_REFERENCE, 2))).otherwise(entry)
-    segments = F.split(body, r"\.")
-    n = F.size(segments)
-    arxiv = _found(body, fixed.ARXIV, 1)
-    tail = T.strip(F.array_join(F.slice(segments, F.lit(3), F.greatest(n - 2, F.lit(0))), "."))
-    tail = F.regexp_replace(F.regexp_replace(tail, fixed.DOI, ""), fixed.URL, "")
-    venue = F.regexp_replace(T.strip(tail), r"\.+$", "")
-    return F.when(
-        F.length(entry) >= 10,
-        F.struct(
+    no_names = F.array().cast("array<string>")
+
+    def fields(text: Column, segments: Column) -> Column:
+        n = F.size(segments)
+        tail = T.strip(F.array_join(F.slice(segments, F.lit(3), F.greatest(n - 2, F.lit(0))), "."))
+        tail = F.regexp_replace(F.regexp_replace(tail, fixed.DOI, ""), fixed.URL, "")
+        venue = F.regexp_replace(T.strip(tail), r"\.+$", "")
+        return F.struct(
             F.when(numbered, F.regexp_extract(entry, fixed.NUMBERED_REFERENCE, 1).try_cast("bigint")).alias("ref_index"),
-            F.when(n >= 2, author_names(T.strip(segments[0]))).otherwise(F.array().cast("array<string>")).alias("authors"),
+            F.when(n >= 2, author_names(T.strip(segments[0]))).otherwise(no_names).alias("authors"),
             F.when(n >= 3, T.strip(segments[1])).alias("title"),
             F.when(n >= 3, F.nullif(venue, F.lit(""))).alias("venue"),
-            publication_year(body, parity_year).alias("year"),
-            _found(body, fixed.DOI, 1).alias("doi"),
+            publication_year(text, parity_year).alias("year"),
+            _found(text, fixed.DOI, 1).alias("doi"),
             F.coalesce(
-                F.concat(F.lit(fixed.ARXIV_URL), arxiv),
-                F.regexp_replace(_found(body, fixed.URL, 0), r"\.+$", ""),
+                F.concat(F.lit(fixed.ARXIV_URL), _found(text, fixed.ARXIV, 1)),
+                F.regexp_replace(_found(text, fixed.URL, 0), r"\.+$", ""),
             ).alias("url"),
-        ),
-    )
+        )
+
+    parsed = T.let(body, lambda t: T.let(F.split(t, r"\."), lambda segments: fields(t, segments)))
+    return F.when(F.length(entry) >= 10, parsed)
 
 
 def surname(author: Column) -> Column:

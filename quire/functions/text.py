@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from quire import fixed
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    Inside a lambda, or after projections are merged, a plain expression is
+    evaluated again at every use; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
     return F.btrim(text, F.lit(fixed.WHITESPACE))
@@ -57,23 +66,26 @@ def match_spans(text: Column, pattern: str) -> Column:
     The gaps between matches come from splitting by the same pattern, so the
     starts are running sums of gap and match lengths; all of it stays in the JVM.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
     empty = F.expr("cast(array() as array<struct<start:int,match:string>>)")
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.length(p["match"])).alias("at"),
-            F.concat(
-                acc["found"],
-                F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["match"].alias("match"))),
-            ).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return F.when(F.size(matches) == 0, empty).otherwise(walked)
+
+    def walk(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
+        return F.aggregate(
+            pairs,
+            F.struct(F.lit(0).alias("at"), empty.alias("found")),
+            lambda acc, p: F.struct(
+                (acc["at"] + p["gap"] + F.length(p["match"])).alias("at"),
+                F.concat(
+                    acc["found"],
+                    F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["match"].alias("match"))),
+                ).alias("found"),
+            ),
+            lambda acc: acc["found"],
+        )
+
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(matches, lambda m: F.when(F.size(m) == 0, empty).otherwise(walk(m)))
 
 
 def window_around(text: Column, start: Column, length: Column, reach: int) -> Column:

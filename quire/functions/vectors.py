@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire import fixed
+from quire.functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,16 +21,20 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length one; a zero vector stays as it is."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(v.cast("array<double>"))
+    return let(
+        v.cast("array<double>"),
+        lambda w: let(norm(w), lambda size: F.when(size > 0, F.transform(w, lambda x: x / size)).otherwise(w)),
+    )
 
 
 def ngrams(text: Column) -> Column:
     """Lower-case words of two or more word characters, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD), F.lit(0))
-    following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-    pairs = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+    def with_pairs(words: Column) -> Column:
+        following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+        pairs = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD), F.lit(0)), with_pairs)
 
 
 def bucket(term: Column, dim: int = fixed.EMBEDDING_DIM) -> Column:
@@ -45,14 +50,17 @@ def bucket_counts(text: Column, dim: int = fixed.EMBEDDING_DIM) -> Column:
     """
     hashed = F.transform(ngrams(text), lambda t: bucket(t, dim))
     padded = F.array_sort(F.concat(hashed, F.sequence(F.lit(0), F.lit(dim - 1))))
-    return F.transform(
-        F.array(padded),
-        lambda run: F.transform(
-            F.array(F.filter(F.sequence(F.lit(0), F.size(run) - 1), lambda i: (i == 0) | (F.get(run, i) != F.get(run, i - 1)))),
+
+    def run_lengths(run: Column) -> Column:
+        # a run starts where its value differs from the one in front
+        shifted = F.concat(F.array(F.lit(-1)), F.slice(run, F.lit(1), F.size(run) - 1))
+        marks = F.zip_with(run, shifted, lambda a, b: a != b)
+        numbered = F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+        return let(
+            numbered,
             lambda starts: F.zip_with(
-                starts,
-                F.concat(F.slice(starts, F.lit(2), F.lit(dim)), F.array(F.size(run))),
-                lambda a, b: b - a - 1,
+                starts, F.concat(F.slice(starts, F.lit(2), F.lit(dim)), F.array(F.size(run))), lambda a, b: b - a - 1
             ),
-        )[0],
-    )[0]
+        )
+
+    return let(padded, run_lengths)

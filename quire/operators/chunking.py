@@ -253,9 +253,9 @@ def _split_elements(oversized: DataFrame, max_tokens: int) -> DataFrame:
     )
 
 
-def _entity_chunks(entities: DataFrame, kind: str, content: Column) -> DataFrame:
+def _entity_chunks(entities: DataFrame, kind: str, content: Column, part: Column | None = None) -> DataFrame:
     return _with_box(entities).select(
-        F.concat_ws(":", F.col("doc_id"), F.lit(kind), F.col("pos"), F.lit(0)).alias("chunk_id"),
+        F.concat_ws(":", F.lit(kind), F.col(f"{kind}_id")).alias("chunk_id"),
         "doc_id",
         F.lit(kind).alias("chunk_type"),
         content.alias("content"),
@@ -266,7 +266,7 @@ def _entity_chunks(entities: DataFrame, kind: str, content: Column) -> DataFrame
         F.array(F.col(f"{kind}_id")).alias("element_ids"),
         T.estimate_tokens(content).alias("token_count"),
         F.col("pos").cast("bigint").alias("first_pos"),
-        F.lit(0).alias("part"),
+        (F.lit(0) if part is None else part).alias("part"),
     )
 
 
@@ -302,7 +302,9 @@ def figure_chunks(figures: DataFrame) -> DataFrame:
 def equation_chunks(equations: DataFrame) -> DataFrame:
     body = F.coalesce(F.nullif(F.col("latex"), F.lit("")), F.col("raw_text"))
     content = F.concat(F.lit("Equation: "), body, F.coalesce(_labelled("\nExplanation: ", "explanation"), F.lit("")))
-    return _entity_chunks(equations, "equation", content)
+    # an element may hold several equations; they keep their order of discovery
+    part = (F.col("source_order") * 1000000 + F.col("match_pos")).cast("int")
+    return _entity_chunks(equations, "equation", content, part)
 
 
 def union_entities(*kinds: DataFrame) -> DataFrame:

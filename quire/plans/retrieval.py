@@ -20,18 +20,18 @@ from quire.sources.tables import table
 # --- chunks of every kind --------------------------------------------------------------------
 
 SPECIAL = f"""table_chunks as (
- select concat(t.doc_id,':table:',t.pos,':0') as chunk_id, t.doc_id, 'table' as chunk_type,
+ select concat('table:',t.table_id) as chunk_id, t.doc_id, 'table' as chunk_type,
   case when length(p.caption)>0 then concat('Table Caption: ',p.caption) else concat('Table on page ',t.page_number,' with ',t."rows",' rows and ',t.cols,' columns.') end as content,
   t.page_number, null::varchar as section, 0 as section_level, t.x0, t.y0, t.x1, t.y1, t.table_id as element_ids, t.pos as first_pos, 0 as part
  from tables t left join paired_tables p using (table_id)),
  figure_chunks as (
- select concat(f.doc_id,':figure:',f.pos,':0') as chunk_id, f.doc_id, 'figure' as chunk_type,
+ select concat('figure:',f.figure_id) as chunk_id, f.doc_id, 'figure' as chunk_type,
   case when length(p.caption)>0 then concat('Figure Caption: ',p.caption) else concat('Figure on page ',f.page_number,' (',coalesce({_FTYPE},'image'),').') end as content,
   f.page_number, null::varchar as section, 0 as section_level, f.x0, f.y0, f.x1, f.y1, f.figure_id as element_ids, f.pos as first_pos, 0 as part
  from figures f left join paired_figures p using (figure_id)),
  equation_chunks as (
- select concat(doc_id,':equation:',pos,':',0) as chunk_id, doc_id, 'equation' as chunk_type, concat('Equation: ',coalesce(nullif(latex,''),raw_text)) as content,
-  page_number, null::varchar as section, 0 as section_level, null::double as x0, null::double as y0, null::double as x1, null::double as y1, equation_id as element_ids, pos as first_pos, 0 as part
+ select concat('equation:',equation_id) as chunk_id, doc_id, 'equation' as chunk_type, concat('Equation: ',coalesce(nullif(latex,''),raw_text)) as content,
+  page_number, null::varchar as section, 0 as section_level, null::double as x0, null::double as y0, null::double as x1, null::double as y1, equation_id as element_ids, pos as first_pos, (source_order*1000000+match_pos)::int as part
  from eqs),
  special as (select *, {S.tokens('content')} as token_count from (select * from table_chunks union all select * from figure_chunks union all select * from equation_chunks)),
  all_chunks as (select * from text_chunks union all by name select * from special)"""
@@ -40,7 +40,6 @@ ALL_CHUNK_VIEWS = (*CHUNK_VIEWS, S.CAPTIONED, S.FIGURES, S.TABLES, PAIRS, EQUATI
 
 def special_chunk_frames(spark, root):
     eqs = all_equations(spark, root).withColumn("explanation", F.lit(None).cast("string"))
-    # an element may hold several equations: number them by their first place in the document
     return (
         chunking.table_chunks(captioned_tables(spark, root)),
         chunking.figure_chunks(captioned_figures(spark, root)),
