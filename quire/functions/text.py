@@ -93,3 +93,8 @@ def window_around(text: Column, start: Column, length: Column, reach: int) -> Co
     left = F.greatest(F.lit(0), start - reach)
     right = F.least(F.length(text), start + length + reach)
     return strip(F.substr(text, left + 1, right - left))
+
+
+# Arrays computed from text are unfolded with the *_outer generators throughout: for the plain
+# ones the optimizer adds a "not empty" filter below the generator and so computes the array
+# up to three times.

@@ -119,7 +119,9 @@ def pack_chunks(
 
     Text travels once, into (document, section, block) groups of bounded size.
     """
-    placed = assign_sections(_with_box(elements), keep_headers=include_headers)
+    last = elements.agg(F.max("pos")).first()[0]  # one narrow pass tells whether any document needs several blocks
+    single = last is None or last < block
+    placed = assign_sections(_with_box(elements), keep_headers=include_headers, single_block=single and block == scans.BLOCK)
     text = T.strip(F.col("content"))
     units = placed.withColumn("text", text).where(F.length("text") > 0)
     size = T.estimate_tokens(F.col("text"))
@@ -128,7 +130,7 @@ def pack_chunks(
         size.alias("size"), scans.pos_block("pos", block).alias("blk"),
     )
     return (
-        _packed_elements(units, max_tokens, block)
+        _packed_elements(units, max_tokens, single)
         .unionByName(_split_elements(units.where(F.col("size") > max_tokens), max_tokens))
         .select(
             F.concat_ws(":", F.col("doc_id"), F.lit("text"), F.col("first_pos"), F.col("part")).alias("chunk_id"),
@@ -141,7 +143,7 @@ def pack_chunks(
     )
 
 
-def _packed_elements(units: DataFrame, max_tokens: int, block: int) -> DataFrame:
+def _packed_elements(units: DataFrame, max_tokens: int, single: bool) -> DataFrame:
     fits = F.col("size") <= max_tokens
     item = F.struct(
         "pos", F.when(fits, F.col("size")).otherwise(F.lit(-1)).alias("tokens"),
@@ -152,12 +154,7 @@ def _packed_elements(units: DataFrame, max_tokens: int, block: int) -> DataFrame
         F.array_sort(F.collect_list(item)).alias("items"),
         F.first("section").alias("section"), F.first("section_level").alias("section_level"),
     )
-    # Sections that reach past one block are rare; finding them reads three narrow columns.
     key = ["doc_id", "section_pos"]
-    crossing = cut_lineage(
-        units.groupBy(*key).agg(F.min("blk").alias("home"), F.max("blk").alias("last")).where("last > home").select(*key)
-    )
-    any_long = not crossing.isEmpty()
 
     state = "struct<fill:int,starts:array<int>>"
     fold = (
@@ -176,7 +173,7 @@ def _packed_elements(units: DataFrame, max_tokens: int, block: int) -> DataFrame
         )
         return (
             started.withColumn("cuts", heads)
-            .select("*", F.posexplode("cuts").alias("k", "from"))
+            .select("*", F.posexplode_outer("cuts").alias("k", "from"))
             .withColumn("to", F.coalesce(F.try_element_at(F.col("cuts"), F.col("k") + 2), F.size("items")))
             .withColumn(
                 "members",
@@ -192,8 +189,11 @@ def _packed_elements(units: DataFrame, max_tokens: int, block: int) -> DataFrame
         )
 
     nothing = F.lit(None).cast("struct<fill:int,start:bigint>")
-    if not any_long:
+    if single:
         return _as_chunks(cut(blocks.withColumn("entry", nothing)))
+    crossing = cut_lineage(
+        units.groupBy(*key).agg(F.min("blk").alias("home"), F.max("blk").alias("last")).where("last > home").select(*key)
+    )
     whole = cut(blocks.join(crossing, key, "left_anti").withColumn("entry", nothing))
     long_blocks = blocks.join(crossing, key, "left_semi")
     slim = cut_lineage(
@@ -241,7 +241,7 @@ def _split_elements(oversized: DataFrame, max_tokens: int) -> DataFrame:
     )
     return (
         sized.withColumn("starts", F.expr(fold))
-        .select("*", F.posexplode("starts").alias("part", "from"))
+        .select("*", F.posexplode_outer("starts").alias("part", "from"))
         .withColumn("to", F.coalesce(F.try_element_at(F.col("starts"), F.col("part") + 2), F.size("sizes")))
         .select(
             "doc_id", "section", "section_level",

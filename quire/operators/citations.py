@@ -34,8 +34,8 @@ def extract_citations(elements: DataFrame) -> DataFrame:
 
     found = F.concat(*[tagged(i, kind, pattern) for i, (kind, pattern) in enumerate(kinds)])
     rows = elements.where(F.col("element_type") != "references").select(
-        "doc_id", "pos", "page_number", "content", F.explode(found).alias("m")
-    )
+        "doc_id", "pos", "page_number", "content", F.explode_outer(found).alias("m")
+    ).where("m is not null")
     inline_key = F.concat(
         F.regexp_extract("m.match", fixed.INLINE_CITATION, 1), F.lit(" ("),
         F.regexp_extract("m.match", fixed.INLINE_CITATION, 2), F.lit(")"),
@@ -88,9 +88,11 @@ def extract_references(elements: DataFrame, parity_year: bool = False) -> DataFr
     """Parsed bibliography entries: number, authors, title, venue, year, doi, url."""
     return (
         reference_entries(elements)
-        .withColumn("r", R.parse_reference(F.col("raw_text"), parity_year))
-        .where("r is not null")
-        .select(F.concat_ws(":", "doc_id", F.lit("ref"), "pos").alias("reference_id"), "doc_id", "pos", "raw_text", "r.*")
+        .where(F.length("raw_text") >= 10)
+        .select(
+            F.concat_ws(":", "doc_id", F.lit("ref"), "pos").alias("reference_id"), "doc_id", "pos", "raw_text",
+            F.inline_outer(F.array(R.parse_reference(F.col("raw_text"), parity_year))),
+        )
     )
 
 

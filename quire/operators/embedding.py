@@ -18,14 +18,15 @@ Embedder = Callable[[list[str]], list[list[float]]]
 def hash_ngrams(texts: DataFrame, id_col: str, text_col: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """(id, bucket, count) rows of each text's hashed words and word pairs."""
     dense = texts.select(id_col, V.bucket_counts(F.col(text_col), dim).alias("counts"))
-    return dense.select(id_col, F.posexplode("counts").alias("bucket", "count")).where("count > 0")
+    return dense.select(id_col, F.posexplode_outer("counts").alias("bucket", "count")).where("count > 0")
 
 
 def bucket_frequencies(texts: DataFrame, text_col: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """(bucket, df, n): in how many of the n texts each bucket occurs. At most ``dim`` rows."""
     counted = texts.select(V.bucket_counts(F.col(text_col), dim).alias("counts"))
     return (
-        counted.select(F.posexplode("counts").alias("bucket", "count"))
+        counted.select(F.posexplode_outer("counts").alias("bucket", "count"))
+        .where("bucket is not null")
         .groupBy("bucket")
         .agg(F.sum((F.col("count") > 0).cast("bigint")).alias("df"), F.count("*").alias("n"))
     )
@@ -61,7 +62,7 @@ def tfidf_vectors(
 def tfidf(texts: DataFrame, id_col: str, text_col: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """Non-zero weights as (id, bucket, weight)."""
     dense = tfidf_vectors(texts.select(id_col, text_col), text_col, dim=dim)
-    return dense.select(id_col, F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0")
+    return dense.select(id_col, F.posexplode_outer("embedding").alias("bucket", "weight")).where("weight > 0")
 
 
 def embed_queries(queries: DataFrame, text_col: str = "query", dim: int = fixed.EMBEDDING_DIM) -> DataFrame:

@@ -49,7 +49,7 @@ def equation_candidates(elements: DataFrame) -> DataFrame:
             ).otherwise(F.array().cast("array<struct<source_order:int,match_pos:int,key:string,raw_text:string,latex:string,is_inline:boolean,variables:array<string>>>")),
         ),
     )
-    return elements.select("doc_id", "pos", "page_number", F.explode(found).alias("m")).select(
+    return elements.select("doc_id", "pos", "page_number", F.explode_outer(found).alias("m")).where("m is not null").select(
         "doc_id", "pos", "page_number", *[f"m.{c}" for c in _FIELDS]
     )
 

@@ -71,11 +71,11 @@ def merge_regions(regions: DataFrame, gap: float = fixed.REGION_GAP) -> DataFram
     head_cut = F.col("_before").isNull() | (F.abs(first["y0"] - F.col("_before")) > gap)
     cuts = ends.select(
         "doc_id", "page_number",
-        F.explode(F.concat(
+        F.explode_outer(F.concat(
             F.when(head_cut, F.array(first["pos"].cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
             F.col("_f.cuts"),
         )).alias("pos"),
-    ).withColumn("_cut", F.lit(1))
+    ).where("pos is not null").withColumn("_cut", F.lit(1))
     started = lagged.join(cuts, ["doc_id", "page_number", "pos"], "left").withColumn(
         "region_ord", F.sum(F.coalesce("_cut", F.lit(0))).over(page.rowsBetween(Window.unboundedPreceding, 0))
     )
@@ -258,7 +258,8 @@ def dedupe_crops(regions: DataFrame, tolerance: float = 40.0) -> DataFrame:
     kept = (
         distinct.groupBy("doc_id", "page_number")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
-        .select("doc_id", "page_number", F.explode(F.expr(fold)).alias("r"))
+        .select("doc_id", "page_number", F.explode_outer(F.expr(fold)).alias("r"))
+        .where("r is not null")
         .select("doc_id", "page_number", "r.caption_pos")
     )
     return regions.join(kept, ["doc_id", "page_number", "caption_pos"], "left_semi")

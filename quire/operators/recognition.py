@@ -114,7 +114,7 @@ def line_words(lines: DataFrame, min_confidence: float = 0.7) -> DataFrame:
     )
     start = F.col("x0") + F.col("w.at") * F.col("per_char")
     return sized.withColumn("per_char", per_char).select(
-        *LINE, "x0", "x1", "y0", "y1", "confidence", "per_char", F.posexplode(placed).alias("word_num", "w")
+        *LINE, "x0", "x1", "y0", "y1", "confidence", "per_char", F.posexplode_outer(placed).alias("word_num", "w")
     ).select(
         *LINE, "word_num", F.col("w.word").alias("text"), "confidence", start.alias("wx0"),
         F.least(F.col("x1"), start + F.col("w.size") * F.col("per_char")).alias("wx1"), "y0", "y1",
@@ -144,7 +144,7 @@ def words_to_grid(words: DataFrame, keys: list[str], row_gap: float = 5.0, colum
     rows_state = "struct<total:double,n:bigint,row:int,out:array<struct<y0:double,row_idx:int>>>"
     rows = heights.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y0", "n"))).alias("ys")).select(
         *keys,
-        F.explode(F.expr(
+        F.explode_outer(F.expr(
             f"aggregate(ys, cast(named_struct('total', 0, 'n', 0, 'row', -1, 'out', array()) as {rows_state}), (s, e) -> "
             f"case when s.n > 0 and abs(e.y0 - s.total / s.n) <= {row_gap!r}D "
             "then named_struct('total', s.total + e.y0 * e.n, 'n', s.n + e.n, 'row', s.row, "
@@ -162,7 +162,7 @@ def words_to_grid(words: DataFrame, keys: list[str], row_gap: float = 5.0, colum
             "then named_struct('anchors', concat(s.anchors, array(x)), 'out', concat(s.out, array(named_struct('x0', x, 'col', size(s.anchors))))) "
             "else named_struct('anchors', s.anchors, 'out', concat(s.out, array(named_struct('x0', x, 'col', size(s.anchors) - 1)))) end)"
         ).alias("f"),
-    ).select(*keys, "f.anchors", F.explode("f.out").alias("c")).select(
+    ).select(*keys, "f.anchors", F.explode_outer("f.out").alias("c")).select(
         *keys, "c.x0", F.size("anchors").alias("n_cols"),
         # the anchor at or before an edge is the nearest, unless the following one is closer
         F.when(

@@ -35,11 +35,22 @@ def running_last(
     values: dict[str, Column],
     block: Column | None = None,
     inclusive: bool = True,
+    single_block: bool = False,
 ) -> DataFrame:
-    """Add, for each named value, the latest non-null one at (or strictly before) each row."""
+    """Add, for each named value, the latest non-null one at (or strictly before) each row.
+
+    ``single_block`` states that every key is known to fit in its first block, so
+    there is nothing to carry over and the summary pass is left out.
+    """
     names = list(values)
     marked = df.select("*", (pos_block(order[0]) if block is None else block).alias("_block"),
                        *[v.alias(f"_v_{n}") for n, v in values.items()])
+    upto = (Window.partitionBy(*keys, "_block").orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    if single_block:
+        return marked.select(
+            *df.columns, *[F.last(F.col(f"_v_{n}"), ignorenulls=True).over(upto).alias(n) for n in names]
+        )
     at = F.struct(*[F.col(c) for c in order])
     tails = marked.groupBy(*keys, "_block").agg(
         *[F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(at.alias("at"), F.col(f"_v_{n}").alias("v")))).alias(n)
@@ -50,8 +61,6 @@ def running_last(
         tails.select(*keys, "_block", *[F.last(F.col(f"{n}.v"), ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in names])
         .where(F.coalesce(*[F.col(f"_c_{n}").cast("string") for n in names]).isNotNull())
     )
-    upto = (Window.partitionBy(*keys, "_block").orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = marked.select(
         *df.columns, "_block",
         *[F.last(F.col(f"_v_{n}"), ignorenulls=True).over(upto).alias(f"_l_{n}") for n in names],

@@ -24,7 +24,7 @@ def section_level(element_type: Column) -> Column:
     )
 
 
-def assign_sections(elements: DataFrame, keep_headers: bool = False) -> DataFrame:
+def assign_sections(elements: DataFrame, keep_headers: bool = False, single_block: bool = False) -> DataFrame:
     """Text elements with the section they belong to: section, section_level, section_pos.
 
     A section runs from its header to the next one in list order; text before any
@@ -36,7 +36,8 @@ def assign_sections(elements: DataFrame, keep_headers: bool = False) -> DataFram
         F.col("pos").alias("pos"), F.col("content").alias("title"), section_level(etype).alias("level")
     )
     placed = scans.running_last(
-        elements, ["doc_id"], ["pos"], {"_section": F.when(is_section_header(etype), header)}
+        elements, ["doc_id"], ["pos"], {"_section": F.when(is_section_header(etype), header)},
+        single_block=single_block,
     )
     if keep_headers:
         kept = placed.where(~etype.isin(fixed.NON_TEXT_TYPES))

@@ -16,7 +16,7 @@ from quire.sources.tables import table
 def lines(spark: SparkSession, root: str) -> DataFrame:
     split = F.split("text", "\n")
     return table(spark, root, "documents").select(
-        "doc_id", F.size(split).alias("n_lines"), F.posexplode(split).alias("pos", "line")
+        "doc_id", F.size(split).alias("n_lines"), F.posexplode_outer(split).alias("pos", "line")
     )
 
 
@@ -136,7 +136,7 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
 def words(spark: SparkSession, root: str) -> DataFrame:
     """Recognised words: every element of every document, split at spaces."""
     parts = body_elements(spark, root).select(
-        "doc_id", "pos", "page_number", F.posexplode(F.split("content", " ")).alias("k", "word")
+        "doc_id", "pos", "page_number", F.posexplode_outer(F.split("content", " ")).alias("k", "word")
     )
     k = F.col("k")
     return parts.select(

@@ -51,6 +51,11 @@ def all_chunks(spark, root):
     return chunking.union_entities(text_chunks(spark, root), *special_chunk_frames(spark, root))
 
 
+def stored_chunks(spark, root):
+    """Chunks as a table: weighting reads them twice (frequencies, then vectors) and must not chunk twice."""
+    return spark.read.parquet(ix.persist_index(all_chunks(spark, root), scratch_path(spark, "chunks")))
+
+
 def _flat(df):
     return df.withColumn("element_ids", F.array_join("element_ids", "|"))
 
@@ -109,7 +114,7 @@ def tfidf(spark, root):
                                  select="select query_id, bucket, round(weight,6) as weight from w"))
 def embed_query(spark, root):
     vectors = embedding.embed_queries(derived.questions(spark, root))
-    return vectors.select("query_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0").withColumn(
+    return vectors.select("query_id", F.posexplode_outer("embedding").alias("bucket", "weight")).where("weight > 0").withColumn(
         "weight", F.round("weight", 6)
     )
 
@@ -132,7 +137,7 @@ CHUNK_WEIGHTS = (_counts("ccounts", "all_chunks", "chunk_id", "content"), _weigh
 def embed_chunks(spark, root):
     e = F.col("embedding")
     return (
-        embedding.embed_chunks(all_chunks(spark, root))
+        embedding.embed_chunks(stored_chunks(spark, root))
         .select("chunk_id", F.size(F.filter(e, lambda x: x > 0)).alias("n_buckets"),
                 F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
         .where("n_buckets > 0")
@@ -280,8 +285,7 @@ def augment_query(spark, root):
 
 def chunk_index(spark, root):
     """The corpus index as a table in the shared folder, so that searches scan it and never rebuild it."""
-    path = scratch_path(spark, "index")
-    ix.persist_index(embedding.embed_chunks(all_chunks(spark, root)), path)
+    path = ix.persist_index(embedding.embed_chunks(stored_chunks(spark, root)), scratch_path(spark, "index"))
     return ix.load_index(spark, path)
 
 

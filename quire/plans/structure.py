@@ -67,7 +67,7 @@ _SENTENCES = "string_split(regexp_replace({t},'([.!?])\\s+([A-Z0-9])','\\1'||chr
  select doc_id, unnest(range(len(parts))) as k, unnest(parts) as sentence from s""")
 def split_sentences(spark, root):
     return table(spark, root, "documents").select(
-        "doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("k", "sentence")
+        "doc_id", F.posexplode_outer(T.split_sentences(F.col("text"))).alias("k", "sentence")
     )
 
 

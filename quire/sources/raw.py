@@ -19,7 +19,7 @@ def text_to_elements(documents: DataFrame, lines_per_page: int = 8) -> DataFrame
 
     Pages hold ``lines_per_page`` lines; reading order restarts on each page.
     """
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = documents.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     return (
         lines.withColumn("content", T.strip(F.col("line")))
         .where(F.length("content") > 0)
@@ -41,7 +41,7 @@ def html_to_elements(pages: DataFrame) -> DataFrame:
     the next block-level tag; tags inside it are removed and entities resolved.
     """
     kept = F.regexp_replace("html", _DROPPED, " ")
-    blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all(kept, F.lit(_BLOCK), F.lit(0))).alias("k", "block"))
+    blocks = pages.select("page_id", F.posexplode_outer(F.regexp_extract_all(kept, F.lit(_BLOCK), F.lit(0))).alias("k", "block"))
     text = F.regexp_replace(F.regexp_extract("block", _BLOCK, 2), _TAG, " ")
     for entity, char in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
