@@ -206,13 +206,13 @@ def test_next_row_across_blocks(spark):
 
 
 def vectors(spark):
-    return spark.createDataFrame([("a", 1, "text", [1.0, 0, 0, 0]), ("b", 2, "table", [0, 1.0, 0, 0]), ("z", 2, "text", [0.0, 0, 0, 0])],
+    return spark.createDataFrame([("a", 1, "text", [1.0, 0.0, 0.0, 0.0]), ("b", 2, "table", [0.0, 1.0, 0.0, 0.0]), ("z", 2, "text", [0.0, 0.0, 0.0, 0.0])],
                                  "chunk_id string, doc_id long, chunk_type string, embedding array<double>")
 
 
 def test_search(spark):
     index = vectors(spark)
-    q = spark.createDataFrame([(1, [2.0, 0.1, 0, 0])], "query_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [2.0, 0.1, 0.0, 0.0])], "query_id long, embedding array<double>")
     hits = search.knn_topk(q, index, 2).orderBy("rank").collect()
     assert [h.id for h in hits] == ["a", "b"]
     ids = spark.createDataFrame([(2,)], "doc_id long")
@@ -320,7 +320,7 @@ def test_grid(spark):
 
 def test_index_maintenance(spark, tmp_path):
     index = vectors(spark)
-    new = spark.createDataFrame([("a", 1, "moved", [0.0, 0, 0, 1.0]), ("n", 3, "text", [1.0, 0, 0, 0]), ("no", 3, "text", None)], index.schema)
+    new = spark.createDataFrame([("a", 1, "moved", [0.0, 0.0, 0.0, 1.0]), ("n", 3, "text", [1.0, 0.0, 0.0, 0.0]), ("no", 3, "text", None)], index.schema)
     merged = ix.upsert_chunks(index, new)
     assert sorted((r.chunk_id, r.chunk_type) for r in merged.collect()) == [("a", "moved"), ("b", "table"), ("n", "text"), ("z", "text")]
     path = ix.persist_index(merged, str(tmp_path / "ix"), partitioned=True)
