@@ -137,7 +137,7 @@ CHUNK_WEIGHTS = (_counts("ccounts", "all_chunks", "chunk_id", "content"), _weigh
 def embed_chunks(spark, root):
     e = F.col("embedding")
     return (
-        embedding.embed_chunks(stored_chunks(spark, root))
+        chunk_index(spark, root)
         .select("chunk_id", F.size(F.filter(e, lambda x: x > 0)).alias("n_buckets"),
                 F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
         .where("n_buckets > 0")
