@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed
@@ -90,9 +90,7 @@ def merge_regions(regions: DataFrame, gap: float = fixed.REGION_GAP) -> DataFram
     )
 
 
-def _nearest(
-    things: DataFrame, captions: DataFrame, thing_id: str, flat: Column | None = None
-) -> DataFrame:
+def _nearest(things: DataFrame, captions: DataFrame, thing_id: str) -> DataFrame:
     """Nearest caption of each thing on its page by vertical distance, ties to list order.
 
     The distance is the smaller of |caption top - thing bottom| and |thing top -

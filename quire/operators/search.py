@@ -14,6 +14,7 @@ from quire.functions import classify
 from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.operators.embedding import embed_queries
+from quire.session import cut_lineage
 
 SCORE_DIGITS = 6
 _SLICE_BYTES = 32 << 20
@@ -159,10 +160,10 @@ def search_fallback(
         return knn_postfilter(vectors, index, doc_ids, k, mode)
 
     asked = queries.select("query_id", "query")
-    hits = run(asked).withColumn("attempt", F.lit(1))
+    hits = cut_lineage(run(asked).withColumn("attempt", F.lit(1)))
     open_ = asked.join(hits, "query_id", "left_anti")
     cleaned = open_.withColumn("query", classify.clean_query(F.col("query"))).where(F.length("query") >= 3)
-    hits = hits.unionByName(run(cleaned).withColumn("attempt", F.lit(2)))
+    hits = cut_lineage(hits.unionByName(run(cleaned).withColumn("attempt", F.lit(2))))
     if doc_ids is None:
         return hits
     open_ = asked.join(hits, "query_id", "left_anti")
@@ -193,7 +194,7 @@ def retrieval_plan(queries: DataFrame, index: DataFrame) -> DataFrame:
     hits = knn_topk(general, index)
     for chunk_type in [row[2] for row in fixed.RETRIEVAL_PLAN if row[2]]:
         typed = vectors.where(F.col("first_type") == chunk_type)
-        found = knn_by_type(typed, index, chunk_type)
+        found = cut_lineage(knn_by_type(typed, index, chunk_type))  # a few rows per question, used twice
         rest = typed.join(found, "query_id", "left_anti").drop("k").withColumnRenamed("fallback_k", "k")
         hits = hits.unionByName(found).unionByName(knn_topk(rest, index))
     return hits.join(planned.select("query_id", "intent"), "query_id")

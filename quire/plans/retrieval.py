@@ -336,9 +336,6 @@ def verify_sources(spark, root):
     return search.verify_sources(derived.answers(spark, root), hits, index)
 
 
-_FB = (*ALL_CHUNK_VIEWS, *CHUNK_WEIGHTS, S.QUESTIONS, """rare as (select doc_id from documents where source in (select min(source) from documents))""")
-
-
 @register("search_fallback")
 def search_fallback(spark, root):
     docs = table(spark, root, "documents")
