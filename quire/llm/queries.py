@@ -6,12 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, warc
+from quire.llm import mixing, pieces, token_store, warc
 from quire.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_piece_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    return pieces.round_trip_digests(read_table(spark, root, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op5_token_store(spark: SparkSession, root: str) -> DataFrame:
+    return token_store.token_store(read_table(spark, root, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_source_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(read_table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -20,7 +35,7 @@ def op8_warc_archives(spark: SparkSession, root: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, root, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_source_mix, op8_warc_archives)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_piece_round_trip, op5_token_store, op7_source_mix, op8_warc_archives)}
 
 CHECKS: dict[str, str] = {
     "op8_warc_archives": """
