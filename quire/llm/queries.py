@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, pieces, token_store, warc
+from quire.llm import jaccard, mixing, pieces, quality, token_store, warc
 from quire.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_risk_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality.judge(read_table(spark, root, "documents"), read_table(spark, root, "labels"))
+
+
 def op2_piece_round_trip(spark: SparkSession, root: str) -> DataFrame:
     return pieces.round_trip_digests(read_table(spark, root, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_jaccard_groups(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard.jaccard_groups(read_table(spark, root, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_token_store(spark: SparkSession, root: str) -> DataFrame:
     return token_store.token_store(read_table(spark, root, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -35,9 +43,25 @@ def op8_warc_archives(spark: SparkSession, root: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, root, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_piece_round_trip, op5_token_store, op7_source_mix, op8_warc_archives)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op5_token_store, op7_source_mix, op8_warc_archives,
+)}
 
 CHECKS: dict[str, str] = {
+    "op3_jaccard_groups": """
+        with recursive w as (
+          select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
+        ), s as (
+          select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                 else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s from w
+        ), e as (select doc_id, len(s) as n, unnest(s) as g from s),
+        o as (
+          select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id < b.doc_id
+          group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), l as (select x, y from o union all select y, x from o),
+        r(a, b) as (select doc_id, doc_id from documents union select r.a, l.y from r join l on r.b = l.x)
+        select doc_id, cast(len(s) as bigint) as n_shingles, (select min(b) from r where r.a = s.doc_id) as component_id from s""",
     "op8_warc_archives": """
         with p as (
           select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
