@@ -30,6 +30,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def one_file_a_task(manifest: DataFrame, most: int = 20_000) -> DataFrame:
+    """Rows that name files, dealt out by file; the number of tasks follows the number of files."""
+    return manifest.repartition(max(1, min(manifest.count(), most)), F.col("file"))
+
+
 def fresh_name(folder: str, ending: str) -> str:
     """A file name that no other attempt of the same task can use."""
     return f"{folder}/{uuid.uuid4().hex}{ending}"

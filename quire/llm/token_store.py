@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm.store import fresh_name, read_bytes, running, save, write_bytes
+from quire.llm.store import fresh_name, one_file_a_task, read_bytes, running, save, write_bytes
 from quire.llm.words import Memo, mixed, slices
 from quire.session import scratch_path
 
@@ -232,7 +232,7 @@ def scan(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = manifest.select("file", "tokens_before").repartition(F.col("file"))
+    files = one_file_a_task(manifest.select("file", "tokens_before"))
     return files.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import fresh_name, read_bytes, save, write_bytes
+from quire.llm.store import fresh_name, one_file_a_task, read_bytes, save, write_bytes
 from quire.session import scratch_path
 
 # Fixed values of the format: skippable frame that holds a dictionary, and record fields.
@@ -156,8 +156,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
 
-    files = manifest.select("file")
-    return files.repartition(F.col("file")).mapInArrow(rows, _RECORDS)
+    return one_file_a_task(manifest.select("file")).mapInArrow(rows, _RECORDS)
 
 
 def archive_pages(pages: DataFrame, smallest: int = 100) -> DataFrame:
