@@ -4,7 +4,8 @@ A shard holds documents in ascending key order. File format (little-endian):
 
     magic 8 bytes | header length u32 | header JSON: name -> [place, count, kind] | sections
 
-Sections: `ids` (u32, all documents one after another), `first` and `count`
+Sections: `ids` (u16 where the vocabulary fits, else u32; all documents one
+after another), `first` and `count`
 (u64, per document), `keys` (i64) with `known` (u8: key not null), and the
 index: `bits` and `ranks` (u64, per 64 slots of all levels), `levels` (u64,
 slots of each level), and per slot `row` (u64), `rows` (u64) and `print` (u64).
@@ -88,7 +89,7 @@ class PerfectHash:
         return out
 
 
-def pack(keys: list[int | None], ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+def pack(keys: list[int | None], ids: np.ndarray, count: np.ndarray, vocabulary: int) -> list[bytes]:
     """One shard: documents in key order (null keys first), equal keys side by side."""
     known = np.array([k is not None for k in keys], np.uint8)
     values = np.array([0 if k is None else k for k in keys], np.int64)
@@ -99,7 +100,7 @@ def pack(keys: list[int | None], ids: np.ndarray, count: np.ndarray) -> list[byt
     row, rows, prints = (np.zeros(len(distinct), np.uint64) for _ in range(3))
     row[slot], rows[slot], prints[slot] = own[first], times, fingerprint(distinct)
     sections = {
-        "ids": ids.astype("<u4"), "first": (np.cumsum(count) - count).astype("<u8"), "count": count.astype("<u8"), "keys": values.astype("<i8"),
+        "ids": ids.astype("<u2" if vocabulary <= 1 << 16 else "<u4"), "first": (np.cumsum(count) - count).astype("<u8"), "count": count.astype("<u8"), "keys": values.astype("<i8"),
         "known": known, "bits": index.bits, "ranks": index.ranks, "levels": index.levels, "row": row, "rows": rows, "print": prints,
     }
     table, place = {}, 0
@@ -147,6 +148,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         self.memo = Memo(self._encode)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +182,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, shard_
 
         def close() -> pa.RecordBatch:
             name, count = fresh_name(folder, ".tokens"), np.concatenate(counts)
-            write_bytes(name, pack(keys, np.concatenate(ids), count))
+            write_bytes(name, pack(keys, np.concatenate(ids), count, max(words.size, end_id + 1)))
             named = [k for k in keys if k is not None]
             values = [part, number, name, min(named, default=None), max(named, default=None), len(keys), int(count.sum())]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -225,8 +227,8 @@ def scan(manifest: DataFrame) -> DataFrame:
                 place = np.arange(len(known))
                 if ((place < row) | (place >= row + times))[known].any():
                     raise ValueError(f"the index of {name} misses keys")
-                data, first, count = memoryview(shard.ids.tobytes()), shard.first.astype(np.int64), shard.count.astype(np.int64)
-                crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), count.tolist())]
+                first, count = shard.first.astype(np.int64), shard.count.astype(np.int64)
+                crc = [zlib.crc32(shard.ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(first.tolist(), count.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard.keys, mask=~known), pa.array(first + base), pa.array(count), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
