@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import jaccard, mixing, pieces, quality, token_store, warc
+from quire.llm import classifier, jaccard, mixing, passages, pieces, quality, token_store, warc
 from quire.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op5_token_store(spark: SparkSession, root: str) -> DataFrame:
     return token_store.token_store(read_table(spark, root, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_repeated_passages(spark: SparkSession, root: str) -> DataFrame:
+    found = passages.remove_repeats(read_table(spark, root, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_units", "removed_words", "removed", "text")
+
+
 def op7_source_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(read_table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -43,8 +48,13 @@ def op8_warc_archives(spark: SparkSession, root: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, root, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_quality_scores(spark: SparkSession, root: str) -> DataFrame:
+    return classifier.score_documents(read_table(spark, root, "documents"), read_table(spark, root, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op5_token_store, op7_source_mix, op8_warc_archives,
+    op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op5_token_store, op6_repeated_passages, op7_source_mix, op8_warc_archives,
+    op10_quality_scores,
 )}
 
 CHECKS: dict[str, str] = {

@@ -123,3 +123,30 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
         total *= _FACTOR
         total += hashes[k : k + n]
     return mixed(total)
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_LOW_LETTERS = _LETTERS[_LOWER]
+
+
+def byte_words(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts joined by newlines: all bytes, first and end byte of each word, and a 64-bit hash (A-Z in lower case with `fold`)."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.append(0, edge)
+    first, end = edge[0::2], edge[1::2]
+    if not len(first):
+        return data, first, end, np.zeros(0, np.uint64)
+    length = end - first
+    powers = np.full(int(length.max()), _FACTOR)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    values = (_LOW_LETTERS if fold else _LETTERS)[data[~blank]]
+    starts = np.cumsum(length) - length
+    values *= powers[np.arange(len(values)) - np.repeat(starts, length)]
+    return data, first, end, mixed(np.add.reduceat(values, starts) + length.astype(np.uint64))
