@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import classifier, jaccard, mixing, passages, pieces, quality, token_store, warc
+from quire.llm import classifier, forest, jaccard, mixing, passages, pieces, quality, token_store, warc
 from quire.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op3_jaccard_groups(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.jaccard_groups(read_table(spark, root, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_prefix_forest(spark: SparkSession, root: str) -> DataFrame:
+    vectors = read_table(spark, root, "embeddings")
+    return forest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_token_store(spark: SparkSession, root: str) -> DataFrame:
     return token_store.token_store(read_table(spark, root, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -53,7 +58,7 @@ def op10_quality_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op5_token_store, op6_repeated_passages, op7_source_mix, op8_warc_archives,
+    op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op4_prefix_forest, op5_token_store, op6_repeated_passages, op7_source_mix, op8_warc_archives,
     op10_quality_scores,
 )}
 
