@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import classifier, forest, jaccard, mixing, passages, pieces, quality, token_store, warc
+from quire.llm import classifier, forest, jaccard, mixing, passages, pieces, preference, quality, token_store, warc
 from quire.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,23 +54,29 @@ def op8_warc_archives(spark: SparkSession, root: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, root, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_preference_pairs(spark: SparkSession, root: str) -> DataFrame:
+    found = preference.preference_examples(read_table(spark, root, "conversations"))
+    texts = [preference.joined(F.col(c), own).alias(c + "_trained" * own) for c in ("chosen", "rejected") for own in (False, True)]
+    return found.select("conv_id", "n_prompt_turns", "prompt", *texts)
+
+
 def op10_quality_scores(spark: SparkSession, root: str) -> DataFrame:
     return classifier.score_documents(read_table(spark, root, "documents"), read_table(spark, root, "labels"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op4_prefix_forest, op5_token_store, op6_repeated_passages, op7_source_mix, op8_warc_archives,
-    op10_quality_scores,
+    op9_preference_pairs, op10_quality_scores,
 )}
 
 CHECKS: dict[str, str] = {
     "op3_jaccard_groups": """
         with recursive w as (
           select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                 '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
+                 '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
         ), s as (
           select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-                 else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s from w
+                 else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w
         ), e as (select doc_id, len(s) as n, unnest(s) as g from s),
         o as (
           select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id < b.doc_id
@@ -85,4 +92,26 @@ CHECKS: dict[str, str] = {
                case when page_id <> first then 'revisit' else 'response' end as record_type,
                case when page_id <> first then first end as refers_to
         from p left join g using (payload_digest)""",
+    "op9_preference_pairs": """
+        with t as (
+          select conv_id, list({'role': coalesce(role, 'user'), 'text': coalesce(text, '')} order by turn nulls first, role, text) as c
+          from conversations group by conv_id
+        ), p as (select *, list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant') as a from t),
+        r as (
+          select conv_id, c, case when len(a) > 0 then a[-1] else 0 end as last,
+                 case when len(a) > 1 then c[a[-2]].text else '' end as earlier from p
+        ), w as (
+          select *, case when last > 0 and c[last].text <> earlier then last - 1 else len(c) end as n,
+                 list_transform(range(1, len(c) + 1), lambda i: '<|im_start|>' || replace(c[i].role, '<|', '< |') || chr(10)) as h,
+                 list_transform(range(1, len(c) + 1), lambda i: replace(c[i].text, '<|', '< |') || '<|im_end|>' || chr(10)) as g,
+                 list_transform(range(1, len(c) + 1), lambda i: replace(case when i = last then earlier else c[i].text end, '<|', '< |')
+                                || '<|im_end|>' || chr(10)) as b from r
+        )
+        select conv_id, n as n_prompt_turns,
+               coalesce(array_to_string(list_transform(range(1, n + 1), lambda i: h[i] || g[i]), ''), '') as prompt,
+               coalesce(array_to_string(list_transform(range(n + 1, len(c) + 1), lambda i: h[i] || g[i]), ''), '') as chosen,
+               coalesce(array_to_string(list_transform(range(n + 1, len(c) + 1), lambda i: h[i] || b[i]), ''), '') as rejected,
+               coalesce(array_to_string(list_transform(list_filter(range(n + 1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: g[i]), ''), '') as chosen_trained,
+               coalesce(array_to_string(list_transform(list_filter(range(n + 1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: b[i]), ''), '') as rejected_trained
+        from w""",
 }
