@@ -135,7 +135,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([found[texts[i]].tobytes() for i in own], pa.binary())], ["node", "a", "chunk", "role", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(wanted, F.col("doc_id") == F.col("_id")).select("text", "node", "a", "chunk", "role")
+    # the same plan at every size: both sides by id, never the growing list of ids to all tasks
+    rows = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "node", "a", "chunk", "role")
     rows = rows.mapInArrow(sets, "node long, a long, chunk int, role int, shingles binary")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
