@@ -11,7 +11,6 @@ from quire import fixed
 from quire.functions import text as T
 from quire.operators import scans
 from quire.operators.sections import assign_sections
-from quire.session import cut_lineage
 
 BOX = ["x0", "y0", "x1", "y1"]
 CHUNK_COLUMNS = [
@@ -119,9 +118,7 @@ def pack_chunks(
 
     Text travels once, into (document, section, block) groups of bounded size.
     """
-    last = elements.agg(F.max("pos")).first()[0]  # one narrow pass tells whether any document needs several blocks
-    single = last is None or last < block
-    placed = assign_sections(_with_box(elements), keep_headers=include_headers, single_block=single and block == scans.BLOCK)
+    placed = assign_sections(_with_box(elements), keep_headers=include_headers)
     text = T.strip(F.col("content"))
     units = placed.withColumn("text", text).where(F.length("text") > 0)
     size = T.estimate_tokens(F.col("text"))
@@ -130,7 +127,7 @@ def pack_chunks(
         size.alias("size"), scans.pos_block("pos", block).alias("blk"),
     )
     return (
-        _packed_elements(units, max_tokens, single)
+        _packed_elements(units, max_tokens)
         .unionByName(_split_elements(units.where(F.col("size") > max_tokens), max_tokens))
         .select(
             F.concat_ws(":", F.col("doc_id"), F.lit("text"), F.col("first_pos"), F.col("part")).alias("chunk_id"),
@@ -143,7 +140,7 @@ def pack_chunks(
     )
 
 
-def _packed_elements(units: DataFrame, max_tokens: int, single: bool) -> DataFrame:
+def _packed_elements(units: DataFrame, max_tokens: int) -> DataFrame:
     fits = F.col("size") <= max_tokens
     item = F.struct(
         "pos", F.when(fits, F.col("size")).otherwise(F.lit(-1)).alias("tokens"),
@@ -189,19 +186,14 @@ def _packed_elements(units: DataFrame, max_tokens: int, single: bool) -> DataFra
         )
 
     nothing = F.lit(None).cast("struct<fill:int,start:bigint>")
-    if single:
-        return _as_chunks(cut(blocks.withColumn("entry", nothing)))
-    crossing = cut_lineage(
-        units.groupBy(*key).agg(F.min("blk").alias("home"), F.max("blk").alias("last")).where("last > home").select(*key)
-    )
+    # the same plan at every size; where no section crosses a block, its branch comes out empty at run time
+    crossing = units.groupBy(*key).agg(F.min("blk").alias("home"), F.max("blk").alias("last")).where("last > home").select(*key)
     whole = cut(blocks.join(crossing, key, "left_anti").withColumn("entry", nothing))
     long_blocks = blocks.join(crossing, key, "left_semi")
-    slim = cut_lineage(
-        long_blocks.select(
-            *key, "blk",
-            F.transform("items", lambda i: F.struct(i["pos"].alias("pos"), i["tokens"].alias("tokens"))).alias("items"),
-            F.min("blk").over(Window.partitionBy(*key)).alias("home"),
-        )
+    slim = long_blocks.select(
+        *key, "blk",
+        F.transform("items", lambda i: F.struct(i["pos"].alias("pos"), i["tokens"].alias("tokens"))).alias("items"),
+        F.min("blk").over(Window.partitionBy(*key)).alias("home"),
     )
     pieces = cut(long_blocks.join(_entry_states(slim, max_tokens), [*key, "blk"], "left"))
     # a bin holds at most max_tokens elements, so re-joining its pieces is bounded

@@ -266,7 +266,7 @@ def all_simple_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 5) ->
     return reduce(DataFrame.unionByName, results)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component) of the undirected graph; the component is its smallest node id.
 
     Alternating large-star and small-star contraction: a logarithmic number of
@@ -277,7 +277,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
         _both_ways(edges).where("src > dst").select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
     )
     mark = None
-    for _ in range(max_rounds):
+    while True:
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -329,25 +329,27 @@ def page_subgraph(edges: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFr
     return members, inside
 
 
-def section_content(edges: DataFrame, sections: DataFrame, max_depth: int = 32) -> DataFrame:
+def section_content(edges: DataFrame, sections: DataFrame) -> DataFrame:
     """(section_id, node_id, depth) of everything a section contains, directly or further down.
 
     Nodes already collected for a section are not expanded again, so shared
-    content appears once and cycles end.
+    content appears once, cycles end, and the rounds go on until nothing is left.
     """
     links = edges.where(F.col("edge_type") == "contains").select("src", "dst").distinct()
     frontier = sections.select(F.col("node_id").alias("section_id"), "node_id").distinct()
-    seen = None
-    for depth in range(1, max_depth + 1):
+    seen, depth = None, 1
+    while True:
         step = frontier.join(links, F.col("node_id") == F.col("src")).select("section_id", F.col("dst").alias("node_id")).distinct()
         if seen is not None:
             step = step.join(seen, ["section_id", "node_id"], "left_anti")
         frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
         level = frontier.withColumn("depth", F.lit(depth))
         seen = level if seen is None else seen.unionByName(level)
-    return seen if seen is not None else frontier.withColumn("depth", F.lit(1))
+        if frontier.isEmpty():
+            return seen
+        if depth % 16 == 0:  # keeps the plan of deep graphs short
+            seen = cut_lineage(seen)
+        depth += 1
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> DataFrame:

@@ -16,8 +16,9 @@ from quire.functions import vectors as V
 from quire.operators.embedding import embed_queries
 from quire.session import cut_lineage
 
-SCORE_DIGITS = 6
-_SLICE_BYTES = 32 << 20
+RANK_DIGITS = 12  # scores closer than that differ by rounding errors only
+CELL_ROWS = 20_000
+BLOCK_ROWS = 512
 _HITS = "query_id bigint, id string, score double"
 
 
@@ -35,75 +36,80 @@ def _keep_best(queries: DataFrame, hits: DataFrame, k: Column) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def _scan(index: DataFrame, id_col: str, ids: list[int], matrix: np.ndarray, k: int) -> DataFrame:
-    """One pass over the index for a slice of queries; each task emits its own top k per query."""
-    shared = index.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, q = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * len(query_ids)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-            order = np.argsort(names)
-            names = names[order]
-            scores = np.round(q @ v[order].T, SCORE_DIGITS) + 0.0
-            for i in range(len(query_ids)):
-                s = scores[i]
-                if len(s) > k:
-                    floor = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = np.flatnonzero(s >= floor)
-                    keep = keep[np.argsort(-s[keep], kind="stable")][:k]
-                else:
-                    keep = np.arange(len(s))
-                all_s = np.concatenate([best[i][0], s[keep]])
-                all_n = np.concatenate([best[i][1], names[keep]])
-                top = np.lexsort((np.argsort(np.argsort(all_n)), -all_s))[:k]
-                best[i] = (all_s[top], all_n[top])
-        for query_id, (s, n) in zip(query_ids, best):
-            if len(s):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query_id] * len(s), pa.int64()), pa.array(n.tolist(), pa.string()), pa.array(s, pa.float64())],
-                    names=["query_id", "id", "score"],
-                )
-
-    return index.select(F.col(id_col).cast("string").alias("id"), "embedding").mapInArrow(run, _HITS)
-
-
 def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "chunk_id") -> DataFrame:
-    """Exact cosine top k: (query_id, id, score, rank). A ``k`` column on the queries overrides ``k``.
+    """Exact cosine top k: (query_id, id, score, rank).
 
-    Queries are shipped to the index, never the other way round: they are cut
-    into slices of bounded size and each slice is one scan of the index with a
-    matrix product per batch. Scores are rounded to six digits, ties go to the
-    smaller id.
+    A ``k`` column on the queries overrides ``k``; a ``first_type`` column that
+    is not null restricts a question to chunks of that ``chunk_type``.
+
+    Questions stay distributed: index rows are dealt into cells of about
+    CELL_ROWS, every question goes to every cell, and a task answers them in blocks
+    of BLOCK_ROWS with a matrix product each. It sends on its own best k per
+    question only. Ranking is by the score up to rounding errors (12 digits); ties go to the smaller id.
     """
-    wanted = queries.where(F.col("embedding").isNotNull()).withColumn("_unit", V.unit(F.col("embedding")))
-    shape = wanted.agg(
-        F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"),
-        (F.max("k") if "k" in queries.columns else F.lit(k)).alias("k"),
-    ).first()
+    limit = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
+    wanted = F.col("first_type") if "first_type" in queries.columns else F.lit(None).cast("string")
+    kind = F.col("chunk_type") if "chunk_type" in index.columns else F.lit(None).cast("string")
     usable = index.where(F.col("embedding").isNotNull())
-    if not shape["n"]:
-        return index.sparkSession.createDataFrame([], _HITS + ", rank int")
-    per_slice = max(1, min(1024, _SLICE_BYTES // (8 * shape["dim"])))
-    slices = -(-shape["n"] // per_slice)
-    passes = []
-    # ranges of evenly sized slices; the sort key is the id, so a slice never exceeds its share
-    numbered = wanted.select("query_id", "_unit", (F.pmod(F.xxhash64("query_id"), F.lit(slices))).alias("slice"))
-    for s in range(slices):
-        rows = (numbered if slices == 1 else numbered.where(F.col("slice") == s)).select("query_id", "_unit").collect()
-        for at in range(0, len(rows), per_slice):
-            part = rows[at : at + per_slice]
-            passes.append(_scan(usable, id_col, [r[0] for r in part], np.array([r[1] for r in part]), shape["k"]))
-    hits = passes[0]
-    for more in passes[1:]:
-        hits = hits.unionByName(more)
-    return _keep_best(queries, hits, F.lit(k))
+    cells = max(1, -(-usable.count() // CELL_ROWS))
+    none = F.lit(None)
+    rows = usable.select(
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(cells)).cast("int").alias("cell"), F.lit(0).alias("side"), none.cast("bigint").alias("query_id"),
+        F.lit(0).alias("k"), F.col(id_col).cast("string").alias("id"), kind.alias("type"), V.unit(F.col("embedding")).alias("unit"),
+    )
+    asked = queries.where(F.col("embedding").isNotNull()).select(
+        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("side"), F.col("query_id").cast("bigint").alias("query_id"),
+        limit.alias("k"), none.cast("string").alias("id"), wanted.alias("type"), V.unit(F.col("embedding")).alias("unit"),
+    )
+    tiles = rows.unionByName(asked).where(_whole("unit")).repartition(cells, "cell").sortWithinPartitions("cell", "side", "query_id", "id")
+    return _keep_best(queries, tiles.mapInArrow(_tile_hits, _HITS), F.lit(k))
+
+
+def _whole(column: str) -> Column:
+    """No null component (a vector with one takes no part)."""
+    return F.size(column) == F.size(F.filter(column, lambda x: x.isNotNull()))
+
+
+def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best hits per question of each cell; a cell's index rows come first, its questions in blocks after."""
+    cell, held, parts = None, [], {}
+
+    def part(size: int, kind: str | None) -> tuple[list[str], np.ndarray]:
+        if (size, kind) not in parts:
+            own = [r for r in held if len(r[2]) == size and kind in (None, r[1])]
+            parts[size, kind] = [r[0] for r in own], np.array([r[2] for r in own]).reshape(-1, size)
+        return parts[size, kind]
+
+    def answer(asked: list[tuple]) -> pa.RecordBatch:
+        out = []
+        for size, kind in {(len(a[3]), a[2]) for a in asked}:
+            ids, matrix = part(size, kind)
+            block = [a for a in asked if len(a[3]) == size and a[2] == kind]
+            scores = np.round(np.array([a[3] for a in block]) @ matrix.T, RANK_DIGITS) + 0.0
+            for (query, k, _, _), own in zip(block, scores):
+                keep = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
+                # ids are in ascending order, so a stable sort gives ties to the smaller one
+                keep = keep[np.argsort(-own[keep], kind="stable")][:k]
+                out += [(query, ids[i], own[i]) for i in keep]
+        kinds = (pa.int64(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["query_id", "id", "score"])
+
+    for batch in batches:
+        asked: list[tuple] = []
+        for number, side, query, k, name, kind, unit in zip(*[c.to_pylist() for c in batch.columns]):
+            if number != cell:
+                if asked:
+                    yield answer(asked)
+                cell, held, parts, asked = number, [], {}, []
+            if side == 0:
+                held.append((name, kind, unit))
+                continue
+            asked.append((query, k, kind, unit))
+            if len(asked) == BLOCK_ROWS:
+                yield answer(asked)
+                asked = []
+        if asked:
+            yield answer(asked)
 
 
 def knn_in_scope(queries: DataFrame, index: DataFrame, scope: DataFrame, k: int = 10, id_col: str = "chunk_id") -> DataFrame:
@@ -113,7 +119,7 @@ def knn_in_scope(queries: DataFrame, index: DataFrame, scope: DataFrame, k: int
         .join(scope.select("query_id", "doc_id").distinct(), "doc_id")
         .join(queries.select("query_id", V.unit(F.col("embedding")).alias("_q")), "query_id")
     )
-    scored = pairs.select("query_id", "id", F.round(V.dot(F.col("_v"), F.col("_q")), SCORE_DIGITS).alias("score"))
+    scored = pairs.select("query_id", "id", F.round(V.dot(F.col("_v"), F.col("_q")), RANK_DIGITS).alias("score"))
     return _keep_best(queries, scored, F.lit(k))
 
 
@@ -189,14 +195,10 @@ def retrieval_plan(queries: DataFrame, index: DataFrame) -> DataFrame:
         classify.augment_query(F.col("query"), F.col("intent")).alias("query"),
         pick(1).cast("int").alias("k"), pick(2).cast("string").alias("first_type"), pick(3).cast("int").alias("fallback_k"),
     )
-    vectors = embed_queries(planned)
-    general = vectors.where(F.col("first_type").isNull())
-    hits = knn_topk(general, index)
-    for chunk_type in [row[2] for row in fixed.RETRIEVAL_PLAN if row[2]]:
-        typed = vectors.where(F.col("first_type") == chunk_type)
-        found = cut_lineage(knn_by_type(typed, index, chunk_type))  # a few rows per question, used twice
-        rest = typed.join(found, "query_id", "left_anti").drop("k").withColumnRenamed("fallback_k", "k")
-        hits = hits.unionByName(found).unionByName(knn_topk(rest, index))
+    vectors = cut_lineage(embed_queries(planned))
+    hits = cut_lineage(knn_topk(vectors, index))  # a few rows per question, used twice
+    rest = vectors.where(F.col("first_type").isNotNull()).join(hits, "query_id", "left_anti").drop("k", "first_type")
+    hits = hits.unionByName(knn_topk(rest.withColumnRenamed("fallback_k", "k"), index))
     return hits.join(planned.select("query_id", "intent"), "query_id")
 
 

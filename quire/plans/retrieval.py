@@ -166,29 +166,34 @@ VECTORS = """vindex as (
  vqueries as (select label::bigint as query_id, arg_min(embedding::double[], vec_id) as q from embeddings group by label),
  scored as (
  select q.query_id, v.id, v.doc_id, v.chunk_type,
-  round(list_dot_product(q.q, v.e)/sqrt(list_dot_product(q.q,q.q))/sqrt(list_dot_product(v.e,v.e)),6)+0.0::double as score
+  round(list_dot_product(q.q, v.e)/sqrt(list_dot_product(q.q,q.q))/sqrt(list_dot_product(v.e,v.e)),12)+0.0::double as score
  from vqueries q, vindex v)"""
 
 
-def _top(k, source="scored"):
-    return f"""select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from {source}
+def _top(k, source="scored", digits=6):
+    return f"""select query_id, id, round(score,{digits}) as score, row_number() over (partition by query_id order by score desc, id) as rank from {source}
      qualify row_number() over (partition by query_id order by score desc, id)<={k}"""
 
 
+def _shown(hits):
+    """Scores as the checks compare them; ranking used the full ones."""
+    return hits.withColumn("score", F.round("score", 6) + 0.0)
+
+
 @register("knn_topk", S.query(VECTORS, select=_top(10)))
 def knn_topk(spark, root):
-    return search.knn_topk(_vector_queries(spark, root), _vector_index(spark, root), 10)
+    return _shown(search.knn_topk(_vector_queries(spark, root), _vector_index(spark, root), 10))
 
 
 @register("knn_by_type", S.query(VECTORS, select=_top(3, "(select * from scored where chunk_type='type1')")))
 def knn_by_type(spark, root):
-    return search.knn_by_type(_vector_queries(spark, root), _vector_index(spark, root), "type1", 3)
+    return _shown(search.knn_by_type(_vector_queries(spark, root), _vector_index(spark, root), "type1", 3))
 
 
-@register("knn_by_type_oversampled", S.query(VECTORS, f"wide as ({_top(15)})", select=_top(
+@register("knn_by_type_oversampled", S.query(VECTORS, f"wide as ({_top(15, digits=12)})", select=_top(
     3, "(select w.query_id, w.id, w.score from wide w join vindex v using (id) where v.chunk_type='type1')")))
 def knn_by_type_oversampled(spark, root):
-    return search.knn_by_type(_vector_queries(spark, root), _vector_index(spark, root), "type1", 3, oversample=True)
+    return search.knn_by_type(_vector_queries(spark, root), _vector_index(spark, root), "type1", 3, oversample=True).transform(_shown)
 
 
 def _wanted_documents(spark, root):
@@ -203,21 +208,21 @@ WANTED = "wanted as (select label::bigint as doc_id from embeddings group by lab
 
 @register("knn_postfilter", S.query(VECTORS, WANTED, select=_top(10, "(select * from scored where doc_id in (select doc_id from wanted))")))
 def knn_postfilter(spark, root):
-    return search.knn_postfilter(_vector_queries(spark, root), _vector_index(spark, root), _wanted_documents(spark, root), 10)
+    return search.knn_postfilter(_vector_queries(spark, root), _vector_index(spark, root), _wanted_documents(spark, root), 10).transform(_shown)
 
 
-@register("knn_postfilter_oversampled", S.query(VECTORS, WANTED, f"wide as ({_top(50)})", select=_top(
+@register("knn_postfilter_oversampled", S.query(VECTORS, WANTED, f"wide as ({_top(50, digits=12)})", select=_top(
     10, "(select w.query_id, w.id, w.score from wide w join vindex v using (id) where v.doc_id in (select doc_id from wanted))")))
 def knn_postfilter_oversampled(spark, root):
     return search.knn_postfilter(
         _vector_queries(spark, root), _vector_index(spark, root), _wanted_documents(spark, root), 10, mode="oversample"
-    )
+    ).transform(_shown)
 
 
 @register("knn_in_scope", S.query(VECTORS, select=_top(5, "(select * from scored where doc_id=query_id)")))
 def knn_in_scope(spark, root):
     queries = _vector_queries(spark, root)
-    return search.knn_in_scope(queries, _vector_index(spark, root), queries.select("query_id", F.col("query_id").alias("doc_id")), 5)
+    return search.knn_in_scope(queries, _vector_index(spark, root), queries.select("query_id", F.col("query_id").alias("doc_id")), 5).transform(_shown)
 
 
 @register("doc_ids_filter", S.query(VECTORS, WANTED, select="""
@@ -298,7 +303,7 @@ _HITS = (*ALL_CHUNK_VIEWS, *CHUNK_WEIGHTS, S.QUESTIONS, _PLAN, _counts("qcounts"
          """dots as (
  select q.query_id, c.chunk_id as id, sum(q.weight*c.weight) as s from qw q join cw c using (bucket) group by all),
  pairs as (
- select p.query_id, p.intent, p.k, c.chunk_id as id, coalesce(round(d.s,6),0.0::double) as score
+ select p.query_id, p.intent, p.k, c.chunk_id as id, coalesce(round(d.s,12),0.0::double) as score
  from planned p join all_chunks c on (p.first_type is null or c.chunk_type=p.first_type)
  left join dots d on d.query_id=p.query_id and d.id=c.chunk_id),
  hits as (
@@ -311,9 +316,9 @@ def _plan_hits(spark, root):
     return search.retrieval_plan(derived.questions(spark, root), index), index
 
 
-@register("retrieval_plan", S.query(*_HITS, select="select query_id, intent, id, score, rank from hits", recursive=True))
+@register("retrieval_plan", S.query(*_HITS, select="select query_id, intent, id, round(score,6) as score, rank from hits", recursive=True))
 def retrieval_plan(spark, root):
-    return _plan_hits(spark, root)[0]
+    return _shown(_plan_hits(spark, root)[0])
 
 
 @register("format_context", S.query(*_HITS, select="""
@@ -336,12 +341,21 @@ def verify_sources(spark, root):
     return search.verify_sources(derived.answers(spark, root), hits, index)
 
 
-@register("search_fallback")
+_FALLBACK = (*ALL_CHUNK_VIEWS, *CHUNK_WEIGHTS, S.QUESTIONS, _counts("qcounts", "questions", "query_id", "query"), _unit_counts("qw", "qcounts", "query_id"),
+             """dots as (
+ select q.query_id, c.chunk_id as id, sum(q.weight*c.weight) as s from qw q join cw c using (bucket) group by all),
+ scope as (select doc_id from documents where lang <> 'en'),
+ found as (
+ select q.query_id, c.chunk_id as id, coalesce(round(d.s,12),0.0::double) as score
+ from questions q cross join (select * from all_chunks semi join scope using (doc_id)) c left join dots d on d.query_id=q.query_id and d.id=c.chunk_id)""")
+
+
+@register("search_fallback", S.query(*_FALLBACK, select="""
+ select query_id, id, round(score,6) as score, row_number() over (partition by query_id order by score desc, id) as rank, 1 as attempt from found
+ qualify row_number() over (partition by query_id order by score desc, id)<=5""", recursive=True))
 def search_fallback(spark, root):
-    docs = table(spark, root, "documents")
-    first_source = docs.agg(F.min("source").alias("source"))
-    scope = docs.join(first_source, "source", "left_semi").select("doc_id")
-    return search.search_fallback(derived.questions(spark, root), chunk_index(spark, root), 5, scope, mode="oversample")
+    scope = table(spark, root, "documents").where("lang <> 'en'").select("doc_id")
+    return _shown(search.search_fallback(derived.questions(spark, root), chunk_index(spark, root), 5, scope))
 
 
 @register("extract_json_object", S.query(S.ANSWERS, r"""j as (

@@ -23,6 +23,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "quire") ->
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.files.minPartitionNum", str(partitions))
         .getOrCreate()
     )
 
@@ -39,10 +40,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; a temporary one only on a single machine where none is set (tests)."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     current = spark.sparkContext.getCheckpointDir()
     if not named and not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="spark-")
     if not current:
         spark.sparkContext.setCheckpointDir(named)

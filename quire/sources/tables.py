@@ -6,16 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.session import prepare
 
-# Tables with large texts per row, where one input split means a lot of work.
-_WIDE = {"documents", "pages"}
-
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A base table; a wide one that arrives in fewer splits than there are cores is spread evenly."""
-    prepare(spark)
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
-    if name in _WIDE:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    return df
+    """A base table as it is stored; how many splits it is read in is a session setting."""
+    return prepare(spark).read.parquet(f"{root.rstrip('/')}/{name}.parquet")
