@@ -183,24 +183,32 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def k_hop_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
-    """(node_id, hops) within k steps of the seeds, ignoring direction; unknown seeds give nothing.
+def k_hop_each(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Per seed: (seed, node_id, hops) within k steps ignoring direction, and (seed, edge columns) among them.
 
-    Each round joins only the new frontier. Frontiers are checkpointed so that a
-    round never recomputes the ones before it.
+    Unknown seeds give nothing. Each round joins only the new frontier of
+    (seed, node); frontiers are checkpointed, so a round never repeats the ones before it.
     """
-    links = _both_ways(edges)
-    frontier = cut_lineage(nodes.select("node_id").join(seeds.select("node_id").distinct(), "node_id", "left_semi"))
+    links = _both_ways(edges).distinct()
+    start = nodes.select("node_id").join(seeds.select("node_id").distinct(), "node_id", "left_semi")
+    frontier = cut_lineage(start.select(F.col("node_id").alias("seed"), "node_id"))
     seen = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, k + 1):
-        reached = links.join(frontier.withColumnRenamed("node_id", "src"), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
-        frontier = cut_lineage(reached.join(seen, "node_id", "left_anti"))
+        reached = links.join(frontier.withColumnRenamed("node_id", "src"), "src").select("seed", F.col("dst").alias("node_id")).distinct()
+        frontier = cut_lineage(reached.join(seen, ["seed", "node_id"], "left_anti"))
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
-    return seen
+    ends = seen.select("seed", "node_id")
+    inside = edges.join(ends.withColumnRenamed("node_id", "src"), "src").join(ends.withColumnRenamed("node_id", "dst"), ["seed", "dst"], "left_semi")
+    return seen, inside.select("seed", *edges.columns)
+
+
+def k_hop_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
+    """(node_id, hops) within k steps of any of the seeds."""
+    return k_hop_each(nodes, edges, seeds, k)[0].groupBy("node_id").agg(F.min("hops").alias("hops"))
 
 
 def k_hop(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Nodes within k hops and the directed edges among them."""
+    """Nodes within k hops of any of the seeds and the directed edges among them."""
     members = k_hop_nodes(nodes, edges, seeds, k)
     return members, induced(edges, members)
 

@@ -121,9 +121,18 @@ def line_words(lines: DataFrame, min_confidence: float = 0.7) -> DataFrame:
     )
 
 
+def page_lengths(elements: DataFrame) -> DataFrame:
+    """(doc_id, page_number, n_chars): length of a page's stripped lines joined by newlines, without joining them."""
+    return elements.groupBy("doc_id", "page_number").agg((F.sum(F.length(T.strip(F.col("content")))) + F.count("*") - 1).alias("n_chars"))
+
+
 def route_pipeline(pages: DataFrame, documents: DataFrame | None = None, min_chars: int = 100) -> DataFrame:
-    """Scanned when a document's pages hold under 100 characters on average; no pages counts as none."""
-    routed = pages.groupBy("doc_id").agg(F.avg(F.length(T.strip(F.col("text")))).alias("avg_chars"))
+    """Scanned when a document's pages hold under 100 characters on average; no pages counts as none.
+
+    Pages come with their ``text`` or, from page_lengths, with ``n_chars``.
+    """
+    size = F.col("n_chars") if "n_chars" in pages.columns else F.length(T.strip(F.col("text")))
+    routed = pages.groupBy("doc_id").agg(F.avg(size).alias("avg_chars"))
     if documents is not None:
         routed = documents.select("doc_id").join(routed, "doc_id", "left")
     avg = F.coalesce("avg_chars", F.lit(0.0))

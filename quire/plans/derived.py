@@ -29,9 +29,9 @@ def body_elements(spark: SparkSession, root: str) -> DataFrame:
     text = lambda c: c.cast("string")
     content = (
         F.when(pos == 0, line)
-        .when(pos % 7 == 1, F.concat(text(F.floor(pos / 7).cast("int") + 1), F.lit(". "), F.substring(line, 1, 60)))
-        .when(pos % 13 == 6, F.concat(F.lit("α_{"), text(pos), F.lit("} = ∑ f(x) + x^2 ("), text(pos), F.lit(")")))
-        .when(pos % 17 == 9, F.concat(F.lit("Figure "), text(pos), F.lit(": "), F.substring(line, 1, 80)))
+        .when(pos % 7 == 1, F.concat(text(F.floor(pos / 7).cast("int") + 1), F.lit(". "), line))
+        .when(pos % 13 == 6, F.concat(line, F.lit(" α_{"), text(pos), F.lit("} = ∑ f(x) + x^2 ("), text(pos), F.lit(")")))
+        .when(pos % 17 == 9, F.concat(F.lit("Figure "), text(pos), F.lit(": "), line))
         .when((doc + pos) % 3 == 0, F.concat(line, F.lit(" ["), text((doc + pos) % 4 + 1), F.lit("]")))
         .when((doc + pos) % 5 == 1, F.concat(line, F.lit(" Okafor et al. (20"), text(10 + pos % 10), F.lit(")")))
         .when((doc + pos) % 7 == 2, F.concat(line, F.lit(" (Lindqvist, 2019) [1, 3]")))

@@ -11,9 +11,9 @@ BODY = """body as (
  select doc_id, pos, cast(floor(pos/8) as int)+1 as page_number, cast(pos%8 as int) as reading_order,
   case when pos=0 then 'title' when pos%7=1 then 'heading' when pos%13=6 then 'equation' when pos%17=9 then 'caption' else 'paragraph' end as element_type,
   case when pos=0 then line
-   when pos%7=1 then concat(cast(cast(floor(pos/7) as int)+1 as varchar),'. ',substr(line,1,60))
-   when pos%13=6 then concat('α_{',cast(pos as varchar),'} = ∑ f(x) + x^2 (',cast(pos as varchar),')')
-   when pos%17=9 then concat('Figure ',cast(pos as varchar),': ',substr(line,1,80))
+   when pos%7=1 then concat(cast(cast(floor(pos/7) as int)+1 as varchar),'. ',line)
+   when pos%13=6 then concat(line,' α_{',cast(pos as varchar),'} = ∑ f(x) + x^2 (',cast(pos as varchar),')')
+   when pos%17=9 then concat('Figure ',cast(pos as varchar),': ',line)
    when (doc_id+pos)%3=0 then concat(line,' [',cast((doc_id+pos)%4+1 as varchar),']')
    when (doc_id+pos)%5=1 then concat(line,' Okafor et al. (20',cast(10+pos%10 as varchar),')')
    when (doc_id+pos)%7=2 then concat(line,' (Lindqvist, 2019) [1, 3]')

@@ -112,17 +112,16 @@ def neighbors(spark, root):
     return G.neighbors(G.build_edges(*parts), seeds)
 
 
-_SEED = "(select max(node_id) from nodes where node_type='author')"
-_UND = "und as (select src, dst from edges union all select dst, src from edges)"
-
-
-@register("k_hop", S.query(*GRAPH, _UND, f"h0 as (select {_SEED} as n)", "h1 as (select n from h0 union select dst from und join h0 on src=n)",
-                           "h2 as (select n from h1 union select dst from und join h1 on src=n)", select="""
- select src, dst, edge_type from edges where src in (select n from h2) and dst in (select n from h2)"""))
+@register("k_hop", S.query(*GRAPH, "flat as materialized (select distinct src, dst, edge_type from edges)",
+                           "und as materialized (select src, dst from flat union select dst, src from flat)",
+                           "h0 as (select node_id as seed, node_id from nodes where node_type='author')",
+                           "h1 as materialized (select seed, node_id from h0 union select h.seed, u.dst from h0 h join und u on u.src=h.node_id)",
+                           "h2 as materialized (select seed, node_id from h1 union select h.seed, u.dst from h1 h join und u on u.src=h.node_id)", select="""
+ select a.seed, e.src, e.dst, e.edge_type from h2 a join flat e on e.src=a.node_id join h2 b on b.seed=a.seed and b.node_id=e.dst"""))
 def k_hop(spark, root):
     nodes, edges = stored_graph(spark, root)
-    seed = nodes.where("node_type = 'author'").agg(F.max("node_id").alias("node_id"))
-    return G.k_hop(nodes, edges, seed, 2)[1].select("src", "dst", "edge_type")
+    seeds = nodes.where("node_type = 'author'").select("node_id")
+    return G.k_hop_each(nodes, edges, seeds, 2)[1].select("seed", "src", "dst", "edge_type").distinct()
 
 
 _ENDS = """ends as (select doc_id::varchar as source, concat('element:',doc_id,':',max(pos)) as target from elements group by doc_id)"""
@@ -150,11 +149,11 @@ def shortest_path(spark, root):
   select source, target, source, [source] from ends
   union all
   select w.source, w.target, l.dst, list_append(w.path, l.dst) from walk w join links l on l.src=w.node
-  where len(w.path)<=4 and w.node<>w.target and not list_contains(w.path, l.dst))""", select="""
+  where len(w.path)<=5 and w.node<>w.target and not list_contains(w.path, l.dst))""", select="""
  select source, target, array_to_string(path,'>') as path from walk where node=target and source<>target""", recursive=True))
 def all_simple_paths(spark, root):
     _, edges = stored_graph(spark, root)
-    return G.all_simple_paths(edges, _ends(spark, root), 4).withColumn("path", F.array_join("path", ">"))
+    return G.all_simple_paths(edges, _ends(spark, root), 5).withColumn("path", F.array_join("path", ">"))
 
 
 _COMP = """near as (select distinct a.doc_id as d, b.doc_id as e from edges a join edges b on a.dst=b.dst and a.edge_type='authored_by' and b.edge_type='authored_by'),

@@ -68,14 +68,14 @@ def classify_element(spark, root):
 _OCR_WORDS = ["Abstract", "1 Introduction", "Conclusion and", "References", "12345", ""]
 
 
-@register("classify_ocr_line", S.query(*S.DOC_VIEWS, f"""l as (select doc_id, pos, concat({_OCR_WORDS!r}[pos%6+1], case when pos%6=4 then '' else substr(content,1,(pos%9*12)::int) end) as t from elements)""", select="""
+@register("classify_ocr_line", S.query(*S.DOC_VIEWS, f"""l as (select doc_id, pos, concat({_OCR_WORDS!r}[pos%6+1], case when pos%6=4 then '' else content end) as t from elements)""", select="""
  select doc_id, pos, case when length(t)<80 and contains(lower(t),'references') then 'references' when length(t)<80 and contains(lower(t),'abstract') then 'abstract'
   when length(t)<80 and regexp_matches(lower(t),'introduction|conclusion') then 'heading' when length(t)<6 and regexp_matches(t,'^[0-9]+$') then 'page_number'
   else 'paragraph' end as line_type from l"""))
 def classify_ocr_line(spark, root):
     pos = F.col("pos")
     word = F.element_at(F.array(*[F.lit(w) for w in _OCR_WORDS]), (pos % 6 + 1).cast("int"))
-    text = F.concat(word, F.when(pos % 6 == 4, "").otherwise(F.substr("content", F.lit(1), (pos % 9 * 12).cast("int"))))
+    text = F.concat(word, F.when(pos % 6 == 4, "").otherwise(F.col("content")))
     return derived.elements(spark, root).select("doc_id", "pos", classify.ocr_line_type(text).alias("line_type"))
 
 
@@ -112,11 +112,10 @@ def ocr_line_filter_and_word_boxes(spark, root):
     return words.select(*O.LINE, "word_num", "text", _rounded("confidence").alias("confidence"), _rounded("wx0").alias("wx0"), _rounded("wx1").alias("wx1"), "y0", "y1")
 
 
-@register("route_pipeline", S.query(*S.DOC_VIEWS, f"""pg as (select doc_id, page_number, {S.strip("string_agg(substr(content,1,60),chr(10) order by pos)")} as text from elements group by all)""", select="""
- select doc_id, round(avg(length(text))+1e-9::double,6) as avg_chars, avg(length(text))<100 as is_scanned, case when avg(length(text))<100 then 'scanned' else 'digital' end as pipeline_type from pg group by doc_id"""))
+@register("route_pipeline", S.query(*S.DOC_VIEWS, f"""pg as (select doc_id, page_number, sum(length({S.strip("content")}))+count(*)-1 as n from elements group by all)""", select="""
+ select doc_id, round(avg(n)+1e-9::double,6) as avg_chars, avg(n)<100 as is_scanned, case when avg(n)<100 then 'scanned' else 'digital' end as pipeline_type from pg group by doc_id"""))
 def route_pipeline(spark, root):
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.substring("content", 1, 60).alias("t"))))
-    pages = derived.elements(spark, root).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(ordered, lambda e: e["t"]), "\n").alias("text"))
+    pages = O.page_lengths(derived.elements(spark, root))
     return O.route_pipeline(pages, table(spark, root, "documents")).withColumn("avg_chars", _rounded("avg_chars"))
 
 
@@ -262,13 +261,13 @@ def doc_id_from_filename(spark, root):
     return rows.withColumn("derived_id", classify.doc_id_from_filename(F.col("filename")))
 
 
-@register("parse_metadata", S.query(f"""info as (select doc_id, concat(' ', source, ' ,, ', substr(text,1,30), ', ', lang, ' ') as author,
+@register("parse_metadata", S.query(f"""info as (select doc_id, concat(' ', source, ' ,, ', string_split(text,chr(10))[1], ', ', lang, ' ') as author,
    case when doc_id%5=0 then null when doc_id%5=1 then 'D:20' when doc_id%5=2 then 'D:x0y1zz' else concat('D:',1980+doc_id%45,'1105') end as created from documents)""", select=f"""
  select doc_id, array_to_string(list_filter(list_transform(string_split(author,','), lambda x: {S.strip('x')}), lambda x: length(x)>0),'|') as authors,
   case when length(created)>=6 then try_cast(substr(created,3,4) as int) end as publication_year from info"""))
 def parse_metadata(spark, root):
     doc = F.col("doc_id")
-    author = F.concat(F.lit(" "), "source", F.lit(" ,, "), F.substring("text", 1, 30), F.lit(", "), "lang", F.lit(" "))
+    author = F.concat(F.lit(" "), "source", F.lit(" ,, "), F.split("text", "\n")[0], F.lit(", "), "lang", F.lit(" "))
     created = F.when(doc % 5 == 0, F.lit(None)).when(doc % 5 == 1, "D:20").when(doc % 5 == 2, "D:x0y1zz").otherwise(
         F.concat(F.lit("D:"), (1980 + doc % 45).cast("string"), F.lit("1105")))
     return table(spark, root, "documents").select(
@@ -299,7 +298,7 @@ def _count_sql(name, source):
 
 
 @register("processing_stats", S.query(*CHUNK_VIEWS, S.META, S.WORDS, EQUATIONS, CITES, REFS, _LINES_SQL, S.CAPTIONED, S.FIGURES, S.TABLES, """ocr as (
-   select doc_id, page_number, coalesce(avg(c),1.0::double) as mc from (select distinct doc_id, page_number from words where page_number%3=0) p left join usable u using (doc_id, page_number) group by all)""",
+   select doc_id, page_number, coalesce(avg(c),1.0::double) as mc from (select distinct doc_id, page_number from words) p left join usable u using (doc_id, page_number) group by all)""",
  "op as (select doc_id, count(*) as n, avg(mc) as mc from ocr group by doc_id)", select=f"""
  select m.doc_id, m.page_count as total_pages, coalesce(op.n,0) as ocr_pages, m.page_count-coalesce(op.n,0) as digital_pages, round(coalesce(op.mc,1.0::double)+1e-9::double,6) as ocr_mean_confidence,
   coalesce(elements_detected,0) as elements_detected, coalesce(tables_found,0) as tables_found, coalesce(figures_found,0) as figures_found, coalesce(equations_found,0) as equations_found,
@@ -308,7 +307,7 @@ def _count_sql(name, source):
  left join {_count_sql('figures_found','figures')} using (doc_id) left join {_count_sql('equations_found','eqs')} using (doc_id) left join {_count_sql('citations_found','cites')} using (doc_id)
  left join {_count_sql('references_found','refs')} using (doc_id) left join {_count_sql('chunks_created','text_chunks')} using (doc_id)""", recursive=True))
 def processing_stats(spark, root):
-    ocr = O.page_confidence(derived.words(spark, root).where("page_number % 3 = 0"))
+    ocr = O.page_confidence(derived.words(spark, root))
     children = {
         "elements_detected": derived.elements(spark, root), "tables_found": derived.tables(spark, root), "figures_found": derived.figures(spark, root),
         "equations_found": all_equations(spark, root), "citations_found": all_citations(spark, root), "references_found": all_references(spark, root),
