@@ -100,13 +100,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHA
     few = rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1)
     distinct = save(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     width = F.size("embedding")
-    sizes = distinct.groupBy(width.alias("width")).agg(F.count("*").alias("n"))
-    shards = F.ceil(F.col("n") / shard).cast("int")
-    index = distinct.join(sizes, width == F.col("width"))
-    index = index.select("width", F.pmod(F.xxhash64("embedding"), shards).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), "ids", "embedding")
+    shards = max(1, -(-distinct.count() // shard))
+    index = distinct.select(width.alias("width"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
+                            F.lit(None).cast("long").alias("query_id"), "ids", "embedding")
     asked = queries.where(good[0]).where(good[1]).select(F.col("vec_id").cast("long").alias("query_id"), wide.alias("embedding")).distinct()
-    asked = asked.join(sizes, width == F.col("width")).withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
-    asked = asked.select("width", "shard", F.lit(1).alias("kind"), "query_id", F.array().cast("array<long>").alias("ids"), "embedding")
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = asked.select(width.alias("width"), "shard", F.lit(1).alias("kind"), "query_id", F.array().cast("array<long>").alias("ids"), "embedding")
 
     def answer(forest: Forest, owners: list, ids: list, asked: list) -> list:
         points = np.array(asked)
@@ -147,8 +146,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHA
                 [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"]
             )
 
-    parts = max(1, distinct.count() // shard + 1)
-    spread = index.unionByName(asked).repartition(parts, "width", "shard").sortWithinPartitions("width", "shard", "kind", "query_id")
+    spread = index.unionByName(asked).repartition(shards, "width", "shard").sortWithinPartitions("width", "shard", "kind", "query_id")
     found = spread.mapInArrow(tiles, "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
