@@ -83,13 +83,13 @@ def key_index(cite_key: Column) -> Column:
     return F.nullif(F.regexp_extract(cite_key, r"^\[([0-9]+)\]", 1), F.lit("")).try_cast("bigint")
 
 
-def key_indexes(cite_key: Column) -> Column:
-    """All numbers a numeric key names, with ranges written out and without repeats."""
+def key_ranges(cite_key: Column) -> Column:
+    """The (low, high) number ranges a numeric key names, without repeats; nothing is written out, however wide a range is."""
     parts = F.regexp_extract_all(cite_key, F.lit(r"([0-9]+(?:(?U:\s*)[–-](?U:\s*)[0-9]+)?)"), F.lit(1))
 
-    def expand(part: Column) -> Column:
-        ends = F.transform(F.regexp_extract_all(part, F.lit("([0-9]+)"), F.lit(1)), lambda d: d.try_cast("bigint"))
-        first, last = ends[0], F.element_at(ends, -1)
-        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array(first))
+    def ends(part: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(part, F.lit("([0-9]+)"), F.lit(1)), lambda d: d.try_cast("bigint"))
+        first, last = numbers[0], F.element_at(numbers, -1)
+        return F.struct(F.least(first, last).alias("low"), F.greatest(first, last).alias("high"))
 
-    return F.array_distinct(F.flatten(F.transform(parts, expand)))
+    return F.array_distinct(F.transform(parts, ends))

@@ -101,7 +101,8 @@ def link_citations(citations: DataFrame, references: DataFrame, expand: bool = F
 
     Within a document a repeated entry number counts as its last entry, and a
     surname as its first. Lists and ranges such as `[1, 3]` stay unlinked unless
-    ``expand`` writes them out as one row per number. Both lookups are reduced to
+    ``expand`` is set: then a key gives a row (with the number as ref_index) for
+    every entry of the document in its ranges, and one without a link for a range that has none. Both lookups are reduced to
     one row per key before the join, so a heavily cited entry only widens the
     citation side, which adaptive execution splits.
     """
@@ -111,8 +112,13 @@ def link_citations(citations: DataFrame, references: DataFrame, expand: bool = F
     by_surname = surnames(references).groupBy("doc_id", "surname").agg(F.min_by("reference_id", "pos").alias("by_surname"))
     keyed = citations.withColumn("ref_index", R.key_index(F.col("cite_key")))
     if expand:
-        numbers = F.when(F.col("kind") == "numeric", R.key_indexes(F.col("cite_key"))).otherwise(F.array(R.key_index(F.col("cite_key"))))
-        keyed = citations.select("*", F.explode_outer(numbers).alias("ref_index"))
+        numeric = F.col("kind") == "numeric"
+        ranges = citations.select("*", F.explode_outer(F.when(numeric, R.key_ranges(F.col("cite_key")))).alias("_range"))
+        entries = by_number.select(F.col("doc_id").alias("_doc"), F.col("ref_index").alias("_entry"))
+        inside = (F.col("doc_id") == F.col("_doc")) & F.col("_entry").between(F.col("_range.low"), F.col("_range.high"))
+        single = F.when(F.col("_range.low") == F.col("_range.high"), F.col("_range.low"))
+        number = F.coalesce("_entry", single, F.when(~numeric, R.key_index(F.col("cite_key"))))
+        keyed = ranges.join(entries, inside, "left").select(*citations.columns, number.alias("ref_index")).distinct()
     keyed = keyed.withColumn("surname", F.when(F.col("ref_index").isNull(), R.key_surname(F.col("cite_key"))))
     return (
         keyed.join(by_number, ["doc_id", "ref_index"], "left")

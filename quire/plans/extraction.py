@@ -134,11 +134,14 @@ def link_citations(spark, root):
     return linked_citations(spark, root).select("citation_id", "doc_id", "kind", "cite_key", "reference_id")
 
 
-@register("link_citations_expanded", S.query(*S.DOC_VIEWS, CITES, REFS, r"""nums as (
-  select citation_id, doc_id, kind, cite_key, unnest(case when kind='numeric' then
-    list_distinct(flatten(list_transform(regexp_extract_all(cite_key,'[0-9]+(?:\s*[–-]\s*[0-9]+)?'), lambda p:
-     range(regexp_extract(p,'^([0-9]+)',1)::bigint, regexp_extract(p,'([0-9]+)$',1)::bigint+1)))) else [null] end) as ref_index from cites)""",
- LINKS.split(",\n linked as")[0], select=r"""
+@register("link_citations_expanded", S.query(*S.DOC_VIEWS, CITES, REFS, r"""key_parts as (
+  select citation_id, doc_id, kind, cite_key, unnest(case when kind='numeric' then regexp_extract_all(cite_key,'[0-9]+(?:\s*[–-]\s*[0-9]+)?') else [null] end) as p from cites),
+ ranges as (
+  select *, least(regexp_extract(p,'^([0-9]+)',1)::bigint, regexp_extract(p,'([0-9]+)$',1)::bigint) as low,
+   greatest(regexp_extract(p,'^([0-9]+)',1)::bigint, regexp_extract(p,'([0-9]+)$',1)::bigint) as high from key_parts)""",
+ LINKS.split(",\n linked as")[0], """nums as (
+  select distinct r.citation_id, r.doc_id, r.cite_key, coalesce(n.ref_index, case when low=high then low end) as ref_index
+  from ranges r left join by_number n on n.doc_id=r.doc_id and n.ref_index between r.low and r.high)""", select=r"""
  select c.citation_id, c.ref_index, coalesce(n.rid,a.rid) as reference_id from nums c
  left join by_number n on n.doc_id=c.doc_id and n.ref_index=c.ref_index
  left join by_name a on a.doc_id=c.doc_id and c.ref_index is null and a.surname=lower(regexp_extract(regexp_replace(cite_key,'[(),]',' ','g'),'^\s*(\S+)',1))"""))

@@ -60,6 +60,18 @@ def write_processed_docs(spark, root):
     return _docs_view(spark.read.parquet(path))
 
 
+@register("rewrite_processed_docs", f"""
+ select id, filename, case when id::bigint%3=0 then 'failed' else status end as status, title, authors, page_count, n_elements, n_chars
+ from ({_DOCS}) where id::bigint not in (select doc_id from labels where toxic=1)""")
+def rewrite_processed_docs(spark, root):
+    """Write all, write a third again, delete the toxic ones: nothing else may change."""
+    docs = nested_documents(spark, root)
+    path = D.write_processed_docs(docs, scratch_path(spark, "docs-json"), "json")
+    D.write_processed_docs(docs.where("cast(id as bigint) % 3 = 0").withColumn("status", F.lit("failed")), path, "json")
+    D.delete_processed_docs(spark, path, table(spark, root, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")), "json")
+    return _docs_view(D.read_processed_docs(spark, path, multi_line=False))
+
+
 @register("explode_children", S.query(S.LINES, select="""
  select doc_id::varchar as doc_id, pos, concat(doc_id,':',pos) as id, case when pos=0 then 'title' when pos%7=1 then 'heading' else 'paragraph' end as element_type,
   line as content, pos//8+1 as page_number, pos%8 as reading_order from lines"""))
@@ -113,6 +125,16 @@ def delete_document(spark, root):
     return _index_view(ix.delete_documents(_vector_index(spark, root), toxic))
 
 
+@register("delete_stored", S.query(VECTORS.split(",\n vqueries")[0], select=f"""{_INDEX_ROWS}
+ (select id, doc_id, case when doc_id%2=0 then 'moved' else chunk_type end as chunk_type, e from vindex) where doc_id not in (select doc_id from labels where toxic=1)"""))
+def delete_stored(spark, root):
+    """Store an index, merge half of its documents again, delete the toxic ones, and read what is left."""
+    path = ix.persist_index(_vector_index(spark, root), scratch_path(spark, "index"), partitioned=True)
+    ix.upsert_stored(spark, path, _vector_index(spark, root).where("doc_id % 2 = 0").withColumn("chunk_type", F.lit("moved")))
+    ix.delete_stored(spark, path, table(spark, root, "labels").where("toxic = 1").select("doc_id"))
+    return _index_view(ix.load_index(spark, path))
+
+
 @register("chatml_dataset", """select conv_id, string_agg(concat('<|im_start|>',role,chr(10),text,'<|im_end|>'), chr(10) order by turn, role, text) as text from conversations group by conv_id""")
 def chatml_dataset(spark, root):
     return D.chatml_conversations(table(spark, root, "conversations"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
-from quire.sources.index import BUCKETS
+from quire.sources.index import change_bucketed, create_bucketed, stored_buckets
 
 IM_START, IM_END = "<|im_start|>", "<|im_end|>"
 
@@ -23,15 +23,22 @@ def read_processed_docs(spark: SparkSession, path: str, multi_line: bool = True)
     return rows.where("_corrupt_record is null and id is not null").drop("_corrupt_record")
 
 
-def write_processed_docs(docs: DataFrame, path: str, fmt: str = "json", buckets: int = BUCKETS) -> str:
-    """Documents below ``path`` by id bucket; writing some again replaces just their buckets."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-    docs.withColumn("id_bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "id_bucket"
-    ).format(fmt).save(path)
+def write_processed_docs(docs: DataFrame, path: str, fmt: str = "json") -> str:
+    """Documents below ``path`` by id bucket; writing some again replaces those documents and no others."""
+    spark = docs.sparkSession
+    if stored_buckets(spark, path) is None:
+        return create_bucketed(docs, path, fmt, "id", "id_bucket")
+    stored = spark.read.schema(schemas.DOCUMENT + ", id_bucket int").format(fmt).load(path)
+    change_bucketed(spark, path, fmt, "id", "id_bucket", stored, docs, docs)
     return path
 
 
+def delete_processed_docs(spark: SparkSession, path: str, ids: DataFrame, fmt: str = "json") -> None:
+    """Remove the document records with the given ids (column ``id``)."""
+    stored = spark.read.schema(schemas.DOCUMENT + ", id_bucket int").format(fmt).load(path)
+    change_bucketed(spark, path, fmt, "id", "id_bucket", stored, ids)
+
+
 def explode_children(docs: DataFrame, kind: str) -> DataFrame:
     """One row per entry of a document's child list, with the document id and list position."""
     if kind not in schemas.CHILDREN:

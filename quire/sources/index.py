@@ -1,23 +1,88 @@
-"""The chunk index as a table: saved, loaded, merged and pruned."""
+"""The chunk index as a table: saved, loaded, merged and pruned; and rewriting of bucketed tables in place."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from quire.session import scratch_path
 
+#: Rows of a bucket, as a target; the number of buckets is fixed when a table is first written.
+BUCKET_ROWS = 20_000
+_COUNT_FILE = "_buckets"
 
-def doc_bucket(buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
-def persist_index(chunks: DataFrame, path: str, partitioned: bool = False, buckets: int = BUCKETS) -> str:
+
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """How many buckets the table has; None if there is no bucketed table."""
+    store, target = _path(spark, f"{path}/{_COUNT_FILE}")
+    if not store.exists(target):
+        return None
+    stream = store.open(target)
+    try:
+        return stream.readInt()
+    finally:
+        stream.close()
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _write_buckets(rows: DataFrame, path: str, fmt: str, key: str, bucket: str, buckets: int) -> None:
+    """A bucket is written by one task, or by several if it is large, into few files."""
+    placed = rows.withColumn(bucket, bucket_of(key, buckets))
+    placed.repartition(F.col(bucket)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "maxRecordsPerFile", 50 * BUCKET_ROWS
+    ).partitionBy(bucket).format(fmt).save(path)
+
+
+def create_bucketed(rows: DataFrame, path: str, fmt: str, key: str, bucket: str) -> str:
+    """Write a new table; the number of buckets follows from its rows and is stored with it."""
+    spark = rows.sparkSession
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    _write_buckets(rows, path, fmt, key, bucket, buckets)
+    store, target = _path(spark, f"{path}/{_COUNT_FILE}")
+    stream = store.create(target, True)
+    stream.writeInt(buckets)
+    stream.close()
+    return path
+
+
+def change_bucketed(
+    spark: SparkSession, path: str, fmt: str, key: str, bucket: str, old: DataFrame, keys: DataFrame, new: DataFrame | None = None
+) -> None:
+    """Remove the rows with the given keys from the stored table and add new ones.
+
+    Only the buckets of those keys are read and rewritten; their other rows stay.
+    The rewritten buckets are staged first, because a table cannot be read and
+    overwritten at once. ``old`` is the table as read from ``path``.
+    """
+    buckets = stored_buckets(spark, path)
+    wanted = keys.select(F.col(key).cast("string").alias("_key")).distinct()
+    touched = [r[0] for r in wanted.select(F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")).distinct().collect()]  # at most the number of buckets
+    kept = old.where(F.col(bucket).isin(touched)).drop(bucket)
+    kept = kept.join(wanted, F.col(key).cast("string") == F.col("_key"), "left_anti")
+    rows = kept if new is None else kept.unionByName(new, allowMissingColumns=True)
+    staged = scratch_path(spark, "staged")
+    rows.write.parquet(staged)
+    staged = spark.read.schema(rows.schema).parquet(staged)
+    _write_buckets(staged, path, fmt, key, bucket, buckets)
+    full = {r[0] for r in staged.select(bucket_of(key, buckets)).distinct().collect()}
+    for number in set(touched) - full:
+        store, target = _path(spark, f"{path}/{bucket}={number}")
+        store.delete(target, True)
+
+
+def persist_index(chunks: DataFrame, path: str, partitioned: bool = False) -> str:
     """Save an index; with ``partitioned`` by document bucket, so deletes and merges rewrite few files."""
     if partitioned:
-        chunks.withColumn("doc_bucket", doc_bucket(buckets)).write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
-    else:
-        chunks.write.mode("overwrite").parquet(path)
+        return create_bucketed(chunks, path, "parquet", "doc_id", "doc_bucket")
+    chunks.write.mode("overwrite").parquet(path)
     return path
 
 
@@ -25,15 +90,18 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def upsert_chunks(index: DataFrame, new: DataFrame, append: bool = False, id_col: str = "chunk_id") -> DataFrame:
+def upsert_chunks(index: DataFrame, new: DataFrame, append: bool = False, id_col: str = "chunk_id", order_col: str | None = None) -> DataFrame:
     """Index with new chunks merged in by id; chunks without a vector are ignored.
 
-    With ``append`` nothing is replaced and duplicates may arise.
+    Of new chunks of one id the last by ``order_col`` is taken (without it, one that
+    depends on the rows alone). With ``append`` nothing is replaced and duplicates may arise.
     """
     usable = new.where(F.col("embedding").isNotNull())
     if append:
         return index.unionByName(usable, allowMissingColumns=True)
-    latest = usable.dropDuplicates([id_col])
+    order = [F.desc_nulls_last(order_col)] if order_col else []
+    last = Window.partitionBy(id_col).orderBy(*order, F.xxhash64(*[F.col(c) for c, kind in usable.dtypes if not kind.startswith("map")]))
+    latest = usable.withColumn("_place", F.row_number().over(last)).where(F.col("_place") == 1).drop("_place")
     return index.join(latest.select(id_col), id_col, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
@@ -42,9 +110,12 @@ def delete_documents(index: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return index.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def rewrite_buckets(spark: SparkSession, path: str, changed: DataFrame, buckets: int = BUCKETS) -> None:
-    """Replace by ``changed`` (complete rows) only the buckets it holds."""
-    changed.withColumn("doc_bucket", doc_bucket(buckets)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("doc_bucket").parquet(path)
+def delete_stored(spark: SparkSession, path: str, doc_ids: DataFrame) -> None:
+    """Remove the given documents from a partitioned index on disk."""
+    change_bucketed(spark, path, "parquet", "doc_id", "doc_bucket", load_index(spark, path), doc_ids)
+
 
+def upsert_stored(spark: SparkSession, path: str, new: DataFrame, order_col: str | None = None) -> None:
+    """Merge whole documents into a partitioned index on disk: their stored chunks go, the new ones with a vector stay."""
+    chunks = upsert_chunks(load_index(spark, path).limit(0).drop("doc_bucket"), new, order_col=order_col)
+    change_bucketed(spark, path, "parquet", "doc_id", "doc_bucket", load_index(spark, path), new, chunks)

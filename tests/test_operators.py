@@ -334,3 +334,55 @@ def test_documents_skip_unreadable(spark, tmp_path):
     docs = D.read_processed_docs(spark, str(tmp_path))
     assert [r.id for r in docs.collect()] == ["d1"]
     assert D.explode_children(docs, "elements").first().content == "x"
+
+
+def test_rewriting_one_document_keeps_the_others(spark, tmp_path):
+    from quire import schemas
+    from quire.sources import documents as D
+
+    docs = spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit("old").alias("status"))
+    shape = spark.createDataFrame([], schemas.DOCUMENT)
+    docs = shape.unionByName(docs, allowMissingColumns=True)
+    path = str(tmp_path / "docs")
+    D.write_processed_docs(docs, path)
+    D.write_processed_docs(docs.where("id = '7'").withColumn("status", F.lit("new")), path)
+    D.delete_processed_docs(spark, path, spark.createDataFrame([("9",), ("none",)], "id string"))
+    got = {r.id: r.status for r in D.read_processed_docs(spark, path, multi_line=False).collect()}
+    assert got == {str(i): "new" if i == 7 else "old" for i in range(50) if i != 9}
+    D.delete_processed_docs(spark, path, docs.select("id"))
+    assert D.read_processed_docs(spark, path, multi_line=False).count() == 0
+
+
+def test_upsert_takes_the_last_row_of_an_id(spark):
+    from quire.sources import index as ix
+
+    old = spark.createDataFrame([("a", 1, [1.0], 0)], "chunk_id string, doc_id long, embedding array<double>, seen int")
+    new = spark.createDataFrame([("a", 1, [2.0], 1), ("a", 1, [3.0], 2), ("b", 1, None, 3)], old.schema)
+    assert [tuple(r) for r in ix.upsert_chunks(old, new, order_col="seen").collect()] == [("a", 1, [3.0], 2)]
+
+
+def test_wide_and_reversed_ranges_link_existing_entries(spark):
+    from quire.operators import citations
+
+    cites = spark.createDataFrame([(1, "c1", "numeric", "[1-3000000000]"), (1, "c2", "numeric", "[3-2]"), (1, "c3", "numeric", "[9]")], "doc_id long, citation_id string, kind string, cite_key string")
+    refs = spark.createDataFrame([(1, f"r{i}", i, i, ["A. Name"]) for i in (1, 2, 3)], "doc_id long, reference_id string, ref_index long, pos int, authors array<string>")
+    rows = {(r.citation_id, r.ref_index, r.reference_id) for r in citations.link_citations(cites, refs, expand=True).collect()}
+    assert rows == {("c1", 1, "r1"), ("c1", 2, "r2"), ("c1", 3, "r3"), ("c2", 2, "r2"), ("c2", 3, "r3"), ("c3", 9, None)}
+
+
+def test_section_content_follows_deep_chains(spark):
+    from quire.operators import graph
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "contains") for i in range(40)] + [("n40", "n0", "contains")], "src string, dst string, edge_type string")
+    out = graph.section_content(edges, spark.createDataFrame([("n0",)], "node_id string"))
+    assert out.count() == 41 and out.agg(F.max("depth")).first()[0] == 41
+
+
+def test_search_ranks_on_the_full_score(spark):
+    from quire.operators import search
+
+    index = spark.createDataFrame([("a", [1.0, 0.0003]), ("b", [1.0, 0.0]), ("c", [None, 1.0]), ("d", [1.0])], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0])], "query_id long, embedding array<double>")
+    assert [r.id for r in search.knn_topk(asked, index, 1).collect()] == ["b"]
+    typed = index.withColumn("chunk_type", F.when(F.col("chunk_id") == "a", "x").otherwise("y"))
+    assert [r.id for r in search.knn_topk(asked.withColumn("first_type", F.lit("x")), typed, 5).collect()] == ["a"]
