@@ -30,15 +30,19 @@ class Memo(dict):
     """Distinct words with their token ids, kept by a Python worker from task to task.
 
     `encode` turns new words into (flat ids, ids per word). Beyond `limit` words
-    the memo starts again, so its memory is bounded; results never depend on it.
+    the memo starts again and keeps the words so far as an older generation,
+    from which words come back without encoding; so its memory is bounded by two
+    generations and a slice. Results never depend on it.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         super().__init__()
         self.encode, self.limit = encode, limit
-        self.reset()
+        self.older: dict = {}
+        self.older_flat = self.older_first = self.older_length = np.zeros(0, np.int64)
+        self._start()
 
-    def reset(self) -> None:
+    def _start(self) -> None:
         self.clear()
         self.fresh: list = []
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -46,6 +50,11 @@ class Memo(dict):
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def reset(self) -> None:
+        self.older = dict(self)
+        self.older_flat, self.older_first, self.older_length = self.flat[: self.used], self.first[: len(self)], self.length[: len(self)]
+        self._start()
+
     def __missing__(self, word):
         slot = len(self)
         self[word] = slot
@@ -69,7 +78,7 @@ class Memo(dict):
     def _learn(self) -> None:
         if not self.fresh:
             return
-        flat, length = self.encode(self.fresh)
+        flat, length = self._known_or_encoded(self.fresh)
         old, new = len(self) - len(self.fresh), len(self)
         if new > len(self.first):
             grow = max(new, 2 * len(self.first)) - len(self.first)
@@ -82,6 +91,22 @@ class Memo(dict):
         self.used += len(flat)
         self.fresh = []
 
+    def _known_or_encoded(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        slots = np.fromiter((self.older.get(w, -1) for w in words), np.int64, len(words)) if self.older else np.full(len(words), -1)
+        known = slots >= 0
+        if not known.any():
+            return self.encode(words)
+        length = np.empty(len(words), np.int64)
+        length[known] = self.older_length[slots[known]]
+        new, length[~known] = self.encode([w for w, k in zip(words, known.tolist()) if not k]) if not known.all() else (np.zeros(0, np.uint32), [])
+        flat = np.empty(int(length.sum()), np.uint32)
+        own = np.repeat(known, length)
+        size = length[known]
+        ends = np.cumsum(size)
+        flat[own] = self.older_flat[np.repeat(self.older_first[slots[known]] - (ends - size), size) + np.arange(int(ends[-1]))]
+        flat[~own] = new
+        return flat, length
+
 
 _MIX = np.random.default_rng(20_240_501)
 _LETTERS = _MIX.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
