@@ -161,7 +161,7 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.size = size
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
-        self.pre = Memo(self._encode_pre_tokens, 200_000)
+        self.pre = Memo(self._encode_pre_tokens, 100_000)
         self.memo = Memo(self._encode)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ class Memo(dict):
     generations and a slice. Results never depend on it.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 200_000):
         super().__init__()
         self.encode, self.limit = encode, limit
         self.older: dict = {}
