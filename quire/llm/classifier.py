@@ -19,8 +19,8 @@ from quire.llm.words import byte_words, mixed, slices
 #: Words and pairs of neighbouring words are hashed to this many indicators.
 SIZE = 1 << 18
 #: The model is fitted on at most so many labelled documents (those of smallest id hash) and indicators.
-SAMPLE_ROWS = 16_000
-SAMPLE_INDICATORS = 24_000_000
+SAMPLE_ROWS = 12_000
+SAMPLE_INDICATORS = 8_000_000
 THRESHOLD = 0.7
 HELD_OUT, FOLDS = 2, 4
 
@@ -125,12 +125,14 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray) -> Model:
         return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
 
     def fit(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        counts = [np.bincount(np.concatenate([rows[i] for i in own if good[i] == kind] or [np.zeros(0, np.int32)]), minlength=SIZE) + 1.0 for kind in (True, False)]
+        counts = [np.ones(SIZE), np.ones(SIZE)]
+        for i in own:  # a row's indicators are distinct
+            counts[0 if good[i] else 1][rows[i]] += 1.0
         ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
         values = []
         for i in own:
             v = ratio[rows[i]]
-            values.append(v / max(np.sqrt(v @ v), 1e-12))
+            values.append((v / max(np.sqrt(v @ v), 1e-12)).astype(np.float32))
         sign = np.where(good[own], 1.0, -1.0)
         # both classes weigh the same
         cost = np.where(good[own], len(own) / (2.0 * max(1, good[own].sum())), len(own) / (2.0 * max(1, (~good[own]).sum())))

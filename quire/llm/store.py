@@ -17,7 +17,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, and safe when executors are lost."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(prepare(df.sparkSession), name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
