@@ -295,7 +295,7 @@ def equation_chunks(equations: DataFrame) -> DataFrame:
     body = F.coalesce(F.nullif(F.col("latex"), F.lit("")), F.col("raw_text"))
     content = F.concat(F.lit("Equation: "), body, F.coalesce(_labelled("\nExplanation: ", "explanation"), F.lit("")))
     # an element may hold several equations; they keep their order of discovery
-    part = (F.col("source_order") * 1000000 + F.col("match_pos")).cast("int")
+    part = F.col("source_order") * F.lit(1 << 32) + F.col("match_pos")
     return _entity_chunks(equations, "equation", content, part)
 
 
@@ -308,7 +308,8 @@ KIND_ORDER = ["table", "figure", "equation"]
 
 
 def order_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks by document, page and height; ties keep tables, figures, equations, text, in list order."""
+    """Adds place: the position in its document by page and height; ties keep tables, figures, equations, text, in list order."""
     kind = F.when(F.col("chunk_type") == "table", 0).when(F.col("chunk_type") == "figure", 1).when(
         F.col("chunk_type") == "equation", 2).otherwise(3)
-    return chunks.orderBy("doc_id", "page_number", F.coalesce("y0", F.lit(0.0)), kind, "first_pos", "part")
+    order = Window.partitionBy("doc_id").orderBy("page_number", F.coalesce("y0", F.lit(0.0)), kind, "first_pos", "part")
+    return chunks.withColumn("place", F.row_number().over(order))

@@ -9,13 +9,14 @@ from quire import fixed
 from quire.functions import mathematics as M
 from quire.functions import text as T
 
+BOX = ["x0", "y0", "x1", "y1"]
 _FIELDS = ["source_order", "match_pos", "key", "raw_text", "latex", "is_inline", "variables"]
 
 
 def equation_candidates(elements: DataFrame) -> DataFrame:
     """Every place an equation may be read from, before duplicates are removed.
 
-    Blocks typed as equations; display and inline LaTeX in all other blocks; and
+    Each carries the box of its element. Blocks typed as equations; display and inline LaTeX in all other blocks; and
     short paragraphs that score as mathematics. One pass, nothing leaves the row.
     """
     content, etype = F.col("content"), F.col("element_type")
@@ -49,15 +50,16 @@ def equation_candidates(elements: DataFrame) -> DataFrame:
             ).otherwise(F.array().cast("array<struct<source_order:int,match_pos:int,key:string,raw_text:string,latex:string,is_inline:boolean,variables:array<string>>>")),
         ),
     )
-    return elements.select("doc_id", "pos", "page_number", F.explode_outer(found).alias("m")).where("m is not null").select(
-        "doc_id", "pos", "page_number", *[f"m.{c}" for c in _FIELDS]
+    box = [(F.col(c) if c in elements.columns else F.lit(None)).cast("double").alias(c) for c in BOX]
+    return elements.select("doc_id", "pos", "page_number", *box, F.explode_outer(found).alias("m")).where("m is not null").select(
+        "doc_id", "pos", "page_number", *BOX, *[f"m.{c}" for c in _FIELDS]
     )
 
 
 def dedupe_equations(candidates: DataFrame) -> DataFrame:
     """First occurrence of each equation text in a document; aggregates map-side, so repeats are cheap."""
     order = F.struct("pos", "source_order", "match_pos")
-    rest = F.struct("page_number", "raw_text", "latex", "is_inline", "variables")
+    rest = F.struct("page_number", *BOX, "raw_text", "latex", "is_inline", "variables")
     return (
         candidates.groupBy("doc_id", "key")
         .agg(F.min(order).alias("o"), F.min_by(rest, order).alias("e"))

@@ -222,18 +222,18 @@ EQUATIONS = f"""raw_eq as (
   select doc_id, pos, page_number, 0 as source_order, 0 as match_pos, {_UNLABELLED} as key, {_UNLABELLED} as raw_text,
    case when regexp_extract({_STR},'{_DISPLAY}',1)<>'' then {S.strip(f"regexp_extract({_STR},'{_DISPLAY}',1)")}
     when regexp_extract({_STR},'{_DISPLAY}',0)<>'' then {S.strip(f"regexp_extract({_STR},'{_DISPLAY}',0)")} else {_CLEAN.replace('{t}', _STR)} end as latex,
-   false as is_inline, {_STR} as var_source
+   false as is_inline, {_STR} as var_source, x0, y0, x1, y1
   from elements where element_type='equation' and length({_STR})>0
   union all
-  select doc_id, pos, page_number, 1, i, {S.strip(_BODY)}, {S.strip('m')}, {S.strip(_BODY)}, false, {_BODY}
+  select doc_id, pos, page_number, 1, i, {S.strip(_BODY)}, {S.strip('m')}, {S.strip(_BODY)}, false, {_BODY}, x0, y0, x1, y1
   from (select *, unnest(range(len(ms))) as i, unnest(ms) as m from (
-   select doc_id, pos, page_number, regexp_extract_all(content,'{_DISPLAY}') as ms from elements where element_type<>'equation'))
+   select doc_id, pos, page_number, x0, y0, x1, y1, regexp_extract_all(content,'{_DISPLAY}') as ms from elements where element_type<>'equation'))
   union all
-  select doc_id, pos, page_number, 2, i, {S.strip('b')}, concat('$',b,'$'), {S.strip('b')}, true, b
+  select doc_id, pos, page_number, 2, i, {S.strip('b')}, concat('$',b,'$'), {S.strip('b')}, true, b, x0, y0, x1, y1
   from (select *, unnest(range(len(bs))) as i, unnest(bs) as b from (
-   select doc_id, pos, page_number, regexp_extract_all(regexp_replace(content,'\\$\\$+',chr(2),'g'),'\\$([^\\n$]+)\\$',1) as bs from elements where element_type<>'equation'))
+   select doc_id, pos, page_number, x0, y0, x1, y1, regexp_extract_all(regexp_replace(content,'\\$\\$+',chr(2),'g'),'\\$([^\\n$]+)\\$',1) as bs from elements where element_type<>'equation'))
   union all
-  select doc_id, pos, page_number, 3, 0, {_STR}, {_STR}, {_CLEAN.replace('{t}', _STR)}, length({_STR})<80, {_STR}
+  select doc_id, pos, page_number, 3, 0, {_STR}, {_STR}, {_CLEAN.replace('{t}', _STR)}, length({_STR})<80, {_STR}, x0, y0, x1, y1
   from elements where element_type='paragraph' and length(content)<250 and {_score_sql('content')}>=0.55::double),
  eqs as (
   select concat(doc_id,':eq:',pos,':',source_order,':',match_pos) as equation_id, *, {_vars_sql('var_source')} as vs
@@ -245,13 +245,13 @@ def all_equations(spark, root):
 
 
 @register("extract_equations", S.query(*S.DOC_VIEWS, EQUATIONS, select="""
- select doc_id, pos, page_number, source_order, match_pos, key, raw_text, latex, is_inline from raw_eq"""))
+ select doc_id, pos, page_number, x0, y0, x1, y1, source_order, match_pos, key, raw_text, latex, is_inline from raw_eq"""))
 def extract_equations(spark, root):
     return equations.equation_candidates(derived.elements(spark, root)).drop("variables")
 
 
 @register("dedupe_equations", S.query(*S.DOC_VIEWS, EQUATIONS, select=f"""
- select equation_id, doc_id, pos, source_order, match_pos, page_number, raw_text, latex, is_inline,
+ select equation_id, doc_id, pos, source_order, match_pos, page_number, x0, y0, x1, y1, raw_text, latex, is_inline,
   array_to_string({_ordered_distinct('vs')},'|') as variables from eqs"""))
 def dedupe_equations(spark, root):
     return all_equations(spark, root).withColumn("variables", F.array_join("variables", "|"))

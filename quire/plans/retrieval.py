@@ -31,7 +31,7 @@ SPECIAL = f"""table_chunks as (
  from figures f left join paired_figures p using (figure_id)),
  equation_chunks as (
  select concat('equation:',equation_id) as chunk_id, doc_id, 'equation' as chunk_type, concat('Equation: ',coalesce(nullif(latex,''),raw_text)) as content,
-  page_number, null::varchar as section, 0 as section_level, null::double as x0, null::double as y0, null::double as x1, null::double as y1, equation_id as element_ids, pos as first_pos, (source_order*1000000+match_pos)::int as part
+  page_number, null::varchar as section, 0 as section_level, x0, y0, x1, y1, equation_id as element_ids, pos as first_pos, source_order*4294967296+match_pos as part
  from eqs),
  special as (select *, {S.tokens('content')} as token_count from (select * from table_chunks union all select * from figure_chunks union all select * from equation_chunks)),
  all_chunks as (select * from text_chunks union all by name select * from special)"""
@@ -71,10 +71,10 @@ def union_entities(spark, root):
 
 
 @register("order_chunks", S.query(*ALL_CHUNK_VIEWS, select="""
- select chunk_id, doc_id, chunk_type, page_number from all_chunks order by doc_id, page_number, coalesce(y0,0),
-  case chunk_type when 'table' then 0 when 'figure' then 1 when 'equation' then 2 else 3 end, first_pos, part""", recursive=True))
+ select chunk_id, doc_id, chunk_type, page_number, row_number() over (partition by doc_id order by page_number, coalesce(y0,0),
+  case chunk_type when 'table' then 0 when 'figure' then 1 when 'equation' then 2 else 3 end, first_pos, part) as place from all_chunks""", recursive=True))
 def order_chunks(spark, root):
-    return chunking.order_chunks(all_chunks(spark, root)).select("chunk_id", "doc_id", "chunk_type", "page_number")
+    return chunking.order_chunks(all_chunks(spark, root)).select("chunk_id", "doc_id", "chunk_type", "page_number", "place")
 
 
 # --- vectors -------------------------------------------------------------------------------------
@@ -133,14 +133,14 @@ CHUNK_WEIGHTS = (_counts("ccounts", "all_chunks", "chunk_id", "content"), _weigh
 
 
 @register("embed_chunks", S.query(*ALL_CHUNK_VIEWS, *CHUNK_WEIGHTS, select="""
- select chunk_id, count(*) as n_buckets, round(sum(weight),5) as total from cw group by chunk_id""", recursive=True))
+ select c.chunk_id, count(w.bucket) as n_buckets, coalesce(round(sum(w.weight),5),0.0::double) as total
+ from all_chunks c left join cw w using (chunk_id) group by c.chunk_id""", recursive=True))
 def embed_chunks(spark, root):
     e = F.col("embedding")
     return (
         chunk_index(spark, root)
         .select("chunk_id", F.size(F.filter(e, lambda x: x > 0)).alias("n_buckets"),
                 F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
-        .where("n_buckets > 0")
     )
 
 

@@ -33,9 +33,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Spark 4.1 lets a union claim the partitioning of its inputs. With nested
     unions of repartitioned inputs this skipped a needed shuffle and lost
-    matches in window queries (seen on 4.1.2), so it is switched off.
+    matches in window queries (seen on 4.1.2), so it is switched off. Rows hold
+    whole texts, so batches for Python workers are bounded in bytes.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
