@@ -31,7 +31,8 @@ class Model(NamedTuple):
     ratio: np.ndarray  # class log-count ratio of each indicator
     weight: np.ndarray  # its weight in the linear model, times the ratio
     bias: float
-    slope: float  # score = sigmoid(slope * margin + offset)
+    slope: float  # score = sigmoid(slope * margin + length * log(1 + indicators) + offset)
+    length: float
     offset: float
 
 
@@ -100,21 +101,24 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], si
     return weight, bias
 
 
-def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of the sigmoid of largest likelihood, by Newton steps on smoothed labels."""
+def calibrate(margin: np.ndarray, size: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
+    """Slope (positive), length term and offset of the sigmoid of largest likelihood, by Newton steps on smoothed labels.
+
+    A short text says little, so its margin is small whatever it is; the
+    length term (times the logarithm of its indicators) lets it score as short texts do.
+    """
     good, bad = int(label.sum()), int(len(label) - label.sum())
     target = np.where(label == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    slope, offset = 1.0, 0.0
+    x = np.stack([margin, np.log1p(size), np.ones(len(margin))], axis=1)
+    ridge = np.diag([1e-3, 1e-3, 1e-6])
+    weight = np.array([1.0, 0.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        gradient = np.array([((target - p) * margin).sum() - 1e-3 * slope, (target - p).sum()])
-        hessian = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum()]])
-        step = np.linalg.solve(hessian, gradient)
-        slope, offset = slope + step[0], offset + step[1]
+        p = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (target - p) - ridge @ weight)
+        weight = weight + step
         if np.abs(step).max() < 1e-8:
             break
-    return (slope, offset) if slope > 0 and np.isfinite(slope + offset) else (1.0, 0.0)
+    return tuple(weight.tolist()) if weight[0] > 0 and np.isfinite(weight).all() else (1.0, 0.0, 0.0)
 
 
 def fit_rows(rows: list[np.ndarray], label: np.ndarray) -> Model:
@@ -122,7 +126,7 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray) -> Model:
     good = label == 1
     if not len(label) or good.all() or not good.any():
         share = (good.sum() + 1) / (len(label) + 2)
-        return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 1.0, 0.0, float(np.log(share / (1 - share))))
 
     def fit(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         counts = [np.ones(SIZE), np.ones(SIZE)]
@@ -146,9 +150,10 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray) -> Model:
     if good[~apart].any() and not good[~apart].all() and apart.any():
         ratio, weight, bias = fit(every[~apart])
         margin = margins(rows, ratio, weight * ratio, bias)[apart]
-    slope, offset = calibrate(margin, label[apart]) if margin is not None else (1.0, 0.0)
+    size = np.array([len(r) for r in rows])
+    sigmoid = calibrate(margin, size[apart], label[apart]) if margin is not None else (1.0, 0.0, 0.0)
     ratio, weight, bias = fit(every)
-    return Model(ratio, weight * ratio, bias, slope, offset)
+    return Model(ratio, weight * ratio, bias, *sigmoid)
 
 
 def margins(rows: list[np.ndarray], ratio: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
@@ -169,13 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int
                 found.append(np.asarray(own, np.int32))
                 held += len(own)
         m = fit_rows(found, np.array(labels, np.int64))
-        yield pd.DataFrame({"ratio": [m.ratio], "weight": [m.weight], "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
+        yield pd.DataFrame({"ratio": [m.ratio], "weight": [m.weight], "bias": [m.bias], "slope": [m.slope], "length": [m.length], "offset": [m.offset]})
 
     one = sample.repartition(1).sortWithinPartitions("order").select("label", "indicators")
-    got = save(one.mapInPandas(fit, "ratio array<double>, weight array<double>, bias double, slope double, offset double"), "model").first()
+    got = save(one.mapInPandas(fit, "ratio array<double>, weight array<double>, bias double, slope double, length double, offset double"), "model").first()
     if got is None:
         return fit_rows([], np.zeros(0, np.int64))
-    return Model(np.array(got["ratio"]), np.array(got["weight"]), got["bias"], got["slope"], got["offset"])
+    return Model(np.array(got["ratio"]), np.array(got["weight"]), got["bias"], got["slope"], got["length"], got["offset"])
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -193,8 +198,9 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 zero = np.zeros(1)
                 above = np.diff(np.concatenate([zero, np.cumsum(m.weight[flat])])[edges])
                 below = np.diff(np.concatenate([zero, np.cumsum(square[flat])])[edges])
-                margin = above / np.maximum(np.sqrt(np.maximum(below, 0)), 1e-12) * (np.diff(edges) > 0) + m.bias
-                score = 1 / (1 + np.exp(-np.clip(m.slope * margin + m.offset, -500, 500)))
+                size = np.diff(edges)
+                margin = above / np.maximum(np.sqrt(np.maximum(below, 0)), 1e-12) * (size > 0) + m.bias
+                score = 1 / (1 + np.exp(-np.clip(m.slope * margin + m.length * np.log1p(size) + m.offset, -500, 500)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*kept, name])
 
     return columns.mapInArrow(rows, StructType(list(columns.schema)).add(name, "double"))
