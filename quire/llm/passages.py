@@ -19,7 +19,7 @@ MIN_WORDS = 20
 
 _NEWLINE = 10
 _MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in ".!?"]] = True
+_MARKS[[ord(c) for c in ".!?,;:"]] = True
 _CAPITALS = np.zeros(256, bool)
 _CAPITALS[ord("A") : ord("Z") + 1] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -34,7 +34,7 @@ class Units(NamedTuple):
 
 
 def cut_units(texts: list[bytes]) -> Units:
-    """The units of some texts: lines, cut further behind a sentence end and before a capital.
+    """The units of some texts: lines, cut further behind the end of a sentence or clause and before a capital.
 
     A digest covers the words in lower case, so white space and case do not
     matter. White space before the first word belongs to no unit.

@@ -77,7 +77,7 @@ def brute_units(t):
     for m in WORD.finditer(t):
         a = m.start()
         gap = t[last.end() : a] if last else None
-        new = last is None or "\n" in gap or t[last.end() - 1] in ".!?" or "A" <= t[a] <= "Z" or ("À" <= t[a] <= "Þ" and t[a] != "×")
+        new = last is None or "\n" in gap or t[last.end() - 1] in ".!?,;:" or "A" <= t[a] <= "Z" or ("À" <= t[a] <= "Þ" and t[a] != "×")
         w = m.group().translate({c: c + 32 for c in range(65, 91)})
         if new:
             if found:
