@@ -198,7 +198,7 @@ def brute_preference(rows):
     mark = lambda t: t.replace("<|", "< |")
     own = {}
     for i, n, role, t in rows:
-        own.setdefault(i, []).append((n is not None, n or 0, role or "user", t or ""))
+        own.setdefault(i, []).append((n is not None, n or 0, "user" if role is None else role, t or ""))
     out = {}
     for i, found in own.items():
         c = [(r, t) for _, _, r, t in sorted(found)]
