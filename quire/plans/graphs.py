@@ -47,21 +47,25 @@ GRAPH = (*S.ENTITY_VIEWS, S.META, PAIRS, EQUATIONS, CITES, REFS, LINKS, NODES, E
 
 
 def _parts(spark, root):
-    return (
-        derived.metadata(spark, root), derived.elements(spark, root), captioned_tables(spark, root), captioned_figures(spark, root),
-        all_equations(spark, root), all_references(spark, root), linked_citations(spark, root),
-    )
+    """Metadata, elements and entities, each extracted once and kept as a table; the graph builders read them many times."""
+    parts = {
+        "metadata": derived.metadata(spark, root), "elements": derived.elements(spark, root), "tables": captioned_tables(spark, root),
+        "figures": captioned_figures(spark, root), "equations": all_equations(spark, root), "references": all_references(spark, root),
+        "citations": linked_citations(spark, root),
+    }
+    return [_kept(spark, frame, name) for name, frame in parts.items()]
+
+
+def _kept(spark, frame, name):
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def stored_graph(spark, root):
     """Nodes and edges as tables in the shared folder, so that repeated traversals read and never rebuild them."""
     parts = _parts(spark, root)
-    paths = []
-    for name, frame in [("nodes", G.build_nodes(*parts)), ("edges", G.build_edges(*parts))]:
-        path = scratch_path(spark, name)
-        frame.write.parquet(path)
-        paths.append(path)
-    return spark.read.parquet(paths[0]), spark.read.parquet(paths[1])
+    return _kept(spark, G.build_nodes(*parts), "nodes"), _kept(spark, G.build_edges(*parts), "edges")
 
 
 @register("build_nodes", S.query(*GRAPH, select="select * from nodes"))
