@@ -11,6 +11,7 @@ from quire import fixed
 from quire.functions import text as T
 from quire.operators import scans
 from quire.operators.sections import assign_sections
+from quire.session import prepared
 
 BOX = ["x0", "y0", "x1", "y1"]
 CHUNK_COLUMNS = [
@@ -102,6 +103,7 @@ def _entry_states(blocks: DataFrame, max_tokens: int) -> DataFrame:
     )
 
 
+@prepared
 def pack_chunks(
     elements: DataFrame,
     max_tokens: int = fixed.MAX_TOKENS,
@@ -299,6 +301,7 @@ def equation_chunks(equations: DataFrame) -> DataFrame:
     return _entity_chunks(equations, "equation", content, part)
 
 
+@prepared
 def union_entities(*kinds: DataFrame) -> DataFrame:
     """All chunk kinds in one relation."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
@@ -307,6 +310,7 @@ def union_entities(*kinds: DataFrame) -> DataFrame:
 KIND_ORDER = ["table", "figure", "equation"]
 
 
+@prepared
 def order_chunks(chunks: DataFrame) -> DataFrame:
     """Adds place: the position in its document by page and height; ties keep tables, figures, equations, text, in list order."""
     kind = F.when(F.col("chunk_type") == "table", 0).when(F.col("chunk_type") == "figure", 1).when(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed
 from quire.operators import scans
-from quire.session import cut_lineage
+from quire.session import cut_lineage, prepared
 
 NODE_FIELDS = ["node_id", "doc_id", "node_type", "label", "page_number", "content", "raw_text", "caption", "context"]
 SEARCH_FIELDS = ["label", "content", "raw_text", "caption", "context"]
@@ -43,6 +43,7 @@ def _nodes(df: DataFrame, kind: str | Column, node_id: Column, label: Column, **
     )
 
 
+@prepared
 def build_nodes(
     metadata: DataFrame, elements: DataFrame, tables: DataFrame, figures: DataFrame,
     equations: DataFrame, references: DataFrame, citations: DataFrame,
@@ -87,6 +88,7 @@ def reading_order_edges(elements: DataFrame) -> DataFrame:
     )
 
 
+@prepared
 def page_edges(metadata: DataFrame, elements: DataFrame, entities: dict[str, DataFrame]) -> DataFrame:
     """APPEARS_IN edges of elements and entities to the pages their document really has."""
     steps = {"table": 5, "figure": 6, "equation": 7, "citation": 8}
@@ -102,6 +104,7 @@ def page_edges(metadata: DataFrame, elements: DataFrame, entities: dict[str, Dat
     )
 
 
+@prepared
 def build_edges(
     metadata: DataFrame, elements: DataFrame, tables: DataFrame, figures: DataFrame,
     equations: DataFrame, references: DataFrame, citations: DataFrame,
@@ -161,6 +164,7 @@ def search_nodes(
     return found if node_type is None else found.where(F.col("node_type") == node_type)
 
 
+@prepared
 def neighbors(edges: DataFrame, seeds: DataFrame, edge_type: str | None = None, direction: str = "both") -> DataFrame:
     """Distinct (node_id, neighbor) for the seed nodes; direction is out, in or both."""
     kept = edges if edge_type is None else edges.where(F.col("edge_type") == edge_type)
@@ -183,6 +187,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+@prepared
 def k_hop_each(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame]:
     """Per seed: (seed, node_id, hops) within k steps ignoring direction, and (seed, edge columns) among them.
 
@@ -213,6 +218,7 @@ def k_hop(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 2) -> t
     return members, induced(edges, members)
 
 
+@prepared
 def shortest_paths(
     nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
@@ -248,6 +254,7 @@ def shortest_paths(
     return found.select("source", "target", "path", (F.size("path") - 1).alias("hops"))
 
 
+@prepared
 def all_simple_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 5) -> DataFrame:
     """All directed paths without repeated nodes of at most ``max_length`` edges.
 
@@ -274,6 +281,7 @@ def all_simple_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 5) ->
     return reduce(DataFrame.unionByName, results)
 
 
+@prepared
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component) of the undirected graph; the component is its smallest node id.
 
@@ -322,6 +330,7 @@ def citation_network(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return extract_subgraph(nodes, edges, ["citation", "reference"], ["references"])
 
 
+@prepared
 def page_subgraph(edges: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per page (column page_id): the page with the nodes that appear in it, and the edges among them."""
     wanted = pages.select("page_id").distinct()
@@ -337,6 +346,7 @@ def page_subgraph(edges: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFr
     return members, inside
 
 
+@prepared
 def section_content(edges: DataFrame, sections: DataFrame) -> DataFrame:
     """(section_id, node_id, depth) of everything a section contains, directly or further down.
 
@@ -360,6 +370,7 @@ def section_content(edges: DataFrame, sections: DataFrame) -> DataFrame:
         depth += 1
 
 
+@prepared
 def graph_stats(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Summary as (metric, name, value): totals, counts per type, density, number of components."""
 

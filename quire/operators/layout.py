@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions import classify, geometry
 from quire.functions import text as T
+from quire.session import prepared
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -19,6 +20,7 @@ def classify_regions(elements: DataFrame) -> DataFrame:
     )
 
 
+@prepared
 def merge_regions(regions: DataFrame, gap: float = fixed.REGION_GAP) -> DataFrame:
     """Join vertically adjacent regions of one type on a page.
 
@@ -125,6 +127,7 @@ def _nearest(things: DataFrame, captions: DataFrame, thing_id: str) -> DataFrame
     )
 
 
+@prepared
 def pair_figure_captions(figures: DataFrame, elements: DataFrame, limit: float = 0.15) -> DataFrame:
     """Figures with the caption nearest to them on their page, closer than ``limit`` of its height."""
     content = F.col("content")
@@ -143,6 +146,7 @@ def pair_figure_captions(figures: DataFrame, elements: DataFrame, limit: float =
     )
 
 
+@prepared
 def pair_table_captions(tables: DataFrame, elements: DataFrame) -> DataFrame:
     """Tables with the nearest caption of their page, at any distance; their own when there is none.
 
@@ -192,6 +196,7 @@ def filter_figures(images: DataFrame, min_width: int = 100, min_height: int = 10
     )
 
 
+@prepared
 def crop_table_regions(captions: DataFrame, rules: DataFrame, reach: float = 350.0) -> DataFrame:
     """Page area of each captioned table from the horizontal rules near its caption.
 

@@ -14,7 +14,7 @@ from quire.functions import classify
 from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.operators.embedding import embed_queries
-from quire.session import cut_lineage
+from quire.session import cut_lineage, prepared
 
 RANK_DIGITS = 12  # scores closer than that differ by rounding errors only
 CELL_ROWS = 20_000
@@ -36,6 +36,7 @@ def _keep_best(queries: DataFrame, hits: DataFrame, k: Column) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+@prepared
 def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "chunk_id") -> DataFrame:
     """Exact cosine top k: (query_id, id, score, rank).
 
@@ -154,6 +155,7 @@ def knn_postfilter(
     return _keep_best(queries, wide.join(allowed, "id", "left_semi"), F.lit(k))
 
 
+@prepared
 def search_fallback(
     queries: DataFrame, index: DataFrame, k: int = 5, doc_ids: DataFrame | None = None, mode: str = "exact"
 ) -> DataFrame:
@@ -177,6 +179,7 @@ def search_fallback(
     return hits.unionByName(run(overview).withColumn("attempt", F.lit(3)))
 
 
+@prepared
 def retrieval_plan(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Hits per question by intent: how many, of which chunk type first, and what when there is none.
 

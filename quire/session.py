@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def prepared(operator: Callable) -> Callable:
+    """An operator that unions its inputs: makes sure of prepare() for the session of its first DataFrame."""
+
+    @wraps(operator)
+    def run(*args, **named):
+        for value in (*args, *named.values()):
+            if isinstance(value, DataFrame):
+                prepare(value.sparkSession)
+                break
+        return operator(*args, **named)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only on a single machine where none is set (tests)."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
