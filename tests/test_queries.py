@@ -1,4 +1,4 @@
-"""Every registered query of the document operators against its SQL, at the smallest size."""
+"""Registered queries of the document operators against their SQL at the smallest size; tests/check.py runs all of them."""
 
 from __future__ import annotations
 
@@ -8,9 +8,13 @@ from quire.plans.all_queries import CHECKS, QUERIES
 from tests.check import compare, duck
 
 ROOT = "/root/testdata/sf0.001"
-# Graph walks and whole-graph views take over ten seconds each even here; tests/check.py runs them.
-SLOW = {"k_hop", "all_simple_paths", "shortest_path", "section_content", "connected_components", "graph_stats", "build_nodes", "build_edges", "citation_network", "search_nodes",
-        "context_by_page", "neighbors", "single_edge_mode", "extract_subgraph", "page_subgraph", "document_graph_stats", "corpus_analytics", "processing_stats", "document_summary"}
+QUICK = """
+    text_to_elements html_to_elements estimate_tokens split_sentences assign_sections pack_chunks tree_parent tree_depth read_processed_docs write_processed_docs
+    rewrite_processed_docs explode_children persist_index upsert_chunks delete_document delete_stored chatml_dataset extract_citations reference_year parse_authors
+    link_citations link_citations_expanded extract_equations dedupe_equations math_score equation_variables clean_to_latex is_equation_like classify_region merge_regions
+    pair_figure_captions figure_type table_caption_filter page_elements figure_filter normalize_bbox classify_ocr_line route_pipeline parse_metadata knn_topk knn_by_type
+    knn_postfilter knn_in_scope doc_ids_filter hash_ngrams classify_intent clean_query reading_order_edges list_documents user_documents chat_history
+""".split()
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +22,7 @@ def con():
     return duck(ROOT)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", QUICK)
 def test_query_matches_its_sql(spark, con, name):
     diff, _ = compare(spark, con, ROOT, QUERIES[name], CHECKS.get(name))
     assert not diff, diff
