@@ -37,14 +37,19 @@ class Model(NamedTuple):
 
 
 def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct indicators of each text: all numbers, and the edges between texts."""
+    """Sorted distinct indicators of each text: all numbers, and the edges between texts.
+
+    Words, pairs of neighbours, and one indicator for any pair of equal words,
+    which a vocabulary of pairs cannot hold for words that training never saw.
+    """
     _, first, _, hashes = byte_words(texts, fold=False)
     base = np.cumsum([0] + [len(t) + 1 for t in texts])
     text = np.searchsorted(base, first, side="right") - 1
     pair = np.flatnonzero(text[1:] == text[:-1])
     pairs = mixed(hashes[pair] * _FACTOR + hashes[pair + 1])
-    every = np.concatenate([hashes, pairs]) & np.uint64(SIZE - 1)
-    keys = np.unique(np.concatenate([text, text[pair]]) * SIZE + every.astype(np.int64))
+    twice = pair[hashes[pair] == hashes[pair + 1]]
+    every = np.concatenate([hashes, pairs, np.full(len(twice), _FACTOR)]) & np.uint64(SIZE - 1)
+    keys = np.unique(np.concatenate([text, text[pair], text[twice]]) * SIZE + every.astype(np.int64))
     return (keys % SIZE).astype(np.int32), np.searchsorted(keys, np.arange(len(texts) + 1) * SIZE)
 
 
