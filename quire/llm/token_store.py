@@ -24,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,8 +142,9 @@ class Shard:
 
 
 # The tokenizer's pre-tokens, in lower case, within words of ASCII
-# and the composed letters U+00C0 to U+00FF (which normalisation leaves as they are).
-PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# and the composed letters U+00C0 to U+00FF (which normalisation leaves as they are);
+# words are given in lines.
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9ß-öø-ÿ\n]+")
 LATIN = re.compile("[\x00-\x7fÀ-ÿ]*")
 WORD_END = "</w>"
 
@@ -161,34 +163,51 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.size = size
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
-        self.pre = Memo(self._encode_pre_tokens, 100_000)
-        self.memo = Memo(self._encode)
+        self.pre = Memo(self._encode_pre_tokens, 200_000)
+        self.memo = Memo(self._encode, 300_000)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum())), length
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
 
     def _encode_pre_tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
-        flat = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
         last = np.flatnonzero(self.ends[flat])
         if len(last) != len(words) or last[-1] != len(flat) - 1:
             return self._each(words)
         return flat, np.diff(last, prepend=-1)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words = [w.decode() for w in words]
-        plain = np.array([LATIN.fullmatch(w) is not None and "<|" not in w for w in words])
-        own, own_count = self.pre.ids([PRE_TOKENS.findall(w.lower()) for w, p in zip(words, plain.tolist()) if p])
-        other, other_count = self._each([w for w, p in zip(words, plain.tolist()) if not p])
-        count = np.empty(len(words), np.int64)
-        count[plain], count[~plain] = own_count, other_count
+        lines = b"\n".join(words).decode()
+        split = lines.split("\n")
+        if LATIN.fullmatch(lines) and "<|" not in lines:
+            plain, own, other = np.ones(len(split), bool), split, []
+        else:
+            plain = np.array([LATIN.fullmatch(w) is not None and "<|" not in w for w in split])
+            own, other = ([w for w, p in zip(split, plain.tolist()) if p == kind] for kind in (True, False))
+        count = np.empty(len(split), np.int64)
+        flat, count[plain] = self._latin(own)
+        if not other:
+            return flat, count
+        rest, count[~plain] = self._each(other)
         ids = np.empty(int(count.sum()), np.uint32)
         at = np.repeat(plain, count)
-        ids[at], ids[~at] = own, other
+        ids[at], ids[~at] = flat, rest
         return ids, count
 
+    def _latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        found = PRE_TOKENS.findall("\n".join([*words, ""]).lower())
+        ends = np.flatnonzero([t == "\n" for t in found])
+        tokens = [t for t in found if t != "\n"]
+        ids, length = self.pre.lookup(tokens, len(tokens))
+        edges = np.concatenate([[0], np.cumsum(length)])[ends - np.arange(len(ends))]
+        return ids, np.diff(edges, prepend=0)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self.memo.ids([t.split() for t in texts])
 

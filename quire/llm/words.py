@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,19 +62,23 @@ class Memo(dict):
         self.fresh.append(word)
         return slot
 
-    def ids(self, words: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of several texts given as lists of words: all ids, and the number of each text."""
+        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        flat, length = self.lookup(chain.from_iterable(texts), int(counts.sum()))
+        edges = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
+        return flat, np.diff(edges)
+
+    def lookup(self, words: Iterable, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of n words: all ids, and the number of each word."""
         if len(self) > self.limit:
             self.reset()
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        slots = np.fromiter((s for text in words for s in map(self.__getitem__, text)), np.int64, int(counts.sum()))
+        slots = np.fromiter(map(self.__getitem__, words), np.int64, n)
         self._learn()
         length = self.length[slots]
         ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(self.first[slots] - (ends - length), length) + np.arange(total)
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[places], np.diff(edges)
+        places = np.repeat(self.first[slots] - (ends - length), length) + np.arange(int(ends[-1]) if n else 0)
+        return self.flat[places], length
 
     def _learn(self) -> None:
         if not self.fresh:
