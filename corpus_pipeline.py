@@ -27,7 +27,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages (6); a document that consists of them alone goes."""
-    cleaned = passages.remove_repeats(docs)
+    cleaned = passages.remove_passages(docs)
     return cleaned.where((cleaned["removed_words"] == 0) | cleaned["text"].rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +23,7 @@ _MARKS[[ord(c) for c in ".!?,;:"]] = True
 _CAPITALS = np.zeros(256, bool)
 _CAPITALS[ord("A") : ord("Z") + 1] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 
 
 class Units(NamedTuple):
@@ -61,6 +62,56 @@ def cut_units(texts: list[bytes]) -> Units:
     return Units(text, first[at] - base[text], end - base[text], count, digest)
 
 
+class Chains(NamedTuple):
+    units: Units  # the digest of a unit is that of the chain which starts with it
+    stop: np.ndarray  # number of the unit behind the chain; 0 where the text ends before it has enough words
+
+
+def cut_chains(texts: list[bytes], min_words: int = MIN_WORDS) -> Chains:
+    """Units of lines and clauses, and for each the chain of it and its next units up to `min_words` words or more.
+
+    A digest covers the words of the whole chain in lower case and their order,
+    not the units they fall into. Capitals cut nothing, so text in capitals has units as other text has.
+    """
+    data, first, last, hashes = byte_words(texts)
+    base = np.cumsum([0] + [len(t) + 1 for t in texts])
+    none = np.zeros(0, np.int64)
+    if not len(first):
+        return Chains(Units(none, none, none, none, none), none)
+    lines = np.cumsum(data == _NEWLINE)
+    new = np.append(True, (lines[first[1:]] > lines[last[:-1] - 1]) | _MARKS[data[last[:-1] - 1]])
+    at = np.flatnonzero(new)
+    behind = np.append(at[1:], len(first))
+    text = np.searchsorted(base, first[at], side="right") - 1
+    follows = np.append(text[1:] == text[:-1], False)
+    end = np.where(follows, np.append(first[at][1:], 0), base[text + 1] - 1)
+    final = np.searchsorted(behind, at + min_words)
+    whole = final < len(at)
+    whole[whole] = text[final[whole]] == text[whole]
+    powers, inverse = np.full(len(first), _FACTOR), np.full(len(first), _INVERSE)
+    powers[0] = inverse[0] = 1
+    sums = np.append(np.uint64(0), np.cumsum(hashes * np.cumprod(powers)))
+    size = behind[np.where(whole, final, 0)] - at
+    digest = mixed((sums[at + np.where(whole, size, 0)] - sums[at]) * np.cumprod(inverse)[at] + size.astype(np.uint64)).view(np.int64)
+    return Chains(Units(text, first[at] - base[text], end - base[text], behind - at, digest), np.where(whole, final + 1, 0))
+
+
+def chain_digests(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, row (a hash of id and text), digests of all chains in order; a text's last units start none."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "text", 2 << 20):
+                units, stop = cut_chains(texts, min_words)
+                own = stop > 0
+                edges = np.searchsorted(units.text[own], np.arange(len(texts) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(units.digest[own], pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "row", "digests"])
+
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    return columns.mapInArrow(rows, "doc_id long, row long, digests array<long>")
+
+
 def unit_digests(docs: DataFrame) -> DataFrame:
     """doc_id, row (a hash of id and text), digests of all units in order."""
 
@@ -77,7 +128,9 @@ def unit_digests(docs: DataFrame) -> DataFrame:
 
 
 def repeated_units(units: DataFrame) -> DataFrame:
-    """row, places: the units of each text that occurred before, ranked by (doc_id, row, place).
+    """row, places: the units (or chains) of each text that occurred before, ranked by (doc_id, row, place).
+
+    `places` has their place and, if the earliest one is in the same text, its place as `back` (else null).
 
     Digests are counted with their earliest place before and after one shuffle,
     so a passage of millions of documents is one small row per task; only
@@ -88,7 +141,8 @@ def repeated_units(units: DataFrame) -> DataFrame:
     groups = places.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = groups.select("digest", F.col("first.row").alias("_row"), F.col("first.place").alias("_place"))
     again = places.select("row", "place", "digest").join(groups, "digest").where("row <> _row or place <> _place")
-    return again.groupBy("row").agg(F.collect_set("place").alias("places"))
+    back = F.when(F.col("row") == F.col("_row"), F.col("_place")).alias("back")
+    return again.groupBy("row").agg(F.collect_set(F.struct("place", back)).alias("places"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -101,7 +155,53 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     count as one document, null ids rank last, null texts stay null, extra columns
     are passed on (columns named like the added ones are replaced).
     """
-    repeats = save(repeated_units(save(unit_digests(docs), "units")), "repeats").withColumnRenamed("row", "_row")
+
+    def repeated(texts: list[bytes], places: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
+        units = cut_units(texts)
+        edges = np.searchsorted(units.text, np.arange(len(texts) + 1))
+        held = np.zeros(len(units.text), bool)
+        for i in range(len(texts)):
+            found = places[i].as_py()
+            if found:
+                held[edges[i] + np.array([x["place"] for x in found])] = True
+        # runs of repeated units within a text, and their words
+        head = held & ~np.append(False, held[:-1] & (units.text[1:] == units.text[:-1])) if len(held) else held
+        run = np.cumsum(head) - 1
+        words = np.bincount(run[held], weights=units.words[held]) if held.any() else np.zeros(0)
+        gone = held.copy()
+        gone[held] = words[run[held]] >= min_words
+        return units, edges, gone
+
+    return _without(docs, repeated_units(save(unit_digests(docs), "units")), repeated)
+
+
+def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """As remove_repeats(), but only words that follow one another as they did before count as repeated.
+
+    Chains of at least `min_words` words are compared, not single units: of equal
+    chains everywhere the one with the smallest (doc_id, place) stays, and units go
+    that lie under another one. In one text, a chain that overlaps its
+    earliest copy stays. Texts of fewer words stay.
+    """
+
+    def repeated(texts: list[bytes], places: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
+        units, stop = cut_chains(texts, min_words)
+        edges = np.searchsorted(units.text, np.arange(len(texts) + 1))
+        change = np.zeros(len(units.text) + 1, np.int64)
+        for i in range(len(texts)):
+            for x in places[i].as_py() or ():
+                a = edges[i] + x["place"]
+                if x["back"] is None or stop[edges[i] + x["back"]] <= a:
+                    change[a] += 1
+                    change[stop[a]] -= 1
+        return units, edges, np.cumsum(change)[:-1] > 0
+
+    return _without(docs, repeated_units(save(chain_digests(docs, min_words), "chains")), repeated)
+
+
+def _without(docs: DataFrame, found: DataFrame, repeated: Callable[[list[bytes], pa.Array], tuple[Units, np.ndarray, np.ndarray]]) -> DataFrame:
+    """The rows of `docs` without the units that `repeated` names: all units of some texts, the first of each text, which ones go."""
+    repeats = save(found, "repeats").withColumnRenamed("row", "_row")
     kept = [c for c in docs.columns if c not in ("removed", "n_units", "removed_words")]
     joined = docs.select(*kept, F.xxhash64(F.col("doc_id"), F.col("text")).alias("_key")).join(repeats, F.col("_key") == F.col("_row"), "left")
     schema = docs.select(*kept).schema
@@ -111,20 +211,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part, texts in slices(batch, "text", 2 << 20):
-                units = cut_units(texts)
-                edges = np.searchsorted(units.text, np.arange(len(texts) + 1))
-                places = part.column(len(kept))
-                held = np.zeros(len(units.text), bool)
-                for i in range(len(texts)):
-                    found = places[i].as_py()
-                    if found:
-                        held[edges[i] + np.array(found)] = True
-                # runs of repeated units within a text, and their words
-                head = held & ~np.append(False, held[:-1] & (units.text[1:] == units.text[:-1])) if len(held) else held
-                run = np.cumsum(head) - 1
-                words = np.bincount(run[held], weights=units.words[held]) if held.any() else np.zeros(0)
-                gone = held.copy()
-                gone[held] = words[run[held]] >= min_words
+                units, edges, gone = repeated(texts, part.column(len(kept)))
                 out, spans, lost = [], [], []
                 nulls = part.column(text_at).is_null().to_pylist()
                 for i, text in enumerate(texts):

@@ -42,7 +42,7 @@ def op5_token_store(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op6_repeated_passages(spark: SparkSession, root: str) -> DataFrame:
-    found = passages.remove_repeats(read_table(spark, root, "documents").select("doc_id", "text"))
+    found = passages.remove_passages(read_table(spark, root, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_units", "removed_words", "removed", "text")
 
 

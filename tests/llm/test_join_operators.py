@@ -136,6 +136,24 @@ def test_passage_inside_lines_stays_once(spark):
     assert held == [0] or sorted(held) == [0]
 
 
+def test_only_words_in_their_earlier_order_are_repeats(spark):
+    dice = random.Random(21)
+    capitals = [" ".join(f"W{dice.randrange(400)}" for _ in range(9000)), " ".join(f"W{dice.randrange(400)}" for _ in range(300))]
+    clauses = ["however,", "for example,", "in fact,", "of course,", "as a rule,", "by the way,", "at last,", "on average,"]
+    mixed = [" ".join(dice.choice(clauses) for _ in range(60)) for _ in range(2)]
+    passage = " ".join(f"Word{k}" + "," * (k % 6 == 5) for k in range(72))
+    rows = list(enumerate([*capitals, *mixed, "one, two " + passage + " three", "four " + passage.upper() + " five, six"]))
+    rows += [(9, "So it goes on here,\n" * 20), (None, "short, " * 19)]
+    out = {r.doc_id: r for r in passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].text == rows[i][1] and out[i].removed_words == 0 for i in (0, 1, 2, 4))
+    runs = [tuple(w[i : i + 20]) for w in map(WORD.findall, mixed) for i in range(len(w) - 19)]
+    assert len(set(runs)) == len(runs) and out[3].removed_words == 0
+    assert "WORD30" not in out[5].text and out[5].text.startswith("four ") and out[5].text.endswith("six")
+    # the earliest 20 words of a text that repeats itself stay whole
+    assert out[9].text == "So it goes on here,\n" * 4 and out[None].removed_words == 0
+
+
+
 def brute_nearest(rows, k, step):
     good = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
