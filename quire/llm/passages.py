@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from quire.llm.store import save
+from quire.llm.store import discard, save
 from quire.llm.words import byte_words, mixed, slices
 
 #: A repeated run of units goes if it has this many words; shorter phrases stay.
 MIN_WORDS = 20
+#: A word whose hash is the least among so many neighbours on both sides ends a unit.
+REACH = 3
 
 _NEWLINE = 10
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".!?,;:"]] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?"]] = True
 _CAPITALS = np.zeros(256, bool)
 _CAPITALS[ord("A") : ord("Z") + 1] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +72,10 @@ class Chains(NamedTuple):
 
 
 def cut_chains(texts: list[bytes], min_words: int = MIN_WORDS) -> Chains:
-    """Units of lines and clauses, and for each the chain of it and its next units up to `min_words` words or more.
+    """Units of lines and sentences, and for each the chain of it and its next units up to `min_words` words or more.
+
+    A unit also ends behind a word whose hash is the least within REACH words,
+    which falls alike in every copy of a passage, in any script and without marks.
 
     A digest covers the words of the whole chain in lower case and their order,
     not the units they fall into. Capitals cut nothing, so text in capitals has units as other text has.
@@ -79,10 +86,16 @@ def cut_chains(texts: list[bytes], min_words: int = MIN_WORDS) -> Chains:
     if not len(first):
         return Chains(Units(none, none, none, none, none), none)
     lines = np.cumsum(data == _NEWLINE)
-    new = np.append(True, (lines[first[1:]] > lines[last[:-1] - 1]) | _MARKS[data[last[:-1] - 1]])
+    owner = np.searchsorted(base, first, side="right") - 1
+    least = np.ones(len(first), bool)
+    for k in range(1, REACH + 1):
+        apart = owner[k:] != owner[:-k]  # words of another text in the slice must not count
+        least[:-k] &= apart | (hashes[:-k] < hashes[k:])
+        least[k:] &= apart | (hashes[k:] <= hashes[:-k])
+    new = np.append(True, (lines[first[1:]] > lines[last[:-1] - 1]) | _ENDS[data[last[:-1] - 1]] | least[:-1])
     at = np.flatnonzero(new)
     behind = np.append(at[1:], len(first))
-    text = np.searchsorted(base, first[at], side="right") - 1
+    text = owner[at]
     follows = np.append(text[1:] == text[:-1], False)
     end = np.where(follows, np.append(first[at][1:], 0), base[text + 1] - 1)
     final = np.searchsorted(behind, at + min_words)
@@ -132,14 +145,18 @@ def repeated_units(units: DataFrame) -> DataFrame:
 
     `places` has their place and, if the earliest one is in the same text, its place as `back` (else null).
 
-    Digests are counted with their earliest place before and after one shuffle,
-    so a passage of millions of documents is one small row per task; only
-    digests that repeat are joined back to their places.
+    Digests alone are counted first, so a passage of millions of documents is one
+    small row per task there; only places of digests that repeat are stored, ranked
+    and joined. Both lists of digests are stored first, so that the joins can split a
+    common digest. The table of digests is removed.
     """
     rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row", "place")
     places = units.select("doc_id", "row", F.posexplode("digests").alias("place", "digest"))
-    groups = places.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("digest", F.col("first.row").alias("_row"), F.col("first.place").alias("_place"))
+    twice = save(places.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
+    places = save(places.join(twice, "digest").select("doc_id", "row", "place", "digest"), "places")
+    discard(units)
+    groups = places.groupBy("digest").agg(F.min(rank).alias("first"))
+    groups = save(groups.select("digest", F.col("first.row").alias("_row"), F.col("first.place").alias("_place")), "groups")
     again = places.select("row", "place", "digest").join(groups, "digest").where("row <> _row or place <> _place")
     back = F.when(F.col("row") == F.col("_row"), F.col("_place")).alias("back")
     return again.groupBy("row").agg(F.collect_set(F.struct("place", back)).alias("places"))

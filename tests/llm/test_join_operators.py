@@ -154,6 +154,32 @@ def test_only_words_in_their_earlier_order_are_repeats(spark):
 
 
 
+def test_repeats_without_marks_or_capitals_go(spark):
+    dice = random.Random(22)
+    rows, inner = [], {}
+    for k in range(40):
+        letter = "wщ水é"[k % 4]
+        mark = ["", "\u060c", "", ""][k % 4]
+        passage = [f"{letter}{k}n{dice.randrange(5000)}" + mark * (j % 7 == 6) for j in range(60)]
+        changed = passage[:57] + ["changed"] + passage[58:] if k % 3 == 0 else passage
+        for part, words in enumerate((passage, changed)):
+            rows.append((100 * part + k, f"{text(dice, 23, 10**6)} {' '.join(words)} {text(dice, 31, 10**6)}"))
+        inner[k] = " ".join(passage[20:40])
+    out = {r.doc_id: r for r in passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, middle in inner.items():
+        assert out[k].removed_words == 0 and middle in out[k].text
+        assert middle not in out[100 + k].text and 20 <= out[100 + k].removed_words <= 60
+    # cuts never depend on the texts that happen to be in the same slice
+    texts = [t.encode() for _, t in rows]
+    together, stop = passages.cut_chains(texts)
+    for k, t in enumerate(texts):
+        own, whole = passages.cut_chains([t])
+        mine = together.text == k
+        assert own.start.tolist() == together.start[mine].tolist()
+        assert own.digest[whole > 0].tolist() == together.digest[mine & (stop > 0)].tolist()
+
+
+
 def brute_nearest(rows, k, step):
     good = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
