@@ -19,6 +19,11 @@ WINDOW = 8
 #: A rule compares one share in 0..1 with its cutoff; higher is worse.
 RULES = ("symbols", "dup_lines", "repeats", "same_words", "capitals", "marks")
 STEPS = 200
+#: Cutoffs are tightened together in so many rungs, from 1 to these shares, which no data set.
+RUNGS = 200
+STRICTEST = {"symbols": 0.01, "dup_lines": 0.05, "repeats": 0.05, "same_words": 0.3, "capitals": 0.03, "marks": 0.01}
+#: The cutoff of each rule in steps on rung 0 (rejects nothing) to RUNGS.
+LADDER = {rule: [math.floor(STEPS * STRICTEST[rule] ** (j / RUNGS) + 1e-9) for j in range(RUNGS + 1)] for rule in RULES}
 #: At most this share of good documents may fall to all rules together, in every stratum,
 FALSE_REJECTION = 0.05
 #: except with this probability over the labelled rows.
@@ -129,12 +134,43 @@ def choose_cutoffs(good: DataFrame, false_rejection: float = FALSE_REJECTION, ri
     return chosen.groupBy("stratum", "n_good").pivot("rule", list(RULES)).agg(F.first("cut"))
 
 
+def choose_rungs(good: DataFrame, false_rejection: float = FALSE_REJECTION, risk: float = RISK) -> DataFrame:
+    """(stratum, n_good, rung, the cutoff of each rule in steps) from the good holdout rows with a step per rule.
+
+    In every stratum the rungs of LADDER are tested in order from the loosest on. A
+    rung counts the good rows that any of its cutoffs rejects; it passes if an exact
+    binomial test shows a rejection rate below the whole `false_rejection`. The last
+    that passes is taken: a fixed order needs no correction along the rungs or over the
+    rules; across strata `risk` is divided by their number (Bonferroni). A null
+    rung means that even no rejected row would not pass: all rules are off there.
+    """
+    totals = save(good.groupBy("stratum").agg(F.count("*").alias("n_good")), "strata")
+    level = risk / max(1, totals.count())
+
+    def bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(most=[allowed_failures(int(n), false_rejection, level) for n in frame["n_good"]])
+
+    limits = totals.mapInPandas(bounds, "stratum string, n_good long, most long")
+    limits = limits.withColumnRenamed("stratum", "_stratum")
+    # the first rung that rejects each number of steps; RUNGS + 1 if none does
+    first = {r: [sum(cut >= step for cut in LADDER[r]) for step in range(STEPS + 1)] for r in RULES}
+    rung = F.least(*[F.element_at(F.lit(first[r]), F.col(r) + 1) for r in RULES])
+    found = good.select("stratum", rung.alias("step")).groupBy("stratum", "step").agg(F.count("*").alias("n"))
+    below = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    tails = found.withColumn("rejected", F.sum("n").over(below)).join(limits, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    blocked = F.min(F.when((F.col("rejected") > F.col("most")) & (F.col("step") <= RUNGS), F.col("step")))
+    chosen = F.when(F.max("most") >= 0, F.coalesce(blocked - 1, F.lit(RUNGS)))
+    chosen = tails.groupBy("stratum").agg(F.max("n_good").alias("n_good"), chosen.cast("int").alias("rung"))
+    return chosen.select("*", *[F.when(F.col("rung").isNotNull(), F.element_at(F.lit(LADDER[r]), F.col("rung") + 1)).alias(r) for r in RULES])
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", false_rejection: float = FALSE_REJECTION, risk: float = RISK) -> DataFrame:
     """doc_id, the counts, base_failed, kept, the stratum and the rules that rejected, one row per input row.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated
     8-word windows. Other documents are kept if no rule of their stratum exceeds
-    its cutoff. The holdout is every labelled row: a document is good if all its
+    its cutoff (choose_rungs). The holdout is every labelled row: a document is good if all its
     labels say quality 1; null labels and ids count for nothing. Null texts have no words
     (base_failed), a null stratum is one of its own, extra columns are ignored.
     """
@@ -143,7 +179,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", false_rejec
     rows = counted.select("*", failed.alias("base_failed"), *[_steps(r).alias(r) for r in RULES])
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     holdout = rows.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi").select("stratum", *RULES)
-    cutoffs = save(choose_cutoffs(holdout, false_rejection, risk), "cutoffs")
+    cutoffs = save(choose_rungs(holdout, false_rejection, risk), "cutoffs")
     cutoffs = cutoffs.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"{r}_cut") for r in RULES])
     both = rows.join(cutoffs, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     broken = F.filter(F.array(*[F.when(F.col(r) > F.col(f"{r}_cut"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())

@@ -68,6 +68,23 @@ def test_cutoffs_bound_rejections_of_good_rows(spark):
     assert all(r[rule] is None for r in quality.choose_cutoffs(few, 0.06, 0.05).collect() for rule in quality.RULES)
 
 
+def test_joint_cutoffs_work_from_86_labels_in_each_of_four_languages(spark):
+    dice = random.Random(3)
+    rows = [(s, *[min(quality.STEPS, int(dice.expovariate(0.2))) for _ in quality.RULES]) for s in ["en"] * 3000 + [None] * 300 + ["de"] * 85 + ["fr"] * 86]
+    good = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{r} int" for r in quality.RULES))
+    got = {r.stratum: r for r in quality.choose_rungs(good).collect()}
+    for stratum in ("en", None, "de", "fr"):
+        own = [r[1:] for r in rows if r[0] == stratum]
+        most = quality.allowed_failures(len(own), 0.05, 0.05 / 4)
+        fits = [j for j in range(quality.RUNGS + 1) if sum(any(x > quality.LADDER[r][j] for x, r in zip(row, quality.RULES)) for row in own) <= most]
+        assert got[stratum].rung == (max(fits) if fits else None) and got[stratum].n_good == len(own)
+        assert all(got[stratum][r] == (quality.LADDER[r][max(fits)] if fits else None) for r in quality.RULES)
+    assert got["de"].rung is None and got["fr"].rung is not None
+    texts = [(k, " ".join(f"a{k}#%" for k in range(40)) if k % 10 == 9 else text(dice, 40, 10**6), "abcd"[k // 100]) for k in range(400)]
+    out = quality.judge(spark.createDataFrame(texts, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k % 10 != 9)) for k in range(400)], "doc_id long, quality int"))
+    assert {(r.stratum, r.doc_id % 10 != 9, r.kept) for r in out.collect()} == {(s, k, k) for s in "abcd" for k in (True, False)}
+
+
 def test_rules_reject_symbols_with_enough_labels(spark):
     dice = random.Random(2)
     rows = [(i, text(dice, 40) if i % 10 else " ".join("w###" for _ in range(3)) + " " + " ".join(f"a{k}#%" for k in range(40)), "en") for i in range(3000)]
