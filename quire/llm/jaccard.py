@@ -1,20 +1,16 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact sorted-array intersection.
 
 Documents are sets of 5-word shingles (64-bit hashes); equal sets are one class.
-
-1. Candidates. A class has BANDS keys, each from ROWS minimum hashes of its
-   set. Two classes of similarity s share no key with probability
-   (1 - s^ROWS)^BANDS, which at 0.8 is 1.3e-12. Classes that share a passage
-   only (similarity below 0.1) almost never meet, however common the passage.
-2. Leaders. In each bucket of equal keys the smallest class leads and is
-   compared with the others, so a group of copies costs a comparison per member.
-3. Rest. Where a bucket still holds classes that no links connect, all its pairs
-   across components are compared, in tiles of bounded size. Pairs within a
-   component need no comparison: they would not change any component.
-
-A comparison first bounds sizes (a smaller set below 80 % of a larger one
-cannot reach 0.8), then the overlap through parity bitmaps: sets whose bitmaps
-differ in d bits differ in d elements at least. What is left is intersected exactly.
+A class has BANDS keys, each from ROWS minimum hashes of its set. Two classes of
+similarity s share no key with probability (1 - s^ROWS)^BANDS, which at 0.8 is
+1.3e-12. Classes that share a passage only (similarity below 0.1) almost never
+meet, however common the passage. Classes that meet are compared by
+linking.linked_classes(): with the leader of their bucket first, the rest in
+tiles of two size bands.
+
+Before sets are intersected, sizes bound the overlap (a smaller set below 80 % of
+a larger one cannot reach 0.8), then parity bitmaps: sets whose bitmaps differ
+in d bits differ in d elements at least.
 """
 
 from __future__ import annotations
@@ -26,40 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.linking import Rule, keyed, linked_classes, named_groups, one_of_each, set_classes, set_node, shingle_sets
 from quire.llm.store import discard, save
-from quire.llm.words import mixed, slices, windows, word_hashes
-from quire.operators.graph import connected_components
+from quire.llm.words import mixed, slices
 
-WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 BANDS, ROWS = 52, 4
 BITMAP = 1024
-TILE = 2048
-CHUNK = 256
 
 _MULTIPLIERS = (np.random.default_rng(5).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted shingle hashes of each text; empty for one without words."""
-    words = [t.lower().split() for t in texts]
-    hashes = word_hashes([w for text in words for w in text])
-    out, at = [], 0
-    for text in words:
-        own = hashes[at : at + len(text)]
-        out.append(np.unique(windows(own, min(WORDS, len(own)))) if len(own) else own)
-        at += len(text)
-    return out
-
-
-def set_node(found: np.ndarray) -> int:
-    """A signed 64-bit hash of a whole set."""
-    return int(np.bitwise_xor(mixed(found + _SECOND).sum(dtype=np.uint64), np.uint64(len(found))).view(np.int64))
-
-
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set), bands, bitmap."""
+    """doc_id, text_key, n_shingles, node (null for an empty set), bands, signature (the bitmap)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,123 +64,32 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bits[full] = np.packbits(odd, bitorder="little").view(np.int64).reshape(len(full), -1)
                     node[full] = [set_node(sets[i]) for i in full]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(size), pa.array(node, mask=size == 0),
+                    part.column(0), part.column(1), pa.array(size), pa.array(node, mask=size == 0),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, BITMAP // 64, dtype=np.int32)), pa.array(bits.ravel())),
-                ], ["doc_id", "n_shingles", "node", "bands", "bitmap"])
-
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return columns.mapInArrow(rows, "doc_id long, n_shingles long, node long, bands array<long>, bitmap array<long>")
-
-
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps do not rule out."""
-    for side in "ab":
-        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), side)
-    near = F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR
-    differ = F.aggregate(F.zip_with("bitmap_a", "bitmap_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # with d differing elements the overlap is (size_a + size_b - d) / 2 at most
-    both = F.col("size_a") + F.col("size_b")
-    bound = (both - differ) * (DENOMINATOR + NUMERATOR) >= 2 * NUMERATOR * both
-    return pairs.where(near).where(bound).select("a", "b")
-
-
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of their sets.
-
-    A tile is a class a with up to CHUNK or so of its partners; the sets of
-    a popular class go to several tiles. Sets are made from the texts of one
-    document of each class that occurs.
-    """
-    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    spread = pairs.join(degree, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).cast("int"))
-    members = spread.select(F.col("b").alias("node"), "a", "chunk", F.lit(1).alias("role"))
-    heads = spread.select(F.col("a").alias("node"), "a", "chunk", F.lit(0).alias("role")).distinct()
-    wanted = members.unionByName(heads).join(classes.select("node", "doc_id"), "node")
-    wanted = save(wanted.select(F.col("doc_id").alias("_id"), "node", "a", "chunk", "role"), "wanted")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, "text", 2 << 20):
-                distinct = {t: None for t in texts}
-                found = dict(zip(distinct, shingle_sets(list(distinct))))
-                node = part.column(1).to_pylist()
-                # rows of a repeated id whose text is another class's fall out here
-                own = [i for i, t in enumerate(texts) if len(found[t]) and set_node(found[t]) == node[i]]
-                rest = part.select(["node", "a", "chunk", "role"]).take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([found[texts[i]].tobytes() for i in own], pa.binary())], ["node", "a", "chunk", "role", "shingles"])
+                ], ["doc_id", "text_key", "n_shingles", "node", "bands", "signature"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the same plan at every size: both sides by id, never the growing list of ids to all tasks
-    rows = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "node", "a", "chunk", "role")
-    rows = rows.mapInArrow(sets, "node long, a long, chunk int, role int, shingles binary")
+    return keyed(docs).mapInArrow(rows, "doc_id long, text_key long, n_shingles long, node long, bands array<long>, signature array<long>")
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, head = None, None
-        for batch in batches:
-            out = []
-            for node, a, chunk, role, data in zip(*[batch.column(i) for i in range(5)]):
-                own = np.frombuffer(data.as_py(), np.uint64)
-                if role.as_py() == 0:
-                    tile, head = (a.as_py(), chunk.as_py()), own
-                    continue
-                if tile != (a.as_py(), chunk.as_py()):
-                    raise ValueError("a tile without its head")
-                at = np.searchsorted(head, own)
-                overlap = int(np.count_nonzero(head[np.minimum(at, len(head) - 1)] == own))
-                if DENOMINATOR * overlap >= NUMERATOR * (len(head) + len(own) - overlap):
-                    out.append((a.as_py(), node.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["src", "dst"])
-
-    tiles = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    linked = save(tiles.mapInArrow(links, "src long, dst long").distinct(), "links")
-    discard(wanted)
-    return linked
-
-
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b) across components in buckets given as (key, n, node, component, size, bitmap).
 
-    A bucket of more than TILE classes is cut into blocks by hash; every pair of blocks is a tile.
-    """
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "size", "bitmap")
-
-    def compare(held: list) -> pa.RecordBatch:
-        block, node, component, size = (np.array([r[k] for r in held], np.int64) for k in range(4))
-        bits = np.array([r[4] for r in held], np.int64).view(np.uint64)
-        a, b = [], []
-        order = np.argsort(size, kind="stable")
-        block, node, component, size, bits = block[order], node[order], component[order], size[order], bits[order]
-        one = len(np.unique(block)) == 1
-        # the band of sizes that a row can link with: itself up to 1.25 times its size
-        top = np.searchsorted(size, size * DENOMINATOR // NUMERATOR, side="right")
-        for x in range(len(node)):
-            y = np.arange(x + 1, top[x])
-            y = y[(component[y] != component[x]) & (one | (block[y] != block[x]))]
-            differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            both = size[y] + size[x]
-            y = y[(both - differ) * (DENOMINATOR + NUMERATOR) >= 2 * NUMERATOR * both]
-            a.append(np.minimum(node[x], node[y]))
-            b.append(np.maximum(node[x], node[y]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+def near(size: np.ndarray, bits: np.ndarray, other: np.ndarray, other_bits: np.ndarray) -> np.ndarray:
+    """Whether bitmaps leave the similarity possible: with d differing elements the overlap is (sum of sizes - d) / 2 at most."""
+    differ = np.bitwise_count((bits ^ other_bits).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    both = size + other
+    return (both - differ) * (DENOMINATOR + NUMERATOR) >= 2 * NUMERATOR * both
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
-        for batch in batches:
-            for key, i, j, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, i, j) != tile:
-                    if held:
-                        yield compare(held)
-                    tile, held = (key, i, j), []
-                held.append(row)
-        if held:
-            yield compare(held)
 
-    tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return tiles.mapInArrow(pairs, "a long, b long").distinct()
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, node, component_id, first_key, n_links: one row per input row (see jaccard_groups)."""
+    full = save(signatures(docs), "signatures")
+    members = save(full.select("doc_id", "text_key", "n_shingles", "node"), "members")
+    classes = save(set_classes(full), "classes")
+    discard(full)
+    label, links = linked_classes(docs, classes, classes.select("node", F.explode("bands").alias("key")), Rule(NUMERATOR, DENOMINATOR, near))
+    ends = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node")))
+    counts = save(ends.groupBy("node").agg(F.count("*").alias("n_links")), "ends")
+    found = named_groups(members, classes, label).join(counts, "node", "left")
+    return found.select("doc_id", "text_key", "n_shingles", "node", "component_id", "first_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -213,47 +98,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable over links (the own one
     for a text without words, which links with nothing). n_links counts the
     links with other classes that were made: enough to connect each group, not
-    every pair in it. Null texts have no words; a null id gets the component of
-    equal texts (null if there are none) and is never a component's id; repeated rows are equal
-    texts; extra columns are ignored.
+    every pair in it. Null texts have no words. Rows of a null id link as
+    others do, but are never a component's id: a group of such rows alone has a
+    null one. Repeated rows are equal texts; extra columns are ignored.
     """
-    full = save(signatures(docs), "signatures")
-    members = save(full.select("doc_id", "n_shingles", "node"), "members")
-    best = F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "bitmap", "bands")).alias("best")
-    classes = save(full.where("node is not null and doc_id is not null").groupBy("node").agg(best).select("node", "best.*"), "classes")
-    discard(full)
-
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    rows = save(keys.join(heads, "key").where("node <> lead"), "buckets")
-    pairs = save(rows.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _verify(save(_plausible(pairs, classes), "plausible"), classes, docs)
-    nodes = classes.select(F.col("node").alias("node_id"))
-    component = save(connected_components(nodes, links), "components")
-
-    label = component.select(F.col("node_id").alias("node"), "component")
-    apart = pairs.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
-    apart = apart.join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb")
-    # a bucket of two is settled by the leader's comparison
-    large = rows.where("n > 2")
-    open_keys = large.join(apart.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"]).select("key").distinct()
-    rest = large.join(open_keys, "key", "left_semi").select("key", "n", "node")
-    rest = rest.join(label, "node").join(classes.select("node", "size", "bitmap"), "node")
-    more = save(_cross_pairs(rest.select("key", "n", "node", "component", "size", "bitmap")), "cross")
-    links = links.unionByName(_verify(more, classes, docs))
-    component = save(connected_components(nodes, links), "components")
-
-    named = component.join(classes.select(F.col("node").alias("node_id"), "doc_id"), "node_id")
-    named = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ends = links.select(F.col("src").alias("node_id")).unionByName(links.select(F.col("dst").alias("node_id")))
-    label = component.join(named, "component").join(ends.groupBy("node_id").agg(F.count("*").alias("n_links")), "node_id", "left")
-    label = save(label.select(F.col("node_id").alias("node"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
-    joined = members.join(label, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents that give their group its id; equal rows of one id stay once."""
-    groups = jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One document of each group: that of its smallest doc_id, with all columns.
+
+    A group of null ids alone keeps one of its texts. Texts without words stay.
+    Rows that repeat both id and text stay once; of several texts of the id that
+    stands for a group, the one with the smallest hash.
+    """
+    return one_of_each(docs, grouped(docs))

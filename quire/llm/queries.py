@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import classifier, forest, jaccard, mixing, passages, pieces, preference, quality, token_store, warc
+from quire.llm import classifier, forest, hamming, jaccard, mixing, passages, pieces, preference, quality, token_store, warc
 from quire.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,13 +64,17 @@ def op10_quality_scores(spark: SparkSession, root: str) -> DataFrame:
     return classifier.score_documents(read_table(spark, root, "documents"), read_table(spark, root, "labels"))
 
 
+def op12_hamming_groups(spark: SparkSession, root: str) -> DataFrame:
+    return hamming.near_duplicates(read_table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op4_prefix_forest, op5_token_store, op6_repeated_passages, op7_source_mix, op8_warc_archives,
-    op9_preference_pairs, op10_quality_scores,
+    op9_preference_pairs, op10_quality_scores, op12_hamming_groups,
 )}
 
-CHECKS: dict[str, str] = {
-    "op3_jaccard_groups": """
+#: Rows of groups by shared 5-word shingles, linked when 100 * intersection >= {limit} * union.
+_GROUPS = r"""
         with recursive w as (
           select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                  '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
@@ -80,10 +84,15 @@ CHECKS: dict[str, str] = {
         ), e as (select doc_id, len(s) as n, unnest(s) as g from s),
         o as (
           select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id < b.doc_id
-          group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+          group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {limit} * (a.n + b.n - count(*))
         ), l as (select x, y from o union all select y, x from o),
-        r(a, b) as (select doc_id, doc_id from documents union select r.a, l.y from r join l on r.b = l.x)
-        select doc_id, cast(len(s) as bigint) as n_shingles, (select min(b) from r where r.a = s.doc_id) as component_id from s""",
+        r(a, b) as (select doc_id, doc_id from documents union select r.a, l.y from r join l on r.b = l.x),
+        g as (select doc_id, cast(len(s) as bigint) as n_shingles, (select min(b) from r where r.a = s.doc_id) as component_id from s)
+"""
+
+CHECKS: dict[str, str] = {
+    "op3_jaccard_groups": _GROUPS.format(limit=80) + "select * from g",
+    "op12_hamming_groups": _GROUPS.format(limit=85) + "select *, doc_id = component_id as kept from g",
     "op8_warc_archives": """
         with p as (
           select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages

@@ -7,8 +7,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from quire.llm import forest, jaccard, passages, preference, warc
+from quire.llm import forest, hamming, jaccard, linking, passages, preference, warc
 from quire.llm.store import running
 from tests.llm.data import SCHEMA, WORD, documents, frame, labels, text
 
@@ -18,7 +20,7 @@ def shingles(t):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=80):
     sets = [(i, shingles(t)) for i, t in rows]
     root = list(range(len(sets)))
 
@@ -30,7 +32,7 @@ def brute_groups(rows):
     for x in range(len(sets)):
         for y in range(x):
             a, b = sets[x][1], sets[y][1]
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(x)] = find(y)
     least = {}
     for x, (i, _) in enumerate(sets):
@@ -39,8 +41,8 @@ def brute_groups(rows):
     return Counter((i, len(s), (least.get(find(x)) if s else i)) for x, (i, s) in enumerate(sets))
 
 
-def groups(df):
-    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(df).collect())
+def groups(df, operator=jaccard.jaccard_groups):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in operator(df).collect())
 
 
 def test_jaccard_groups(spark):
@@ -51,7 +53,19 @@ def test_jaccard_groups(spark):
     assert kept.columns == frame(spark).columns
 
 
-def test_jaccard_chains_and_hot_groups(spark, monkeypatch):
+def test_one_of_each_group_keeps_null_ids(spark):
+    dice = random.Random(31)
+    a, b, c, d = (text(dice, 90, 10**6) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " end"), (7, b), (None, b), (None, b + " end"), (None, None), (None, ""), (8, c), (8, d), (9, c + " end"), (8, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert groups(df) == brute_groups(rows)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each_group(df).collect()), key=str)
+    alone = [x for x in kept if x[0] is None and x[1] and x[1].startswith(a)]
+    assert len(alone) == 1
+    assert [x for x in kept if x not in alone] == sorted([(7, b), (None, None), (None, ""), (8, c), (8, d)], key=str)
+
+
+def chains_and_hot_groups():
     dice = random.Random(3)
     base = [f"w{dice.randrange(10**6)}" for _ in range(150)]
     rows, words = [], list(base)
@@ -65,10 +79,75 @@ def test_jaccard_chains_and_hot_groups(spark, monkeypatch):
         rows.append((2000 + i, " ".join(own)))
     for i in range(40):  # a shared passage in different texts
         rows.append((3000 + i, " ".join(base[:20]) + " " + text(dice, 100, 10**6)))
-    monkeypatch.setattr(jaccard, "TILE", 16)
-    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    return rows
+
+
+@pytest.mark.parametrize("operator, percent", [(jaccard.jaccard_groups, 80), (hamming.near_duplicates, 85)])
+def test_chains_and_hot_groups(spark, monkeypatch, operator, percent):
+    rows = chains_and_hot_groups()
+    monkeypatch.setattr(linking, "BLOCK_BYTES", 16 * linking.SMALLEST)
+    monkeypatch.setattr(linking, "CHUNK", 8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert groups(df) == brute_groups(rows)
+    assert groups(df, operator) == brute_groups(rows, percent)
+
+
+def test_tiles_send_on_fewer_links_than_rows(spark, monkeypatch):
+    """A group of 3,000 near copies that no leader holds together: all links, at most rows - 1 a tile."""
+    dice = random.Random(17)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(3000):
+        own = list(base)
+        for k in range(dice.choice([1, 2, 3])):  # two copies differ in up to six places: many pairs lie on both sides of the limit
+            own[dice.randrange(100)] = f"e{i}x{k}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # words e..x.. occur in one text each, so texts share shingles of the base only
+    sets = [shingles(t) for _, t in rows]
+    own = sorted(shingles(" ".join(base)))
+    held = np.array([[g in s for g in own] for s in sets]).astype(np.float32)
+    both = (held @ held.T).astype(int)
+    size = np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    least = np.arange(len(rows))
+    while True:  # every text takes the smallest id among those it links with
+        now = np.where(linked, least[None, :], len(rows)).min(axis=1)
+        if (now == least).all():
+            break
+        least = now
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(df).collect()}
+    assert got == dict(enumerate(least.tolist()))
+    # one tile, nothing known before
+    found = linking.shingle_sets([t.encode() for _, t in rows[:800]])
+    size = np.array([len(f) for f in found])
+    bits = np.zeros((len(found), jaccard.BITMAP // 64), np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.ravel()))
+    node = pa.array(range(len(found)), pa.int64())
+    tile = pa.RecordBatch.from_arrays([node, node, pa.array([0] * len(found), pa.int64()), pa.array(size), lists, pa.array([f.tobytes() for f in found], pa.binary())], list("nobksx"))
+    links = linking.tile_links(tile, linking.Rule(80, 100, lambda *x: np.ones(len(x[0]), bool)))
+    assert 0 < links.num_rows < len(found)
+
+
+def test_every_pair_within_the_distance_shares_a_key():
+    dice = np.random.default_rng(2)
+    one = dice.integers(0, 1 << 16, (200, hamming.SYMBOLS), np.uint16)
+    other = one.copy()
+    for k in range(200):
+        off = dice.choice(hamming.SYMBOLS, dice.integers(0, hamming.DISTANCE + 1), replace=False)
+        other[k, off] ^= np.uint16(1 + k)
+    a, b = hamming.chunk_keys(one), hamming.chunk_keys(other)
+    assert all(set(x) & set(y) for x, y in zip(a.tolist(), b.tolist()))
+    packed = hamming.distance(one.view(np.int64), other.view(np.int64))
+    assert packed.tolist() == (one != other).sum(axis=1).tolist() and packed.max() == hamming.DISTANCE
+    assert not {x for row in a.tolist() for x in row} & {x for row in hamming.chunk_keys(dice.integers(0, 1 << 16, (50, hamming.SYMBOLS), np.uint16)).tolist() for x in row}
+
+
+def test_near_duplicates_on_odd_rows(spark):
+    rows = [(d[0], d[1]) for d in documents()]
+    out = hamming.near_duplicates(frame(spark)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_groups(rows, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    assert hamming.near_duplicates(frame(spark, [])).count() == 0
 
 
 def brute_units(t):
@@ -327,7 +406,7 @@ def test_registered_queries_run_and_match_their_sql(spark):
 
     root = "/root/testdata/sf0.001"
     con = duck(root)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 12]
     for name, query in QUERIES.items():
         diff, n = compare(spark, con, root, query, CHECKS.get(name))
         assert not diff and n, (name, diff)
