@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import classifier, forest, hamming, jaccard, mixing, passages, pieces, preference, quality, token_store, warc
+from quire.llm import classifier, forest, hamming, jaccard, mixing, passages, pieces, preference, quality, token_store, vector_codes, warc
 from quire.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,13 +64,17 @@ def op10_quality_scores(spark: SparkSession, root: str) -> DataFrame:
     return classifier.score_documents(read_table(spark, root, "documents"), read_table(spark, root, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, root: str) -> DataFrame:
+    return vector_codes.coded_vectors(read_table(spark, root, "embeddings"))
+
+
 def op12_hamming_groups(spark: SparkSession, root: str) -> DataFrame:
     return hamming.near_duplicates(read_table(spark, root, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op4_prefix_forest, op5_token_store, op6_repeated_passages, op7_source_mix, op8_warc_archives,
-    op9_preference_pairs, op10_quality_scores, op12_hamming_groups,
+    op9_preference_pairs, op10_quality_scores, op11_vector_codes, op12_hamming_groups,
 )}
 
 #: Rows of groups by shared 5-word shingles, linked when 100 * intersection >= {limit} * union.
@@ -90,8 +94,39 @@ _GROUPS = r"""
         g as (select doc_id, cast(len(s) as bigint) as n_shingles, (select min(b) from r where r.a = s.doc_id) as component_id from s)
 """
 
+
+
+def _codes_sql(rounds: int) -> str:
+    """Vector codes: each round assigns by least (distance, entry) and moves entries to the floor of their means."""
+    steps = [r"""
+        v as (
+          select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x
+          from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), p as (
+          select r, k as part, x[k * (len(x) // 4) + 1 : (k + 1) * (len(x) // 4)] as x, rank
+          from (select *, row_number() over (order by vec_id) as rank from v), range(4) t(k)
+        ), b0 as (select part, rank - 1 as entry, x from p where rank <= 256)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} as (
+          select r, p.part, min({{'d': list_inner_product(cast(p.x as double[]), cast(p.x as double[])) - 2 * list_inner_product(cast(p.x as double[]), cast(b.x as double[]))
+                 + list_inner_product(cast(b.x as double[]), cast(b.x as double[])), 'e': entry}}) as m from p join b{k} b on p.part = b.part group by r, p.part
+        )""")
+        if k < rounds:
+            steps.append(f"""s{k} as (
+              select part, m.e as entry, i, sum(x[i + 1]) as s, count(*) as n from a{k} join p using (r, part), range(16) t(i) where i < len(x) group by all
+            ), m{k} as (select part, entry, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as x from s{k} group by all),
+            b{k + 1} as (select b.part, b.entry, coalesce(m.x, b.x) as x from b{k} b left join m{k} m on b.part = m.part and b.entry = m.entry)""")
+    steps.append(f"""c as (
+          select r, string_agg(lower(printf('%02x', m.e)), '' order by part) as code, cast(sum(m.d) as bigint) as error from a{rounds} group by r
+        )""")
+    return "with " + ", ".join(steps) + f"""
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+               (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) from b{rounds}) as codebooks_sha256 from c join v using (r)"""
+
+
 CHECKS: dict[str, str] = {
     "op3_jaccard_groups": _GROUPS.format(limit=80) + "select * from g",
+    "op11_vector_codes": _codes_sql(4),
     "op12_hamming_groups": _GROUPS.format(limit=85) + "select *, doc_id = component_id as kept from g",
     "op8_warc_archives": """
         with p as (
