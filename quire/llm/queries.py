@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import classifier, forest, hamming, jaccard, mixing, passages, pieces, preference, quality, token_store, vector_codes, warc
+from quire.llm import alignment, classifier, forest, hamming, jaccard, mixing, passages, pieces, preference, quality, token_store, vector_codes, warc
 from quire.llm.store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +72,13 @@ def op12_hamming_groups(spark: SparkSession, root: str) -> DataFrame:
     return hamming.near_duplicates(read_table(spark, root, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, root: str) -> DataFrame:
+    return alignment.alignment_digests(read_table(spark, root, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_risk_rules, op2_piece_round_trip, op3_jaccard_groups, op4_prefix_forest, op5_token_store, op6_repeated_passages, op7_source_mix, op8_warc_archives,
-    op9_preference_pairs, op10_quality_scores, op11_vector_codes, op12_hamming_groups,
+    op9_preference_pairs, op10_quality_scores, op11_vector_codes, op12_hamming_groups, op13_token_alignment,
 )}
 
 #: Rows of groups by shared 5-word shingles, linked when 100 * intersection >= {limit} * union.
