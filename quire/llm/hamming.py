@@ -11,7 +11,7 @@ chunk's keys: its other symbols when any ERRORS places are left out. Every pair
 within DISTANCE thus shares a key. At similarity 0.85 a pair exceeds DISTANCE
 (23 of 60) with probability 2.3e-06, and shares no key all the same with probability
 4e-10. Pairs that meet at FURTHEST or more differing symbols are not compared
-(1.5e-14 at 0.85); all others are intersected exactly (linking.linked_classes()).
+(2.1e-10 at 0.85); all others are intersected exactly (linking.linked_classes()).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ NUMERATOR, DENOMINATOR = 85, 100
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-FURTHEST = 35
+FURTHEST = 30
 
 _MULTIPLIERS = (np.random.default_rng(12).integers(0, 1 << 31, SYMBOLS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)

@@ -35,6 +35,8 @@ BLOCK_BYTES = 4 << 20
 SMALLEST = 8192
 #: Partners of a leader that are compared in one task.
 CHUNK = 256
+#: Links whose components one task can settle (some tens of MB).
+EDGES = 250_000
 #: Sets intersected at once with another one.
 STEP = 64
 
@@ -89,27 +91,47 @@ def components(links: DataFrame) -> DataFrame:
     Each round hangs every node under the least node around it, first those
     above, then those below: a logarithmic number of rounds, each of map-side
     minima and joins on nodes, so a node with many links is never collected.
+    Once EDGES or fewer links are left, one task settles them.
     """
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     edges = cut_lineage(links.select(high.alias("high"), low.alias("low")).where("high <> low").distinct())
     before = None
     while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
+        if now.n <= EDGES:
+            return edges.coalesce(1).mapInArrow(_settled, "node long, component long")
+        if now == before:
+            break
+        before = now
         swapped = edges.select(F.col("low").alias("high"), F.col("high").alias("low"))
         least = edges.unionByName(swapped).groupBy("high").agg(F.min("low").alias("least")).select(F.col("high").alias("node"), F.least("high", "least").alias("least"))
-        up = edges.select(F.col("high").alias("up"), F.col("low").alias("node")).join(least, "node").select(F.col("up").alias("high"), F.col("least").alias("low"))
-        raised = up.where("high <> low").distinct()
+        raised = edges.select(F.col("high").alias("up"), F.col("low").alias("node")).join(least, "node").select(F.col("up").alias("high"), F.col("least").alias("low"))
+        raised = raised.where("high <> low").distinct()
         floor = raised.groupBy("high").agg(F.min("low").alias("least"))
         hung = raised.join(floor, "high")
         edges = hung.select(F.col("low").alias("high"), F.col("least").alias("low")).unionByName(hung.select("high", F.col("least").alias("low")))
         edges = cut_lineage(edges.where("high <> low").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     tops = edges.select(F.col("low").alias("node"), F.col("low").alias("component"))
     return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(tops).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of at most EDGES edges, by hooking labels onto smaller ones and jumping."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    ends = np.concatenate(ends, axis=1) if ends else np.zeros((2, 0), np.int64)
+    nodes, place = np.unique(ends, return_inverse=True)
+    place = place.reshape(ends.shape)
+    label = np.arange(len(nodes))
+    while True:
+        own = label[place]
+        if (own[0] == own[1]).all():
+            break
+        np.minimum.at(label, own.max(axis=0), own.min(axis=0))
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """An array column with equally long rows as a matrix of 64-bit numbers."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)

@@ -65,6 +65,26 @@ def test_one_of_each_group_keeps_null_ids(spark):
     assert [x for x in kept if x not in alone] == sorted([(7, b), (None, None), (None, ""), (8, c), (8, d)], key=str)
 
 
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch):
+    dice = random.Random(41)
+    order = list(range(0, 3000, 3))
+    dice.shuffle(order)
+    links = list(zip(order, order[1:100])) + [(order[100], x) for x in order[101:400]] + [(x, order[700]) for x in order[400:600]] + [(1, 1), (2, 5), (5, 2)]
+    root = {x: x for x in {y for e in links for y in e} if x != 1}
+    for _ in range(len(root)):
+        old = dict(root)
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if old == root:
+            break
+    df = spark.createDataFrame(links, "src long, dst long")
+    for limit in (linking.EDGES, 3):
+        monkeypatch.setattr(linking, "EDGES", limit)
+        assert {r.node: r.component for r in linking.components(df).collect()} == root
+    assert linking.components(df.limit(0)).count() == 0
+
+
 def chains_and_hot_groups():
     dice = random.Random(3)
     base = [f"w{dice.randrange(10**6)}" for _ in range(150)]
