@@ -1,11 +1,10 @@
-"""Column expressions over array<double> vectors and hashed n-grams."""
+"""Column expressions over array<double> vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire import fixed
 from quire.functions.text import let
 
 
@@ -25,42 +24,3 @@ def unit(v: Column) -> Column:
         v.cast("array<double>"),
         lambda w: let(norm(w), lambda size: F.when(size > 0, F.transform(w, lambda x: x / size)).otherwise(w)),
     )
-
-
-def ngrams(text: Column) -> Column:
-    """Lower-case words of two or more word characters, and pairs of neighbours."""
-    def with_pairs(words: Column) -> Column:
-        following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-        pairs = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
-
-    return let(F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD), F.lit(0)), with_pairs)
-
-
-def bucket(term: Column, dim: int = fixed.EMBEDDING_DIM) -> Column:
-    """Stable bucket of a term: the first 32 bits of its md5, modulo the dimension."""
-    return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-
-
-def bucket_counts(text: Column, dim: int = fixed.EMBEDDING_DIM) -> Column:
-    """Dense array<int> of n-gram counts per bucket, without leaving the row.
-
-    Every bucket is added once, the list is sorted, and the run lengths minus one
-    are the counts in bucket order. No explode and no shuffle.
-    """
-    hashed = F.transform(ngrams(text), lambda t: bucket(t, dim))
-    padded = F.array_sort(F.concat(hashed, F.sequence(F.lit(0), F.lit(dim - 1))))
-
-    def run_lengths(run: Column) -> Column:
-        # a run starts where its value differs from the one in front
-        shifted = F.concat(F.array(F.lit(-1)), F.slice(run, F.lit(1), F.size(run) - 1))
-        marks = F.zip_with(run, shifted, lambda a, b: a != b)
-        numbered = F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
-        return let(
-            numbered,
-            lambda starts: F.zip_with(
-                starts, F.concat(F.slice(starts, F.lit(2), F.lit(dim)), F.array(F.size(run))), lambda a, b: b - a - 1
-            ),
-        )
-
-    return let(padded, run_lengths)

@@ -1,42 +1,68 @@
-"""Vectors for chunks and questions: hashed n-grams with tf-idf weights, or a caller's model."""
+"""Vectors for chunks and questions: hashed n-grams with tf-idf weights, or a caller's model.
+
+Counts are made once per text, as a sparse column (`buckets`, `counts`) that is
+stored with the text; document frequencies, weights and vectors come from it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from quire import fixed
+from quire.functions import ngrams
 from quire.functions import vectors as V
+from quire.session import scratch_path
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+def with_counts(texts: DataFrame, text_col: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
+    """The rows with `buckets` (ascending) and `counts` of each text's hashed words and word pairs; null for a null text."""
+    if "buckets" in texts.columns and "counts" in texts.columns:
+        return texts
+    kind = ST.ArrayType(ST.IntegerType())
+    schema = ST.StructType([*texts.schema.fields, ST.StructField("buckets", kind), ST.StructField("counts", kind)])
+    return texts.mapInArrow(lambda batches: ngrams.sparse_batches(batches, text_col, dim), schema)
+
+
+def _stored(counted: DataFrame) -> DataFrame:
+    """Counts as a table in the shared folder: read for the frequencies and again for the weights."""
+    path = scratch_path(counted.sparkSession, "counts")
+    counted.write.parquet(path)
+    return counted.sparkSession.read.schema(counted.schema).parquet(path)
+
+
 def hash_ngrams(texts: DataFrame, id_col: str, text_col: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """(id, bucket, count) rows of each text's hashed words and word pairs."""
-    dense = texts.select(id_col, V.bucket_counts(F.col(text_col), dim).alias("counts"))
-    return dense.select(id_col, F.posexplode_outer("counts").alias("bucket", "count")).where("count > 0")
-
-
-def bucket_frequencies(texts: DataFrame, text_col: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
-    """(bucket, df, n): in how many of the n texts each bucket occurs. At most ``dim`` rows."""
-    counted = texts.select(V.bucket_counts(F.col(text_col), dim).alias("counts"))
-    return (
-        counted.select(F.posexplode_outer("counts").alias("bucket", "count"))
-        .where("bucket is not null")
-        .groupBy("bucket")
-        .agg(F.sum((F.col("count") > 0).cast("bigint")).alias("df"), F.count("*").alias("n"))
+    counted = with_counts(texts.select(id_col, text_col), text_col, dim)
+    return counted.select(id_col, F.explode(F.arrays_zip("buckets", "counts")).alias("p")).select(
+        id_col, F.col("p.buckets").alias("bucket"), F.col("p.counts").alias("count")
     )
 
 
-def inverse_frequencies(frequencies: DataFrame) -> DataFrame:
-    """One row: the smoothed idf of every bucket as an array, in bucket order."""
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    pairs = F.array_sort(F.collect_list(F.struct("bucket", idf.alias("idf"))))
-    return frequencies.agg(F.transform(pairs, lambda p: p["idf"]).alias("idf"))
+def bucket_frequencies(counted: DataFrame) -> DataFrame:
+    """(bucket, df): in how many counted texts each bucket occurs; bucket -1 counts the texts. Tables of several batches add up."""
+    rows = counted.where("buckets is not null").select(F.explode(F.concat(F.array(F.lit(-1)), "buckets")).alias("bucket"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("df"))
+
+
+def inverse_frequencies(frequencies: DataFrame, dim: int = fixed.EMBEDDING_DIM) -> np.ndarray:
+    """The smoothed idf of every bucket. The sums have one row a bucket, so they may pass through the driver."""
+    df = np.zeros(dim + 1)
+    for r in frequencies.where(F.col("bucket").between(-1, dim - 1)).groupBy("bucket").agg(F.sum("df").alias("df")).collect():
+        df[r.bucket] = r.df  # -1 is the last place
+    return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+
+
+def _weighted(counted: DataFrame, idf: np.ndarray | None, name: str, dim: int | None) -> DataFrame:
+    schema = ST.StructType([*counted.schema.fields, ST.StructField(name, ST.ArrayType(ST.DoubleType()))])
+    return counted.mapInArrow(lambda batches: ngrams.weight_batches(batches, idf, name, dim), schema)
 
 
 def tfidf_vectors(
@@ -46,28 +72,33 @@ def tfidf_vectors(
     dim: int = fixed.EMBEDDING_DIM,
     name: str = "embedding",
 ) -> DataFrame:
-    """Add unit-length tf-idf vectors.
+    """Add unit-length tf-idf vectors (zero for a text without words, null for a null one).
 
     Document frequencies come from these texts, or from ``frequencies`` kept from
-    an earlier batch so that vectors of different batches can be compared.
+    others so that vectors of several batches can be compared. Texts that carry
+    their counts already are not hashed again.
     """
+    counted = with_counts(texts, text_col, dim)
     if frequencies is None:
-        frequencies = bucket_frequencies(texts, text_col, dim)
-    idf = inverse_frequencies(frequencies).scalar()
-    weighted = texts.withColumn("_counts", V.bucket_counts(F.col(text_col), dim)).withColumn("_idf", idf)
-    raw = F.zip_with("_counts", "_idf", lambda c, w: c * F.coalesce(w, F.lit(1.0)))
-    return weighted.withColumn("_raw", raw).withColumn(name, V.unit(F.col("_raw"))).drop("_counts", "_idf", "_raw")
+        counted = counted if "buckets" in texts.columns else _stored(counted)
+        frequencies = bucket_frequencies(counted)
+    dense = _weighted(counted, inverse_frequencies(frequencies, dim), name, dim)
+    return dense.select(*texts.columns, name)
 
 
 def tfidf(texts: DataFrame, id_col: str, text_col: str, dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """Non-zero weights as (id, bucket, weight)."""
-    dense = tfidf_vectors(texts.select(id_col, text_col), text_col, dim=dim)
-    return dense.select(id_col, F.posexplode_outer("embedding").alias("bucket", "weight")).where("weight > 0")
+    counted = _stored(with_counts(texts.select(id_col, text_col), text_col, dim).select(id_col, "buckets", "counts"))
+    weights = _weighted(counted, inverse_frequencies(bucket_frequencies(counted), dim), "weights", None)
+    return weights.select(id_col, F.explode(F.arrays_zip("buckets", "weights")).alias("p")).select(
+        id_col, F.col("p.buckets").alias("bucket"), F.col("p.weights").alias("weight")
+    )
 
 
 def embed_queries(queries: DataFrame, text_col: str = "query", dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """Question vectors: a batch of one has idf 1 everywhere, so these are unit counts; empty text is zero."""
-    return queries.withColumn("embedding", V.unit(V.bucket_counts(F.col(text_col), dim).cast("array<double>")))
+    rows = queries.drop("embedding", "buckets", "counts")
+    return _weighted(with_counts(rows, text_col, dim), None, "embedding", dim).drop("buckets", "counts")
 
 
 def l2_normalize(df: DataFrame, column: str = "embedding") -> DataFrame:

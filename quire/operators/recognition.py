@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def classify_blocks(blocks: DataFrame) -> DataFrame:
 def usable_words(words: DataFrame, page_width: float, page_height: float) -> DataFrame:
     """Words that are not blank and have a confidence, with confidence in 0..1 and scaled boxes."""
     return words.where((F.length(T.strip(F.col("text"))) > 0) & (F.col("conf") >= 0)).select(
-        *LINE, "word_num", T.strip(F.col("text")).alias("text"), (F.col("conf") / 100.0).alias("confidence"),
+        *LINE, "word_num", T.strip(F.col("text")).alias("text"), "conf", (F.col("conf") / 100.0).alias("confidence"),
         F.greatest(F.lit(0.0), F.col("left") / page_width).alias("x0"),
         F.greatest(F.lit(0.0), F.col("top") / page_height).alias("y0"),
         F.least(F.lit(1.0), (F.col("left") + F.col("width")) / page_width).alias("x1"),
@@ -56,14 +58,18 @@ def usable_words(words: DataFrame, page_width: float, page_height: float) -> Dat
 
 
 def words_to_lines(words: DataFrame, page_width: float = 612.0, page_height: float = 792.0) -> DataFrame:
-    """Lines of recognised text: words from left to right, union of boxes, mean confidence."""
+    """Lines of recognised text: words from left to right, union of boxes, mean confidence.
+
+    `conf_sum`, the sum of the words' confidences in percent, decides limits: of
+    whole confidences it is exact, and no order of adding up changes it.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("x0", "word_num", "text")))
     return (
         usable_words(words, page_width, page_height)
         .groupBy(*LINE)
         .agg(
             F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"),
-            F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"),
+            F.avg("confidence").alias("confidence"), F.sum("conf").alias("conf_sum"), F.count("*").alias("n_words"),
             F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         )
     )
@@ -94,30 +100,24 @@ def page_text(lines: DataFrame) -> DataFrame:
 def line_words(lines: DataFrame, min_confidence: float = 0.7) -> DataFrame:
     """Words of confident lines with boxes estimated from character counts.
 
-    Every word gets its share of the line width and every gap one character.
+    Every word gets its share of the line width and every gap one character. A line
+    with the sum of its words' confidences is held against the limit by that.
     """
-    kept = lines.withColumn("text", T.strip(F.col("text"))).where(
-        (F.length("text") > 0) & (F.col("confidence") >= min_confidence)
-    )
-    words = F.split("text", r"(?U)\s+")
-    per_char = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.col("n_chars"))
-    sized = kept.withColumn("words", words).withColumn("sizes", F.transform("words", F.length))
-    sized = sized.withColumn("n_chars", F.aggregate("sizes", F.lit(-1), lambda s, n: s + n + 1))
-    placed = F.aggregate(
-        F.arrays_zip("words", "sizes"),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<word:string,at:int,size:int>>)").alias("out")),
-        lambda acc, w: F.struct(
-            (acc["at"] + w["sizes"] + 1).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(w["words"].alias("word"), acc["at"].alias("at"), w["sizes"].alias("size")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    start = F.col("x0") + F.col("w.at") * F.col("per_char")
-    return sized.withColumn("per_char", per_char).select(
-        *LINE, "x0", "x1", "y0", "y1", "confidence", "per_char", F.posexplode_outer(placed).alias("word_num", "w")
-    ).select(
-        *LINE, "word_num", F.col("w.word").alias("text"), "confidence", start.alias("wx0"),
-        F.least(F.col("x1"), start + F.col("w.size") * F.col("per_char")).alias("wx1"), "y0", "y1",
+    if "conf_sum" in lines.columns:
+        confident = F.col("conf_sum") >= F.col("n_words") * F.lit(float(Decimal(str(min_confidence)) * 100))
+    else:
+        confident = F.col("confidence") >= min_confidence
+    kept = lines.withColumn("text", T.strip(F.col("text"))).where((F.length("text") > 0) & confident)
+    # lines come grouped by LINE, so the running sums below need no other shuffle
+    words = kept.select(*LINE, "x0", "x1", "y0", "y1", "confidence", F.posexplode_outer(F.split("text", r"(?U)\s+")).alias("word_num", "word"))
+    before = Window.partitionBy(*LINE).orderBy("word_num").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("word")
+    whole = F.sum(size + 1).over(Window.partitionBy(*LINE)) - 1
+    placed = words.withColumn("at", F.coalesce(F.sum(size + 1).over(before), F.lit(0))).withColumn("per_char", (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), whole))
+    start = F.col("x0") + F.col("at") * F.col("per_char")
+    return placed.select(
+        *LINE, "word_num", F.col("word").alias("text"), "confidence", start.alias("wx0"),
+        F.least(F.col("x1"), start + size * F.col("per_char")).alias("wx1"), "y0", "y1",
     )
 
 

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from quire.sources.tables import table
 
 
+def _documents(spark: SparkSession, root: str | DataFrame) -> DataFrame:
+    """The documents below a root, or those given (as by a stream)."""
+    return root if isinstance(root, DataFrame) else table(spark, root, "documents")
+
+
 def lines(spark: SparkSession, root: str) -> DataFrame:
     split = F.split("text", "\n")
-    return table(spark, root, "documents").select(
+    return _documents(spark, root).select(
         "doc_id", F.size(split).alias("n_lines"), F.posexplode_outer(split).alias("pos", "line")
     )
 
@@ -54,7 +59,7 @@ def _order(pos):
 
 def bibliography(spark: SparkSession, root: str) -> DataFrame:
     doc, i = F.col("doc_id"), F.col("i")
-    docs = table(spark, root, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
+    docs = _documents(spark, root).select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
     rows = docs.select("*", F.explode(F.sequence(F.lit(0), (2 + doc % 2).cast("int"))).alias("i"))
     name = F.when((doc + i) % 3 == 0, "Okafor and Lindqvist").when((doc + i) % 3 == 1, "Marchetti").otherwise("Lindqvist")
     topic = ((doc * 7 + i * 3) % 50).cast("string")
@@ -120,7 +125,7 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
     doc = F.col("doc_id")
     split = F.split("text", "\n")
     last = F.size(split) + 2 + doc % 2
-    return table(spark, root, "documents").select(
+    return _documents(spark, root).select(
         "doc_id",
         F.nullif(F.trim(split[0]), F.lit("")).alias("title"),
         F.array(

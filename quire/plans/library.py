@@ -81,7 +81,7 @@ def classify_ocr_line(spark, root):
 
 _LINES_SQL = """usable as (select *, conf/100.0::double as c, greatest(0.0::double,"left"/612.0::double) as wx0, greatest(0.0::double,top/792.0::double) as wy0,
   least(1.0::double,("left"+width)/612.0::double) as wx1, least(1.0::double,(top+height)/792.0::double) as wy1 from words where length(trim(text))>0 and conf>=0),
- olines as (select doc_id, page_number, block_num, par_num, line_num, string_agg(trim(text),' ' order by wx0, word_num) as text, avg(c) as confidence, count(*) as n_words,
+ olines as (select doc_id, page_number, block_num, par_num, line_num, string_agg(trim(text),' ' order by wx0, word_num) as text, avg(c) as confidence, sum(conf) as conf_sum, count(*) as n_words,
   min(wx0) as x0, min(wy0) as y0, max(wx1) as x1, max(wy1) as y1 from usable group by doc_id, page_number, block_num, par_num, line_num)"""
 
 
@@ -101,14 +101,14 @@ def ocr_page_confidence(spark, root):
 
 
 @register("ocr_line_filter_and_word_boxes", S.query(S.LINES, S.BODY, S.WORDS, _LINES_SQL, f"""chosen as (
-  select *, string_split_regex({S.strip('text')},'\\s+') as ws from olines where confidence>=0.745::double),
+  select *, string_split_regex({S.strip('text')},'\\s+') as ws from olines where conf_sum>=70*n_words),
  spread as (select *, unnest(range(len(ws))) as word_num, unnest(ws) as word from chosen),
  placed as (select *, (x1-x0)/greatest(1,length(array_to_string(ws,' '))) as per_char,
    coalesce(sum(length(word)+1) over (partition by doc_id, line_num order by word_num rows between unbounded preceding and 1 preceding),0) as off from spread)""", select="""
  select doc_id, page_number, block_num, par_num, line_num, word_num, word as text, round(confidence+1e-9::double,6) as confidence, round(x0+off*per_char+1e-9::double,6) as wx0,
   round(least(x1, x0+off*per_char+length(word)*per_char)+1e-9::double,6) as wx1, y0, y1 from placed"""))
 def ocr_line_filter_and_word_boxes(spark, root):
-    words = O.line_words(O.words_to_lines(derived.words(spark, root)), 0.745)
+    words = O.line_words(O.words_to_lines(derived.words(spark, root)))
     return words.select(*O.LINE, "word_num", "text", _rounded("confidence").alias("confidence"), _rounded("wx0").alias("wx0"), _rounded("wx1").alias("wx1"), "y0", "y1")
 
 

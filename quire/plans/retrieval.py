@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import classify
+from quire import fixed
+from quire.functions import classify, ngrams
 from quire.functions import vectors as V
 from quire.operators import answers as A
 from quire.operators import chunking, embedding, search
@@ -79,14 +80,11 @@ def order_chunks(spark, root):
 
 # --- vectors -------------------------------------------------------------------------------------
 
-def _grams(source, key, text):
-    return f"""select {key}, unnest(list_concat(w, list_transform(range(1,len(w)), lambda i: w[i]||' '||w[i+1]))) as term
-     from (select {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from {source})"""
-
-
 def _counts(name, source, key, text):
-    return f"""{name} as (select {key}, ('0x'||substr(md5(term),1,8))::bigint % 384 as bucket, count(*) as cnt
-     from ({_grams(source, key, text)}) group by all)"""
+    pairs = f"list_transform(range(1,len(h)), lambda i: (h[i]*{ngrams.PAIR_FACTOR}+h[i+1]) % {fixed.EMBEDDING_DIM})"
+    return f"""{name} as (select {key}, bucket, count(*) as cnt from (
+      select {key}, unnest(list_concat(list_transform(h, lambda x: x % {fixed.EMBEDDING_DIM}), {pairs})) as bucket from (
+       select {key}, list_transform(regexp_extract_all(lower({text}), '{fixed.WORD}'), lambda x: ('0x'||substr(md5(x),1,8))::bigint) as h from {source})) group by all)"""
 
 
 def _weights(name, counts, source, key):

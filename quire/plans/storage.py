@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.plans import derived
 from quire.plans import derived_sql as S
+from quire.plans.extraction import CITE_VIEWS
 from quire.plans.registry import register
-from quire.plans.retrieval import VECTORS, _vector_index
-from quire.plans.structure import _CHUNKS, _PLACED
+from quire.plans.retrieval import ALL_CHUNK_VIEWS, CHUNK_WEIGHTS, VECTORS, _vector_index
 from quire.session import scratch_path
 from quire.sources import documents as D
 from quire.sources import index as ix
@@ -149,17 +149,50 @@ def chatml_templates(spark, root):
     return D.chatml_rows(table(spark, root, "benchmark"), _TEMPLATES, "item_id", "You review papers.", "Review this.")
 
 
-_RAW = f"""elements as (select doc_id, pos, (floor(pos/8)+1)::int as page_number, (pos%8)::int as reading_order, case when pos=0 then 'title' else 'paragraph' end as element_type,
- {S.strip('line')} as content, null::double as x0, null::double as y0, null::double as x1, null::double as y1 from lines where length({S.strip('line')})>0)"""
+# --- ingestion -----------------------------------------------------------------------------------
 
+#: The documents that are left: some are sent again without content.
+_ARRIVED = "arrived as (select * from documents where not (doc_id%5<>0 and doc_id%11=4))"
 
-@register("stream_ingest", S.query(S.LINES, _RAW, _PLACED, _CHUNKS, select="""
- select chunk_id, doc_id, chunk_type, page_number, token_count, md5(content) as content_md5 from text_chunks""", recursive=True))
-def stream_ingest(spark, root):
+
+def _arriving(*views):
+    return (_ARRIVED, *[v.replace("from documents", "from arrived") for v in views])
+
+
+def _parsed(documents):
+    spark, documents = documents.sparkSession, documents.where("text <> ''")
+    return {"elements": derived.elements(spark, documents), "tables": derived.tables(spark, documents), "figures": derived.figures(spark, documents)}
+
+
+def _ingested(spark, root):
+    """An index of two unequal batches, the second one tried twice.
+
+    The first batch holds drafts of some documents; the second brings their
+    texts and the rest, and sends some documents again empty.
+    """
     base = scratch_path(spark, "stream")
-    arriving = f"{root.rstrip('/')}/documents.parque[t]"  # a pattern, so that a single file works as well as a folder
-    query = ingest.stream_ingest(spark, arriving, f"{base}/index", f"{base}/checkpoint", f"{base}/frequencies")
-    query.awaitTermination()
-    return ingest.current_index(spark, f"{base}/index").select(
-        "chunk_id", "doc_id", "chunk_type", "page_number", "token_count", F.md5("content").alias("content_md5")
+    docs, n = table(spark, root, "documents").select("doc_id", "text", "lang", "source", "n_chars"), F.col("doc_id")
+    draft, gone = n % 7 == 3, n % 11 == 4
+    first = docs.where(n % 5 != 0).withColumn("text", F.when(draft, F.concat(F.lit("Draft\n"), "text", F.lit("\nlast words of the draft"))).otherwise(F.col("text")))
+    second = docs.where((n % 5 == 0) | draft | gone).withColumn("text", F.when((n % 5 != 0) & gone, "").otherwise(F.col("text")))
+    for part in (first, second):
+        part.write.mode("append").parquet(f"{base}/arriving")
+        ingest.stream_ingest(spark, f"{base}/arriving", f"{base}/index", f"{base}/checkpoint", _parsed).awaitTermination()
+    ingest.ingest_batch(second, 1, f"{base}/index", _parsed)
+    return f"{base}/index"
+
+
+@register("stream_ingest", S.query(*_arriving(*ALL_CHUNK_VIEWS), *CHUNK_WEIGHTS, """vectors as (select chunk_id, count(*) as n_buckets, round(sum(weight),5) as total from cw group by chunk_id)""", select="""
+ select chunk_id, doc_id, chunk_type, page_number, token_count, md5(content) as content_md5, coalesce(n_buckets,0) as n_buckets, coalesce(total,0.0::double) as total
+ from all_chunks left join vectors using (chunk_id)""", recursive=True))
+def stream_ingest(spark, root):
+    e = F.col("embedding")
+    return ingest.current_index(spark, _ingested(spark, root)).select(
+        "chunk_id", "doc_id", "chunk_type", "page_number", "token_count", F.md5("content").alias("content_md5"),
+        F.size(F.filter(e, lambda x: x > 0)).alias("n_buckets"), F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 5).alias("total"),
     )
+
+
+@register("stream_citations", S.query(*_arriving(*CITE_VIEWS), select="select citation_id, doc_id, kind, cite_key, reference_id from linked"))
+def stream_citations(spark, root):
+    return ingest.current_citations(spark, _ingested(spark, root)).select("citation_id", "doc_id", "kind", "cite_key", "reference_id")

@@ -1,17 +1,21 @@
 """Operators on small hand-built inputs, and against brute force in plain Python."""
 
+import hashlib
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import classify
+from quire.functions import classify, ngrams
 from quire.functions import text as T
 from quire.operators import chunking, citations, embedding, equations, graph, layout, recognition, scans, search, sections
 from quire.sources import documents as D
 from quire.sources import index as ix
+from quire.streaming import ingest
 
 ELEMENT = "doc_id long, pos int, page_number int, reading_order int, element_type string, content string, x0 double, y0 double, x1 double, y1 double, font_size double, is_bold boolean"
 
@@ -244,6 +248,64 @@ def test_search_fallback(spark):
     assert [(h.id, h.attempt) for h in search.search_fallback(q, index, 5, only).collect()] == [("o", 1)]
 
 
+def sparse(t, dim=384):
+    words = [w for w in re.findall(r"\w{2,}", t.lower())]
+    code = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words]
+    return sorted(Counter([c % dim for c in code] + [(a * 31 + b) % dim for a, b in zip(code, code[1:])]).items())
+
+
+def test_counts_and_weights(spark, monkeypatch):
+    texts = [None, "", "a b", "One two one TWO", "Ünder_9 x１２ 東京 é!", "word " * 500, "one"]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, content string, bucket string")
+    for limit in (1 << 21, 5):
+        monkeypatch.setattr(ngrams, "_CHARS", limit)
+        got = {r.id: r for r in embedding.with_counts(df, "content").collect()}
+        assert got[0].buckets is None and got[0].counts is None
+        for i, t in enumerate(texts[1:], 1):
+            assert list(zip(got[i].buckets, got[i].counts)) == sparse(t)
+    n = sum(t is not None for t in texts)
+    df_of = Counter(b for t in texts if t for b, _ in sparse(t))
+    found = {r.id: r.embedding for r in embedding.tfidf_vectors(df, "content").collect()}
+    assert found[0] is None and set(found[1]) == {0.0} and len(found[1]) == 384
+    for i, t in enumerate(texts[1:], 1):
+        raw = np.zeros(384)
+        for b, c in sparse(t):
+            raw[b] = c * (np.log((1 + n) / (1 + df_of[b])) + 1)
+        assert np.allclose(found[i], raw / (np.linalg.norm(raw) or 1))
+    weights = embedding.tfidf(df, "id", "content").collect()
+    assert len(weights) == sum(len(sparse(t)) for t in texts if t) and embedding.hash_ngrams(df.limit(0), "id", "content").count() == 0
+
+
+def test_batches_give_the_index_of_one(spark, tmp_path):
+    """Unequal batches, a retry, documents sent again and withdrawn: the same chunks and vectors as one batch of what is left."""
+    schema = ingest.DOCUMENT_SCHEMA
+    doc = lambda i, t: (i, t, "en", "s", 1)
+    text = lambda i: f"Title {i}\nsome words about topic{i % 4} here\n$$x_{i} = y^2$$ is shown\nFigure {i}: a line chart"
+    first = spark.createDataFrame([doc(i, text(i)) for i in range(9)] + [doc(20, "Draft only\nrare words vanish"), doc(21, "To go\nsoon")], schema)
+    second = spark.createDataFrame([doc(30, text(30)), doc(20, text(20)), doc(21, ""), doc(22, None)], schema)
+    third = spark.createDataFrame([doc(30, text(31))], schema)
+    whole = spark.createDataFrame([doc(i, text(i)) for i in range(9)] + [doc(20, text(20)), doc(30, text(31))], schema)
+
+    def state(path):
+        rows = ingest.current_index(spark, path).collect()
+        assert {"chunk_id", "doc_id", "chunk_type", "content", "embedding"} <= set(rows[0].asDict())
+        return {r.chunk_id: (r.content, tuple(round(x, 12) for x in r.embedding)) for r in rows}
+
+    for batch, part in enumerate((first, second)):
+        ingest.ingest_batch(part, batch, f"{tmp_path}/a")
+    once = state(f"{tmp_path}/a")
+    ingest.ingest_batch(second, 1, f"{tmp_path}/a")
+    assert state(f"{tmp_path}/a") == once
+    ingest.ingest_batch(third, 2, f"{tmp_path}/a")
+    ingest.ingest_batch(third, 2, f"{tmp_path}/a")
+    ingest.ingest_batch(whole, 0, f"{tmp_path}/b")
+    assert state(f"{tmp_path}/a") == state(f"{tmp_path}/b")
+    assert any(k.startswith("equation:") for k in state(f"{tmp_path}/b"))
+    seen = {r.doc_id: r.n_chunks for r in ingest.current_documents(spark, f"{tmp_path}/a").collect()}
+    assert seen[21] == seen[22] == 0 and seen[30] > 0 and len(seen) == 13
+
+
 def test_custom_embedder(spark):
     chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, content string")
     got = embedding.embed_chunks(chunks, embedder=lambda texts: [[0.1] * 4 for _ in texts]).collect()
