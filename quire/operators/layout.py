@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions import classify, geometry
 from quire.functions import text as T
+from quire.operators.folds import ordered_fold
 from quire.session import prepared
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -20,68 +21,34 @@ def classify_regions(elements: DataFrame) -> DataFrame:
     )
 
 
-@prepared
-def merge_regions(regions: DataFrame, gap: float = fixed.REGION_GAP) -> DataFrame:
+def _merging(gap: float):
+    """Marks the rows that begin a merged region; the state is its type and its bottom edge so far."""
+
+    def step(state, types, tops, bottoms):
+        kind, bottom = state or (None, None)
+        marks = []
+        for t, top, low in zip(types, tops, bottoms):
+            boxed = top is not None and low is not None
+            joins = boxed and bottom is not None and t == kind and abs(top - bottom) <= gap
+            marks.append(int(not joins))
+            kind, bottom = t, (max(bottom, low) if joins else low if boxed else None)
+        return marks, [kind, bottom]
+
+    return step
+
+
+def merge_regions(regions: DataFrame, gap: float = fixed.REGION_GAP, pieces: int | None = None) -> DataFrame:
     """Join vertically adjacent regions of one type on a page.
 
-    Regions are taken by (y0, list position). A change of type or a missing box
-    always separates, and once a region reaches lower than everything before it
-    the extent of the merged region is known without history. Cutting at those
-    points leaves short runs, and only a run's own remaining members are folded.
+    Regions are taken by (y0, list position); one joins the merged region in
+    front when both have boxes and its top is within ``gap`` of that one's bottom edge.
+    A page may lie in any number of tasks (see folds).
     """
     if "confidence" not in regions.columns:
         regions = regions.withColumn("confidence", F.lit(1.0))
-    page = Window.partitionBy("doc_id", "page_number").orderBy("_top", "pos")
-    before = page.rowsBetween(Window.unboundedPreceding, -1)
-    lagged = regions.withColumn("_top", F.coalesce("y0", F.lit(0.0))).select(
-        "*",
-        F.lag("region_type").over(page).alias("_type"),
-        F.lag("y1").over(page).alias("_prev_y1"),
-    )
-    broken = (
-        F.col("_type").isNull() | (F.col("_type") != F.col("region_type"))
-        | F.col("y0").isNull() | F.col("_prev_y1").isNull()
-    )
-    runs = lagged.withColumn("_run", F.sum(broken.cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    in_run = Window.partitionBy("doc_id", "page_number", "_run").orderBy("_top", "pos")
-    deepest = F.max("y1").over(in_run.rowsBetween(Window.unboundedPreceding, -1))
-    stretched = runs.withColumn("_deepest", deepest).withColumn(
-        "_lowest", F.col("_deepest").isNull() | (F.col("y1") >= F.col("_deepest")) | F.col("y0").isNull()
-    )
-    # a stretch starts at a row whose bottom edge is the lowest so far
-    stretches = stretched.withColumn(
-        "_stretch", F.sum(F.col("_lowest").cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    # whether that first row itself joins depends only on the end of the stretch before
-    item = F.struct("_top", "pos", "y0", "y1")
-    folded = stretches.groupBy("doc_id", "page_number", "_run", "_stretch").agg(
-        F.array_sort(F.collect_list(item)).alias("items")
-    )
-    state = "struct<y1:double,cuts:array<bigint>>"
-    fold = (
-        "aggregate(slice(items, 2, size(items)), "
-        f"cast(named_struct('y1', items[0].y1, 'cuts', array()) as {state}), "
-        f"(s, e) -> case when abs(e.y0 - s.y1) <= {gap!r}D "
-        "then named_struct('y1', greatest(s.y1, e.y1), 'cuts', s.cuts) "
-        "else named_struct('y1', e.y1, 'cuts', concat(s.cuts, array(cast(e.pos as bigint)))) end)"
-    )
-    ends = folded.withColumn("_f", F.expr(fold))
-    by_stretch = Window.partitionBy("doc_id", "page_number", "_run").orderBy("_stretch")
-    first = F.col("items")[0]
-    ends = ends.withColumn("_before", F.lag("_f.y1").over(by_stretch))
-    # the first row of a stretch is at least as low as all before it, so joining never changes its bottom edge
-    head_cut = F.col("_before").isNull() | (F.abs(first["y0"] - F.col("_before")) > gap)
-    cuts = ends.select(
-        "doc_id", "page_number",
-        F.explode_outer(F.concat(
-            F.when(head_cut, F.array(first["pos"].cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
-            F.col("_f.cuts"),
-        )).alias("pos"),
-    ).where("pos is not null").withColumn("_cut", F.lit(1))
-    started = lagged.join(cuts, ["doc_id", "page_number", "pos"], "left").withColumn(
-        "region_ord", F.sum(F.coalesce("_cut", F.lit(0))).over(page.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    return started.groupBy("doc_id", "page_number", "region_ord").agg(
+    placed = regions.withColumn("_top", F.coalesce("y0", F.lit(0.0)))
+    started = ordered_fold(placed, ["doc_id", "page_number"], ["_top", "pos"], ["region_type", "y0", "y1"], _merging(gap), pieces)
+    return started.groupBy("doc_id", "page_number", F.col("ord").alias("region_ord")).agg(
         F.first("region_type").alias("region_type"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.min("confidence").alias("confidence"),
@@ -201,26 +168,38 @@ def crop_table_regions(captions: DataFrame, rules: DataFrame, reach: float = 350
     """Page area of each captioned table from the horizontal rules near its caption.
 
     A rule counts when it is at least 80 wide, at most 5 high and its top is less
-    than ``reach`` points from the caption's top or bottom. Minimum and maximum
-    over the two ranges come from range windows over rules and captions laid on
-    one line, so caption-rule pairs are never formed; rules at the same height
-    collapse to their extent first. Without rules the area is 240 points below.
+    than ``reach`` points from the caption's top or bottom. Without rules the area is 240 points below.
+
+    The page is cut into bands of height ``reach``. A range of ``reach`` on both
+    sides of an edge is the end of the band above, the edge's own band and the
+    beginning of the band below, so its extremes come from running ones within
+    bands: linear work, no caption-rule pairs, and a page in as many tasks as it has bands.
+    Rules at the same height collapse to their extent first.
     """
     page = ["doc_id", "page_number"]
     extent = rules.where((F.col("x1") - F.col("x0") >= 80) & (F.col("y1") - F.col("y0") <= 5)).groupBy(
         *page, F.col("y0").alias("at")
     ).agg(F.min("x0").alias("rx0"), F.max("x1").alias("rx1"), F.max("y1").alias("ry1"))
-    marks = extent.select(*page, "at", F.col("at").alias("ry0"), "rx0", "rx1", "ry1", F.lit(None).cast("bigint").alias("caption_pos"))
-    nothing = [F.lit(None).cast("double").alias(c) for c in ("ry0", "rx0", "rx1", "ry1")]
-    asks = [captions.select(*page, F.col(edge).alias("at"), *nothing, F.col("pos").cast("bigint").alias("caption_pos")) for edge in ("y0", "y1")]
-    near = (f"over (partition by doc_id, page_number order by at "
-            f"range between {reach - 1e-9!r}D preceding and {reach - 1e-9!r}D following)")
-    line = marks.unionByName(asks[0]).unionByName(asks[1])
-    seen = line.select(
-        *page, "caption_pos",
-        F.expr(f"min(ry0) {near}").alias("ry0"), F.expr(f"max(ry1) {near}").alias("ry1"),
-        F.expr(f"min(rx0) {near}").alias("rx0"), F.expr(f"max(rx1) {near}").alias("rx1"),
-    ).where("caption_pos is not null")
+    band = F.floor(F.col("at") / reach)
+    mark = F.struct(F.col("at").alias("ry0"), "ry1", "rx0", "rx1")
+    marks = extent.select(*page, band.alias("band"), "at", F.lit(1).alias("turn"), mark.alias("m"), F.lit(None).cast("bigint").alias("caption_pos"), F.lit(0).alias("part"))
+    edges = captions.select(*page, F.explode(F.array("y0", "y1")).alias("at"), F.col("pos").cast("bigint").alias("caption_pos"))
+    # an edge asks three bands: what lies behind (edge - reach), all of its own, what lies before (edge + reach)
+    asked = [(-1, F.col("at") - reach, 1), (0, F.lit(float("-inf")), 1), (1, F.col("at") + reach, 2)]
+    none = F.lit(None).cast("struct<ry0:double,ry1:double,rx0:double,rx1:double>").alias("m")
+    line = marks
+    for shift, place, part in asked:
+        # a rule at the very place does not count: questions come first in either direction
+        line = line.unionByName(edges.select(*page, (band + shift).alias("band"), place.alias("at"), F.lit(0).alias("turn"), none, "caption_pos", F.lit(part).alias("part")))
+    own = Window.partitionBy(*page, "band")
+    behind = own.orderBy(F.desc("at"), "turn").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = own.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+
+    def extremes(window):
+        return F.struct(F.min("m.ry0").over(window).alias("ry0"), F.max("m.ry1").over(window).alias("ry1"), F.min("m.rx0").over(window).alias("rx0"), F.max("m.rx1").over(window).alias("rx1"))
+
+    seen = line.withColumn("b", extremes(behind)).withColumn("a", extremes(ahead)).where("caption_pos is not null")
+    seen = seen.select(*page, "caption_pos", F.when(F.col("part") == 1, F.col("b")).otherwise(F.col("a")).alias("e")).select(*page, "caption_pos", "e.*")
     nearby = seen.groupBy(*page, "caption_pos").agg(
         F.min("ry0").alias("ry0"), F.max("ry1").alias("ry1"), F.min("rx0").alias("rx0"), F.max("rx1").alias("rx1")
     )
@@ -242,29 +221,32 @@ def crop_table_regions(captions: DataFrame, rules: DataFrame, reach: float = 350
     )
 
 
-def dedupe_crops(regions: DataFrame, tolerance: float = 40.0) -> DataFrame:
+def _keeping(tolerance: float):
+    """Marks the regions that no kept one covers; the state is the extents kept, at most a page's height apart."""
+
+    def step(state, tops, bottoms):
+        kept, marks = list(state or []), []
+        for top, bottom in zip(tops, bottoms):
+            new = not any(abs(a - top) < tolerance and abs(b - bottom) < tolerance for a, b in kept)
+            marks.append(int(new))
+            if new:
+                kept.append([top, bottom])
+        return marks, kept
+
+    return step
+
+
+def dedupe_crops(regions: DataFrame, tolerance: float = 40.0, pieces: int | None = None) -> DataFrame:
     """Drop a region whose top and bottom are both within ``tolerance`` of an earlier kept one on its page.
 
     Repeats of the same extent are dropped up front (they share their first
     one's fate or are covered by it), which aggregates map-side. What remains of
-    a page is folded in list order; kept regions differ by the tolerance, so the
-    state is bounded by the page height.
+    a page is folded in list order, in any number of tasks (see folds); kept
+    regions differ by the tolerance, so the state is bounded by the page height.
     """
     distinct = regions.groupBy("doc_id", "page_number", "y0", "y1").agg(F.min("caption_pos").alias("caption_pos"))
-    item = F.struct("caption_pos", "y0", "y1")
-    kind = "array<struct<caption_pos:bigint,y0:double,y1:double>>"
-    fold = (
-        f"aggregate(items, cast(array() as {kind}), (kept, r) -> "
-        f"case when exists(kept, q -> abs(q.y0 - r.y0) < {tolerance!r}D and abs(q.y1 - r.y1) < {tolerance!r}D) "
-        "then kept else concat(kept, array(r)) end)"
-    )
-    kept = (
-        distinct.groupBy("doc_id", "page_number")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-        .select("doc_id", "page_number", F.explode_outer(F.expr(fold)).alias("r"))
-        .where("r is not null")
-        .select("doc_id", "page_number", "r.caption_pos")
-    )
+    folded = ordered_fold(distinct, ["doc_id", "page_number"], ["caption_pos", "y0", "y1"], ["y0", "y1"], _keeping(tolerance), pieces)
+    kept = folded.where("mark = 1").select("doc_id", "page_number", "caption_pos")
     return regions.join(kept, ["doc_id", "page_number", "caption_pos"], "left_semi")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import classify
 from quire.functions import text as T
+from quire.operators.folds import ordered_fold, running_number
 
 LINE = ["doc_id", "page_number", "block_num", "par_num", "line_num"]
 
@@ -140,53 +141,62 @@ def route_pipeline(pages: DataFrame, documents: DataFrame | None = None, min_cha
                          F.when(avg < min_chars, "scanned").otherwise("digital").alias("pipeline_type"))
 
 
-def words_to_grid(words: DataFrame, keys: list[str], row_gap: float = 5.0, column_gap: float = 30.0) -> DataFrame:
+def _rows_by_mean(gap: float):
+    """Marks the heights that begin a row; the state is the row's sum of heights and number of words."""
+
+    def step(state, heights, counts):
+        total, n = state or (0.0, 0)
+        marks = []
+        for y, k in zip(heights, counts):
+            joins = n > 0 and abs(y - total / n) <= gap
+            marks.append(int(not joins))
+            total, n = (total + y * k, n + k) if joins else (y * k, k)
+        return marks, [total, n]
+
+    return step
+
+
+def _anchors(gap: float):
+    """Marks the left edges that are column anchors; the state is the last one."""
+
+    def step(state, edges):
+        marks = []
+        for x in edges:
+            new = state is None or abs(x - state) > gap
+            marks.append(int(new))
+            state = x if new else state
+        return marks, state
+
+    return step
+
+
+def words_to_grid(words: DataFrame, keys: list[str], row_gap: float = 5.0, column_gap: float = 30.0, pieces: int | None = None) -> DataFrame:
     """Table cells (keys, row_idx, col_idx, content) from the words of a region (x0, y0, text).
 
     Words sorted by height join the current row while they lie within 5 of its
     mean; column anchors are left edges more than 30 from the anchor before; a
     word goes to the nearest anchor. Both rules depend only on the distinct
-    heights and left edges, so those are counted first and only they are folded;
-    the words themselves are joined back and aggregated per cell.
+    heights and left edges, so those are counted first and only they are folded,
+    a region in any number of tasks (see folds); the words themselves are joined back and aggregated per cell.
     """
     heights = words.groupBy(*keys, "y0").agg(F.count("*").alias("n"))
-    rows_state = "struct<total:double,n:bigint,row:int,out:array<struct<y0:double,row_idx:int>>>"
-    rows = heights.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y0", "n"))).alias("ys")).select(
-        *keys,
-        F.explode_outer(F.expr(
-            f"aggregate(ys, cast(named_struct('total', 0, 'n', 0, 'row', -1, 'out', array()) as {rows_state}), (s, e) -> "
-            f"case when s.n > 0 and abs(e.y0 - s.total / s.n) <= {row_gap!r}D "
-            "then named_struct('total', s.total + e.y0 * e.n, 'n', s.n + e.n, 'row', s.row, "
-            "'out', concat(s.out, array(named_struct('y0', e.y0, 'row_idx', s.row)))) "
-            "else named_struct('total', e.y0 * e.n, 'n', e.n, 'row', s.row + 1, "
-            "'out', concat(s.out, array(named_struct('y0', e.y0, 'row_idx', s.row + 1)))) end, s -> s.out)"
-        )).alias("r"),
-    ).select(*keys, "r.y0", "r.row_idx")
-    cols_state = "struct<anchors:array<double>,out:array<struct<x0:double,col:int>>>"
-    cols = words.select(*keys, "x0").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("x0")).alias("xs")).select(
-        *keys,
-        F.expr(
-            f"aggregate(xs, cast(named_struct('anchors', array(), 'out', array()) as {cols_state}), (s, x) -> "
-            f"case when size(s.anchors) = 0 or abs(x - element_at(s.anchors, -1)) > {column_gap!r}D "
-            "then named_struct('anchors', concat(s.anchors, array(x)), 'out', concat(s.out, array(named_struct('x0', x, 'col', size(s.anchors))))) "
-            "else named_struct('anchors', s.anchors, 'out', concat(s.out, array(named_struct('x0', x, 'col', size(s.anchors) - 1)))) end)"
-        ).alias("f"),
-    ).select(*keys, "f.anchors", F.explode_outer("f.out").alias("c")).select(
-        *keys, "c.x0", F.size("anchors").alias("n_cols"),
-        # the anchor at or before an edge is the nearest, unless the following one is closer
-        F.when(
-            F.try_element_at("anchors", F.col("c.col") + 2) - F.col("c.x0") < F.col("c.x0") - F.element_at("anchors", F.col("c.col") + 1),
-            F.col("c.col") + 1,
-        ).otherwise(F.col("c.col")).alias("col_idx"),
-    )
+    rows = ordered_fold(heights, keys, ["y0"], ["y0", "n"], _rows_by_mean(row_gap), pieces).select(*keys, "y0", (F.col("ord") - 1).cast("int").alias("row_idx"))
+    edges = ordered_fold(words.select(*keys, "x0").distinct(), keys, ["x0"], ["x0"], _anchors(column_gap), pieces)
+    # every edge lies at or behind its own anchor; the next one may be closer
+    anchors = edges.groupBy(*keys, "ord").agg(F.min("x0").alias("anchor"))
+    following = anchors.select(*keys, (F.col("ord") - 1).alias("ord"), F.col("anchor").alias("next"))
+    width = anchors.groupBy(*keys).agg(F.max("ord").cast("int").alias("n_cols"))
+    cols = edges.join(anchors, [*keys, "ord"]).join(following, [*keys, "ord"], "left").join(width, keys)
+    closer = F.coalesce(F.col("next") - F.col("x0") < F.col("x0") - F.col("anchor"), F.lit(False))
+    cols = cols.select(*keys, "x0", "n_cols", (F.col("ord") - F.when(closer, 0).otherwise(1)).cast("int").alias("col_idx"))
     placed = words.join(rows, [*keys, "y0"]).join(cols, [*keys, "x0"])
     ordered = F.array_sort(F.collect_list(F.struct("y0", "x0", "word_num", "text")))
     cells = placed.groupBy(*keys, "row_idx", "col_idx").agg(
         T.strip(F.array_join(F.transform(ordered, lambda w: w["text"]), " ")).alias("content"), F.first("n_cols").alias("n_cols")
     )
     kept = cells.where(F.length("content") > 0)
-    renumbered = F.dense_rank().over(Window.partitionBy(*keys).orderBy("row_idx")) - 1
-    return kept.withColumn("row_idx", renumbered)
+    numbers = running_number(kept.select(*keys, "row_idx").distinct(), keys, ["row_idx"], "_row")
+    return kept.join(numbers, [*keys, "row_idx"]).withColumn("row_idx", F.col("_row").cast("int")).drop("_row")
 
 
 def grid_to_cells(grid: DataFrame, keys: list[str]) -> DataFrame:

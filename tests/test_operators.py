@@ -306,6 +306,97 @@ def test_batches_give_the_index_of_one(spark, tmp_path):
     assert seen[21] == seen[22] == 0 and seen[30] > 0 and len(seen) == 13
 
 
+def spread_pages(dice, rows_of):
+    """One hot page and many small ones."""
+    sizes = [260] + [dice.randrange(1, 9) for _ in range(40)]
+    return [(1 + k // 7, k, i, *rows_of(k)) for k, n in enumerate(sizes) for i in range(n)]
+
+
+@pytest.mark.parametrize("pieces", [None, 5, 16, 60])
+def test_folds_split_a_page(spark, pieces):
+    dice = random.Random(pieces or 1)
+    kinds = ["text", "text", "text", "table"]
+    place = lambda: dice.randrange(0, 300) / 100
+
+    def region(page):
+        top = place()
+        return (dice.choice(kinds), 0.1, None if dice.random() < 0.02 else top, 0.9, top + dice.choice([0.01, 0.02, 0.5]))
+
+    rows = spread_pages(dice, region)
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, pos int, region_type string, x0 double, y0 double, x1 double, y1 double")
+    want = {}
+    for page in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == page), key=lambda r: (r[5] or 0.0, r[2]))
+        merged = []
+        for r in own:
+            last = merged[-1] if merged else None
+            if last and r[5] is not None and last["boxed"] and last["kind"] == r[3] and abs(r[5] - last["low"]) <= 0.02:
+                last["ids"].append(f"{r[0]}:{r[2]}")
+                last["low"] = max(last["low"], r[7])
+            else:
+                merged.append({"kind": r[3], "low": r[7], "boxed": r[5] is not None, "ids": [f"{r[0]}:{r[2]}"]})
+        for k, m in enumerate(merged):
+            want[(*page, k + 1)] = (m["kind"], m["low"], m["ids"])
+    got = {(r.doc_id, r.page_number, r.region_ord): (r.region_type, r.y1, r.element_ids) for r in layout.merge_regions(df, pieces=pieces).collect()}
+    assert got == want
+
+    crops = [(d, p, i, float(dice.randrange(0, 700)), 0.0) for d, p, i, *_ in rows]
+    crops = [(d, p, i, top, top + dice.choice([30.0, 60.0, 200.0])) for d, p, i, top, _ in crops]
+    kept = set()
+    for page in {c[:2] for c in crops}:
+        held = []
+        for c in sorted((c for c in crops if c[:2] == page), key=lambda c: c[2]):
+            if not any(abs(a - c[3]) < 40 and abs(b - c[4]) < 40 for a, b in held):
+                held.append(c[3:])
+                kept.add(c[:3])
+    df = spark.createDataFrame(crops, "doc_id long, page_number int, caption_pos long, y0 double, y1 double")
+    assert {(r.doc_id, r.page_number, r.caption_pos) for r in layout.dedupe_crops(df, pieces=pieces).collect()} == kept
+
+    words = [(d, p, i, f"w{i}" if dice.random() < 0.9 else " ", float(dice.randrange(0, 400)), float(dice.randrange(0, 500))) for d, p, i, *_ in rows]
+    grid = {}
+    for page in {w[:2] for w in words}:
+        own = [w for w in words if w[:2] == page]
+        row_of, total, n, row = {}, 0.0, 0, -1
+        for y in sorted({w[5] for w in own}):
+            k = sum(w[5] == y for w in own)
+            if n and abs(y - total / n) <= 5:
+                total, n = total + y * k, n + k
+            else:
+                total, n, row = y * k, k, row + 1
+            row_of[y] = row
+        anchors = []
+        for x in sorted({w[4] for w in own}):
+            if not anchors or x - anchors[-1] > 30:
+                anchors.append(x)
+        cells = {}
+        for w in sorted(own, key=lambda w: (w[5], w[4], w[2])):
+            col = min(range(len(anchors)), key=lambda c: (abs(anchors[c] - w[4]), c))
+            cells.setdefault((row_of[w[5]], col), []).append(w[3])
+        cells = {k: " ".join(v).strip() for k, v in cells.items() if " ".join(v).strip()}
+        order = {r: i for i, r in enumerate(sorted({r for r, _ in cells}))}
+        grid |= {(*page, order[r], c): (v, len(anchors)) for (r, c), v in cells.items()}
+    df = spark.createDataFrame(words, "doc_id long, page_number int, word_num int, text string, x0 double, y0 double")
+    found = recognition.words_to_grid(df, ["doc_id", "page_number"], pieces=pieces).collect()
+    assert {(r.doc_id, r.page_number, r.row_idx, r.col_idx): (r.content, r.n_cols) for r in found} == grid
+
+
+def test_crops_against_brute_force(spark):
+    dice = random.Random(6)
+    rules = [(1, p, x := float(dice.randrange(0, 300)), y := float(dice.randrange(-800, 1600)), x + dice.choice([50.0, 80.0, 200.0]), y + dice.choice([1.0, 5.0, 9.0])) for p in range(3) for _ in range(60 if p else 2)]
+    captions = [(1, p, i, y := float(dice.randrange(-400, 1200)), y + 10, 612.0, 792.0) for p in range(4) for i in range(25)]
+    want = {}
+    for d, p, i, y0, y1, w, h in captions:
+        near = [r for r in rules if r[1] == p and r[4] - r[2] >= 80 and r[5] - r[3] <= 5 and (abs(r[3] - y0) < 350 or abs(r[3] - y1) < 350)]
+        top = min(r[3] for r in near) - 20 if near else max(0.0, y0 - 5)
+        low = max(r[5] for r in near) + 15 if near else min(h, max(0.0, y0 - 5) + 240)
+        left, right = (max(0.0, min(r[2] for r in near) - 10), min(w, max(r[4] for r in near) + 10)) if near else (0.0, w)
+        want[p, i] = (left, max(0.0, min(y0 - 10, top)), right, min(h, max(low, y1 + 40)))
+    c = spark.createDataFrame(captions, "doc_id long, page_number int, pos int, y0 double, y1 double, page_width double, page_height double")
+    r = spark.createDataFrame(rules, "doc_id long, page_number int, x0 double, y0 double, x1 double, y1 double")
+    got = {(x.page_number, x.caption_pos): (x.x0, x.y0, x.x1, x.y1) for x in layout.crop_table_regions(c, r).collect()}
+    assert got == want
+
+
 def test_custom_embedder(spark):
     chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, content string")
     got = embedding.embed_chunks(chunks, embedder=lambda texts: [[0.1] * 4 for _ in texts]).collect()
