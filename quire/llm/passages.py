@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,12 +20,8 @@ MIN_WORDS = 20
 REACH = 3
 
 _NEWLINE = 10
-_MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in ".!?,;:"]] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
-_CAPITALS = np.zeros(256, bool)
-_CAPITALS[ord("A") : ord("Z") + 1] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 
@@ -35,48 +31,26 @@ class Units(NamedTuple):
     start: np.ndarray  # first byte, counted from the start of its text
     end: np.ndarray  # byte after the last one; white space behind a unit belongs to it
     words: np.ndarray
-    digest: np.ndarray
-
-
-def cut_units(texts: list[bytes]) -> Units:
-    """The units of some texts: lines, cut further behind the end of a sentence or clause and before a capital.
-
-    A digest covers the words in lower case, so white space and case do not
-    matter. White space before the first word belongs to no unit.
-    """
-    data, first, last, hashes = byte_words(texts)
-    base = np.cumsum([0] + [len(t) + 1 for t in texts])
-    if not len(first):
-        none = np.zeros(0, np.int64)
-        return Units(none, none, none, none, none)
-    lines = np.cumsum(data == _NEWLINE)
-    before, head = data[last[:-1] - 1], data[first[1:]]
-    second = data[np.minimum(first[1:] + 1, len(data) - 1)]
-    accented = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)  # À to Þ
-    new = np.append(True, (lines[first[1:]] > lines[last[:-1] - 1]) | _MARKS[before] | _CAPITALS[head] | accented)
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(first)))
-    place = np.arange(len(first)) - np.repeat(at, count)
-    powers = np.full(int(count.max()), _FACTOR)
-    powers[0] = 1
-    digest = mixed(np.add.reduceat(hashes * np.cumprod(powers)[place], at) + count.astype(np.uint64)).view(np.int64)
-    text = np.searchsorted(base, first[at], side="right") - 1
-    follows = np.append(text[1:] == text[:-1], False)
-    end = np.where(follows, np.append(first[at][1:], 0), base[text + 1] - 1)
-    return Units(text, first[at] - base[text], end - base[text], count, digest)
 
 
 class Chains(NamedTuple):
-    units: Units  # the digest of a unit is that of the chain which starts with it
-    stop: np.ndarray  # number of the unit behind the chain; 0 where the text ends before it has enough words
+    """Runs of units that are compared, in order of their place."""
+
+    text: np.ndarray
+    start: np.ndarray  # number of the first unit
+    stop: np.ndarray  # number of the unit behind the last one
+    digest: np.ndarray
 
 
-def cut_chains(texts: list[bytes], min_words: int = MIN_WORDS) -> Chains:
-    """Units of lines and sentences, and for each the chain of it and its next units up to `min_words` words or more.
+def cut_chains(texts: list[bytes], min_words: int = MIN_WORDS) -> tuple[Units, Chains]:
+    """Units of lines and sentences, and the chains of them that are compared.
 
     A unit also ends behind a word whose hash is the least within REACH words,
     which falls alike in every copy of a passage, in any script and without marks.
 
+    Chains: every unit with its next units up to `min_words` words or more; the last
+    such start of a text, and of each line, with all units to the end of it, so that
+    nothing of an equal text or line lies under no chain; and a text of fewer words as a whole.
     A digest covers the words of the whole chain in lower case and their order,
     not the units they fall into. Capitals cut nothing, so text in capitals has units as other text has.
     """
@@ -84,7 +58,7 @@ def cut_chains(texts: list[bytes], min_words: int = MIN_WORDS) -> Chains:
     base = np.cumsum([0] + [len(t) + 1 for t in texts])
     none = np.zeros(0, np.int64)
     if not len(first):
-        return Chains(Units(none, none, none, none, none), none)
+        return Units(none, none, none, none), Chains(none, none, none, none)
     lines = np.cumsum(data == _NEWLINE)
     owner = np.searchsorted(base, first, side="right") - 1
     least = np.ones(len(first), bool)
@@ -98,50 +72,52 @@ def cut_chains(texts: list[bytes], min_words: int = MIN_WORDS) -> Chains:
     text = owner[at]
     follows = np.append(text[1:] == text[:-1], False)
     end = np.where(follows, np.append(first[at][1:], 0), base[text + 1] - 1)
+
+    unit = np.arange(len(at))
     final = np.searchsorted(behind, at + min_words)
     whole = final < len(at)
     whole[whole] = text[final[whole]] == text[whole]
+    starts, stops = [unit[whole]], [final[whole] + 1]
+    # numbers of texts and lines ascend with the units, so each is a run of them
+    for group in (text, lines[first[at]]):
+        stop = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+        begin = np.append(0, stop[:-1])
+        # the last unit from which there are enough words to the end of the run
+        start = np.searchsorted(at, behind[stop - 1] - min_words, side="right") - 1
+        long = start >= begin
+        starts.append(start[long])
+        stops.append(stop[long])
+        if group is text:
+            starts.append(begin[~long])
+            stops.append(stop[~long])
+    # in order of their place; an end that a unit's own chain reaches, or that a line and its text share, is one chain
+    start, stop = np.divmod(np.unique(np.concatenate(starts) * (len(at) + 1) + np.concatenate(stops)), len(at) + 1)
+
     powers, inverse = np.full(len(first), _FACTOR), np.full(len(first), _INVERSE)
     powers[0] = inverse[0] = 1
     sums = np.append(np.uint64(0), np.cumsum(hashes * np.cumprod(powers)))
-    size = behind[np.where(whole, final, 0)] - at
-    digest = mixed((sums[at + np.where(whole, size, 0)] - sums[at]) * np.cumprod(inverse)[at] + size.astype(np.uint64)).view(np.int64)
-    return Chains(Units(text, first[at] - base[text], end - base[text], behind - at, digest), np.where(whole, final + 1, 0))
+    size = behind[stop - 1] - at[start]
+    digest = mixed((sums[at[start] + size] - sums[at[start]]) * np.cumprod(inverse)[at[start]] + size.astype(np.uint64)).view(np.int64)
+    return Units(text, first[at] - base[text], end - base[text], behind - at), Chains(text[start], start, stop, digest)
 
 
 def chain_digests(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, row (a hash of id and text), digests of all chains in order; a text's last units start none."""
+    """doc_id, row (a hash of id and text), digests of all chains in order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text", 2 << 20):
-                units, stop = cut_chains(texts, min_words)
-                own = stop > 0
-                edges = np.searchsorted(units.text[own], np.arange(len(texts) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(units.digest[own], pa.int64()))
+                _, chains = cut_chains(texts, min_words)
+                edges = np.searchsorted(chains.text, np.arange(len(texts) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(chains.digest, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "row", "digests"])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
     return columns.mapInArrow(rows, "doc_id long, row long, digests array<long>")
 
 
-def unit_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of id and text), digests of all units in order."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, "text", 2 << 20):
-                units = cut_units(texts)
-                edges = np.searchsorted(units.text, np.arange(len(texts) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(units.digest, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "row", "digests"])
-
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    return columns.mapInArrow(rows, "doc_id long, row long, digests array<long>")
-
-
-def repeated_units(units: DataFrame) -> DataFrame:
-    """row, places: the units (or chains) of each text that occurred before, ranked by (doc_id, row, place).
+def repeated_chains(units: DataFrame) -> DataFrame:
+    """row, places: the chains of each text that occurred before, ranked by (doc_id, row, place).
 
     `places` has their place and, if the earliest one is in the same text, its place as `back` (else null).
 
@@ -162,67 +138,38 @@ def repeated_units(units: DataFrame) -> DataFrame:
     return again.groupBy("row").agg(F.collect_set(F.struct("place", back)).alias("places"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of `docs`, texts without their repeated passages, and what was removed.
 
     Adds `removed` (spans: first and end code point in the original text),
-    `n_units` and `removed_words`. Of equal units everywhere the one with the
-    smallest (doc_id, place) stays; runs of other occurrences, one behind the other in
-    their text, go if they have `min_words` words. Rows that repeat both id and text
-    count as one document, null ids rank last, null texts stay null, extra columns
-    are passed on (columns named like the added ones are replaced).
-    """
-
-    def repeated(texts: list[bytes], places: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
-        units = cut_units(texts)
-        edges = np.searchsorted(units.text, np.arange(len(texts) + 1))
-        held = np.zeros(len(units.text), bool)
-        for i in range(len(texts)):
-            found = places[i].as_py()
-            if found:
-                held[edges[i] + np.array([x["place"] for x in found])] = True
-        # runs of repeated units within a text, and their words
-        head = held & ~np.append(False, held[:-1] & (units.text[1:] == units.text[:-1])) if len(held) else held
-        run = np.cumsum(head) - 1
-        words = np.bincount(run[held], weights=units.words[held]) if held.any() else np.zeros(0)
-        gone = held.copy()
-        gone[held] = words[run[held]] >= min_words
-        return units, edges, gone
-
-    return _without(docs, repeated_units(save(unit_digests(docs), "units")), repeated)
-
-
-def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """As remove_repeats(), but only words that follow one another as they did before count as repeated.
-
-    Chains of at least `min_words` words are compared, not single units: of equal
-    chains everywhere the one with the smallest (doc_id, place) stays, and units go
-    that lie under another one. In one text, a chain that overlaps its
-    earliest copy stays. Texts of fewer words stay.
+    `n_units` and `removed_words`. Only words that follow one another as they did before
+    count as repeated: of equal chains (see cut_chains) everywhere the one with the
+    smallest (doc_id, place) stays, and units go that lie under another one. So the words of
+    an equal text, or of an equal line of `min_words` words or more, go altogether; white space in front of
+    the first word stays. In one text, a chain that overlaps its earliest copy stays.
+    Lines and passages of fewer words stay, unless they are all of a text that is repeated.
+
+    Rows that repeat both id and text count as one document, null ids rank last,
+    null texts stay null, extra columns are passed on (columns named like the added ones are replaced).
     """
+    repeats = save(repeated_chains(save(chain_digests(docs, min_words), "chains")), "repeats").withColumnRenamed("row", "_row")
+    kept = [c for c in docs.columns if c not in ("removed", "n_units", "removed_words")]
+    joined = docs.select(*kept, F.xxhash64(F.col("doc_id"), F.col("text")).alias("_key")).join(repeats, F.col("_key") == F.col("_row"), "left")
+    schema = docs.select(*kept).schema
+    text_at = kept.index("text")
 
     def repeated(texts: list[bytes], places: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
-        units, stop = cut_chains(texts, min_words)
-        edges = np.searchsorted(units.text, np.arange(len(texts) + 1))
+        """All units of some texts, the first of each text, which ones go."""
+        units, chains = cut_chains(texts, min_words)
+        first = np.searchsorted(chains.text, np.arange(len(texts) + 1))
         change = np.zeros(len(units.text) + 1, np.int64)
         for i in range(len(texts)):
             for x in places[i].as_py() or ():
-                a = edges[i] + x["place"]
-                if x["back"] is None or stop[edges[i] + x["back"]] <= a:
-                    change[a] += 1
-                    change[stop[a]] -= 1
-        return units, edges, np.cumsum(change)[:-1] > 0
-
-    return _without(docs, repeated_units(save(chain_digests(docs, min_words), "chains")), repeated)
-
-
-def _without(docs: DataFrame, found: DataFrame, repeated: Callable[[list[bytes], pa.Array], tuple[Units, np.ndarray, np.ndarray]]) -> DataFrame:
-    """The rows of `docs` without the units that `repeated` names: all units of some texts, the first of each text, which ones go."""
-    repeats = save(found, "repeats").withColumnRenamed("row", "_row")
-    kept = [c for c in docs.columns if c not in ("removed", "n_units", "removed_words")]
-    joined = docs.select(*kept, F.xxhash64(F.col("doc_id"), F.col("text")).alias("_key")).join(repeats, F.col("_key") == F.col("_row"), "left")
-    schema = docs.select(*kept).schema
-    text_at = kept.index("text")
+                c = first[i] + x["place"]
+                if x["back"] is None or chains.stop[first[i] + x["back"]] <= chains.start[c]:
+                    change[chains.start[c]] += 1
+                    change[chains.stop[c]] -= 1
+        return units, np.searchsorted(units.text, np.arange(len(texts) + 1)), np.cumsum(change)[:-1] > 0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -12,6 +12,7 @@ import pytest
 
 from quire.llm import forest, hamming, jaccard, linking, passages, preference, warc
 from quire.llm.store import running
+from quire.llm.words import byte_words
 from tests.llm.data import SCHEMA, WORD, documents, frame, labels, text
 
 
@@ -171,68 +172,113 @@ def test_near_duplicates_on_odd_rows(spark):
 
 
 def brute_units(t):
-    """(digest, start, end, words) of units, by the rule in plain Python over code points."""
-    found, last = [], None
-    for m in WORD.finditer(t):
-        a = m.start()
-        gap = t[last.end() : a] if last else None
-        new = last is None or "\n" in gap or t[last.end() - 1] in ".!?,;:" or "A" <= t[a] <= "Z" or ("À" <= t[a] <= "Þ" and t[a] != "×")
-        w = m.group().translate({c: c + 32 for c in range(65, 91)})
-        if new:
-            if found:
-                found[-1][2] = a
-            found.append([(w,), a, len(t)])
-        else:
-            found[-1][0] += (w,)
-        last = m
-    return [(d, a, b, len(d)) for d, a, b in found]
-
-
-def brute_repeats(rows, least):
-    distinct = sorted({(i is None, i or 0, i, t) for i, t in rows if t is not None}, key=lambda r: (r[0], r[1]))
-    seen, out = {}, {}
-    for _, _, i, t in distinct:
-        units = brute_units(t)
-        again = []
-        for k, u in enumerate(units):
-            again.append(u[0] in seen)
-            seen.setdefault(u[0], (i, k))
-        spans, k = [], 0
-        while k < len(units):
-            e = k
-            while e < len(units) and again[e]:
-                e += 1
-            if e > k and sum(u[3] for u in units[k:e]) >= least:
-                spans.append((units[k][1], units[e - 1][2]))
-            k = max(e, k + 1)
-        at, kept = 0, ""
+    """[words, start, end] of the units, by the rule in plain Python over code points; hashes of words are taken as given."""
+    found = list(WORD.finditer(t))
+    hashes = byte_words([t.encode()])[3].tolist()
+    units = []
+    for k, m in enumerate(found):
+        last = found[k - 1] if k else None
+        least = k > 0 and all(hashes[k - 1] < hashes[j] for j in range(k, min(k + passages.REACH, len(found)))) and all(
+            hashes[k - 1] <= hashes[j] for j in range(max(0, k - 1 - passages.REACH), k - 1))
+        if last is None or "\n" in t[last.end() : m.start()] or t[last.end() - 1] in ".!?" or least:
+            if units:
+                units[-1][2] = m.start()
+            units.append([[], m.start(), len(t)])
+        units[-1][0].append(m.group().translate({c: c + 32 for c in range(65, 91)}))
+    return units
+
+
+def brute_chains(t, units, least):
+    """(first unit, unit behind the last one) of all chains."""
+    n = [len(u[0]) for u in units]
+    chains = set()
+    for a in range(len(units)):
+        for b in range(a + 1, len(units) + 1):
+            if sum(n[a:b]) >= least:
+                chains.add((a, b))
+                break
+    line = [t.count("\n", 0, u[1]) for u in units]
+    runs = [(0, len(units))] + [(line.index(x), len(line) - line[::-1].index(x)) for x in set(line)]
+    for k, (a, b) in enumerate(runs):
+        starts = [s for s in range(a, b) if sum(n[s:b]) >= least]
+        if starts:
+            chains.add((starts[-1], b))
+        elif k == 0 and units:
+            chains.add((a, b))
+    return sorted(chains)
+
+
+def brute_passages(rows, least=passages.MIN_WORDS):
+    """{(id, text): (text left, spans removed)}"""
+    distinct = sorted({(i is None, i or 0, i, t) for i, t in rows if t is not None}, key=lambda r: r[:2])
+    cut = [(i, t, u := brute_units(t), brute_chains(t, u, least)) for *_, i, t in distinct]
+    seen = {}
+    for d, (_, _, units, chains) in enumerate(cut):
+        for c in chains:
+            seen.setdefault(tuple(w for u in units[c[0] : c[1]] for w in u[0]), (d, c))
+    out = {}
+    for d, (i, t, units, chains) in enumerate(cut):
+        gone = set()
+        for c in chains:
+            e, first = seen[tuple(w for u in units[c[0] : c[1]] for w in u[0])]
+            if (e, first) != (d, c) and (e != d or first[1] <= c[0]):
+                gone |= set(range(*c))
+        spans = []
+        for k in sorted(gone):
+            if spans and spans[-1][1] == units[k][1]:
+                spans[-1][1] = units[k][2]
+            else:
+                spans.append(units[k][1:])
+        left, at = "", 0
         for a, b in spans:
-            kept, at = kept + t[at:a], b
-        out[(i, t)] = (kept + t[at:], tuple(spans))
+            left, at = left + t[at:a], b
+        out[(i, t)] = (left + t[at:], tuple(map(tuple, spans)))
     return out
 
 
+def passage_rows():
+    dice = random.Random(19)
+    rows = [d for d in documents() if not (d[0] == 12 and "another" in (d[1] or ""))]
+    other = rows[0][2:]
+    line = text(dice, 26)
+    new = [text(dice, n) for n in (22, 31, 45, 59)] + [f"own words {text(dice, 5)}\n{line}\nmore {text(dice, 9)}", f"{text(dice, 8)}\n{line}\n{text(dice, 30)}", "Short text only.", "\n\n" + line]
+    return rows + [(40 + k, t, *other) for k, t in enumerate(new)] + [(60 + k, t.upper(), *other) for k, t in enumerate(new[:4])] + [(70, " short  TEXT only. ", *other)]
+
+
 def test_repeated_passages(spark):
-    rows = [(d[0], d[1]) for d in documents() if not (d[0] == 12 and "another" in d[1])]
-    want = brute_repeats(rows, passages.MIN_WORDS)
-    docs = frame(spark, [d for d in documents() if not (d[0] == 12 and "another" in (d[1] or ""))])
-    got = passages.remove_repeats(docs)
+    docs = frame(spark, passage_rows())
+    rows = [(d[0], d[1]) for d in passage_rows()]
+    want = brute_passages(rows)
+    got = passages.remove_passages(docs)
     assert [c for c in got.columns if c not in ("removed", "n_units", "removed_words")] == [c for c in docs.columns if c != "removed"]
     out = got.collect()
     found = Counter((r.doc_id, r.text, tuple((s.start, s.end) for s in r.removed)) for r in out)
-    expect = Counter((i, *(want[(i, t)] if t is not None else (None, ()))) for i, t in rows)
-    assert found == expect
+    assert found == Counter((i, *(want[(i, t)] if t is not None else (None, ()))) for i, t in rows)
     assert any(r.removed_words > 50 for r in out)
-    assert passages.remove_repeats(frame(spark, [])).count() == 0
+    # nothing of a copied text or line stays, however short the text
+    left = {r.doc_id: r.text for r in out}
+    assert all(not left[i].strip() for i in (60, 61, 62, 63, 70, 47)) and left[45].count("\n") == 1
+    assert passages.remove_passages(frame(spark, [])).count() == 0
+
+
+def test_copied_texts_of_any_length_leave_nothing():
+    dice = random.Random(33)
+    for n in [*range(1, 60), 200]:
+        t = text(dice, n, 10**6).encode()
+        units, chains = passages.cut_chains([b"other words", t, t])
+        for k in (1, 2):
+            own = np.flatnonzero(units.text == k)
+            held = {u for a, b in zip(chains.start[chains.text == k], chains.stop[chains.text == k]) for u in range(a, b)}
+            assert held == set(own.tolist())
+        assert chains.digest[chains.text == 1].tolist() == chains.digest[chains.text == 2].tolist()
 
 
 def test_passage_inside_lines_stays_once(spark):
     dice = random.Random(9)
     passage = "Every " + " ".join(f"p{k}" + "." * (k % 9 == 8) for k in range(60)) + "."
     rows = [(i, text(dice, 30) + " " + passage + " " + text(dice, 30)) for i in range(20)]
-    out = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    held = [r.doc_id for r in out if "p31 p32 p33" in r.text]
-    assert held == [0] or sorted(held) == [0]
+    out = passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in out if "p31 p32 p33" in r.text] == [0]
 
 
 def test_only_words_in_their_earlier_order_are_repeats(spark):
@@ -270,13 +316,11 @@ def test_repeats_without_marks_or_capitals_go(spark):
         assert middle not in out[100 + k].text and 20 <= out[100 + k].removed_words <= 60
     # cuts never depend on the texts that happen to be in the same slice
     texts = [t.encode() for _, t in rows]
-    together, stop = passages.cut_chains(texts)
+    together, chains = passages.cut_chains(texts)
     for k, t in enumerate(texts):
         own, whole = passages.cut_chains([t])
-        mine = together.text == k
-        assert own.start.tolist() == together.start[mine].tolist()
-        assert own.digest[whole > 0].tolist() == together.digest[mine & (stop > 0)].tolist()
-
+        assert own.start.tolist() == together.start[together.text == k].tolist()
+        assert whole.digest.tolist() == chains.digest[chains.text == k].tolist()
 
 
 def brute_nearest(rows, k, step):
