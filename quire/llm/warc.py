@@ -50,6 +50,10 @@ def parse(data: bytes) -> dict:
     return fields
 
 
+#: Bytes of an archive that are decompressed at once.
+PIECE_BYTES = 4096
+
+
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES, sample: int = SAMPLE_BYTES) -> bytes:
     """Trained on records spread evenly over the file, `sample` bytes of them at most; a raw one where too little is there to train on."""
     step = max(1, -(-sum(map(len, records)) // sample))
@@ -76,11 +80,18 @@ def unpack(data: bytes) -> Iterator[bytes]:
     if magic != DICTIONARY_FRAME:
         raise ValueError("no dictionary frame at the start of the archive")
     opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
-    rest = data[8 + size :]
-    while rest:
-        frame = opener.decompressobj()
-        yield frame.decompress(rest)
-        rest = frame.unused_data
+    view, at = memoryview(data), 8 + size
+    while at < len(view):
+        # a frame is fed a piece at a time, so what it leaves unused is never more than a piece
+        frame, parts = opener.decompressobj(), []
+        while not frame.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends inside a record")
+            piece = view[at : at + PIECE_BYTES]
+            parts.append(frame.decompress(piece))
+            at += len(piece)
+        at -= len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def plan_records(pages: DataFrame, smallest: int = 100) -> DataFrame:

@@ -381,6 +381,16 @@ def test_archive_files_carry_their_dictionary():
     assert list(warc.unpack(b"".join(warc.archive(records[:1])[0]))) == records[:1]
 
 
+def test_unpacking_is_linear_and_sees_cut_files(monkeypatch):
+    records = [warc.record(i, "u", bytes([i % 251]) * (i * 37 % 9000), None, False, "d", "t") for i in range(300)]
+    data = b"".join(warc.archive(records)[0])
+    for size in (warc.PIECE_BYTES, 1, 7):
+        monkeypatch.setattr(warc, "PIECE_BYTES", size)
+        assert list(warc.unpack(data)) == records
+    with pytest.raises(ValueError, match="inside a record"):
+        list(warc.unpack(data[:-3]))
+
+
 def brute_preference(rows):
     mark = lambda t: t.replace("<|", "< |")
     own = {}
