@@ -41,6 +41,8 @@ from quire.session import scratch_path
 MAGIC = b"QUIRETS1"
 SLACK = 2  # slots of a level for each key that comes to it
 SHARD_IDS = 8 << 20
+ROWS_READ = 64  # documents of one key that are read at once
+NEAR = 64  # words of a section between two that are read together
 
 _FILES = "part int, number int, file string, low long, high long, documents long, tokens long"
 _PRINT = np.uint64(0xA5A5_5A5A_1234_5678)
@@ -133,12 +135,51 @@ class Shard:
         slot = self.index.slot(keys)
         if not len(self.row):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        here = (slot >= 0) & (self.print[np.maximum(slot, 0)] == fingerprint(keys))
-        return np.where(here, self.row[slot].astype(np.int64), 0), np.where(here, self.rows[slot].astype(np.int64), 0)
+        at = np.maximum(slot, 0)
+        here = (slot >= 0) & (self.print[at] == fingerprint(keys))
+        return np.where(here, self.row[at].astype(np.int64), 0), np.where(here, self.rows[at].astype(np.int64), 0)
 
-    def document(self, row: int) -> np.ndarray:
-        a = int(self.first[row])
-        return self.ids[a : a + int(self.count[row])]
+    def documents(self, rows: np.ndarray) -> list[np.ndarray]:
+        first, count = self.first[rows].astype(np.int64), self.count[rows].astype(np.int64)
+        return [self.ids[a : a + n] for a, n in zip(first.tolist(), count.tolist())]
+
+
+class StoredSection:
+    """A section of a shard file that is read where it is asked for: words by place, or a slice."""
+
+    def __init__(self, source: pa.NativeFile, place: int, n: int, kind: str):
+        self.source, self.place, self.n, self.kind = source, place, n, np.dtype(kind)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _read(self, a: int, b: int) -> np.ndarray:
+        size = self.kind.itemsize
+        return np.frombuffer(self.source.read_at((b - a) * size, self.place + a * size), self.kind)
+
+    def __getitem__(self, places: np.ndarray | slice) -> np.ndarray:
+        if isinstance(places, slice):
+            return self._read(places.start, places.stop)
+        wanted, back = np.unique(places, return_inverse=True)
+        if not len(wanted):
+            return np.zeros(0, self.kind)
+        # neighbours within NEAR words come in one read
+        cut = np.flatnonzero(np.diff(wanted) > NEAR) + 1
+        runs = [(r - r[0], self._read(int(r[0]), int(r[-1]) + 1)) for r in np.split(wanted, cut)]
+        return np.concatenate([data[at] for at, data in runs])[back]
+
+
+class StoredShard(Shard):
+    """A shard file of which only the header and what a lookup needs is read: a few words for each key, and its ids."""
+
+    def __init__(self, source: pa.NativeFile):
+        head = source.read_at(12, 0)
+        if head[:8] != MAGIC:
+            raise ValueError("not a token shard")
+        size = struct.unpack_from("<I", head, 8)[0]
+        for name, (place, n, kind) in json.loads(source.read_at(size, 12)).items():
+            setattr(self, name, StoredSection(source, 12 + size + place, n, kind))
+        self.index = PerfectHash(self.bits, self.ranks, self.levels[0 : len(self.levels)])
 
 
 # The tokenizer's pre-tokens, in lower case, within words of ASCII
@@ -222,7 +263,8 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, shard_
 
     Texts are range-partitioned by doc_id and sorted, encoded where they land,
     and written as soon as a shard has `shard_ids` ids, so a task holds one
-    shard. Equal ids never part. Names are unique to each attempt; only the files of
+    shard. Rows of an id that many have, or of none, may go to several shards and
+    tasks (ranges also depend on how the text begins). Names are unique to each attempt; only the files of
     the manifest (stored, one row per shard) count. Manifest: part, number,
     file, low, high (keys), documents, tokens, tokens_before.
     Null texts are empty (one end id), null ids come first and have no key.
@@ -245,7 +287,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, shard_
             for rows, texts in slices(batch, "text"):
                 part = rows.column(2)[0].as_py()
                 own = rows.column(0).to_pylist()
-                if held >= shard_ids and own[0] != keys[-1]:
+                if held >= shard_ids:
                     yield close()
                     keys, ids, counts, held, number = [], [], [], 0, number + 1
                 flat, count = words.encode(texts)
@@ -257,7 +299,8 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, shard_
         if keys:
             yield close()
 
-    spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spread = spread.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 40).asc_nulls_first())
     spread = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
     files = save(spread.mapInArrow(shards, _FILES), "shards")
     return save(running(files, [F.col("part"), F.col("number")], ["tokens"]), "manifest")
@@ -293,8 +336,9 @@ def scan(manifest: DataFrame) -> DataFrame:
 def fetch(keys: DataFrame, manifest: DataFrame) -> DataFrame:
     """doc_id, ids for each of the given keys that the store has (repeated documents give a row each).
 
-    Keys are range-partitioned, so a task meets neighbouring keys and reads
-    only the manifest rows and shards that cover them.
+    Keys are range-partitioned, so a task meets neighbouring keys. It reads the
+    manifest rows of the shards that cover them and, of those, the header, the
+    few index words that each key leads to and the ids of its documents.
     """
     folder = manifest.inputFiles()[0].rsplit("/", 1)[0] if manifest.inputFiles() else ""
 
@@ -309,12 +353,13 @@ def fetch(keys: DataFrame, manifest: DataFrame) -> DataFrame:
                 inside = wanted[(wanted >= file["low"]) & (wanted <= file["high"])]
                 if not len(inside):
                     continue
-                shard = Shard(read_bytes(file["file"]))
-                row, times = shard.find(inside)
-                for key, a, n in zip(inside.tolist(), row.tolist(), times.tolist()):
-                    for r in range(a, a + n):
-                        ids = pa.array([shard.document(r).tolist()], pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array([key]), ids], ["doc_id", "ids"])
+                with store.open_input_file(pafs.FileSystem.from_uri(file["file"])[1]) as source:
+                    shard = StoredShard(source)
+                    row, times = shard.find(inside)
+                    for key, a, n in zip(inside.tolist(), row.tolist(), times.tolist()):
+                        for at in range(a, a + n, ROWS_READ):
+                            ids = shard.documents(np.arange(at, min(at + ROWS_READ, a + n)))
+                            yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids)), pa.array([x.tolist() for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     spread = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return spread.mapInArrow(rows, "doc_id long, ids array<long>")
