@@ -57,17 +57,17 @@ def text_counts(text: bytes) -> tuple[int, ...]:
 
 
 def count_texts(docs: DataFrame, stratum: str) -> DataFrame:
-    """doc_id, stratum and the counts of every whole text (null: all 0)."""
+    """doc_id, stratum, text_key (a hash of the text) and the counts of every whole text (null: all 0)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 counts = zip(*map(text_counts, texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in counts]], ["doc_id", "stratum", *_COUNTS])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array(c, pa.int64()) for c in counts]], ["doc_id", "stratum", "text_key", *_COUNTS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")
-    return columns.mapInArrow(rows, f"doc_id {kind}, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    columns = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.xxhash64("text").alias("text_key"), "text")
+    return columns.mapInArrow(rows, f"doc_id {kind}, stratum string, text_key long, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def _steps(rule: str) -> Column:
@@ -102,38 +102,6 @@ def allowed_failures(n: int, rate: float, risk: float) -> int:
     return low
 
 
-def choose_cutoffs(good: DataFrame, false_rejection: float = FALSE_REJECTION, risk: float = RISK) -> DataFrame:
-    """(stratum, n_good, one cutoff per rule in steps) from the good holdout rows with a step per rule.
-
-    In every stratum and for every rule, cutoffs are tested in a fixed order
-    from the loosest on; a cutoff passes if an exact binomial test shows, for good
-    documents, a rejection rate below the rule's share of `false_rejection`. The
-    last that passes is taken. A fixed order needs no correction along the
-    cutoffs; across strata and rules `risk` is divided by their number
-    (Bonferroni). A null cutoff means that too few rows are labelled: the rule is off there.
-    """
-    totals = save(good.groupBy("stratum").agg(F.count("*").alias("n_good")), "strata")
-    strata = totals.count()
-    rate, level = false_rejection / len(RULES), risk / max(1, strata * len(RULES))
-
-    def bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(most=[allowed_failures(int(n), rate, level) for n in frame["n_good"]])
-
-    limits = totals.mapInPandas(bounds, "stratum string, n_good long, most long")
-    each = F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES]))
-    found = good.select("stratum", each).groupBy("stratum", "rule", "step").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    # A cutoff just below a step rejects the rows of that step and of those above it.
-    tails = found.withColumn("rejected", F.sum("n").over(above))
-    limits = limits.select(F.col("stratum").alias("_stratum"), "n_good", "most")
-    tails = tails.join(limits, F.col("stratum").eqNullSafe(F.col("_stratum")))
-    blocked = F.max(F.when(F.col("rejected") > F.col("most"), F.col("step")))
-    cut = F.when(F.max("most") >= 0, F.coalesce(blocked, F.lit(0)))
-    chosen = tails.groupBy("stratum", "rule").agg(cut.alias("cut"), F.max("n_good").alias("n_good"))
-    return chosen.groupBy("stratum", "n_good").pivot("rule", list(RULES)).agg(F.first("cut"))
-
-
 def choose_rungs(good: DataFrame, false_rejection: float = FALSE_REJECTION, risk: float = RISK) -> DataFrame:
     """(stratum, n_good, rung, the cutoff of each rule in steps) from the good holdout rows with a step per rule.
 
@@ -170,7 +138,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", false_rejec
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated
     8-word windows. Other documents are kept if no rule of their stratum exceeds
-    its cutoff (choose_rungs). The holdout is every labelled row: a document is good if all its
+    its cutoff (choose_rungs). The holdout is every labelled row, equal texts of a stratum once
+    (the bound is for independent ones): a document is good if all its
     labels say quality 1; null labels and ids count for nothing. Null texts have no words
     (base_failed), a null stratum is one of its own, extra columns are ignored.
     """
@@ -178,7 +147,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", false_rejec
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = counted.select("*", failed.alias("base_failed"), *[_steps(r).alias(r) for r in RULES])
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    holdout = rows.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi").select("stratum", *RULES)
+    holdout = rows.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
+    holdout = holdout.dropDuplicates(["stratum", "text_key"]).select("stratum", *RULES)
     cutoffs = save(choose_rungs(holdout, false_rejection, risk), "cutoffs")
     cutoffs = cutoffs.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"{r}_cut") for r in RULES])
     both = rows.join(cutoffs, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
