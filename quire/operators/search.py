@@ -37,15 +37,17 @@ def _keep_best(queries: DataFrame, hits: DataFrame, k: Column) -> DataFrame:
 
 
 @prepared
-def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "chunk_id") -> DataFrame:
+def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "chunk_id", scope: DataFrame | None = None) -> DataFrame:
     """Exact cosine top k: (query_id, id, score, rank).
 
     A ``k`` column on the queries overrides ``k``; a ``first_type`` column that
-    is not null restricts a question to chunks of that ``chunk_type``.
+    is not null restricts a question to chunks of that ``chunk_type``; with a
+    ``scope`` (query_id, doc_id) a question sees chunks of its own documents only.
 
     Questions stay distributed: index rows are dealt into cells of about
-    CELL_ROWS, every question goes to every cell, and a task answers them in blocks
-    of BLOCK_ROWS with a matrix product each. It sends on its own best k per
+    CELL_ROWS, every question goes to every cell (with a scope, to those that hold documents of its), and
+    a task answers them in blocks of BLOCK_ROWS with a matrix product and a mask of documents
+    each. It sends on its own best k per
     question only. Ranking is by the score up to rounding errors (12 digits); ties go to the smaller id.
     """
     limit = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
@@ -53,14 +55,33 @@ def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "c
     kind = F.col("chunk_type") if "chunk_type" in index.columns else F.lit(None).cast("string")
     usable = index.where(F.col("embedding").isNotNull())
     cells = max(1, -(-usable.count() // CELL_ROWS))
+    asked = queries.where(F.col("embedding").isNotNull())
     none = F.lit(None)
+    if scope is None:
+        usable = usable.withColumn("_cell", F.pmod(F.xxhash64(F.col(id_col)), F.lit(cells)).cast("int"))
+        asked = asked.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumn("_docs", none.cast("array<string>"))
+    else:
+        # the chunks of a document share a cell, unless there are more than a cell takes
+        large = usable.groupBy("doc_id").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_parts")).where("_parts > 1")
+
+        def cell(part: Column) -> Column:
+            return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), part), F.lit(cells)).cast("int")
+
+        usable = usable.join(large, "doc_id", "left").withColumn("_cell", cell(F.pmod(F.xxhash64(F.col(id_col)), F.coalesce("_parts", F.lit(1))).cast("int")))
+        spread = scope.select("query_id", "doc_id").distinct().join(large, "doc_id", "left")
+        spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        spread = spread.groupBy("query_id", cell(F.col("_part")).alias("_cell")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("_docs"))
+        asked = asked.join(spread, "query_id")
+    doc = F.col("doc_id").cast("string") if scope is not None else none.cast("string")
     rows = usable.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(cells)).cast("int").alias("cell"), F.lit(0).alias("side"), none.cast("bigint").alias("query_id"),
+        F.col("_cell").alias("cell"), F.lit(0).alias("side"), none.cast("bigint").alias("query_id"),
         F.lit(0).alias("k"), F.col(id_col).cast("string").alias("id"), kind.alias("type"), V.unit(F.col("embedding")).alias("unit"),
+        doc.alias("doc"), none.cast("array<string>").alias("docs"),
     )
-    asked = queries.where(F.col("embedding").isNotNull()).select(
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("side"), F.col("query_id").cast("bigint").alias("query_id"),
+    asked = asked.select(
+        F.col("_cell").alias("cell"), F.lit(1).alias("side"), F.col("query_id").cast("bigint").alias("query_id"),
         limit.alias("k"), none.cast("string").alias("id"), wanted.alias("type"), V.unit(F.col("embedding")).alias("unit"),
+        none.cast("string").alias("doc"), F.col("_docs").alias("docs"),
     )
     tiles = rows.unionByName(asked).where(_whole("unit")).repartition(cells, "cell").sortWithinPartitions("cell", "side", "query_id", "id")
     return _keep_best(queries, tiles.mapInArrow(_tile_hits, _HITS), F.lit(k))
@@ -73,39 +94,49 @@ def _whole(column: str) -> Column:
 
 def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Best hits per question of each cell; a cell's index rows come first, its questions in blocks after."""
-    cell, held, parts = None, [], {}
+    cell, held, parts, number_of = None, [], {}, {}
 
-    def part(size: int, kind: str | None) -> tuple[list[str], np.ndarray]:
+    def part(size: int, kind: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         if (size, kind) not in parts:
             own = [r for r in held if len(r[2]) == size and kind in (None, r[1])]
-            parts[size, kind] = [r[0] for r in own], np.array([r[2] for r in own]).reshape(-1, size)
+            codes = np.array([number_of.setdefault(r[3], len(number_of)) for r in own], np.int64)
+            parts[size, kind] = [r[0] for r in own], np.array([r[2] for r in own]).reshape(-1, size), codes
         return parts[size, kind]
 
     def answer(asked: list[tuple]) -> pa.RecordBatch:
         out = []
         for size, kind in {(len(a[3]), a[2]) for a in asked}:
-            ids, matrix = part(size, kind)
+            ids, matrix, codes = part(size, kind)
             block = [a for a in asked if len(a[3]) == size and a[2] == kind]
+            # the bitmap of documents that each question of the block may see
+            seen = np.zeros((len(block), len(number_of)), bool)
+            for row, a in enumerate(block):
+                if a[4] is None:
+                    seen[row] = True
+                else:
+                    seen[row, [number_of[d] for d in a[4] if d in number_of]] = True
             scores = np.round(np.array([a[3] for a in block]) @ matrix.T, RANK_DIGITS) + 0.0
-            for (query, k, _, _), own in zip(block, scores):
+            for (query, k, *_), own, mine in zip(block, scores, seen):
+                inside = np.flatnonzero(mine[codes])
+                own = own[inside]
                 keep = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
                 # ids are in ascending order, so a stable sort gives ties to the smaller one
                 keep = keep[np.argsort(-own[keep], kind="stable")][:k]
-                out += [(query, ids[i], own[i]) for i in keep]
+                out += [(query, ids[inside[i]], own[i]) for i in keep]
         kinds = (pa.int64(), pa.string(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["query_id", "id", "score"])
 
     for batch in batches:
         asked: list[tuple] = []
-        for number, side, query, k, name, kind, unit in zip(*[c.to_pylist() for c in batch.columns]):
+        for number, side, query, k, name, kind, unit, doc, docs in zip(*[c.to_pylist() for c in batch.columns]):
             if number != cell:
                 if asked:
                     yield answer(asked)
-                cell, held, parts, asked = number, [], {}, []
+                cell, held, parts, number_of, asked = number, [], {}, {}, []
             if side == 0:
-                held.append((name, kind, unit))
+                held.append((name, kind, unit, doc))
                 continue
-            asked.append((query, k, kind, unit))
+            asked.append((query, k, kind, unit, docs))
             if len(asked) == BLOCK_ROWS:
                 yield answer(asked)
                 asked = []
@@ -113,15 +144,21 @@ def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield answer(asked)
 
 
-def knn_in_scope(queries: DataFrame, index: DataFrame, scope: DataFrame, k: int = 10, id_col: str = "chunk_id") -> DataFrame:
-    """Top k where each query names its documents: scope(query_id, doc_id). Filter first, then rank."""
-    pairs = (
-        index.select(F.col(id_col).cast("string").alias("id"), "doc_id", V.unit(F.col("embedding")).alias("_v"))
-        .join(scope.select("query_id", "doc_id").distinct(), "doc_id")
-        .join(queries.select("query_id", V.unit(F.col("embedding")).alias("_q")), "query_id")
-    )
-    scored = pairs.select("query_id", "id", F.round(V.dot(F.col("_v"), F.col("_q")), RANK_DIGITS).alias("score"))
-    return _keep_best(queries, scored, F.lit(k))
+def knn_in_scope(
+    queries: DataFrame, index: DataFrame, scope: DataFrame, k: int = 10, mode: str = "exact", id_col: str = "chunk_id"
+) -> DataFrame:
+    """Top k where each query names its documents: scope(query_id, doc_id). Queries that name none see all.
+
+    Filtered before ranking, or (mode='oversample') among the best 5k of all documents.
+    """
+    named = scope.select("query_id").distinct()
+    free = knn_topk(queries.join(named, "query_id", "left_anti"), index, k, id_col)
+    own = queries.join(named, "query_id", "left_semi")
+    if mode == "exact":
+        return free.unionByName(knn_topk(own, index, k, id_col, scope))
+    wide = knn_topk(own, index, 5 * k, id_col).drop("rank").join(index.select(F.col(id_col).cast("string").alias("id"), "doc_id"), "id")
+    seen = wide.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").drop("doc_id")
+    return free.unionByName(_keep_best(queries, seen, F.lit(k)).select(*free.columns))
 
 
 def restrict_documents(index: DataFrame, doc_ids: DataFrame | None) -> DataFrame:
@@ -157,24 +194,27 @@ def knn_postfilter(
 
 @prepared
 def search_fallback(
-    queries: DataFrame, index: DataFrame, k: int = 5, doc_ids: DataFrame | None = None, mode: str = "exact"
+    queries: DataFrame, index: DataFrame, k: int = 5, scope: DataFrame | None = None, mode: str = "exact"
 ) -> DataFrame:
-    """Search; questions without hits are retried cleaned, then (with a document list) as a general overview."""
+    """Search; questions without hits are retried cleaned, then (if they name documents) as a general overview.
+
+    Returns (query_id, id, score, rank, attempt). ``scope`` (query_id, doc_id) holds the documents
+    that questions name. With mode='oversample' the scope is applied to the best 5k of all documents, as
+    a flat index does it, so a question can find nothing although its documents have chunks.
+    """
 
     def run(asked: DataFrame) -> DataFrame:
-        vectors = embed_queries(asked)
-        if doc_ids is None:
-            return knn_topk(vectors, index, k)
-        return knn_postfilter(vectors, index, doc_ids, k, mode)
+        vectors = cut_lineage(embed_queries(asked))
+        return knn_topk(vectors, index, k) if scope is None else knn_in_scope(vectors, index, scope, k, mode)
 
     asked = queries.select("query_id", "query")
     hits = cut_lineage(run(asked).withColumn("attempt", F.lit(1)))
     open_ = asked.join(hits, "query_id", "left_anti")
     cleaned = open_.withColumn("query", classify.clean_query(F.col("query"))).where(F.length("query") >= 3)
     hits = cut_lineage(hits.unionByName(run(cleaned).withColumn("attempt", F.lit(2))))
-    if doc_ids is None:
+    if scope is None:
         return hits
-    open_ = asked.join(hits, "query_id", "left_anti")
+    open_ = asked.join(hits, "query_id", "left_anti").join(scope.select("query_id").distinct(), "query_id", "left_semi")
     overview = open_.withColumn("query", F.lit(fixed.OVERVIEW_QUESTION))
     return hits.unionByName(run(overview).withColumn("attempt", F.lit(3)))
 

@@ -258,10 +258,14 @@ def classify_intent(spark, root):
 
 
 
-@register("clean_query", S.query(S.QUESTIONS, f"""spread as (
+_STOPS = fixed.QUESTION_STOP_WORDS.rpartition("(")[2].partition(")")[0]
+CLEANED = f"""spread as (
   select query_id, regexp_replace(query, '([^a-zA-Z0-9_\\x{{AA}}-\\x{{24F}}])', chr(1)||'\\1'||chr(1), 'g') as s from questions),
- cut as (select query_id, regexp_replace(chr(1)||s||chr(1), '(?i)'||chr(1)||'(here|in|this|paper|manuscript|document|tell|me|which|were|present|what|is|are|the)'||chr(1), chr(1)||' '||chr(1), 'g') as s from spread)""",
- select=f"select query_id, {S.strip('replace(s,chr(1),' + chr(39) * 2 + ')')} as cleaned from cut"))
+ cut as (select query_id, regexp_replace(chr(1)||s||chr(1), '(?i)'||chr(1)||'({_STOPS})'||chr(1), chr(1)||' '||chr(1), 'g') as s from spread),
+ cleaned_questions as (select query_id, {S.strip('replace(s,chr(1),' + chr(39) * 2 + ')')} as cleaned from cut)"""
+
+
+@register("clean_query", S.query(S.QUESTIONS, CLEANED, select="select query_id, cleaned from cleaned_questions"))
 def clean_query(spark, root):
     return derived.questions(spark, root).select("query_id", classify.clean_query(F.col("query")).alias("cleaned"))
 
@@ -339,21 +343,45 @@ def verify_sources(spark, root):
     return search.verify_sources(derived.answers(spark, root), hits, index)
 
 
-_FALLBACK = (*ALL_CHUNK_VIEWS, *CHUNK_WEIGHTS, S.QUESTIONS, _counts("qcounts", "questions", "query_id", "query"), _unit_counts("qw", "qcounts", "query_id"),
-             """dots as (
- select q.query_id, c.chunk_id as id, sum(q.weight*c.weight) as s from qw q join cw c using (bucket) group by all),
- scope as (select doc_id from documents where lang <> 'en'),
- found as (
- select q.query_id, c.chunk_id as id, coalesce(round(d.s,12),0.0::double) as score
- from questions q cross join (select * from all_chunks semi join scope using (doc_id)) c left join dots d on d.query_id=q.query_id and d.id=c.chunk_id)""")
+#: The documents a question names: those of some sources, told by a digit of the source's hash; every fifth question names none.
+_SCOPE = """scope as (select q.query_id, d.doc_id from questions q join documents d
+  on q.query_id%5<>0 and q.query_id%4=(('0x'||substr(md5(d.source),1,1))::int%4) and d.lang=['de','es','fr'][q.query_id%3+1])"""
+
+
+def _attempt(i, asked, k=5):
+    return (f"asked{i} as ({asked})", _counts(f"qcounts{i}", f"asked{i}", "query_id", "query"), _unit_counts(f"qw{i}", f"qcounts{i}", "query_id"), f"""dots{i} as (
+ select q.query_id, c.chunk_id as id, sum(q.weight*c.weight) as s from qw{i} q join cw c using (bucket) group by all),
+ wide{i} as (
+ select a.query_id, c.chunk_id as id, c.doc_id, coalesce(round(d.s,12),0.0::double) as score,
+  row_number() over (partition by a.query_id order by coalesce(round(d.s,12),0.0::double) desc, c.chunk_id) as place
+ from asked{i} a cross join all_chunks c left join dots{i} d on d.query_id=a.query_id and d.id=c.chunk_id
+ qualify place<={5 * k}),
+ hits{i} as (
+ select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank, {i} as attempt from wide{i} w
+ where case when query_id in (select query_id from scope) then exists (select 1 from scope s where s.query_id=w.query_id and s.doc_id=w.doc_id) else place<={k} end
+ qualify rank<={k})""")
+
+
+_FALLBACK = (*ALL_CHUNK_VIEWS, *CHUNK_WEIGHTS, S.QUESTIONS, CLEANED, _SCOPE, *_attempt(1, "select * from questions"),
+             *_attempt(2, "select query_id, cleaned as query from cleaned_questions where length(cleaned)>=3 and query_id not in (select query_id from hits1)"),
+             *_attempt(3, f"""select query_id, '{fixed.OVERVIEW_QUESTION}' as query from questions where query_id in (select query_id from scope)
+  and query_id not in (select query_id from hits1) and query_id not in (select query_id from hits2)"""))
+
+
+def _scope(spark, root):
+    digit = F.conv(F.substring(F.md5(F.col("source").cast("binary")), 1, 1), 16, 10).cast("int") % 4
+    docs = table(spark, root, "documents").select("doc_id", "lang", digit.alias("digit"))
+    q = F.col("query_id")
+    asked = derived.questions(spark, root).where(q % 5 != 0).select("query_id", (q % 4).cast("int").alias("digit"), F.element_at(F.array(*map(F.lit, ("de", "es", "fr"))), (q % 3 + 1).cast("int")).alias("lang"))
+    return asked.join(docs, ["digit", "lang"]).select("query_id", "doc_id")
 
 
 @register("search_fallback", S.query(*_FALLBACK, select="""
- select query_id, id, round(score,6) as score, row_number() over (partition by query_id order by score desc, id) as rank, 1 as attempt from found
- qualify row_number() over (partition by query_id order by score desc, id)<=5""", recursive=True))
+ select query_id, id, round(score,6) as score, rank, attempt from (select * from hits1 union all select * from hits2 union all select * from hits3)""", recursive=True))
 def search_fallback(spark, root):
-    scope = table(spark, root, "documents").where("lang <> 'en'").select("doc_id")
-    return _shown(search.search_fallback(derived.questions(spark, root), chunk_index(spark, root), 5, scope))
+    """All documents, an own scope for four questions of five; those that find nothing are asked again."""
+    index = chunk_index(spark, root)
+    return _shown(search.search_fallback(derived.questions(spark, root), index, 5, _scope(spark, root), mode="oversample"))
 
 
 @register("extract_json_object", S.query(S.ANSWERS, r"""j as (

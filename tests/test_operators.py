@@ -239,13 +239,39 @@ def test_knn_brute_force(spark):
 
 
 def test_search_fallback(spark):
-    chunks = spark.createDataFrame([(f"k{i}", i, "text", "alpha beta words") for i in range(30)] + [("o", 99, "text", "overview methodology")],
+    chunks = spark.createDataFrame([(f"k{i:02d}", i, "text", "alpha beta words") for i in range(30)] + [("m", 98, "text", "alpha other"), ("o", 99, "text", "overview methodology")],
                                    "chunk_id string, doc_id long, chunk_type string, content string")
     index = embedding.embed_chunks(chunks)
-    q = spark.createDataFrame([(1, "alpha beta words")], "query_id long, query string")
-    only = spark.createDataFrame([(99,)], "doc_id long")
-    assert [(h.id, h.attempt) for h in search.search_fallback(q, index, 5, only, mode="oversample").collect()] == [("o", 3)]
-    assert [(h.id, h.attempt) for h in search.search_fallback(q, index, 5, only).collect()] == [("o", 1)]
+    q = spark.createDataFrame([(1, "alpha beta words"), (2, "alpha beta words"), (3, "what is the other")], "query_id long, query string")
+    scope = spark.createDataFrame([(1, 99), (3, 98), (3, 98), (3, 5)], "query_id long, doc_id long")
+    got = sorted((h.query_id, h.id, h["rank"], h.attempt) for h in search.search_fallback(q, index, 5, scope, mode="oversample").collect())
+    assert got[:6] == [(1, "o", 1, 3), *[(2, f"k{i:02d}", i + 1, 1) for i in range(5)]]
+    assert ("m", 1) in {(x[1], x[3]) for x in got[6:]}
+    exact = sorted((h.query_id, h.id, h.attempt) for h in search.search_fallback(q, index, 5, scope).collect())
+    assert [x for x in exact if x[0] != 2] == [(1, "o", 1), (3, "k05", 1), (3, "m", 1)]
+    gone = spark.createDataFrame([(1, 12345)], "query_id long, doc_id long")
+    assert {h.query_id for h in search.search_fallback(q, index, 5, gone).collect()} == {2, 3}
+
+
+def test_scopes_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELL_ROWS", 40)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 3)
+    dice = np.random.default_rng(8)
+    rows = [(f"c{i:03d}", int(i % 9 if i < 250 else 9), ["text", "table"][i % 2], dice.integers(-3, 4, 5).astype(float).tolist()) for i in range(400)]
+    index = spark.createDataFrame(rows, "chunk_id string, doc_id long, chunk_type string, embedding array<double>")
+    asked = [(i, dice.integers(-3, 4, 5).astype(float).tolist(), ["table", None][i % 2]) for i in range(20)]
+    named = {i: set(dice.choice(12, dice.integers(1, 5), replace=False).tolist()) for i in range(0, 20, 2)}
+    named[4] = {77}
+    scope = spark.createDataFrame([(i, d) for i, ds in named.items() for d in ds], "query_id long, doc_id long")
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, first_type string")
+    got = {}
+    for h in search.knn_in_scope(queries, index, scope, 6).orderBy("query_id", "rank").collect():
+        got.setdefault(h.query_id, []).append(h.id)
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1)
+    for i, v, kind in asked:
+        allowed = [r for r in rows if (kind is None or r[2] == kind) and (i not in named or r[1] in named[i])]
+        want = sorted((-round(float(unit(v) @ unit(r[3])), 6) + 0.0, r[0]) for r in allowed)[:6]
+        assert got.get(i, []) == [n for _, n in want]
 
 
 def sparse(t, dim=384):
