@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed
 from quire.functions import text as T
+from quire.session import prepared
 
 
 def list_documents(active: DataFrame, saved: DataFrame) -> DataFrame:
@@ -81,11 +84,14 @@ def ingest_status(documents: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def _counted(base: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
-    for name, frame in children.items():
-        base = base.join(frame.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
-    return base.select(*[c for c in base.columns if c not in children], *[F.coalesce(n, F.lit(0)).alias(n) for n in children])
+    """Counts of every kind of child in one grouping: a tag for each child row, one aggregate, one join."""
+    tags = [frame.select("doc_id", F.lit(name).alias("_kind")) for name, frame in children.items()]
+    counts = reduce(DataFrame.unionByName, tags).groupBy("doc_id").agg(*[F.count_if(F.col("_kind") == name).alias(name) for name in children])
+    joined = base.join(counts, "doc_id", "left")
+    return joined.select(*[c for c in base.columns if c not in children], *[F.coalesce(n, F.lit(0)).alias(n) for n in children])
 
 
+@prepared
 def processing_stats(metadata: DataFrame, ocr_pages: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """Per document: total, recognised and digital pages, mean recognition confidence, and counts of each child."""
     ocr = ocr_pages.groupBy("doc_id").agg(F.count("*").alias("ocr_pages"), F.avg("mean_confidence").alias("conf"))
@@ -97,6 +103,7 @@ def processing_stats(metadata: DataFrame, ocr_pages: DataFrame, children: dict[s
     return _counted(base, children)
 
 
+@prepared
 def document_summary(metadata: DataFrame, status: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """One row per document: title, authors, pages, status and child counts."""
     base = metadata.select("doc_id", "filename", "title", F.array_join("authors", ", ").alias("authors"), "page_count").join(

@@ -111,6 +111,7 @@ def pack_chunks(
     overlap_tokens: int = 64,
     block: int = scans.BLOCK,
     include_headers: bool = False,
+    with_text: bool = True,
 ) -> DataFrame:
     """Pack the text of each section greedily into chunks of at most ``max_tokens``.
 
@@ -118,7 +119,8 @@ def pack_chunks(
     rule on their own; one oversized sentence stays whole. ``min_tokens`` and
     ``overlap_tokens`` are accepted for compatibility and have no effect.
 
-    Text travels once, into (document, section, block) groups of bounded size.
+    Text travels once, into (document, section, block) groups of bounded size;
+    without ``with_text`` only sizes do, for chunks that are merely counted (their content is empty).
     """
     placed = assign_sections(_with_box(elements), keep_headers=include_headers)
     text = T.strip(F.col("content"))
@@ -126,7 +128,7 @@ def pack_chunks(
     size = T.estimate_tokens(F.col("text"))
     units = units.select(
         "doc_id", "section_pos", "section", "section_level", "pos", "page_number", *BOX, "text",
-        size.alias("size"), scans.pos_block("pos", block).alias("blk"),
+        (F.col("text") if with_text else F.lit("")).alias("kept"), size.alias("size"), scans.pos_block("pos", block).alias("blk"),
     )
     return (
         _packed_elements(units, max_tokens)
@@ -146,7 +148,7 @@ def _packed_elements(units: DataFrame, max_tokens: int) -> DataFrame:
     fits = F.col("size") <= max_tokens
     item = F.struct(
         "pos", F.when(fits, F.col("size")).otherwise(F.lit(-1)).alias("tokens"),
-        "page_number", *BOX, F.when(fits, F.col("text")).alias("text"),
+        "page_number", *BOX, F.when(fits, F.col("kept")).alias("text"),
     )
     # first() is exact: section attributes are the same in every row of a section
     blocks = units.groupBy("doc_id", "section_pos", "blk").agg(
@@ -247,8 +249,17 @@ def _split_elements(oversized: DataFrame, max_tokens: int) -> DataFrame:
     )
 
 
-def _entity_chunks(entities: DataFrame, kind: str, content: Column, part: Column | None = None) -> DataFrame:
-    return _with_box(entities).select(
+#: What a chunk of an entity keeps of it; a kind leaves null what it does not have.
+METADATA = {
+    "rows": "int", "cols": "int", "caption": "string", "image_path": "string", "figure_type": "string",
+    "raw_text": "string", "latex": "string", "variables": "array<string>", "is_inline": "boolean",
+}
+
+
+def _entity_chunks(entities: DataFrame, kind: str, content: Column, keeps: list[str], part: Column | None = None) -> DataFrame:
+    boxed = _with_box(entities)
+    values = [(F.col(f) if f in keeps and f in boxed.columns else F.lit(None)).cast(t).alias(f) for f, t in METADATA.items()]
+    return boxed.select(
         F.concat_ws(":", F.lit(kind), F.col(f"{kind}_id")).alias("chunk_id"),
         "doc_id",
         F.lit(kind).alias("chunk_type"),
@@ -261,6 +272,7 @@ def _entity_chunks(entities: DataFrame, kind: str, content: Column, part: Column
         T.estimate_tokens(content).alias("token_count"),
         F.col("pos").cast("bigint").alias("first_pos"),
         (F.lit(0) if part is None else part).alias("part"),
+        F.struct(*values).alias("metadata"),
     )
 
 
@@ -279,7 +291,7 @@ def table_chunks(tables: DataFrame) -> DataFrame:
         F.lit("Table on page "), F.col("page_number"), F.lit(" with "), F.col("rows"), F.lit(" rows and "),
         F.col("cols"), F.lit(" columns."),
     )
-    return _entity_chunks(tables, "table", F.when(F.length(T.strip(parts)) > 0, parts).otherwise(fallback))
+    return _entity_chunks(tables, "table", F.when(F.length(T.strip(parts)) > 0, parts).otherwise(fallback), ["rows", "cols", "caption"])
 
 
 def figure_chunks(figures: DataFrame) -> DataFrame:
@@ -290,7 +302,7 @@ def figure_chunks(figures: DataFrame) -> DataFrame:
         F.lit("Figure on page "), F.col("page_number"), F.lit(" ("),
         F.coalesce(F.nullif(F.col("figure_type"), F.lit("")), F.lit("image")), F.lit(")."),
     )
-    return _entity_chunks(figures, "figure", F.when(F.length(T.strip(parts)) > 0, parts).otherwise(fallback))
+    return _entity_chunks(figures, "figure", F.when(F.length(T.strip(parts)) > 0, parts).otherwise(fallback), ["image_path", "figure_type", "caption"])
 
 
 def equation_chunks(equations: DataFrame) -> DataFrame:
@@ -298,7 +310,7 @@ def equation_chunks(equations: DataFrame) -> DataFrame:
     content = F.concat(F.lit("Equation: "), body, F.coalesce(_labelled("\nExplanation: ", "explanation"), F.lit("")))
     # an element may hold several equations; they keep their order of discovery
     part = F.col("source_order") * F.lit(1 << 32) + F.col("match_pos")
-    return _entity_chunks(equations, "equation", content, part)
+    return _entity_chunks(equations, "equation", content, ["raw_text", "latex", "variables", "is_inline"], part)
 
 
 @prepared

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,16 @@ from quire import fixed
 from quire.operators import scans
 from quire.session import cut_lineage, prepared
 
-NODE_FIELDS = ["node_id", "doc_id", "node_type", "label", "page_number", "content", "raw_text", "caption", "context"]
+#: Attributes of nodes; a type of node leaves null what it does not have.
+ATTRIBUTES = {
+    "page_number": "int", "content": "string", "raw_text": "string", "caption": "string", "context": "string",
+    "filename": "string", "page_count": "int", "element_type": "string", "level": "int", "rows": "int", "cols": "int", "figure_type": "string", "image_path": "string",
+    "latex": "string", "is_inline": "boolean", "variables": "array<string>", "authors": "array<string>", "year": "int", "doi": "string", "venue": "string",
+}
+NODE_FIELDS = ["node_id", "doc_id", "node_type", "label", *ATTRIBUTES]
 SEARCH_FIELDS = ["label", "content", "raw_text", "caption", "context"]
+#: Characters of the longest runs in the index of searched fields.
+GRAM = 3
 
 
 def doc_node(doc_id: str = "doc_id") -> Column:
@@ -35,45 +45,50 @@ def entity_node(kind: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(f"{kind}_id"))
 
 
-def _nodes(df: DataFrame, kind: str | Column, node_id: Column, label: Column, **attributes: Column) -> DataFrame:
-    typed = {"page_number": "int"}
+def _nodes(df: DataFrame, kind: str | Column, node_id: Column, label: Column, *attributes: str) -> DataFrame:
     return df.select(
         node_id.alias("node_id"), "doc_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("node_type"), label.alias("label"),
-        *[attributes.get(f, F.lit(None)).cast(typed.get(f, "string")).alias(f) for f in NODE_FIELDS[4:]],
+        *[(F.col(f) if f in attributes and f in df.columns else F.lit(None)).cast(t).alias(f) for f, t in ATTRIBUTES.items()],
     )
 
 
 @prepared
 def build_nodes(
-    metadata: DataFrame, elements: DataFrame, tables: DataFrame, figures: DataFrame,
-    equations: DataFrame, references: DataFrame, citations: DataFrame,
+    metadata: DataFrame | None = None, elements: DataFrame | None = None, tables: DataFrame | None = None, figures: DataFrame | None = None,
+    equations: DataFrame | None = None, references: DataFrame | None = None, citations: DataFrame | None = None,
 ) -> DataFrame:
-    """All nodes of all documents; an author is one node across the corpus (doc_id null)."""
+    """All nodes of all documents, of the kinds whose tables are given; an author is one node across the corpus (doc_id null)."""
     page = F.col("page_number")
-    section = F.col("element_type").isin(fixed.SECTION_TYPES)
-    authors = metadata.select(F.explode("authors").alias("author")).groupBy(author_node(F.col("author")).alias("id")).agg(
-        F.min("author").alias("author")
-    ).withColumn("doc_id", F.lit(None).cast(metadata.schema["doc_id"].dataType))
-    pages = metadata.where("page_count >= 1").select("doc_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number"))
     caption = F.nullif(F.col("caption"), F.lit(""))
-    parts = [
-        _nodes(metadata, "document", doc_node(), F.coalesce("title", "filename")),
-        _nodes(authors, "author", F.col("id"), F.col("author")),
-        _nodes(pages, "page", page_node(), F.concat(F.lit("Page "), page), page_number=page),
-        _nodes(
-            elements, F.when(section, "section").otherwise("paragraph"), element_node(),
-            F.when(section, F.substring("content", 1, 80)).otherwise(F.substring("content", 1, 60)),
-            page_number=page, content=F.col("content"),
-        ),
-        _nodes(tables, "table", entity_node("table"), F.coalesce(caption, F.concat(F.lit("Table (p."), page, F.lit(")"))),
-               page_number=page, caption=F.col("caption")),
-        _nodes(figures, "figure", entity_node("figure"), F.coalesce(caption, F.concat(F.lit("Figure (p."), page, F.lit(")"))),
-               page_number=page, caption=F.col("caption")),
-        _nodes(equations, "equation", entity_node("equation"), F.substring("raw_text", 1, 60), page_number=page),
-        _nodes(references, "reference", entity_node("reference"),
-               F.coalesce(F.nullif(F.col("title"), F.lit("")), F.substring("raw_text", 1, 60)), raw_text=F.col("raw_text")),
-        _nodes(citations, "citation", entity_node("citation"), F.col("cite_key"), page_number=page, context=F.col("context")),
-    ]
+    parts = []
+    if metadata is not None:
+        authors = metadata.select(F.explode("authors").alias("author")).groupBy(author_node(F.col("author")).alias("id")).agg(
+            F.min("author").alias("author")
+        ).withColumn("doc_id", F.lit(None).cast(metadata.schema["doc_id"].dataType))
+        pages = metadata.where("page_count >= 1").select("doc_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number"))
+        parts += [
+            _nodes(metadata, "document", doc_node(), F.coalesce("title", "filename"), "filename", "page_count"),
+            _nodes(authors, "author", F.col("id"), F.col("author")),
+            _nodes(pages, "page", page_node(), F.concat(F.lit("Page "), page), "page_number"),
+        ]
+    if elements is not None:
+        section = F.col("element_type").isin(fixed.SECTION_TYPES)
+        leveled = elements.withColumn("level", F.when(section, F.col("level"))) if "level" in elements.columns else elements
+        parts.append(_nodes(
+            leveled, F.when(section, "section").otherwise("paragraph"), element_node(),
+            F.when(section, F.substring("content", 1, 80)).otherwise(F.substring("content", 1, 60)), "page_number", "content", "element_type", "level",
+        ))
+    if tables is not None:
+        parts.append(_nodes(tables, "table", entity_node("table"), F.coalesce(caption, F.concat(F.lit("Table (p."), page, F.lit(")"))), "page_number", "caption", "rows", "cols"))
+    if figures is not None:
+        parts.append(_nodes(figures, "figure", entity_node("figure"), F.coalesce(caption, F.concat(F.lit("Figure (p."), page, F.lit(")"))), "page_number", "caption", "figure_type", "image_path"))
+    if equations is not None:
+        parts.append(_nodes(equations, "equation", entity_node("equation"), F.substring("raw_text", 1, 60), "page_number", "latex", "is_inline", "variables"))
+    if references is not None:
+        label = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.substring("raw_text", 1, 60))
+        parts.append(_nodes(references, "reference", entity_node("reference"), label, "raw_text", "authors", "year", "doi", "venue"))
+    if citations is not None:
+        parts.append(_nodes(citations, "citation", entity_node("citation"), F.col("cite_key"), "page_number", "context"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -164,6 +179,44 @@ def search_nodes(
     return found if node_type is None else found.where(F.col("node_type") == node_type)
 
 
+def gram_index(nodes: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(gram, node_id): the runs of one to GRAM characters, in lower case, that occur in a node's fields, each once.
+
+    Store it to answer any number of searches. A field's runs do not cross into the next one.
+    """
+    fields = fields or SEARCH_FIELDS
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, *texts = [c.to_pylist() for c in batch.columns]
+            for at in range(0, len(ids), 256):
+                grams = [{t[i : i + n] for t in own if t for n in range(1, GRAM + 1) for i in range(len(t) - n + 1)} for own in zip(*[c[at : at + 256] for c in texts])]
+                names = [ids[at + k] for k, own in enumerate(grams) for _ in own]
+                yield pa.RecordBatch.from_arrays([pa.array([g for own in grams for g in own], pa.string()), pa.array(names, pa.string())], ["gram", "node_id"])
+
+    return nodes.select("node_id", *[F.lower(f).alias(f) for f in fields]).mapInArrow(rows, "gram string, node_id string")
+
+
+def search_many(nodes: DataFrame, index: DataFrame, searches: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(search_id, node columns): for each of the searches (search_id, text) what search_nodes() finds.
+
+    Of the runs of characters that a search consists of, the one of fewest nodes
+    names the candidates, and the fields of those decide; nodes without it are never read for that
+    search. A search of a run that no node has finds nothing, nor does an empty one.
+    """
+    asked = searches.select("search_id", F.lower("text").alias("_text")).where(F.length("_text") > 0)
+    size = F.least(F.length("_text"), F.lit(GRAM))
+    at = F.explode(F.sequence(F.lit(1), F.length("_text") - size + 1))
+    grams = asked.select("search_id", "_text", size.alias("_size"), at.alias("_at")).select("search_id", "_text", F.expr("substring(_text, _at, _size)").alias("gram")).distinct()
+    wanted = grams.select("gram").distinct()
+    found = index.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_n"))
+    # a run that occurs nowhere counts as none and comes first
+    rare = grams.join(found, "gram", "left").groupBy("search_id", "_text").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_r"))
+    candidates = rare.where("_r.n > 0").select("search_id", "_text", F.col("_r.gram").alias("gram")).join(index, "gram").drop("gram")
+    hit = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(f, F.lit(""))), F.col("_text")) for f in (fields or SEARCH_FIELDS)])
+    return candidates.join(nodes, "node_id").where(hit).select("search_id", *nodes.columns)
+
+
 @prepared
 def neighbors(edges: DataFrame, seeds: DataFrame, edge_type: str | None = None, direction: str = "both") -> DataFrame:
     """Distinct (node_id, neighbor) for the seed nodes; direction is out, in or both."""

@@ -93,8 +93,10 @@ def elements(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def captioned_pages(spark: SparkSession, root: str) -> DataFrame:
-    return body_elements(spark, root).where(F.col("element_type") == "caption").select("doc_id", "page_number").distinct()
+def captioned_pages(spark: SparkSession, root: str | DataFrame) -> DataFrame:
+    """Pages with a caption, of documents or of elements that were built before."""
+    built = isinstance(root, DataFrame) and "element_type" in root.columns
+    return (root if built else body_elements(spark, root)).where(F.col("element_type") == "caption").select("doc_id", "page_number").distinct()
 
 
 def figures(spark: SparkSession, root: str) -> DataFrame:

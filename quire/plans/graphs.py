@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 from quire.operators import graph as G
 from quire.plans import derived
 from quire.plans import derived_sql as S
-from quire.plans.extraction import CITES, EQUATIONS, LINKS, PAIRS, REFS, all_equations, all_references, captioned_figures, captioned_tables, linked_citations
+from quire.plans.extraction import CITES, EQUATIONS, LINKS, PAIRS, REFS, _FTYPE, _ordered_distinct, all_equations, all_references, captioned_figures, captioned_tables, linked_citations
 from quire.plans.registry import register
 from quire.session import scratch_path
+from quire.sources.tables import table
 
 _SEC = "('title','heading','subheading','abstract','references')"
 NODES = f"""nodes as (
- select doc_id::varchar as node_id, doc_id, 'document' as node_type, coalesce(title,filename) as label, null::int as page_number, null as content, null as raw_text, null as caption, null as context from meta
- union all select node_id, null, 'author', label, null, null, null, null, null from (
+ select doc_id::varchar as node_id, doc_id, 'document' as node_type, coalesce(title,filename) as label, filename, page_count::int as page_count from meta
+ union all by name select node_id, 'author' as node_type, label from (
   select concat('author:',replace(lower(a),' ','_')) as node_id, min(a) as label from (select author_a as a from meta union all select author_b from meta) group by 1)
- union all select concat('page:',doc_id,':',p), doc_id, 'page', concat('Page ',p), p, null, null, null, null from (select doc_id, unnest(range(1,page_count+1))::int as p from meta)
- union all select concat('element:',doc_id,':',pos), doc_id, case when element_type in {_SEC} then 'section' else 'paragraph' end,
-  case when element_type in {_SEC} then substr(content,1,80) else substr(content,1,60) end, page_number, content, null, null, null from elements
- union all select concat('table:',t.table_id), t.doc_id, 'table', coalesce(nullif(p.caption,''),concat('Table (p.',t.page_number,')')), t.page_number, null, null, p.caption, null from tables t left join paired_tables p using (table_id)
- union all select concat('figure:',f.figure_id), f.doc_id, 'figure', coalesce(nullif(p.caption,''),concat('Figure (p.',f.page_number,')')), f.page_number, null, null, p.caption, null from figures f left join paired_figures p using (figure_id)
- union all select concat('equation:',equation_id), doc_id, 'equation', substr(raw_text,1,60), page_number, null, null, null, null from eqs
- union all select concat('reference:',reference_id), doc_id, 'reference', coalesce(nullif(title,''),substr(raw_text,1,60)), null, null, raw_text, null, null from refs
- union all select concat('citation:',citation_id), doc_id, 'citation', cite_key, page_number, null, null, null, context from linked)"""
+ union all by name select concat('page:',doc_id,':',p) as node_id, doc_id, 'page' as node_type, concat('Page ',p) as label, p as page_number from (select doc_id, unnest(range(1,page_count+1))::int as p from meta)
+ union all by name select concat('element:',doc_id,':',pos) as node_id, doc_id, case when element_type in {_SEC} then 'section' else 'paragraph' end as node_type,
+  case when element_type in {_SEC} then substr(content,1,80) else substr(content,1,60) end as label, page_number, content, element_type, null::int as level from elements
+ union all by name select concat('table:',t.table_id) as node_id, t.doc_id, 'table' as node_type, coalesce(nullif(p.caption,''),concat('Table (p.',t.page_number,')')) as label, t.page_number, p.caption, t."rows", t.cols
+  from tables t left join paired_tables p using (table_id)
+ union all by name select concat('figure:',f.figure_id) as node_id, f.doc_id, 'figure' as node_type, coalesce(nullif(p.caption,''),concat('Figure (p.',f.page_number,')')) as label, f.page_number, p.caption, {_FTYPE} as figure_type
+  from figures f left join paired_figures p using (figure_id)
+ union all by name select concat('equation:',equation_id) as node_id, doc_id, 'equation' as node_type, substr(raw_text,1,60) as label, page_number, latex, is_inline, array_to_string({_ordered_distinct('vs')},'|') as variables from eqs
+ union all by name select concat('reference:',reference_id) as node_id, doc_id, 'reference' as node_type, coalesce(nullif(title,''),substr(raw_text,1,60)) as label, raw_text, array_to_string(authors,'|') as authors, year, doi, venue from refs
+ union all by name select concat('citation:',citation_id) as node_id, doc_id, 'citation' as node_type, cite_key as label, page_number, context from linked)"""
 EDGES = f"""located as (
  select concat('element:',doc_id,':',pos) as src, doc_id, page_number, 4 as step from elements union all
  select concat('table:',table_id), doc_id, page_number, 5 from tables union all select concat('figure:',figure_id), doc_id, page_number, 6 from figures union all
@@ -46,14 +49,15 @@ EDGES = f"""located as (
 GRAPH = (*S.ENTITY_VIEWS, S.META, PAIRS, EQUATIONS, CITES, REFS, LINKS, NODES, EDGES)
 
 
-def _parts(spark, root):
-    """Metadata, elements and entities, each extracted once and kept as a table; the graph builders read them many times."""
-    parts = {
-        "metadata": derived.metadata(spark, root), "elements": derived.elements(spark, root), "tables": captioned_tables(spark, root),
-        "figures": captioned_figures(spark, root), "equations": all_equations(spark, root), "references": all_references(spark, root),
-        "citations": linked_citations(spark, root),
-    }
-    return [_kept(spark, frame, name) for name, frame in parts.items()]
+_BUILDERS = {
+    "metadata": derived.metadata, "elements": derived.elements, "tables": captioned_tables, "figures": captioned_figures,
+    "equations": all_equations, "references": all_references, "citations": linked_citations,
+}
+
+
+def _parts(spark, root, *names):
+    """Metadata, elements and entities (those named, or all), each extracted once and kept as a table; the graph builders read them many times."""
+    return {name: _kept(spark, _BUILDERS[name](spark, root), name) for name in names or _BUILDERS}
 
 
 def _kept(spark, frame, name):
@@ -65,17 +69,18 @@ def _kept(spark, frame, name):
 def stored_graph(spark, root):
     """Nodes and edges as tables in the shared folder, so that repeated traversals read and never rebuild them."""
     parts = _parts(spark, root)
-    return _kept(spark, G.build_nodes(*parts), "nodes"), _kept(spark, G.build_edges(*parts), "edges")
+    return _kept(spark, G.build_nodes(**parts), "nodes"), _kept(spark, G.build_edges(**parts), "edges")
 
 
 @register("build_nodes", S.query(*GRAPH, select="select * from nodes"))
 def build_nodes(spark, root):
-    return G.build_nodes(*_parts(spark, root))
+    nodes = G.build_nodes(**_parts(spark, root)).drop("image_path")
+    return nodes.withColumn("variables", F.array_join("variables", "|")).withColumn("authors", F.array_join("authors", "|"))
 
 
 @register("build_edges", S.query(*GRAPH, select="select * from edges"))
 def build_edges(spark, root):
-    return G.build_edges(*_parts(spark, root))
+    return G.build_edges(**_parts(spark, root))
 
 
 @register("reading_order_edges", S.query(*GRAPH, select="select src, dst, doc_id from edges where edge_type='follows'"))
@@ -85,26 +90,40 @@ def reading_order_edges(spark, root):
 
 @register("context_by_page", S.query(*GRAPH, select="select src, dst, doc_id from edges where edge_type='appears_in'"))
 def context_by_page(spark, root):
-    meta, elements, tables, figures, equations, _, citations = _parts(spark, root)
-    entities = {"table": tables, "figure": figures, "equation": equations, "citation": citations}
-    return G.page_edges(meta, elements, entities).select("src", "dst", "doc_id")
+    parts = _parts(spark, root, "metadata", "elements", "tables", "figures", "equations", "citations")
+    entities = {kind: parts[f"{kind}s"] for kind in ("table", "figure", "equation", "citation")}
+    return G.page_edges(parts["metadata"], parts["elements"], entities).select("src", "dst", "doc_id")
 
 
 @register("single_edge_mode", S.query(*GRAPH, select="select src, dst, arg_max(edge_type, step) as edge_type, max(step) as step from edges group by src, dst"))
 def single_edge_mode(spark, root):
-    return G.single_edge_mode(G.build_edges(*_parts(spark, root)))
+    return G.single_edge_mode(G.build_edges(**_parts(spark, root)))
 
 
 @register("nodes_by_type", S.query(*GRAPH, select="select node_id, doc_id, label from nodes where node_type='section'"))
 def nodes_by_type(spark, root):
-    return G.nodes_by_type(G.build_nodes(*_parts(spark, root)), "section").select("node_id", "doc_id", "label")
+    return G.nodes_by_type(G.build_nodes(elements=derived.elements(spark, root)), "section").select("node_id", "doc_id", "label")
 
 
 @register("search_nodes", S.query(*GRAPH, select="""
  select node_id, node_type, label from nodes where contains(lower(coalesce(label,'')),'okafor') or contains(lower(coalesce(content,'')),'okafor')
   or contains(lower(coalesce(raw_text,'')),'okafor') or contains(lower(coalesce(caption,'')),'okafor') or contains(lower(coalesce(context,'')),'okafor')"""))
 def search_nodes(spark, root):
-    return G.search_nodes(G.build_nodes(*_parts(spark, root)), "Okafor").select("node_id", "node_type", "label")
+    return G.search_nodes(G.build_nodes(**_parts(spark, root)), "Okafor").select("node_id", "node_type", "label")
+
+
+@register("search_nodes_many", S.query(*GRAPH, """searches as (
+  select item_id as search_id, substr(text, item_id%40+1, item_id%9) as q from benchmark union all select -1, 'Okafor' union all select -2, 'é' union all select -3, 'no such words')""", select="""
+ select s.search_id, node_id, node_type from searches s join nodes on length(q)>0 and (contains(lower(coalesce(label,'')),lower(q)) or contains(lower(coalesce(content,'')),lower(q))
+  or contains(lower(coalesce(raw_text,'')),lower(q)) or contains(lower(coalesce(caption,'')),lower(q)) or contains(lower(coalesce(context,'')),lower(q)))"""))
+def search_nodes_many(spark, root):
+    """A table of searches, cut from the benchmark's texts, against all nodes through a stored index of their fields."""
+    nodes = _kept(spark, G.build_nodes(**_parts(spark, root)), "nodes")
+    index = _kept(spark, G.gram_index(nodes), "grams")
+    item = F.col("item_id")
+    asked = table(spark, root, "benchmark").select(item.cast("bigint").alias("search_id"), F.substr("text", (item % 40 + 1).cast("int"), (item % 9).cast("int")).alias("text"))
+    asked = asked.unionByName(spark.createDataFrame([(-1, "Okafor"), (-2, "é"), (-3, "no such words")], "search_id bigint, text string"))
+    return G.search_many(nodes, index, asked).select("search_id", "node_id", "node_type")
 
 
 @register("neighbors", S.query(*GRAPH, select="""
@@ -112,8 +131,8 @@ def search_nodes(spark, root):
  where node_id in (select node_id from nodes where node_type in ('document','author'))"""))
 def neighbors(spark, root):
     parts = _parts(spark, root)
-    seeds = G.build_nodes(*parts).where(F.col("node_type").isin("document", "author"))
-    return G.neighbors(G.build_edges(*parts), seeds)
+    seeds = G.build_nodes(**parts).where(F.col("node_type").isin("document", "author"))
+    return G.neighbors(G.build_edges(**parts), seeds)
 
 
 @register("k_hop", S.query(*GRAPH, "flat as materialized (select distinct src, dst, edge_type from edges)",
@@ -188,7 +207,7 @@ def graph_stats(spark, root):
  select doc_id, c+a as n_nodes, n_edges, round(n_edges::double/((c+a)*(c+a-1)),6) as density from v join e using (doc_id)"""))
 def document_graph_stats(spark, root):
     parts = _parts(spark, root)
-    return G.document_graph_stats(G.build_nodes(*parts), G.build_edges(*parts))
+    return G.document_graph_stats(G.build_nodes(**parts), G.build_edges(**parts))
 
 
 @register("extract_subgraph", S.query(*GRAPH, select="""
@@ -196,13 +215,13 @@ def document_graph_stats(spark, root):
   and src in (select node_id from nodes where node_type in ('section','paragraph')) and dst in (select node_id from nodes where node_type in ('section','paragraph'))"""))
 def extract_subgraph(spark, root):
     parts = _parts(spark, root)
-    return G.extract_subgraph(G.build_nodes(*parts), G.build_edges(*parts), ["section", "paragraph"], ["contains", "follows"])[1].select("src", "dst", "edge_type")
+    return G.extract_subgraph(G.build_nodes(**parts), G.build_edges(**parts), ["section", "paragraph"], ["contains", "follows"])[1].select("src", "dst", "edge_type")
 
 
 @register("citation_network", S.query(*GRAPH, select="select src, dst, edge_type from edges where edge_type='references'"))
 def citation_network(spark, root):
     parts = _parts(spark, root)
-    return G.citation_network(G.build_nodes(*parts), G.build_edges(*parts))[1].select("src", "dst", "edge_type")
+    return G.citation_network(G.build_nodes(**parts), G.build_edges(**parts))[1].select("src", "dst", "edge_type")
 
 
 @register("page_subgraph", S.query(*GRAPH, """mem as (select node_id as page_id, node_id from nodes where node_type='page'

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import classify
 from quire.operators import answers as A
 from quire.operators import catalog as C
+from quire.operators import chunking, citations, equations
 from quire.operators import recognition as O
 from quire.plans import derived
 from quire.plans import derived_sql as S
-from quire.plans.extraction import EQUATIONS, REFS, all_citations, all_equations, all_references, CITES
+from quire.plans.extraction import CITES, EQUATIONS, REFS, all_equations, all_references
 from quire.plans.registry import register
-from quire.plans.retrieval import ALL_CHUNK_VIEWS, all_chunks
-from quire.plans.structure import CHUNK_VIEWS, text_chunks
+from quire.plans.retrieval import ALL_CHUNK_VIEWS
+from quire.plans.structure import CHUNK_VIEWS
+from quire.session import scratch_path
 from quire.sources.tables import table
 
+
 def _rounded(column):
     """Six digits, with exact halves nudged up so that both engines round them alike."""
     return F.round(F.col(column) + 1e-9, 6)
@@ -285,6 +291,14 @@ def _status(spark, root):
     }).select("doc_id", "status", "error_message")
 
 
+def _stored_elements(spark, root):
+    """Elements as a table: the counts below all start from it, so documents are parsed once."""
+    elements = derived.elements(spark, root)
+    path = scratch_path(spark, "elements")
+    elements.write.parquet(path)
+    return spark.read.schema(elements.schema).parquet(path)
+
+
 STATUS = """status as (select doc_id, case when length(trim(text))=0 then 'document has no text' when len(string_split(text,chr(10)))<=1 then 'document has a single line' end as error_message from documents)"""
 
 
@@ -308,10 +322,11 @@ def _count_sql(name, source):
  left join {_count_sql('references_found','refs')} using (doc_id) left join {_count_sql('chunks_created','text_chunks')} using (doc_id)""", recursive=True))
 def processing_stats(spark, root):
     ocr = O.page_confidence(derived.words(spark, root))
+    elements = _stored_elements(spark, root)
     children = {
-        "elements_detected": derived.elements(spark, root), "tables_found": derived.tables(spark, root), "figures_found": derived.figures(spark, root),
-        "equations_found": all_equations(spark, root), "citations_found": all_citations(spark, root), "references_found": all_references(spark, root),
-        "chunks_created": text_chunks(spark, root),
+        "elements_detected": elements, "tables_found": derived.tables(spark, elements), "figures_found": derived.figures(spark, elements),
+        "equations_found": equations.extract_equations(elements), "citations_found": citations.extract_citations(elements), "references_found": citations.extract_references(elements),
+        "chunks_created": chunking.pack_chunks(elements, with_text=False),
     }
     return C.processing_stats(derived.metadata(spark, root), ocr, children).withColumn("ocr_mean_confidence", _rounded("ocr_mean_confidence"))
 
@@ -322,9 +337,12 @@ def processing_stats(spark, root):
  from meta m left join status using (doc_id) left join {_count_sql('element_count','elements')} using (doc_id) left join {_count_sql('table_count','tables')} using (doc_id)
  left join {_count_sql('figure_count','figures')} using (doc_id) left join {_count_sql('equation_count','eqs')} using (doc_id) left join {_count_sql('chunk_count','all_chunks')} using (doc_id)""", recursive=True))
 def document_summary(spark, root):
+    elements = _stored_elements(spark, root)
+    tables, figures, formulas = derived.tables(spark, elements), derived.figures(spark, elements), equations.extract_equations(elements)
+    # a chunk of each entity, and those of the text
+    chunks = reduce(DataFrame.unionByName, [x.select("doc_id") for x in (tables, figures, formulas, chunking.pack_chunks(elements, with_text=False))])
     return C.document_summary(derived.metadata(spark, root), _status(spark, root), {
-        "element_count": derived.elements(spark, root), "table_count": derived.tables(spark, root), "figure_count": derived.figures(spark, root),
-        "equation_count": all_equations(spark, root), "chunk_count": all_chunks(spark, root),
+        "element_count": elements, "table_count": tables, "figure_count": figures, "equation_count": formulas, "chunk_count": chunks,
     })
 
 
@@ -335,7 +353,11 @@ def document_summary(spark, root):
   case when t+b+f+e>0 then round(t/(t+b+f+e),6) else 0 end as share_text, case when t+b+f+e>0 then round(b/(t+b+f+e),6) else 0 end as share_table,
   case when t+b+f+e>0 then round(f/(t+b+f+e),6) else 0 end as share_figure, case when t+b+f+e>0 then round(e/(t+b+f+e),6) else 0 end as share_equation from r""", recursive=True))
 def corpus_analytics(spark, root):
-    return C.corpus_analytics(derived.metadata(spark, root), all_chunks(spark, root))
+    elements = _stored_elements(spark, root)
+    kinds = {"table": derived.tables(spark, elements), "figure": derived.figures(spark, elements), "equation": equations.extract_equations(elements)}
+    counted = [x.select("doc_id", F.lit(kind).alias("chunk_type")) for kind, x in kinds.items()]
+    text = chunking.pack_chunks(elements, with_text=False).select("doc_id", "chunk_type")
+    return C.corpus_analytics(derived.metadata(spark, root), reduce(DataFrame.unionByName, [text, *counted]))
 
 
 @register("review_features", S.query(*S.ENTITY_VIEWS, S.META, EQUATIONS, REFS, """hd as (select doc_id, string_agg(content,', ' order by pos) as sections from (

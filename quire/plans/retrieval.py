@@ -11,7 +11,7 @@ from quire.operators import answers as A
 from quire.operators import chunking, embedding, search
 from quire.plans import derived
 from quire.plans import derived_sql as S
-from quire.plans.extraction import EQUATIONS, PAIRS, _FTYPE, all_equations, captioned_figures, captioned_tables
+from quire.plans.extraction import EQUATIONS, PAIRS, _FTYPE, _ordered_distinct, all_equations, captioned_figures, captioned_tables
 from quire.plans.registry import register
 from quire.plans.structure import CHUNK_VIEWS, text_chunks
 from quire.session import scratch_path
@@ -23,18 +23,21 @@ from quire.sources.tables import table
 SPECIAL = f"""table_chunks as (
  select concat('table:',t.table_id) as chunk_id, t.doc_id, 'table' as chunk_type,
   case when length(p.caption)>0 then concat('Table Caption: ',p.caption) else concat('Table on page ',t.page_number,' with ',t."rows",' rows and ',t.cols,' columns.') end as content,
-  t.page_number, null::varchar as section, 0 as section_level, t.x0, t.y0, t.x1, t.y1, t.table_id as element_ids, t.pos as first_pos, 0 as part
+  t.page_number, null::varchar as section, 0 as section_level, t.x0, t.y0, t.x1, t.y1, t.table_id as element_ids, t.pos as first_pos, 0 as part,
+  t."rows", t.cols, p.caption
  from tables t left join paired_tables p using (table_id)),
  figure_chunks as (
  select concat('figure:',f.figure_id) as chunk_id, f.doc_id, 'figure' as chunk_type,
   case when length(p.caption)>0 then concat('Figure Caption: ',p.caption) else concat('Figure on page ',f.page_number,' (',coalesce({_FTYPE},'image'),').') end as content,
-  f.page_number, null::varchar as section, 0 as section_level, f.x0, f.y0, f.x1, f.y1, f.figure_id as element_ids, f.pos as first_pos, 0 as part
+  f.page_number, null::varchar as section, 0 as section_level, f.x0, f.y0, f.x1, f.y1, f.figure_id as element_ids, f.pos as first_pos, 0 as part,
+  p.caption, {_FTYPE} as figure_type
  from figures f left join paired_figures p using (figure_id)),
  equation_chunks as (
  select concat('equation:',equation_id) as chunk_id, doc_id, 'equation' as chunk_type, concat('Equation: ',coalesce(nullif(latex,''),raw_text)) as content,
-  page_number, null::varchar as section, 0 as section_level, x0, y0, x1, y1, equation_id as element_ids, pos as first_pos, source_order*4294967296+match_pos as part
+  page_number, null::varchar as section, 0 as section_level, x0, y0, x1, y1, equation_id as element_ids, pos as first_pos, source_order*4294967296+match_pos as part,
+  raw_text, latex, is_inline, array_to_string({_ordered_distinct('vs')},'|') as variables
  from eqs),
- special as (select *, {S.tokens('content')} as token_count from (select * from table_chunks union all select * from figure_chunks union all select * from equation_chunks)),
+ special as (select *, {S.tokens('content')} as token_count from (select * from table_chunks union all by name select * from figure_chunks union all by name select * from equation_chunks)),
  all_chunks as (select * from text_chunks union all by name select * from special)"""
 ALL_CHUNK_VIEWS = (*CHUNK_VIEWS, S.CAPTIONED, S.FIGURES, S.TABLES, PAIRS, EQUATIONS, SPECIAL)
 
@@ -58,7 +61,8 @@ def stored_chunks(spark, root):
 
 
 def _flat(df):
-    return df.withColumn("element_ids", F.array_join("element_ids", "|"))
+    fields = [F.array_join("metadata.variables", "|").alias(f) if f == "variables" else F.col(f"metadata.{f}") for f in chunking.METADATA if f != "image_path"]
+    return df.withColumn("element_ids", F.array_join("element_ids", "|")).select(*[c for c in df.columns if c != "metadata"], *fields)
 
 
 @register("special_chunks", S.query(*S.ENTITY_VIEWS, PAIRS, EQUATIONS, SPECIAL.split(",\n all_chunks as")[0], select="select * from special"))

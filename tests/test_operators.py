@@ -423,6 +423,18 @@ def test_crops_against_brute_force(spark):
     assert got == want
 
 
+def test_many_searches_against_brute_force(spark):
+    dice = random.Random(13)
+    word = lambda: "".join(dice.choice("abcÄé 1") for _ in range(dice.randrange(0, 12)))
+    rows = [(f"n{i}", "text", word(), word() if i % 3 else None, None, "ab" if i == 5 else None, word()) for i in range(120)]
+    nodes = spark.createDataFrame(rows, "node_id string, node_type string, label string, content string, raw_text string, caption string, context string")
+    searches = [(i, word()[: i % 6]) for i in range(60)] + [(100, "AB"), (101, "ä"), (102, "zzz"), (103, ""), (104, "1\u0001a")]
+    df = spark.createDataFrame(searches, "search_id long, text string")
+    got = {(r.search_id, r.node_id) for r in graph.search_many(nodes, graph.gram_index(nodes), df).collect()}
+    assert got == {(i, r[0]) for i, q in searches if q for r in rows if any(q.lower() in (t or "").lower() for t in r[2:])}
+    assert graph.gram_index(nodes.limit(0)).count() == 0
+
+
 def test_custom_embedder(spark):
     chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, content string")
     got = embedding.embed_chunks(chunks, embedder=lambda texts: [[0.1] * 4 for _ in texts]).collect()
