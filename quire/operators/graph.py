@@ -277,34 +277,47 @@ def shortest_paths(
 ) -> DataFrame:
     """Directed shortest path per (source, target): path array and hops; no row when there is none.
 
-    Breadth first for all pairs together. A pair leaves the search when its
-    target is reached, a node is expanded once per pair, and among equally short
-    ways the smallest path is kept.
+    Breadth first for all pairs together, from both ends: a round takes a step
+    forward from the sources and one backward from the targets in one job, so a way of n edges
+    takes n/2 rounds and no frontier row carries more than half of it. A pair leaves the search when its
+    frontiers meet or one of them ends; a node is expanded once per pair and side, and among
+    equally short ways the smallest path is kept.
     """
+    key = ["source", "target"]
     ids = nodes.select("node_id").distinct()
-    open_ = pairs.select("source", "target").distinct()
-    for end in ("source", "target"):
+    open_ = pairs.select(*key).distinct()
+    for end in key:
         open_ = open_.join(ids.withColumnRenamed("node_id", end), end, "left_semi")
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    frontier = cut_lineage(open_.select("source", "target", F.col("source").alias("node"), F.array("source").alias("path")))
-    seen = frontier.select("source", "target", "node")
-    found = frontier.where("node = target")
-    hop = 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        active = frontier.join(found.select("source", "target"), ["source", "target"], "left_anti")
-        step = (
-            active.join(links, "node")
-            .groupBy("source", "target", "next")
-            .agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-            .withColumnRenamed("next", "node")
-        )
-        frontier = cut_lineage(step.join(seen, ["source", "target", "node"], "left_anti").select("source", "target", "node", "path"))
+    forward = edges.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("next"))
+    links = forward.unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("next"))).distinct()
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("source").alias("node")), F.struct(F.lit(1).alias("side"), F.col("target").alias("node")))).alias("s")
+    start = cut_lineage(open_.select(*key, sides).select("s.side", *key, "s.node", F.array("s.node").alias("path")))
+    found = start.where("side = 0 and node = target").select(*key, "path")
+    frontier = seen = start.where("source <> target")
+
+    def meeting(ahead: DataFrame, behind: DataFrame) -> DataFrame:
+        """Ways through a node that both frontiers hold."""
+        back = behind.where("side = 1").select(*key, "node", F.expr("slice(path, 2, size(path))").alias("_rest"))
+        return ahead.where("side = 0").join(back, [*key, "node"]).select(*key, F.concat("path", "_rest").alias("path"))
+
+    rounds = 0
+    while max_hops is None or 2 * rounds < max_hops:
+        rounds += 1
+        longer = F.when(F.col("side") == 0, F.concat("path", F.array("next"))).otherwise(F.concat(F.array("next"), "path"))
+        step = frontier.join(links, ["side", "node"]).groupBy("side", *key, "next").agg(F.min(longer).alias("path")).withColumnRenamed("next", "node")
+        reached = cut_lineage(step.join(seen.select("side", *key, "node"), ["side", *key, "node"], "left_anti").select(*frontier.columns))
+        # an odd number of edges meets the targets' old frontier, an even one their new one
+        ways = meeting(reached, frontier).unionByName(meeting(reached, reached))
+        met = cut_lineage(ways.groupBy(*key).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("w")).select(*key, "w.path"))
+        found = found.unionByName(met)
+        both = reached.groupBy(*key).agg(F.count_distinct("side").alias("n")).where("n = 2")
+        frontier = reached.join(both.select(*key), key, "left_semi").join(met.select(*key), key, "left_anti")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier.select("source", "target", "node"))
-        found = found.unionByName(frontier.where("node = target"))
-    return found.select("source", "target", "path", (F.size("path") - 1).alias("hops"))
+        seen = seen.unionByName(reached)
+    hops = F.size("path") - 1
+    found = found.select(*key, "path", hops.alias("hops"))
+    return found if max_hops is None else found.where(F.col("hops") <= max_hops)
 
 
 @prepared

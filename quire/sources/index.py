@@ -60,22 +60,24 @@ def change_bucketed(
 
     Only the buckets of those keys are read and rewritten; their other rows stay.
     The rewritten buckets are staged first, because a table cannot be read and
-    overwritten at once. ``old`` is the table as read from ``path``.
+    overwritten at once. Buckets that keep no row are removed before the others are overwritten: after
+    a failure the table lacks nothing but rows that were to go, and the change can be made again.
+    ``old`` is the table as read from ``path``.
     """
     buckets = stored_buckets(spark, path)
     wanted = keys.select(F.col(key).cast("string").alias("_key")).distinct()
-    touched = [r[0] for r in wanted.select(F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")).distinct().collect()]  # at most the number of buckets
-    kept = old.where(F.col(bucket).isin(touched)).drop(bucket)
+    touched = wanted.select(F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int").alias(bucket)).distinct()
+    kept = old.join(touched, bucket, "left_semi").drop(bucket).select(*[c for c in old.columns if c != bucket])
     kept = kept.join(wanted, F.col(key).cast("string") == F.col("_key"), "left_anti")
     rows = kept if new is None else kept.unionByName(new, allowMissingColumns=True)
     staged = scratch_path(spark, "staged")
     rows.write.parquet(staged)
     staged = spark.read.schema(rows.schema).parquet(staged)
-    _write_buckets(staged, path, fmt, key, bucket, buckets)
-    full = {r[0] for r in staged.select(bucket_of(key, buckets)).distinct().collect()}
-    for number in set(touched) - full:
-        store, target = _path(spark, f"{path}/{bucket}={number}")
+    emptied = touched.join(staged.select(bucket_of(key, buckets).alias(bucket)).distinct(), bucket, "left_anti")
+    for row in emptied.toLocalIterator():
+        store, target = _path(spark, f"{path}/{bucket}={row[0]}")
         store.delete(target, True)
+    _write_buckets(staged, path, fmt, key, bucket, buckets)
 
 
 def persist_index(chunks: DataFrame, path: str, partitioned: bool = False) -> str:

@@ -478,6 +478,40 @@ def test_graph_traversal(spark):
     assert sorted(r.node_id for r in content.collect()) == ["a", "b", "c", "d"]  # the cycle ends
 
 
+def test_shortest_paths_from_both_ends(spark, monkeypatch):
+    dice = random.Random(23)
+    chain = [(f"k{i:03d}", f"k{i + 1:03d}") for i in range(60)]
+    loose = {(f"n{dice.randrange(14)}", f"n{dice.randrange(14)}") for _ in range(30)}
+    links = chain + sorted(loose)
+    names = sorted({x for e in links for x in e})
+    nodes = spark.createDataFrame([(x,) for x in names], "node_id string")
+    edges = spark.createDataFrame(links + links[:5], "src string, dst string")
+    asked = [("k000", "k060"), ("k000", "k059"), ("k003", "k001"), ("n1", "gone")] + [(f"n{a}", f"n{b}") for a in range(14) for b in range(14) if f"n{a}" in names and f"n{b}" in names]
+    rounds = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    got = {(r.source, r.target): (r.path, r.hops) for r in graph.shortest_paths(nodes, edges, spark.createDataFrame(asked, "source string, target string")).collect()}
+    assert len(rounds) <= 1 + 2 * 31  # two tables a round, a round for two edges
+    want = {}
+    for a, b in asked:
+        level = [[a]] if a in names else []
+        seen = {a}
+        while level and b not in {p[-1] for p in level}:
+            best = {}
+            for p in level:
+                for x, y in links:
+                    if x == p[-1] and y not in seen:
+                        best[y] = min(best.get(y, [*p, y]), [*p, y])
+            seen |= set(best)
+            level = list(best.values())
+        hit = [p for p in level if p[-1] == b]
+        if hit and b in names:
+            want[a, b] = (min(hit), len(min(hit)) - 1)
+    assert got == want
+    few = graph.shortest_paths(nodes, edges, spark.createDataFrame(asked, "source string, target string"), 3).collect()
+    assert {(r.source, r.target): (r.path, r.hops) for r in few} == {k: v for k, v in want.items() if v[1] <= 3}
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = list(range(n))
