@@ -8,7 +8,7 @@ component (a box) and the sums of the components.
 
 In a round each task compares boxes with entries first: an entry whose least
 distance to the box exceeds the smallest greatest distance of any entry is
-nearest to no part of the block. A block left with one entry counts by its sums,
+nearest to no part of the block, nor is one that another entry beats at every corner. A block left with one entry counts by its sums,
 unread; the others are decided by exact integer arithmetic over their shortlist.
 A task sends on a count and sums for each entry, never parts. The codebooks
 (parts * entries * width integers, whatever the number of vectors) are all that
@@ -164,11 +164,21 @@ def hilbert_blocks(kept: DataFrame, parts: int, width: int, block: int = BLOCK)
     return spread.repartitionByRange(*order).sortWithinPartitions(*order).select("part", "row", "x").mapInArrow(pack, _BLOCKS)
 
 
-def shortlist(lo: np.ndarray, hi: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Entries that can be nearest to a point of the box, in ascending order."""
+def shortlist(lo: np.ndarray, hi: np.ndarray, middle: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Entries that can be nearest to a point of the box, in ascending order.
+
+    An entry goes if its least distance to the box exceeds the smallest greatest one, or
+    if the entry nearest to `middle` is nearer to every point: to the corner that favours the other one most.
+    """
     outside = np.maximum(np.maximum(lo - entries, entries - hi), 0)
     furthest = np.maximum(np.abs(entries - lo), np.abs(entries - hi))
-    return np.flatnonzero((outside * outside).sum(axis=1) <= (furthest * furthest).sum(axis=1).min())
+    near = np.flatnonzero((outside * outside).sum(axis=1) <= (furthest * furthest).sum(axis=1).min())
+    left = entries[near]
+    off = left - middle
+    best = left[(off * off).sum(axis=1).argmin()]
+    corner = np.where(left > best, hi, lo)
+    own, other = corner - left, corner - best
+    return near[(own * own).sum(axis=1) <= (other * other).sum(axis=1)]
 
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +210,7 @@ def _entry_sums(blocks: DataFrame, books: np.ndarray) -> DataFrame:
         count, total = np.zeros((parts, entries), np.int64), np.zeros((parts, entries, width), np.int64)
         for batch in batches:
             for part, n, _, x, lo, hi, whole in _unpacked(batch, width):
-                near = shortlist(lo, hi, books[part])
+                near = shortlist(lo, hi, whole // n, books[part])
                 if len(near) == 1:
                     count[part, near[0]] += n
                     total[part, near[0]] += whole
@@ -230,8 +240,8 @@ def _assigned(blocks: DataFrame, books: np.ndarray) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for part, n, row, x, lo, hi, _ in _unpacked(batch, width):
-                near = shortlist(lo, hi, books[part])
+            for part, n, row, x, lo, hi, whole in _unpacked(batch, width):
+                near = shortlist(lo, hi, whole // n, books[part])
                 best, error = nearest(x, books[part][near])
                 out.append((row, np.full(n, part, np.int32), near[best], error))
             if out:

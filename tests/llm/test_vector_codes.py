@@ -94,9 +94,13 @@ def test_shortlists_hold_every_nearest_entry():
     for _ in range(200):
         x = dice.integers(-50, 50, (20, 3)) // dice.integers(1, 20)
         entries = dice.integers(-60, 60, (40, 3)) // dice.integers(1, 20)
-        near = vc.shortlist(x.min(axis=0), x.max(axis=0), entries)
+        near = vc.shortlist(x.min(axis=0), x.max(axis=0), x.sum(axis=0) // len(x), entries)
         far = ((x[:, None, :] - entries[None]) ** 2).sum(axis=2)
         best, error = vc.nearest(x, entries[near])
         assert near[best].tolist() == far.argmin(axis=1).tolist() and error.tolist() == far.min(axis=1).tolist()
+    # parts of one small neighbourhood among scattered entries
+    entries = dice.integers(-500, 500, (256, 8))
+    x = entries[17] + dice.integers(-3, 4, (50, 8))
+    assert vc.shortlist(x.min(axis=0), x.max(axis=0), x.sum(axis=0) // 50, entries).tolist() == [17]
     big = np.array([[1 << 24, -(1 << 24)]] * 2)
     assert vc.nearest(big, big - 1)[1].tolist() == [2, 2]
