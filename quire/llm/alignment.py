@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: two tokenisations of a text merged by byte ends, and how often ids are linked.
 
 1. A task takes texts in slices of bounded bytes, encodes each with both
-   tokenizers (a worker remembers the ids of words, bounded) and has the byte
+   tokenizers and has the byte
    ends of all tokens as two flat arrays. They are merged in lockstep: one state vector
    holds the A and B pointers of all documents of the slice, a step compares
    both ends of each, advances the pointer that is behind, or both with a link and a cut
@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -27,11 +28,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm.pieces import segments
 from quire.llm.store import save
 from quire.llm.words import Memo, slices
 
@@ -39,6 +40,12 @@ from quire.llm.words import Memo, slices
 SLICE, LANE = 2 << 20, 512
 #: Elements spelled at once.
 PIECE = 1 << 18
+#: Characters of a text that are encoded at once.
+PART = 1 << 16
+#: Texts of these characters (fixed letters of ASCII and Latin-1) have the same pre-tokens in every library.
+LATIN = re.compile("[\x00-\x7fÀ-ÿ]*")
+# Fixed value: the pre-tokens of byte-level vocabularies of this kind.
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text is cut before a single space between other characters: there byte-level pre-tokens start in any context.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -65,20 +72,34 @@ class TokenPair:
         self.letters_b, self.place_b = _flat(spelled)
         self.letters_a, self.place_a = _flat(_byte_level(self.a))
         self.length_a, self.length_b = np.diff(self.place_a), np.diff(self.place_b)
-        self.memo_a = Memo(self._encode_a)
-        self.memo_b = Memo(self._encode_b)
+        self.memo = Memo(self._encode_words)
+        self.latin = _ranked(self.a, _byte_level(self.a))
 
-    def _encode_a(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return _joined([e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)])
 
-    def _encode_b(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # the segment of a lone last space is empty: its space sign is the dummy prefix, which the library gives to no empty text
-        return _joined([ids or [self.space] for ids in self.b.encode(words, num_threads=1)])
+    def _encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of space + text: by ranks where only ASCII and Latin-1 letters occur, else word by word by the library."""
+        plain = [self.latin is not None and LATIN.fullmatch(t) is not None for t in texts]
+        others, counts = self.memo.ids([_CUT.split(" " + t) if t and not p else [] for t, p in zip(texts, plain)])
+        ends, found = np.cumsum(counts).tolist(), []
+        for t, p, end, n in zip(texts, plain, ends, counts.tolist()):
+            found.append([self.latin.encode_to_numpy(x, disallowed_special=()) for x in _long_parts(" " + t, 0)] if p and t else [others[end - n : end]])
+        count = np.array([sum(map(len, x)) for x in found], np.int64)
+        return np.concatenate([x for own in found for x in own]).astype(np.uint32) if found else others, count
+
+    def _encode_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts; a long one is encoded in parts that start at a space, which the dummy prefix stands for."""
+        parts = [_long_parts(t.replace("▁", " "), 1) if t else [] for t in texts]
+        # a part of a lone last space is empty, and the library gives no prefix to an empty text
+        ids, count = _joined([found or [self.space] for found in self.b.encode([x for own in parts for x in own], num_threads=1)])
+        edges = np.concatenate([[0], np.cumsum([len(own) for own in parts])]).astype(np.int64)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(count)])[edges])
 
     def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
         """Tokens of space + text by A and of text by B, as flat arrays; none for an empty text."""
-        a, n_a = self.memo_a.ids([_CUT.split(" " + t) if t else [] for t in texts])
-        b, n_b = self.memo_b.ids([segments(t) for t in texts])
+        a, n_a = self._encode_a(texts)
+        b, n_b = self._encode_b(texts)
         return Tokens(a, n_a, self.length_a[a]), Tokens(b, n_b, self.length_b[b])
 
     def matches(self, texts: list[bytes], a: Tokens, b: Tokens) -> np.ndarray:
@@ -174,6 +195,30 @@ def merge_ends(end_a: np.ndarray, end_b: np.ndarray, size: int, lane: int = LANE
     return a[order], b[order]
 
 
+def _ranked(tokenizer: Tokenizer, spelled: list[bytes]) -> tiktoken.Encoding | None:
+    """The same vocabulary by ranks, which encodes faster; None unless merges come in the order of their tokens and pre-tokens are the usual ones."""
+    spec = json.loads(tokenizer.to_str())
+    known = tokenizer.get_vocab()
+    merges = [known["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in spec["model"]["merges"]]
+    plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec["normalizer"]
+    if not plain or merges != sorted(merges):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks={t: i for i, t in enumerate(spelled) if t}, special_tokens={})
+
+
+def _long_parts(text: str, drop: int) -> list[str]:
+    """The text, or parts of about PART characters cut at single spaces between other characters; `drop` characters go at each cut."""
+    out, at = [], 0
+    while len(text) - at > PART:
+        cut = _CUT.search(text, at + PART)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start() + drop
+    out.append(text[at:])
+    return out
+
+
 @lru_cache(maxsize=1)
 def _decimals(limit: int) -> tuple[np.ndarray, np.ndarray]:
     """The decimal numbers below `limit`, each with a comma behind it (see _flat)."""
