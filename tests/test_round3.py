@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from quire.operators import graph
+from quire.plans import graphs
 from quire.plans.all_queries import CHECKS, QUERIES
 from tests.check import compare, duck
 
@@ -18,3 +20,58 @@ def con():
 def test_entity_preview_matches_its_sql(spark, con):
     diff, _ = compare(spark, con, ROOT, QUERIES["entity_preview"], CHECKS["entity_preview"])
     assert not diff, diff
+
+
+def _linked(rows):
+    """Smallest node of every node's component, by repeated merging."""
+    least = {n: n for r in rows for n in r[:2]}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in (r[:2] for r in rows):
+            low = min(least[a], least[b])
+            moved |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
+
+
+@pytest.mark.parametrize("run", [3, 1 << 18])
+@pytest.mark.parametrize("named", [True, False])
+def test_components_of_runs_that_share_nodes(spark, run, named):
+    """Documents as chains, joined by shared nodes, cut into runs of few edges; a node without edges and ends that are no nodes."""
+    rows = [(f"d{d}:{i:03}", f"d{d}:{i + 1:03}", d) for d in range(6) for i in range(20)]
+    rows += [("hub", f"d{d}:007", d) for d in (0, 2, 4)] + [("hub2", "d4:003", 4), ("d5:001", "hub2", 5), ("d3:004", "d3:004", 3)]
+    want = _linked(rows) | {"alone": "alone"}
+    nodes = spark.createDataFrame([(n,) for n in want if n != "d1:010"] + [("hub",)], "node_id string")
+    edges = spark.createDataFrame(rows, "src string, dst string, doc_id long")
+    got = graph.connected_components(nodes, edges if named else edges.drop("doc_id"), run).collect()
+    del want["d1:010"]
+    assert len(got) == len(want) and {r.node_id: r.component for r in got} == want
+
+
+def test_components_contract_documents_before_any_shuffle_of_links(spark, monkeypatch):
+    """What reaches the rounds of joins is links between runs, not the edges."""
+    sizes = []
+    cut = graph.cut_lineage
+
+    def counted(df):
+        kept = cut(df)
+        if df.columns == ["u", "v"]:
+            sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    rows = [(f"{d}:{i:04}", f"{d}:{i + 1:04}", d) for d in range(10) for i in range(200)] + [("z", f"{d}:0100", d) for d in range(10)]
+    edges = spark.createDataFrame(rows, "src string, dst string, doc_id long")
+    got = graph.connected_components(edges.select(graph.F.col("src").alias("node_id")), edges).collect()
+    assert {r.component for r in got} == {"0:0000"} and max(sizes) < 100
+
+
+def test_entities_come_from_stored_elements(spark, monkeypatch):
+    """Texts are cut into elements once for a whole graph."""
+    calls = []
+    cut = graphs.derived.elements
+    monkeypatch.setattr(graphs.derived, "elements", lambda *a: calls.append(a) or cut(*a))
+    parts = graphs._parts(spark, ROOT)
+    assert len(calls) == 1 and sorted(parts) == ["citations", "elements", "equations", "figures", "metadata", "references", "tables"]
+    assert sorted(graphs._parts(spark, ROOT, "metadata", "citations")) == ["citations", "metadata"]
