@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from quire.operators import graph
+from quire.operators import graph, recognition
 from quire.plans import graphs
 from quire.plans.all_queries import CHECKS, QUERIES
 from tests.check import compare, duck
@@ -75,3 +77,25 @@ def test_entities_come_from_stored_elements(spark, monkeypatch):
     parts = graphs._parts(spark, ROOT)
     assert len(calls) == 1 and sorted(parts) == ["citations", "elements", "equations", "figures", "metadata", "references", "tables"]
     assert sorted(graphs._parts(spark, ROOT, "metadata", "citations")) == ["citations", "metadata"]
+
+
+@pytest.mark.parametrize("whole", [1, 40, 1 << 16])
+def test_grids_of_small_pages_are_those_of_folds(spark, whole):
+    """Pages below the limit are laid out in one task each, above it by folds: the same cells."""
+    dice = random.Random(3)
+    words = [(p, k, dice.choice(["a", "b,c", " d ", "  ", "é"]), float(dice.randrange(0, 400)), dice.randrange(0, 60) / dice.choice([1, 2])) for p in range(5) for k in range(60 if p else 12)]
+    words += [(7, 1, "\t", 3.0, 4.0), (8, 1, None, 3.0, 4.0), (8, 2, "x", 90.0, 4.0), (None, 1, "lost", 1.0, 1.0), (8, 3, "lost", None, 1.0), (8, 4, "lost", 1.0, None)]
+    df = spark.createDataFrame(words, "page_number int, word_num int, text string, x0 double, y0 double")
+    want = recognition.words_to_grid(df, ["page_number"], pieces=3)
+    got = recognition.words_to_grid(df, ["page_number"], whole=whole)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    full = sorted((r.page_number, r.row_idx, r.col_idx, r.content) for r in recognition.grid_to_cells(got, ["page_number"]).collect())
+    cells = {(r.page_number, r.row_idx, r.col_idx): r.content for r in want.collect()}
+    size = {(r.page_number, r.row_idx): r.n_cols for r in want.collect()}
+    assert full == sorted((*k, c, cells.get((*k, c), "")) for k, n in size.items() for c in range(n))
+
+
+def test_small_pages_shuffle_words_once(spark):
+    words = spark.createDataFrame([(1, 1, "a", 1.0, 2.0)], "page_number int, word_num int, text string, x0 double, y0 double")
+    plan = recognition.words_to_grid(words, ["page_number"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Aggregate" not in plan
