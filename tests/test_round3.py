@@ -99,3 +99,16 @@ def test_small_pages_shuffle_words_once(spark):
     words = spark.createDataFrame([(1, 1, "a", 1.0, 2.0)], "page_number int, word_num int, text string, x0 double, y0 double")
     plan = recognition.words_to_grid(words, ["page_number"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_searches_meet_cells_without_an_index(spark):
+    """Every search finds what search_nodes() finds, whatever the cells and blocks; equal searches each, empty ones nothing."""
+    texts = ["Abc déf", "abcabc", "", None, "x\x00y", "ÉTÉ abX", "zz bcd"]
+    nodes = spark.createDataFrame([(f"n{i}", a, b) for i, (a, b) in enumerate(zip(texts, texts[1:] + texts[:1]))], "node_id string, label string, content string")
+    searches = [(1, "bc"), (2, "BCAB"), (3, ""), (4, None), (5, "é"), (6, "c d"), (7, "bc"), (8, "fabc"), (9, "x\x00y"), (10, "no such words"), (11, "abcd")]
+    asked = spark.createDataFrame(searches, "search_id long, text string")
+    fields = ["label", "content"]
+    want = sorted((i, r.node_id) for i, q in searches if q for r in graph.search_nodes(nodes, q, fields=fields).collect())
+    for cell, block in [(2, 3), (4096, 512)]:
+        got = graph.search_each(nodes, asked, fields, ["node_id"], cell, block)
+        assert got.columns == ["search_id", "node_id"] and sorted(map(tuple, got.collect())) == want
