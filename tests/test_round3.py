@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 
+from quire.functions import ngrams
 from quire.operators import graph, recognition
 from quire.plans import graphs
 from quire.plans.all_queries import CHECKS, QUERIES
@@ -112,3 +115,16 @@ def test_searches_meet_cells_without_an_index(spark):
     for cell, block in [(2, 3), (4096, 512)]:
         got = graph.search_each(nodes, asked, fields, ["node_id"], cell, block)
         assert got.columns == ["search_id", "node_id"] and sorted(map(tuple, got.collect())) == want
+
+
+def test_pairs_are_hashed_as_terms_of_their_own():
+    """Words in one bucket still give pairs of different buckets, and no pair crosses two texts."""
+    code = lambda term: int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big") % 8
+    texts = ["ab cd ef ab cd", "", "gh", "ef ab"]
+    n, buckets, counts = ngrams.count_ngrams(texts, 8, whole=True)
+    at = 0
+    for text, size in zip(texts, n.tolist()):
+        words = text.split()
+        want = Counter(map(code, words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+        assert dict(zip(buckets[at : at + size].tolist(), counts[at : at + size].tolist())) == want
+        at += size
