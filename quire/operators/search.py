@@ -128,7 +128,12 @@ def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         asked: list[tuple] = []
-        for number, side, query, k, name, kind, unit, doc, docs in zip(*[c.to_pylist() for c in batch.columns]):
+        place = batch.schema.get_field_index("unit")
+        units = batch.column(place)
+        # vectors stay numpy: slices of the column's values, never lists of numbers
+        lengths = units.value_lengths().to_numpy(zero_copy_only=False)
+        vectors = np.split(units.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)[:-1])
+        for number, side, query, k, name, kind, unit, doc, docs in zip(*[vectors if i == place else c.to_pylist() for i, c in enumerate(batch.columns)]):
             if number != cell:
                 if asked:
                     yield answer(asked)
@@ -152,11 +157,16 @@ def knn_in_scope(
     Filtered before ranking, or (mode='oversample') among the best 5k of all documents.
     """
     named = scope.select("query_id").distinct()
-    free = knn_topk(queries.join(named, "query_id", "left_anti"), index, k, id_col)
-    own = queries.join(named, "query_id", "left_semi")
     if mode == "exact":
-        return free.unionByName(knn_topk(own, index, k, id_col, scope))
-    wide = knn_topk(own, index, 5 * k, id_col).drop("rank").join(index.select(F.col(id_col).cast("string").alias("id"), "doc_id"), "id")
+        free = knn_topk(queries.join(named, "query_id", "left_anti"), index, k, id_col)
+        return free.unionByName(knn_topk(queries.join(named, "query_id", "left_semi"), index, k, id_col, scope))
+    # one scan answers both kinds of questions, each with its own number of hits
+    asked = queries.join(named.withColumn("_own", F.lit(True)), "query_id", "left")
+    if "k" not in queries.columns:
+        asked = asked.withColumn("k", F.when(F.col("_own"), 5 * k).otherwise(k))
+    hits = cut_lineage(knn_topk(asked, index, k, id_col))
+    free = hits.join(named, "query_id", "left_anti")
+    wide = hits.join(named, "query_id", "left_semi").drop("rank").join(index.select(F.col(id_col).cast("string").alias("id"), "doc_id"), "id")
     seen = wide.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").drop("doc_id")
     return free.unionByName(_keep_best(queries, seen, F.lit(k)).select(*free.columns))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import Counter
 
 import pytest
 
 from quire.functions import ngrams
-from quire.operators import graph, recognition
+from quire.operators import graph, recognition, search
 from quire.plans import graphs
 from quire.plans.all_queries import CHECKS, QUERIES
 from tests.check import compare, duck
@@ -128,3 +129,24 @@ def test_pairs_are_hashed_as_terms_of_their_own():
         want = Counter(map(code, words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
         assert dict(zip(buckets[at : at + size].tolist(), counts[at : at + size].tolist())) == want
         at += size
+
+
+def test_oversampled_scope_scans_the_index_once(spark, monkeypatch):
+    """Questions with and without documents of their own are answered together, each with its own number of hits."""
+    calls = []
+    knn = search.knn_topk
+    monkeypatch.setattr(search, "knn_topk", lambda *a, **b: calls.append(a) or knn(*a, **b))
+    dice = random.Random(9)
+    index = [(f"c{i:02}", i % 4, [dice.random(), dice.random()]) for i in range(40)]
+    asked = [(q, [dice.random(), dice.random()]) for q in range(6)]
+    scope = [(q, q % 4) for q in range(4)]
+    got = search.knn_in_scope(
+        spark.createDataFrame(asked, "query_id long, embedding array<double>"), spark.createDataFrame(index, "chunk_id string, doc_id long, embedding array<double>"),
+        spark.createDataFrame(scope, "query_id long, doc_id long"), 2, "oversample",
+    ).collect()
+    want = []
+    for q, v in asked:
+        near = sorted(index, key=lambda r: (-round(sum(a * b for a, b in zip(v, r[2])) / math.hypot(*v) / math.hypot(*r[2]), 12), r[0]))
+        mine = [r for r in near[:10] if r[1] == q % 4] if q < 4 else near
+        want += [(q, r[0], k + 1) for k, r in enumerate(mine[:2])]
+    assert sorted((r.query_id, r.id, r["rank"]) for r in got) == sorted(want) and len(calls) == 1
