@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions import classify
 from quire.functions import text as T
-from quire.functions import vectors as V
 from quire.operators.embedding import embed_queries
 from quire.session import cut_lineage, prepared
 
@@ -73,23 +72,32 @@ def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "c
         spread = spread.groupBy("query_id", cell(F.col("_part")).alias("_cell")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("_docs"))
         asked = asked.join(spread, "query_id")
     doc = F.col("doc_id").cast("string") if scope is not None else none.cast("string")
+    vector = F.col("embedding").cast("array<double>").alias("vector")
     rows = usable.select(
         F.col("_cell").alias("cell"), F.lit(0).alias("side"), none.cast("bigint").alias("query_id"),
-        F.lit(0).alias("k"), F.col(id_col).cast("string").alias("id"), kind.alias("type"), V.unit(F.col("embedding")).alias("unit"),
+        F.lit(0).alias("k"), F.col(id_col).cast("string").alias("id"), kind.alias("type"), vector,
         doc.alias("doc"), none.cast("array<string>").alias("docs"),
     )
     asked = asked.select(
         F.col("_cell").alias("cell"), F.lit(1).alias("side"), F.col("query_id").cast("bigint").alias("query_id"),
-        limit.alias("k"), none.cast("string").alias("id"), wanted.alias("type"), V.unit(F.col("embedding")).alias("unit"),
+        limit.alias("k"), none.cast("string").alias("id"), wanted.alias("type"), vector,
         none.cast("string").alias("doc"), F.col("_docs").alias("docs"),
     )
-    tiles = rows.unionByName(asked).where(_whole("unit")).repartition(cells, "cell").sortWithinPartitions("cell", "side", "query_id", "id")
+    tiles = rows.unionByName(asked).repartition(cells, "cell").sortWithinPartitions("cell", "side", "query_id", "id")
     return _keep_best(queries, tiles.mapInArrow(_tile_hits, _HITS), F.lit(k))
 
 
-def _whole(column: str) -> Column:
-    """No null component (a vector with one takes no part)."""
-    return F.size(column) == F.size(F.filter(column, lambda x: x.isNotNull()))
+def _units(vectors: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each vector at length one (a zero vector stays as it is), and which ones have no null component (one with any takes no part)."""
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(vectors)), lengths)
+    flat = vectors.flatten()
+    values = flat.to_numpy(zero_copy_only=False)
+    whole = np.ones(len(vectors), bool)
+    whole[owner[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    size = np.sqrt(np.bincount(owner, weights=values * values, minlength=len(vectors)))
+    size[size == 0] = 1.0
+    return np.split(values / size[owner], np.cumsum(lengths)[:-1]), whole
 
 
 def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,16 +136,18 @@ def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         asked: list[tuple] = []
-        place = batch.schema.get_field_index("unit")
-        units = batch.column(place)
+        if not batch.num_rows:
+            continue
+        place = batch.schema.get_field_index("vector")
         # vectors stay numpy: slices of the column's values, never lists of numbers
-        lengths = units.value_lengths().to_numpy(zero_copy_only=False)
-        vectors = np.split(units.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)[:-1])
-        for number, side, query, k, name, kind, unit, doc, docs in zip(*[vectors if i == place else c.to_pylist() for i, c in enumerate(batch.columns)]):
+        vectors, whole = _units(batch.column(place))
+        for usable, (number, side, query, k, name, kind, unit, doc, docs) in zip(whole.tolist(), zip(*[vectors if i == place else c.to_pylist() for i, c in enumerate(batch.columns)])):
             if number != cell:
                 if asked:
                     yield answer(asked)
                 cell, held, parts, number_of, asked = number, [], {}, {}, []
+            if not usable:
+                continue
             if side == 0:
                 held.append((name, kind, unit, doc))
                 continue
@@ -250,8 +260,9 @@ def retrieval_plan(queries: DataFrame, index: DataFrame) -> DataFrame:
     )
     vectors = cut_lineage(embed_queries(planned))
     hits = cut_lineage(knn_topk(vectors, index))  # a few rows per question, used twice
-    rest = vectors.where(F.col("first_type").isNotNull()).join(hits, "query_id", "left_anti").drop("k", "first_type")
-    hits = hits.unionByName(knn_topk(rest.withColumnRenamed("fallback_k", "k"), index))
+    rest = cut_lineage(vectors.where(F.col("first_type").isNotNull()).join(hits, "query_id", "left_anti").drop("k", "first_type"))
+    if not rest.isEmpty():  # else the index would be read and dealt out again for nothing
+        hits = hits.unionByName(knn_topk(rest.withColumnRenamed("fallback_k", "k"), index))
     return hits.join(planned.select("query_id", "intent"), "query_id")
 
 

@@ -186,10 +186,10 @@ def _ingested(spark, root):
  select chunk_id, doc_id, chunk_type, page_number, token_count, md5(content) as content_md5, coalesce(n_buckets,0) as n_buckets, coalesce(total,0.0::double) as total
  from all_chunks left join vectors using (chunk_id)""", recursive=True))
 def stream_ingest(spark, root):
-    e = F.col("embedding")
+    weights = F.array_remove("embedding", 0.0)  # none is negative
     return ingest.current_index(spark, _ingested(spark, root)).select(
         "chunk_id", "doc_id", "chunk_type", "page_number", "token_count", F.md5("content").alias("content_md5"),
-        F.size(F.filter(e, lambda x: x > 0)).alias("n_buckets"), F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 5).alias("total"),
+        F.size(weights).alias("n_buckets"), F.round(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x), 5).alias("total"),
     )
 
 

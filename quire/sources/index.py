@@ -84,7 +84,8 @@ def persist_index(chunks: DataFrame, path: str, partitioned: bool = False) -> st
     """Save an index; with ``partitioned`` by document bucket, so deletes and merges rewrite few files."""
     if partitioned:
         return create_bucketed(chunks, path, "parquet", "doc_id", "doc_bucket")
-    chunks.write.mode("overwrite").parquet(path)
+    # a dictionary of weights only costs time: hardly any but zero comes twice
+    chunks.write.mode("overwrite").option("parquet.enable.dictionary#embedding.list.element", "false").parquet(path)
     return path
 
 
