@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions import mathematics as M
 from quire.functions import ngrams
-from quire.operators import chunking, search
+from quire.operators import chunking, recognition, search
 
 
 def test_packing_reads_its_elements_once(spark, tmp_path):
@@ -50,3 +50,26 @@ def test_sparse_cells_are_counted_like_dense_ones():
     for n in (10, 10_000):
         found, count = ngrams._counted(np.array([3, 7, 3, 9]), n)
         assert found.tolist() == [3, 7, 9] and count.tolist() == [2, 1, 1]
+
+
+def test_lines_are_dealt_out_by_run_and_words_within_them(spark):
+    """Words of a line far apart in the input come together in order; no word is a row of a shuffle."""
+    rows = []
+    for i in range(300):
+        for k in range(7):
+            rows.append((1, 1, 1, 1, i % 60, 10 * (i // 60) + k, f" w{i}ü {k} ", float(k * 9 % 7), 5.0, 4.0, 2.0, 80.0 + k if k else -1.0))
+    names = "doc_id long, page_number int, block_num int, par_num int, line_num int, word_num int, text string, left double, top double, width double, height double, conf double"
+    words = spark.createDataFrame(rows, names).repartition(3)
+    lines = recognition.words_to_lines(words, 1.0, 1.0)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    got = {r.line_num: r for r in lines.collect()}
+    for line in range(60):
+        own = sorted((max(0.0, r[7]), r[5], r[6].strip(), r[11]) for r in rows if r[4] == line and r[11] >= 0)
+        assert got[line].text == " ".join(w[2] for w in own) and got[line].n_words == len(own) and got[line].conf_sum == sum(w[3] for w in own)
+    boxes = recognition.line_words(lines)
+    assert "Window" not in boxes._jdf.queryExecution().executedPlan().toString()
+    one = sorted((r for r in boxes.collect() if r.line_num == 5), key=lambda r: r.word_num)
+    assert [r.text for r in one] == got[5].text.split()
+    per = (got[5].x1 - got[5].x0) / len(got[5].text)
+    assert all(abs(r.wx0 - got[5].x0 - per * len(" ".join(x.text for x in one[: i]) + " " * (i > 0))) < 1e-9 for i, r in enumerate(one))
