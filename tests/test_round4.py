@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions import mathematics as M
 from quire.functions import ngrams
-from quire.operators import chunking, recognition, search
+from quire.operators import chunking, layout, recognition, search
 
 
 def test_packing_reads_its_elements_once(spark, tmp_path):
@@ -73,3 +73,16 @@ def test_lines_are_dealt_out_by_run_and_words_within_them(spark):
     assert [r.text for r in one] == got[5].text.split()
     per = (got[5].x1 - got[5].x0) / len(got[5].text)
     assert all(abs(r.wx0 - got[5].x0 - per * len(" ".join(x.text for x in one[: i]) + " " * (i > 0))) < 1e-9 for i, r in enumerate(one))
+
+
+def test_crops_read_captions_and_regions_once(spark, tmp_path):
+    """Captions are stored before they are asked for, regions before they are folded."""
+    names = "doc_id long, page_number int, pos int, y0 double, y1 double, page_width double, page_height double"
+    spark.createDataFrame([(1, 1, 4, 300.0, 310.0, 612.0, 792.0), (1, 1, 9, 305.0, 316.0, 612.0, 792.0)], names).write.parquet(str(tmp_path / "captions"))
+    rules = spark.createDataFrame([(1, 1, 50.0, 320.0, 400.0, 321.0)], "doc_id long, page_number int, x0 double, y0 double, x1 double, y1 double")
+    crops = layout.crop_table_regions(spark.read.parquet(str(tmp_path / "captions")), rules)
+    assert not any(str(tmp_path) in f for f in crops.inputFiles())
+    assert {r.caption_pos: (r.x0, r.y0, r.x1, r.y1) for r in crops.collect()} == {4: (40.0, 290.0, 410.0, 350.0), 9: (40.0, 295.0, 410.0, 356.0)}
+    crops.write.parquet(str(tmp_path / "crops"))
+    kept = layout.dedupe_crops(spark.read.parquet(str(tmp_path / "crops")))
+    assert not any(str(tmp_path) in f for f in kept.inputFiles()) and [r.caption_pos for r in kept.collect()] == [4]
