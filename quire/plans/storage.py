@@ -160,7 +160,7 @@ def _arriving(*views):
 
 
 def _parsed(documents):
-    spark, documents = documents.sparkSession, documents.where("text <> ''")
+    spark, documents = documents.sparkSession, documents.where("text is not null")
     return {"elements": derived.elements(spark, documents), "tables": derived.tables(spark, documents), "figures": derived.figures(spark, documents)}
 
 
@@ -168,13 +168,13 @@ def _ingested(spark, root):
     """An index of two unequal batches, the second one tried twice.
 
     The first batch holds drafts of some documents; the second brings their
-    texts and the rest, and sends some documents again empty.
+    texts and the rest, and sends some documents again without a text (an empty one still has a bibliography).
     """
     base = scratch_path(spark, "stream")
     docs, n = table(spark, root, "documents").select("doc_id", "text", "lang", "source", "n_chars"), F.col("doc_id")
     draft, gone = n % 7 == 3, n % 11 == 4
     first = docs.where(n % 5 != 0).withColumn("text", F.when(draft, F.concat(F.lit("Draft\n"), "text", F.lit("\nlast words of the draft"))).otherwise(F.col("text")))
-    second = docs.where((n % 5 == 0) | draft | gone).withColumn("text", F.when((n % 5 != 0) & gone, "").otherwise(F.col("text")))
+    second = docs.where((n % 5 == 0) | draft | gone).withColumn("text", F.when((n % 5 != 0) & gone, F.lit(None)).otherwise(F.col("text")))
     for part in (first, second):
         part.write.mode("append").parquet(f"{base}/arriving")
         ingest.stream_ingest(spark, f"{base}/arriving", f"{base}/index", f"{base}/checkpoint", _parsed).awaitTermination()
