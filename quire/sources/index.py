@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.session import scratch_path
+from quire.session import prepared, scratch_path
 
 #: Rows of a bucket, as a target; the number of buckets is fixed when a table is first written.
 BUCKET_ROWS = 20_000
@@ -33,19 +33,20 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
-def _write_buckets(rows: DataFrame, path: str, fmt: str, key: str, bucket: str, buckets: int) -> None:
-    """A bucket is written by one task, or by several if it is large, into few files."""
-    placed = rows.withColumn(bucket, bucket_of(key, buckets))
-    placed.repartition(F.col(bucket)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "maxRecordsPerFile", 50 * BUCKET_ROWS
-    ).partitionBy(bucket).format(fmt).save(path)
+def _write_buckets(placed: DataFrame, path: str, fmt: str, bucket: str) -> None:
+    """Rows that lie together by bucket already, into few files for each; texts are compressed, so a file of them is read by one task."""
+    most, packed = (BUCKET_ROWS, {"compression": "gzip"}) if fmt == "json" else (50 * BUCKET_ROWS, {})
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", most).options(**packed).partitionBy(
+        bucket
+    ).format(fmt).save(path)
 
 
 def create_bucketed(rows: DataFrame, path: str, fmt: str, key: str, bucket: str) -> str:
     """Write a new table; the number of buckets follows from its rows and is stored with it."""
     spark = rows.sparkSession
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-    _write_buckets(rows, path, fmt, key, bucket, buckets)
+    # a bucket is written by one task, or by several if it is large
+    _write_buckets(rows.withColumn(bucket, bucket_of(key, buckets)).repartition(F.col(bucket)), path, fmt, bucket)
     store, target = _path(spark, f"{path}/{_COUNT_FILE}")
     stream = store.create(target, True)
     stream.writeInt(buckets)
@@ -53,31 +54,41 @@ def create_bucketed(rows: DataFrame, path: str, fmt: str, key: str, bucket: str)
     return path
 
 
+@prepared
 def change_bucketed(
     spark: SparkSession, path: str, fmt: str, key: str, bucket: str, old: DataFrame, keys: DataFrame, new: DataFrame | None = None
 ) -> None:
     """Remove the rows with the given keys from the stored table and add new ones.
 
     Only the buckets of those keys are read and rewritten; their other rows stay.
-    The rewritten buckets are staged first, because a table cannot be read and
-    overwritten at once. Buckets that keep no row are removed before the others are overwritten: after
+    Rows and keys are brought together by bucket, once, whatever number of keys there is. The rewritten buckets are staged first,
+    because a table cannot be read and overwritten at once; they are staged by bucket, so that writing them does not deal
+    them out again, and the staged ones are removed after. Buckets that keep no row are removed before the others are overwritten: after
     a failure the table lacks nothing but rows that were to go, and the change can be made again.
     ``old`` is the table as read from ``path``.
     """
     buckets = stored_buckets(spark, path)
     wanted = keys.select(F.col(key).cast("string").alias("_key")).distinct()
-    touched = wanted.select(F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int").alias(bucket)).distinct()
-    kept = old.join(touched, bucket, "left_semi").drop(bucket).select(*[c for c in old.columns if c != bucket])
-    kept = kept.join(wanted, F.col(key).cast("string") == F.col("_key"), "left_anti")
-    rows = kept if new is None else kept.unionByName(new, allowMissingColumns=True)
-    staged = scratch_path(spark, "staged")
-    rows.write.parquet(staged)
-    staged = spark.read.schema(rows.schema).parquet(staged)
-    emptied = touched.join(staged.select(bucket_of(key, buckets).alias(bucket)).distinct(), bucket, "left_anti")
+    wanted = wanted.select("_key", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int").alias(bucket))
+    touched = wanted.select(bucket).distinct()
+    kept = old.join(F.broadcast(touched), bucket, "left_semi")
+    rows = kept.withColumns({"_key": F.col(key).cast("string"), "_side": F.lit(0)}).unionByName(wanted.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    if new is not None:
+        fresh = new.withColumns({bucket: bucket_of(key, buckets), "_key": F.col(key).cast("string"), "_side": F.lit(2)})
+        rows = rows.unionByName(fresh, allowMissingColumns=True)
+    # of stored rows those with a null key never go
+    gone = F.max(F.col("_side") == 1).over(Window.partitionBy(bucket, "_key")) & F.col("_key").isNotNull()
+    rows = rows.repartition(F.col(bucket)).withColumn("_gone", gone).where("_side = 2 or _side = 0 and not _gone").drop("_key", "_side", "_gone")
+    path_staged = scratch_path(spark, "staged")
+    rows.write.partitionBy(bucket).parquet(path_staged)
+    staged = spark.read.schema(rows.schema).parquet(path_staged)
+    emptied = touched.join(staged.select(bucket).distinct(), bucket, "left_anti")
     for row in emptied.toLocalIterator():
         store, target = _path(spark, f"{path}/{bucket}={row[0]}")
         store.delete(target, True)
-    _write_buckets(staged, path, fmt, key, bucket, buckets)
+    _write_buckets(staged, path, fmt, bucket)
+    store, target = _path(spark, path_staged)
+    store.delete(target, True)
 
 
 def persist_index(chunks: DataFrame, path: str, partitioned: bool = False) -> str:

@@ -1,9 +1,12 @@
-"""Empty texts in streams."""
+"""Empty texts in streams; what large jobs leave on the disk."""
+
+import os
 
 import duckdb
 import pytest
 
 from quire.plans.all_queries import CHECKS, QUERIES
+from quire.sources import index
 from tests.check import compare
 
 
@@ -18,3 +21,22 @@ def test_documents_with_empty_texts_stay_apart_from_those_sent_again_without_con
     con.execute(f"create view documents as select * from read_parquet('{root}/documents.parquet/*.parquet')")
     diff, n = compare(spark, con, root, QUERIES[name], CHECKS[name])
     assert not diff and n, diff
+
+
+def test_changes_leave_no_copies_and_write_compressed_texts(spark, tmp_path, monkeypatch):
+    """Rows of a changed bucket lie on the disk once, packed; rows with other and with null keys stay, new ones come in."""
+    monkeypatch.setattr(index, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(index, "scratch_path", lambda spark, name: f"{tmp_path}/scratch/{name}-{len(os.listdir(tmp_path))}")
+    path = f"{tmp_path}/docs"
+    rows = spark.range(40).selectExpr("case when id = 39 then null else cast(id as string) end as id", "'old' as status", "repeat('a text. ', 500) as filename")
+    index.create_bucketed(rows, path, "json", "id", "id_bucket")
+    again = spark.sql("select * from values ('3', 'new'), ('4', 'new'), ('77', 'new'), (null, 'new') as t(id, status)")
+    schema = "id string, status string, filename string, id_bucket int"
+    index.change_bucketed(spark, path, "json", "id", "id_bucket", spark.read.schema(schema).json(path), again, again)
+    index.change_bucketed(spark, path, "json", "id", "id_bucket", spark.read.schema(schema).json(path), rows.where("id in ('5', '3')"))
+    got = sorted((r.id or "", r.status, len(r.filename or "")) for r in spark.read.schema(schema).json(path).collect())
+    kept = [(str(i), "old", 4000) for i in range(39) if i not in (3, 4, 5)]
+    assert got == sorted([*kept, ("", "old", 4000), ("", "new", 0), ("4", "new", 0), ("77", "new", 0)])
+    files = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert not os.listdir(tmp_path / "scratch")
