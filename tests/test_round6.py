@@ -1,11 +1,13 @@
 """Empty texts in streams; what large jobs leave on the disk."""
 
 import os
+import random
 
 import duckdb
 import pytest
 
 from quire.plans.all_queries import CHECKS, QUERIES
+from quire.operators import recognition
 from quire.sources import index
 from tests.check import compare
 
@@ -40,3 +42,19 @@ def test_changes_leave_no_copies_and_write_compressed_texts(spark, tmp_path, mon
     files = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
     assert files and all(f.endswith(".json.gz") for f in files)
     assert not os.listdir(tmp_path / "scratch")
+
+
+@pytest.mark.parametrize("whole", [1, 40, 1 << 16])
+def test_csv_texts_are_written_where_pages_are_laid_out(spark, whole):
+    """The texts of small pages need no rows of cells and are those that cells give; a page's words may lie far apart."""
+    dice = random.Random(5)
+    words = [(p, k, dice.choice(["a", "b,c", ' "d" ', "  ", "é", "f\r\ng"]), float(dice.randrange(0, 400)), dice.randrange(0, 60) / 2) for k in range(60) for p in range(5) if p or k < 12]
+    words += [(7, 1, "\t", 3.0, 4.0), (8, 1, None, 3.0, 4.0), (8, 2, "x", 90.0, 4.0), (None, 1, "lost", 1.0, 1.0), (8, 3, "lost", None, 1.0), (9, 1, "l", 0.0, 0.0), (9, 2, "r", 99.0, 50.0)]
+    df = spark.createDataFrame(words, "page_number int, word_num int, text string, x0 double, y0 double")
+    cells = recognition.grid_to_cells(recognition.words_to_grid(df, ["page_number"], pieces=3), ["page_number"])
+    want = sorted(map(tuple, recognition.cells_to_csv(cells, ["page_number"]).collect()))
+    got = recognition.words_to_csv(df, ["page_number"], whole=whole)
+    assert sorted(map(tuple, got.collect())) == want and dict(want)[9] == "l,\r\n,r"
+    if whole > 60:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Join" not in plan
