@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed
-from quire.functions import classify
+from quire.functions import classify, ngrams
 from quire.functions import text as T
 from quire.operators.embedding import embed_queries
 from quire.session import cut_lineage, prepared
@@ -36,7 +36,9 @@ def _keep_best(queries: DataFrame, hits: DataFrame, k: Column) -> DataFrame:
 
 
 @prepared
-def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "chunk_id", scope: DataFrame | None = None) -> DataFrame:
+def knn_topk(
+    queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "chunk_id", scope: DataFrame | None = None, idf: np.ndarray | None = None
+) -> DataFrame:
     """Exact cosine top k: (query_id, id, score, rank).
 
     A ``k`` column on the queries overrides ``k``; a ``first_type`` column that
@@ -48,11 +50,12 @@ def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "c
     a task answers them in blocks of BLOCK_ROWS with a matrix product and a mask of documents
     each. It sends on its own best k per
     question only. Ranking is by the score up to rounding errors (12 digits); ties go to the smaller id.
+    With ``idf`` the index has sparse counts (`buckets`, `counts`) instead of vectors; these are dealt out, and weighted in the task.
     """
     limit = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
     wanted = F.col("first_type") if "first_type" in queries.columns else F.lit(None).cast("string")
     kind = F.col("chunk_type") if "chunk_type" in index.columns else F.lit(None).cast("string")
-    usable = index.where(F.col("embedding").isNotNull())
+    usable = index.where(F.col("embedding" if idf is None else "buckets").isNotNull())
     cells = max(1, -(-usable.count() // CELL_ROWS))
     asked = queries.where(F.col("embedding").isNotNull())
     none = F.lit(None)
@@ -73,23 +76,24 @@ def knn_topk(queries: DataFrame, index: DataFrame, k: int = 10, id_col: str = "c
         asked = asked.join(spread, "query_id")
     doc = F.col("doc_id").cast("string") if scope is not None else none.cast("string")
     vector = F.col("embedding").cast("array<double>").alias("vector")
+    sparse = [] if idf is None else ["buckets", "counts"]
     rows = usable.select(
         F.col("_cell").alias("cell"), F.lit(0).alias("side"), none.cast("bigint").alias("query_id"),
-        F.lit(0).alias("k"), F.col(id_col).cast("string").alias("id"), kind.alias("type"), vector,
-        doc.alias("doc"), none.cast("array<string>").alias("docs"),
+        F.lit(0).alias("k"), F.col(id_col).cast("string").alias("id"), kind.alias("type"), none.cast("array<double>").alias("vector") if sparse else vector,
+        doc.alias("doc"), none.cast("array<string>").alias("docs"), *sparse,
     )
     asked = asked.select(
         F.col("_cell").alias("cell"), F.lit(1).alias("side"), F.col("query_id").cast("bigint").alias("query_id"),
         limit.alias("k"), none.cast("string").alias("id"), wanted.alias("type"), vector,
-        none.cast("string").alias("doc"), F.col("_docs").alias("docs"),
+        none.cast("string").alias("doc"), F.col("_docs").alias("docs"), *[none.cast("array<int>").alias(c) for c in sparse],
     )
     tiles = rows.unionByName(asked).repartition(cells, "cell").sortWithinPartitions("cell", "side", "query_id", "id")
-    return _keep_best(queries, tiles.mapInArrow(_tile_hits, _HITS), F.lit(k))
+    return _keep_best(queries, tiles.mapInArrow(lambda batches: _tile_hits(batches, idf), _HITS), F.lit(k))
 
 
 def _units(vectors: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
     """Each vector at length one (a zero vector stays as it is), and which ones have no null component (one with any takes no part)."""
-    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(vectors)), lengths)
     flat = vectors.flatten()
     values = flat.to_numpy(zero_copy_only=False)
@@ -100,7 +104,16 @@ def _units(vectors: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
     return np.split(values / size[owner], np.cumsum(lengths)[:-1]), whole
 
 
-def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weighted_units(buckets: pa.ListArray, counts: pa.ListArray, idf: np.ndarray) -> list[np.ndarray | None]:
+    """The vector of unit length of each row's counts; none for a row without counts, zero for one of an empty text."""
+    length = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, place = np.repeat(np.arange(len(buckets)), length), buckets.flatten().to_numpy(zero_copy_only=False)
+    dense = np.zeros((len(buckets), len(idf)))
+    dense[row, place] = ngrams.scaled(counts.flatten().to_numpy(zero_copy_only=False), place, row, len(buckets), idf)
+    return [v if known else None for v, known in zip(dense, buckets.is_valid().to_pylist())]
+
+
+def _tile_hits(batches: Iterator[pa.RecordBatch], idf: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Best hits per question of each cell; a cell's index rows come first, its questions in blocks after."""
     cell, held, parts, number_of = None, [], {}, {}
 
@@ -141,7 +154,10 @@ def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = batch.schema.get_field_index("vector")
         # vectors stay numpy: slices of the column's values, never lists of numbers
         vectors, whole = _units(batch.column(place))
-        for usable, (number, side, query, k, name, kind, unit, doc, docs) in zip(whole.tolist(), zip(*[vectors if i == place else c.to_pylist() for i, c in enumerate(batch.columns)])):
+        if idf is not None:
+            own = _weighted_units(*[batch.column(batch.schema.get_field_index(c)) for c in ("buckets", "counts")], idf)
+            vectors = [v if w is None else w for v, w in zip(vectors, own)]
+        for usable, (number, side, query, k, name, kind, unit, doc, docs) in zip(whole.tolist(), zip(*[vectors if i == place else c.to_pylist() for i, c in enumerate(batch.columns[:9])])):
             if number != cell:
                 if asked:
                     yield answer(asked)
@@ -160,7 +176,7 @@ def _tile_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def knn_in_scope(
-    queries: DataFrame, index: DataFrame, scope: DataFrame, k: int = 10, mode: str = "exact", id_col: str = "chunk_id"
+    queries: DataFrame, index: DataFrame, scope: DataFrame, k: int = 10, mode: str = "exact", id_col: str = "chunk_id", idf: np.ndarray | None = None
 ) -> DataFrame:
     """Top k where each query names its documents: scope(query_id, doc_id). Queries that name none see all.
 
@@ -168,13 +184,13 @@ def knn_in_scope(
     """
     named = scope.select("query_id").distinct()
     if mode == "exact":
-        free = knn_topk(queries.join(named, "query_id", "left_anti"), index, k, id_col)
-        return free.unionByName(knn_topk(queries.join(named, "query_id", "left_semi"), index, k, id_col, scope))
+        free = knn_topk(queries.join(named, "query_id", "left_anti"), index, k, id_col, idf=idf)
+        return free.unionByName(knn_topk(queries.join(named, "query_id", "left_semi"), index, k, id_col, scope, idf))
     # one scan answers both kinds of questions, each with its own number of hits
     asked = queries.join(named.withColumn("_own", F.lit(True)), "query_id", "left")
     if "k" not in queries.columns:
         asked = asked.withColumn("k", F.when(F.col("_own"), 5 * k).otherwise(k))
-    hits = cut_lineage(knn_topk(asked, index, k, id_col))
+    hits = cut_lineage(knn_topk(asked, index, k, id_col, idf=idf))
     free = hits.join(named, "query_id", "left_anti")
     wide = hits.join(named, "query_id", "left_semi").drop("rank").join(index.select(F.col(id_col).cast("string").alias("id"), "doc_id"), "id")
     seen = wide.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").drop("doc_id")
@@ -214,29 +230,46 @@ def knn_postfilter(
 
 @prepared
 def search_fallback(
-    queries: DataFrame, index: DataFrame, k: int = 5, scope: DataFrame | None = None, mode: str = "exact"
+    queries: DataFrame, index: DataFrame, k: int = 5, scope: DataFrame | None = None, mode: str = "exact", idf: np.ndarray | None = None
 ) -> DataFrame:
     """Search; questions without hits are retried cleaned, then (if they name documents) as a general overview.
 
     Returns (query_id, id, score, rank, attempt). ``scope`` (query_id, doc_id) holds the documents
     that questions name. With mode='oversample' the scope is applied to the best 5k of all documents, as
     a flat index does it, so a question can find nothing although its documents have chunks.
-    """
-
-    def run(asked: DataFrame) -> DataFrame:
-        vectors = cut_lineage(embed_queries(asked))
-        return knn_topk(vectors, index, k) if scope is None else knn_in_scope(vectors, index, scope, k, mode)
 
+    All forms of all questions are asked at once, so the index is dealt out once, and of a question the first form with hits
+    counts. Where the scope does not decide what is scanned, equal texts are asked once. ``idf``: see knn_topk.
+    """
     asked = queries.select("query_id", "query")
-    hits = cut_lineage(run(asked).withColumn("attempt", F.lit(1)))
-    open_ = asked.join(hits, "query_id", "left_anti")
-    cleaned = open_.withColumn("query", classify.clean_query(F.col("query"))).where(F.length("query") >= 3)
-    hits = cut_lineage(hits.unionByName(run(cleaned).withColumn("attempt", F.lit(2))))
-    if scope is None:
-        return hits
-    open_ = asked.join(hits, "query_id", "left_anti").join(scope.select("query_id").distinct(), "query_id", "left_semi")
-    overview = open_.withColumn("query", F.lit(fixed.OVERVIEW_QUESTION))
-    return hits.unionByName(run(overview).withColumn("attempt", F.lit(3)))
+    forms = asked.withColumn("attempt", F.lit(1)).unionByName(
+        asked.withColumn("query", classify.clean_query(F.col("query"))).where(F.length("query") >= 3).withColumn("attempt", F.lit(2))
+    )
+    if scope is not None:
+        scope = scope.select("query_id", "doc_id").distinct()
+        named = cut_lineage(scope.select("query_id").distinct())
+        overview = asked.join(named, "query_id", "left_semi").withColumn("query", F.lit(fixed.OVERVIEW_QUESTION))
+        forms = forms.unionByName(overview.withColumn("attempt", F.lit(3)))
+    # numbers stay as they are once they are stored
+    forms = cut_lineage(forms.withColumn("_form", F.monotonically_increasing_id()))
+    if scope is not None and mode == "exact":
+        vectors = cut_lineage(embed_queries(forms.select(F.col("_form").alias("query_id"), "query")))
+        own = scope.join(forms.select("query_id", "_form"), "query_id").select(F.col("_form").alias("query_id"), "doc_id")
+        hits = knn_in_scope(vectors, index, own, k, idf=idf).withColumnRenamed("query_id", "_form").join(forms.drop("query"), "_form")
+    else:
+        texts = cut_lineage(forms.select("query").distinct().withColumn("query_id", F.monotonically_increasing_id()))
+        vectors = cut_lineage(embed_queries(texts))
+        found = knn_topk(vectors, index, k if scope is None else 5 * k, idf=idf).withColumnRenamed("query_id", "_text")
+        hits = cut_lineage(found.join(texts.withColumnRenamed("query_id", "_text"), "_text").join(forms, "query"))
+        if scope is not None:
+            free = hits.join(named, "query_id", "left_anti").where(F.col("rank") <= k)
+            wide = hits.join(named, "query_id", "left_semi").join(index.select(F.col("chunk_id").cast("string").alias("id"), "doc_id"), "id")
+            seen = wide.join(scope, ["query_id", "doc_id"], "left_semi").withColumn(
+                "rank", F.row_number().over(Window.partitionBy("_form").orderBy(F.desc("score"), "id"))
+            )
+            hits = free.unionByName(seen.where(F.col("rank") <= k).select(*free.columns))
+    first = F.min("attempt").over(Window.partitionBy("query_id"))
+    return hits.withColumn("_first", first).where("attempt = _first").select("query_id", "id", "score", "rank", "attempt")
 
 
 @prepared

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from quire.plans.all_queries import CHECKS, QUERIES
-from quire.operators import recognition
+from quire.operators import embedding, recognition, search
 from quire.sources import index
 from tests.check import compare
 
@@ -58,3 +58,24 @@ def test_csv_texts_are_written_where_pages_are_laid_out(spark, whole):
     if whole > 60:
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("mode", ["oversample", "exact"])
+def test_fallback_deals_the_index_out_once(spark, monkeypatch, mode):
+    """Cleaned and general forms are asked with the questions; counts give the hits that vectors give."""
+    calls = []
+    knn = search.knn_topk
+    monkeypatch.setattr(search, "knn_topk", lambda *a, **b: calls.append(a) or knn(*a, **b))
+    texts = ["alpha beta", "beta gamma delta", "overview of the paper and its main contributions", "", "alpha alpha", None, "zeta eta"]
+    rows = [(f"c{i}", i % 3, t, "text") for i, t in enumerate(texts * 4)]
+    counted = embedding.with_counts(spark.createDataFrame(rows, "chunk_id string, doc_id long, content string, chunk_type string"), "content").localCheckpoint()
+    idf = embedding.inverse_frequencies(embedding.bucket_frequencies(counted))
+    dense = embedding.tfidf_vectors(counted, "content")
+    asked = spark.createDataFrame([(-1, "what is the alpha"), (2, "beta"), (9, "beta"), (3, "no such words"), (1 << 62, "eta zeta?")], "query_id long, query string")
+    scope = spark.createDataFrame([(-1, 0), (2, 1), (2, 1), (3, 77), (1 << 62, 2)], "query_id long, doc_id long")
+    want = sorted(map(tuple, search.search_fallback(asked, dense, 2, scope, mode).collect()))
+    got = search.search_fallback(asked, counted, 2, scope, mode, idf)
+    assert len(calls) == (2 if mode == "oversample" else 4)  # with and without a scope in exact mode
+    got = sorted(map(tuple, got.collect()))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
+    assert {r[0] for r in got} >= {-1, 2, 9} and 3 not in {r[0] for r in got}
