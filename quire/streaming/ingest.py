@@ -72,16 +72,22 @@ def ingest_batch(documents: DataFrame, batch_id: int, path: str, parse: Parser =
 
     _remove(spark, f"{path}/manifest/batch_id={batch_id}")
     found = parse(documents)
-    # every extractor reads the elements; the batch is parsed once
-    stored = scratch_path(spark, "elements")
-    found["elements"].write.parquet(stored)
-    elements = spark.read.schema(found["elements"].schema).parquet(stored)
+    scratch = []
 
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        scratch.append(scratch_path(spark, name))
+        rows.write.parquet(scratch[-1])
+        return spark.read.schema(rows.schema).parquet(scratch[-1])
+
+    # every extractor reads the elements; the batch is parsed once, and captions are looked for once
+    elements = keep(found["elements"], "elements")
+    if "tables" in found or "figures" in found:
+        captions = keep(layout.caption_candidates(elements), "captions")
     kinds = [chunking.pack_chunks(elements)]
     if "tables" in found:
-        kinds.append(chunking.table_chunks(layout.pair_table_captions(found["tables"], elements)))
+        kinds.append(chunking.table_chunks(layout.pair_table_captions(keep(found["tables"], "tables"), captions)))
     if "figures" in found:
-        kinds.append(chunking.figure_chunks(layout.pair_figure_captions(found["figures"], elements)))
+        kinds.append(chunking.figure_chunks(layout.pair_figure_captions(keep(found["figures"], "figures"), captions)))
     formulas = equations.extract_equations(elements).withColumn("explanation", F.lit(None).cast("string"))
     chunks = put(embedding.with_counts(chunking.union_entities(*kinds, chunking.equation_chunks(formulas)), "content"), "chunks")
 
@@ -98,7 +104,8 @@ def ingest_batch(documents: DataFrame, batch_id: int, path: str, parse: Parser =
 
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     put(arrived.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks")), "manifest")
-    _remove(spark, stored)
+    for made in scratch:
+        _remove(spark, made)
 
 
 def stream_ingest(

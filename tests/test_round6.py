@@ -5,9 +5,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quire.plans.all_queries import CHECKS, QUERIES
-from quire.operators import embedding, recognition, search
+from quire.operators import embedding, graph, layout, recognition, search, sections
 from quire.sources import index
 from tests.check import compare
 
@@ -79,3 +80,19 @@ def test_fallback_deals_the_index_out_once(spark, monkeypatch, mode):
     got = sorted(map(tuple, got.collect()))
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
     assert {r[0] for r in got} >= {-1, 2, 9} and 3 not in {r[0] for r in got}
+
+
+def test_sections_and_blocks_take_one_shuffle(spark):
+    """Rows placed in their section are grouped by section and block where they lie."""
+    rows = spark.range(10).selectExpr("id % 2 as doc_id", "cast(id as int) as pos", "'paragraph' as element_type", "'text' as content", "id div 4 as blk")
+    placed = sections.assign_sections(rows, block="blk")
+    plan = placed.groupBy("doc_id", "section_pos", "blk").agg(F.collect_list("content"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "section_pos" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+
+
+def test_captions_stand_for_their_elements(spark):
+    names = "doc_id long, page_number int, pos int, element_type string, content string, y0 double, y1 double"
+    texts = [("caption", "any words"), ("paragraph", "Fig 3 shows"), ("paragraph", "Table 2 lists"), ("paragraph", "plain words"), ("paragraph", None)]
+    elements = spark.createDataFrame([(1, 1, i, kind, text, i / 5, i / 5 + 0.1) for i, (kind, text) in enumerate(texts)], names)
+    kept = layout.caption_candidates(elements)
+    assert sorted(r.pos for r in kept.collect()) == [0, 1, 2]
