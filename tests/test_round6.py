@@ -96,3 +96,28 @@ def test_captions_stand_for_their_elements(spark):
     elements = spark.createDataFrame([(1, 1, i, kind, text, i / 5, i / 5 + 0.1) for i, (kind, text) in enumerate(texts)], names)
     kept = layout.caption_candidates(elements)
     assert sorted(r.pos for r in kept.collect()) == [0, 1, 2]
+
+
+def test_simple_paths_follow_the_edges_of_the_backward_sweep(spark):
+    """Random graph with cycles, loops and repeated edges, several targets of a source and sources of a target."""
+    dice = random.Random(2)
+    links = [(f"n{dice.randrange(12)}", f"n{dice.randrange(12)}") for _ in range(30)] + [(f"n{i}", "dead end") for i in range(12)]
+    asked = [("n0", "n1"), ("n0", "n2"), ("n3", "n1"), ("n4", "n4"), ("n5", "n6"), ("n5", "n6"), ("away", "n1")]
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+    for most in (1, 2, 4):
+        want, open_ = [], [(b, [a]) for a, b in {p for p in asked if p[0] != p[1]}]
+        while open_:
+            target, path = open_.pop()
+            if path[-1] == target:
+                want.append(path)
+            elif len(path) <= most:
+                open_ += [(target, [*path, x]) for x in out.get(path[-1], ()) if x not in path]
+        got = graph.all_simple_paths(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(asked, "source string, target string"), most)
+        assert sorted(r.path for r in got.collect()) == sorted(want)
+
+
+def test_paths_need_no_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "build_nodes", lambda **parts: pytest.fail("nodes are built"))
+    assert QUERIES["all_simple_paths"](spark, "/root/testdata/sf0.001").columns == ["source", "target", "path"]
